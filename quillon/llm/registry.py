@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import packing, token_planes
+from quillon.llm import chat, packing, sharding, simhash, token_planes, urls
 
 
 def tokenizer_file(name: str) -> str:
@@ -19,10 +20,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (host, path, verdict)
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def url_rules(spark: SparkSession) -> DataFrame:
+    rows = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(host, path, verdict)")
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge_urls(table(spark, sf_dir, "pages"), url_rules(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "virtual_slot", "map_version")
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_planes.write_planes(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
     return token_planes.read_planes(spark, shards)
@@ -30,10 +66,52 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filters": op1_url_filters,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op6_virtual_slot_sharding": op6_virtual_slot_sharding,
+        "op7_chat_formatting": op7_chat_formatting,
         "op9_token_planes": op9_token_planes,
     }
 
 
+_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
+OP1_SQL = rf"""
+WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULES_SQL}),
+urls AS (
+  SELECT page_id, row_number() OVER () AS n,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+fits AS (
+  SELECT n, rule_host || rule_path AS rule, rule_verdict,
+         row_number() OVER (PARTITION BY n ORDER BY length(rule_host) + length(rule_path) DESC, length(rule_host) DESC) AS k
+  FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
+FROM urls LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (n)
+"""
+
+OP7_SQL = """
+WITH placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
+         count(*) OVER (PARTITION BY conv_id) AS n_turns, role, text
+  FROM conversations),
+prefixes AS (
+  SELECT conv_id, pos, n_turns,
+         string_agg(coalesce(length(role)::varchar, '-') || ':' || coalesce(length(text)::varchar, '-') || ':' || coalesce(role, '') || coalesce(text, ''), '')
+           OVER (PARTITION BY conv_id ORDER BY pos) AS upto
+  FROM placed),
+ends AS (
+  SELECT n_turns, upto, min(conv_id) AS conv_id, count(*) AS copies FROM prefixes WHERE pos = n_turns GROUP BY ALL),
+kept AS (
+  SELECT * FROM ends WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.pos < p.n_turns AND p.pos = ends.n_turns AND p.upto = ends.upto))
+SELECT k.conv_id, ((p.pos - 1) // 1024)::int AS part, first(p.n_turns) AS n_turns, first(k.copies) AS copies,
+       string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY p.pos) AS text
+FROM kept k JOIN placed p ON p.conv_id IS NOT DISTINCT FROM k.conv_id
+GROUP BY ALL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filters": OP1_SQL, "op7_chat_formatting": OP7_SQL}
