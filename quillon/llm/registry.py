@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, packing, sharding, simhash, token_planes, urls
+from quillon.llm import chat, decontamination, language, packing, quality, sharding, simhash, sketches, token_planes, urls
 
 
 def tokenizer_file(name: str) -> str:
@@ -49,6 +49,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
@@ -59,19 +67,31 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.beside_edited(table(spark, sf_dir, "documents"))
+
+
 def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_planes.write_planes(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
     return token_planes.read_planes(spark, shards)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.classify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_virtual_slot_sharding": op6_virtual_slot_sharding,
         "op7_chat_formatting": op7_chat_formatting,
+        "op8_document_fingerprints": op8_document_fingerprints,
         "op9_token_planes": op9_token_planes,
+        "op10_language_id": op10_language_id,
     }
 
 

@@ -228,3 +228,16 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
 
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, all columns, with the smallest id of their group.
+
+    Rows that repeat that id are one document and stay one row. Rows without an
+    id are kept only where their group has no id, one for the group.
+    """
+    found = near_duplicates(docs, words, radius)
+    kept = found.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.min("fp").alias("fp"))
+    renamed, own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{docs.columns.index('doc_id')}"
+    rows = renamed.join(kept.select("doc_id"), renamed[own].eqNullSafe(kept["doc_id"]), "left_semi")
+    return rows.dropDuplicates([own]).toDF(*docs.columns)
