@@ -74,7 +74,7 @@ def _(s, d):
 
 @query("prj2_labels")
 def _(s, d):
-    rows = Inputs(s, d).records.select("id", F.explode(F.array_sort(F.array_distinct(F.transform("labels", F.trim)))).alias("label"))
+    rows = Inputs(s, d).records.select("id", F.explode(F.array_sort(F.array_distinct(F.transform("labels", lambda x: F.trim(x))))).alias("label"))
     return rows.groupBy("label").agg(F.count("*").alias("records"))
 
 
@@ -415,7 +415,7 @@ def _(s, d):
 def _(s, d):
     i = Inputs(s, d)
     pairs = i.edges.select(F.col("source_id").alias("left_id"), F.col("target_id").alias("right_id")).distinct()
-    return qualify.local_evidence(pairs, i.records)
+    return qualify.local_evidence(pairs, qualify.field_tokens(i.records))
 
 
 @query("qlf4_substantive_body")

@@ -9,6 +9,7 @@ from quillon.functions import text as T
 from quillon.model import ECHO, LANES, OVERLAP, CandidatePolicy
 from quillon.operators.relations import with_structure
 from quillon.operators.vectors import pairs_above, top_ranks
+from quillon.plans.staging import stage
 from quillon.sources.records import is_closed
 
 THRESHOLD_REASON = "semantic-threshold"
@@ -37,13 +38,13 @@ def rarity_limits(tokens: DataFrame) -> DataFrame:
     )
 
 
-def local_evidence(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
+def local_evidence(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     """Pairs (left_id, right_id) with the first reason that rare shared wording gives.
 
+    ``tokens`` are the ``field_tokens`` of the corpus that rarity is measured in.
     Shared terms are looked up in the corpus frequencies by joins, so the
     frequency table is never gathered; only the pairs' own terms are.
     """
-    tokens = field_tokens(corpus)
     limits = rarity_limits(tokens)
     sides = [tokens.select(*[F.col(c).alias(f"{side}_{c}") for c in tokens.columns]) for side in ("left", "right")]
     rows = pairs.select("left_id", "right_id").distinct().join(sides[0], "left_id").join(sides[1], "right_id")
@@ -159,7 +160,8 @@ def qualified(records: DataFrame, population: DataFrame, edges: DataFrame, vecto
     active = vectors.join(population.select("id"), "id", "left_semi")
     closed = vectors.join(records.filter(is_closed(F.col("status"))).select("id"), "id", "left_semi")
     corpus = records.join(population.select("id").unionByName(records.filter(is_closed(F.col("status"))).select("id")).distinct(), "id", "left_semi")
-    ranks = rank_tables(active, closed, max(1, policy.reciprocal_rank), eligible)
+    ranks = stage(rank_tables(active, closed, max(1, policy.reciprocal_rank), eligible), "ranks")
+    tokens = stage(field_tokens(corpus), "field-tokens")
     out = None
     for kind, threshold, left_ranks, right_ranks in (
         (OVERLAP, policy.overlap_threshold, "overlap", "overlap"),
@@ -180,8 +182,10 @@ def qualified(records: DataFrame, population: DataFrame, edges: DataFrame, vecto
             pairs = pairs_above(own, closed, floor)
         a = ranks.filter(F.col("kind") == left_ranks).select(F.col("query_id").alias("left_id"), F.col("candidate_id").alias("right_id"), F.col("rank").alias("left_rank"))
         b = ranks.filter(F.col("kind") == right_ranks).select(F.col("query_id").alias("right_id"), F.col("candidate_id").alias("left_id"), F.col("rank").alias("right_rank"))
+        pairs = stage(pairs, "pairs")
         rows = with_structure(pairs, records, edges).join(a, ["left_id", "right_id"], "left").join(b, ["left_id", "right_id"], "left")
-        rows = rows.join(local_evidence(pairs, corpus), ["left_id", "right_id"], "left")
+        doubtful = rows.filter((F.col("score") < threshold) & (F.col("left_rank") <= policy.reciprocal_rank) & (F.col("right_rank") <= policy.reciprocal_rank))
+        rows = rows.join(local_evidence(doubtful, tokens), ["left_id", "right_id"], "left")
         made = _decide(rows, kind, threshold, policy)
         if kind == ECHO:
             made = bounded_alternatives(made, policy.max_echo_alternatives_per_active)

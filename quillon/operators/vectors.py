@@ -33,7 +33,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b)))
+    """Score of unit vectors, clipped to -1 to 1; null where either is null."""
+    score = dot(a, b)
+    return F.when(score > 1.0, 1.0).when(score < -1.0, -1.0).otherwise(score)
 
 
 def unit_vectors(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def record_id(n: Column) -> Column:
-    return F.concat(F.lit("doc-"), F.lpad(n.cast("string"), 6, "0"))
+    return F.format_string("doc-%06d", n)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
