@@ -22,11 +22,17 @@ def field_tokens(records: DataFrame) -> DataFrame:
     return records.select("id", *lists, body.alias("has_body"), T.sparse_title_tokens(F.col("title")).alias("sparse"))
 
 
-def document_frequencies(tokens: DataFrame, what: str = "tokens") -> DataFrame:
-    """``term, df``: in how many records a token (or phrase) is, in any field."""
+def document_frequencies(tokens: DataFrame, what: str = "tokens", wanted: DataFrame | None = None) -> DataFrame:
+    """``term, df``: in how many records a token (or phrase) is, in any field.
+
+    With ``wanted (term)`` only of those, which are picked out before any shuffle
+    if they are few.
+    """
     parts = [F.col(f"{f}_tokens") if what == "tokens" else T.phrases(F.col(f"{f}_tokens")) for f in T.FIELDS]
-    terms = F.explode(F.array_distinct(F.concat(*parts)))
-    return tokens.select("id", terms.alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    rows = tokens.select("id", F.explode(F.array_distinct(F.concat(*parts))).alias("term"))
+    if wanted is not None:
+        rows = rows.join(wanted.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def rarity_limits(tokens: DataFrame) -> DataFrame:
@@ -61,8 +67,9 @@ def local_evidence(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     )
     rows = rows.select("left_id", "right_id", shared_title.alias("t"), aligned.alias("a"), body_phrases.alias("p"), sparse_fits.alias("sparse_fits"))
     terms = lambda name: rows.select("left_id", "right_id", F.lit(name).alias("test"), F.explode(name).alias("term"))
-    by_token = terms("t").unionByName(terms("a")).join(document_frequencies(tokens), "term")
-    by_phrase = terms("p").join(document_frequencies(tokens, "phrases"), "term")
+    by_token = terms("t").unionByName(terms("a"))
+    by_token = by_token.join(document_frequencies(tokens, "tokens", by_token), "term")
+    by_phrase = terms("p").join(document_frequencies(tokens, "phrases", terms("p")), "term")
     rarest = by_token.unionByName(by_phrase).groupBy("left_id", "right_id").agg(*[F.min(F.when(F.col("test") == k, F.col("df"))).alias(f"min_{k}") for k in "tap"])
     out = rows.select("left_id", "right_id", "sparse_fits").join(rarest, ["left_id", "right_id"], "left").crossJoin(F.broadcast(limits))
     reason = (
@@ -157,8 +164,8 @@ def qualified(records: DataFrame, population: DataFrame, edges: DataFrame, vecto
     ``eligible (id)`` a pair must touch an eligible record. Of the semantic echoes
     each active record keeps its first few; dependency echoes are not limited.
     """
-    active = vectors.join(population.select("id"), "id", "left_semi")
-    closed = vectors.join(records.filter(is_closed(F.col("status"))).select("id"), "id", "left_semi")
+    active = stage(vectors.join(population.select("id"), "id", "left_semi"), "active")
+    closed = stage(vectors.join(records.filter(is_closed(F.col("status"))).select("id"), "id", "left_semi"), "closed")
     corpus = records.join(population.select("id").unionByName(records.filter(is_closed(F.col("status"))).select("id")).distinct(), "id", "left_semi")
     ranks = stage(rank_tables(active, closed, max(1, policy.reciprocal_rank), eligible), "ranks")
     tokens = stage(field_tokens(corpus), "field-tokens")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS, LEAST_ROWS = 4096, 256
 
 
 def norm(v: Column) -> Column:
@@ -46,10 +46,20 @@ def _block(count: int) -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
 
 
-def _met(left: DataFrame, right: DataFrame, same: bool, work, schema: str, block_rows: int) -> DataFrame:
-    """``work(left ids, left matrix, right ids, right matrix)`` for every pair of blocks."""
-    n_left = -(-max(1, left.count()) // block_rows)
-    n_right = n_left if same else -(-max(1, right.count()) // block_rows)
+def _met(left: DataFrame, right: DataFrame, same: bool, work, schema: str, block_rows: int | None) -> DataFrame:
+    """``work(left ids, left matrix, right ids, right matrix)`` for every pair of blocks.
+
+    Blocks are as large as memory allows, but small enough that there are pairs
+    of blocks for all cores.
+    """
+    wanted = int(np.ceil(np.sqrt(2 * left.sparkSession.sparkContext.defaultParallelism)))
+
+    def blocks(rows: DataFrame) -> int:
+        n = max(1, rows.count())
+        return -(-n // block_rows) if block_rows else max(-(-n // BLOCK_ROWS), min(wanted, -(-n // LEAST_ROWS)))
+
+    n_left = blocks(left)
+    n_right = n_left if same else blocks(right)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = left.select(F.col("id").alias("a_id"), F.col("v").alias("a_v"), _block(n_left).alias("al"), every(n_right).alias("ar"))
     b = right.select(F.col("id").alias("b_id"), F.col("v").alias("b_v"), _block(n_right).alias("br"), every(n_left).alias("bl"))
@@ -64,7 +74,7 @@ def _met(left: DataFrame, right: DataFrame, same: bool, work, schema: str, block
     return a.groupBy("al", "ar").cogroup(b.groupBy("bl", "br")).applyInPandas(meet, schema)
 
 
-def pairs_above(left: DataFrame, right: DataFrame | None, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pairs_above(left: DataFrame, right: DataFrame | None, threshold: float, block_rows: int | None = None) -> DataFrame:
     """``left_id, right_id, score`` with cosine >= ``threshold``.
 
     Without ``right`` a self-join with left_id < right_id; else every pair of
@@ -89,7 +99,7 @@ def pairs_above(left: DataFrame, right: DataFrame | None, threshold: float, bloc
     return _met(left, left if same else right, same, work, f"left_id {kind}, right_id {kind}, score double", block_rows)
 
 
-def top_ranks(queries: DataFrame, candidates: DataFrame, limit: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_ranks(queries: DataFrame, candidates: DataFrame, limit: int, block_rows: int | None = None) -> DataFrame:
     """``query_id, candidate_id, score, rank``: each query's best, by (score down, id).
 
     Each block keeps a query's ``limit`` best (ties at the edge included), so the

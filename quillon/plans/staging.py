@@ -65,3 +65,13 @@ def unstage(df: DataFrame) -> None:
     path = getattr(df, "staged_path", None)
     if path:
         drop_path(df.sparkSession, path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has far fewer partitions than there are.
+
+    One small file is otherwise one task. A table that is large beside the
+    cluster has more partitions than cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

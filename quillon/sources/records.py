@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.model import ACTIVE_STATUSES, CLOSED_STATUSES
 from quillon.operators.vectors import unit_vectors
+from quillon.plans.staging import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,8 @@ def record_id(n: Column) -> Column:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, n = table(spark, sf_dir, "documents"), F.col("doc_id")
-    parents = docs.groupBy("source").agg(F.min("doc_id").alias("first_id"))
+    docs, n = spread(table(spark, sf_dir, "documents")), F.col("doc_id")
+    parents = table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("first_id"))
     lines = F.split("text", "\n")
     status = F.element_at(F.array(*map(F.lit, ("closed", "open", "in_progress", "blocked"))), (n % 4 + 1).cast("int"))
     moment = F.timestamp_seconds(F.lit(1704067200) + n * 60)
