@@ -2,8 +2,8 @@
 
 Byte-pair merges never cross a pre-token, so the ids of a text are the ids of
 its pre-tokens one after the other. Natural text repeats its words, so a worker
-asks the library once for each distinct pre-token and keeps the answer in a
-bounded table. Splitting is done here only for the two published patterns below
+asks the library's model once for each distinct pre-token and keeps the answer
+in a bounded table. Splitting is done here only for the two published patterns below
 and only for texts whose characters have had one fixed class in every Unicode
 version; any other file or text goes to the library whole, with equal results.
 """
@@ -32,6 +32,17 @@ SETTLED = re.compile("[^\t\n\r\x20-\x7e -įı-ɏ‐-‧€]")
 CHUNK_CHARS = 1 << 20
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the
+    others for the characters from U+0100 on, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 def _fill(pattern: str) -> re.Pattern:
     return re.compile(
         pattern.replace("{L}", f"[{LETTERS}]")
@@ -97,9 +108,12 @@ class WordEncoder:
         if not words:
             return
         self.memo.new = []
-        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))
-        self.flat = np.concatenate([self.flat, np.array(got.ids, np.uint32)])
+        model, flat, counts = self.tokenizer.model, [], []
+        for word in words:
+            ids = [t.id for t in model.tokenize(word.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS))]
+            flat += ids
+            counts.append(len(ids))
+        self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
 
     def _whole(self, text: str) -> np.ndarray:
