@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.plans.staging import stage
+
 BLOCK_TURNS = 1024
 
 
@@ -70,7 +72,7 @@ def prefix_hashes(placed: DataFrame) -> DataFrame:
 
 def maximal(placed: DataFrame) -> DataFrame:
     """``conv_id, n_turns, copies`` of the conversations that prefix no longer one."""
-    hashed = prefix_hashes(placed)
+    hashed = stage(prefix_hashes(placed), "prefix-hashes")
     ends = hashed.filter("pos = n_turns").groupBy("n_turns", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
     inner = hashed.filter("pos < n_turns").select("pos", "h1", "h2").distinct()
     keys = (ends["n_turns"] == inner["pos"]) & (ends["h1"] == inner["h1"]) & (ends["h2"] == inner["h2"])
@@ -91,7 +93,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     conversation like any other; repeated rows are turns of their own; other
     columns are not read; an empty table gives no rows.
     """
-    placed = positions(turns)
+    placed = stage(positions(turns), "turns")
     kept = maximal(placed).withColumnRenamed("conv_id", "kept_id").withColumnRenamed("n_turns", "kept_turns")
     rows = placed.join(kept, placed["conv_id"].eqNullSafe(kept["kept_id"]))
     part = F.floor((F.col("pos") - 1) / BLOCK_TURNS).cast("int")

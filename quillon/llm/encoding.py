@@ -22,12 +22,12 @@ from tokenizers import Tokenizer
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{s}{l}{n}]+|[{s}]+(?![^{s}])|[{s}]+"
 WORD_END_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|{L}+|{N}|[^{s}{l}{n}]+"
 WORD_END_SOURCE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-NUMBERS = "0-9²³¹¼-¾"
-SPACES = "\t\n\r  "
+LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+SPACES = "\t\n\r \u00a0"
 #: Characters with a settled class: printable ASCII, tab, line ends, Latin-1 and
 #: Latin Extended, but for U+0130, whose lower case is two characters.
-SETTLED = re.compile("[^\t\n\r\x20-\x7e -įı-ɏ‐-‧€]")
+SETTLED = re.compile("[^\t\n\r\x20-\x7e\u00a0-\u012f\u0131-\u024f\u2010-\u2027\u20ac]")
 
 CHUNK_CHARS = 1 << 20
 
