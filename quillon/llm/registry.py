@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm import chat, decontamination, language, packing, quality, sharding, simhash, sketches, token_planes, urls
 
+from quillon.plans.staging import spread
+
 
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
@@ -20,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores even where they are one small file."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 #: (host, path, verdict)
 URL_RULES = [
     ("com", "/en/", "block"),
@@ -41,20 +48,20 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op6_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +84,7 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.classify(table(spark, sf_dir, "documents"))
+    return language.classify(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
