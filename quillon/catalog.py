@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon import oracles
 from quillon.functions import text as T
 from quillon.model import CandidatePolicy
-from quillon.operators import evaluate, freshness, graph, incremental, qualify, relations, selection, surfaces
+from quillon.operators import evaluate, explain, freshness, graph, incremental, qualify, relations, selection, surfaces
 from quillon.operators import vectors as V
 from quillon.plans.staging import stage
 from quillon.sources import records as R
@@ -833,6 +833,146 @@ def _(s, d):
     return Inputs(s, d).records.agg(F.count("*").alias("issues"), F.count_if(~closed).alias("active"), F.count_if(closed).alias("closed"))
 
 
+# --- explanation, scalars, sets -------------------------------------------------
+
+
+@query("exp2_patterns")
+def _(s, d):
+    i = Inputs(s, d)
+    rows = explain.explain(i.qualified().select("kind", "lane", "issue_id", "related_issue_id"), i.records, STOP_WORDS)
+    return rows.select("kind", "issue_id", "related_issue_id", "pattern", "objective", F.array_join("evidence_fields", ",").alias("evidence_fields"), "title_score", "description_score")
+
+
+@query("mth3_hashing_vectors")
+def _(s, d):
+    """Signed word counts in 64 buckets by md5; the digest variant that SQL can follow."""
+    words = R.table(s, d, "benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)).alias("w"))
+    value = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long")
+    sign = F.when(F.conv(F.substring(F.md5("w"), 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    return words.groupBy("item_id", (value % 64).alias("bucket")).agg(F.sum(sign).alias("value"))
+
+
+@query("mth6_identifier_score")
+def _(s, d):
+    from pyspark.sql import Window
+
+    c = R.table(s, d, "customer").select("c_custkey", F.concat_ws(" ", "c_mktsegment", F.concat(F.lit("AB-"), (F.col("c_custkey") % 20 + 10))).alias("t"))
+    ids = F.regexp_extract_all("t", F.lit(r"\b([A-Z]{2,8}-?\d{2,5})\b"), 1)
+    rows = c.select("c_custkey", F.lower("t").alias("title"), ids.alias("ids"))
+    other = rows.select((F.col("c_custkey") - 20).alias("c_custkey"), F.col("title").alias("title2"), F.col("ids").alias("ids2"))
+    score = F.when(F.col("title") == F.col("title2"), 1.0).when(F.arrays_overlap("ids", "ids2"), 0.9).otherwise(0.0)
+    return rows.join(other, "c_custkey").select("c_custkey", score.alias("score"))
+
+
+@query("mth7_batch_capacities")
+def _(s, d):
+    n, t = F.col("p_partkey"), (F.col("p_size") % 9 + 1).cast("bigint")
+    count = F.least(n, F.greatest(F.lit(1), F.floor((n + F.floor(t / 2)) / t)))
+    rows = R.table(s, d, "part").filter("p_partkey > 0").select("p_partkey", count.cast("bigint").alias("batches"))
+    return rows.withColumns({"capacity": F.floor(F.col("p_partkey") / F.col("batches")), "larger": F.col("p_partkey") % F.col("batches")})
+
+
+@query("mth8_lane_reservations")
+def _(s, d):
+    caps = CandidatePolicy().lane_caps
+    rows = [(n, *selection.lane_reservations(n, caps).values()) for n in range(1, 301)]
+    return s.createDataFrame(rows, "queue int, dependency int, echo int, overlap int")
+
+
+@query("str4_words")
+def _(s, d):
+    rows = R.table(s, d, "conversations").select("conv_id", "turn", T.word_tokens(F.col("text")).alias("w"))
+    return rows.select("conv_id", "turn", F.size("w").alias("words"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+@query("str8_plain_titles")
+def _(s, d):
+    return Inputs(s, d).records.select("id", T.plain_title(F.col("title")).alias("title"))
+
+
+@query("str16_label_types")
+def _(s, d):
+    kind = F.lower("p_type")
+    word = F.when(kind.rlike("bug|brass"), "bug").when(kind.rlike("feature|steel"), "feature").when(kind.rlike("epic|copper"), "epic").otherwise("task")
+    level = F.regexp_extract(F.concat(F.lit("priority: P"), F.col("p_size") % 7), r"[Pp]([0-4])$", 1)
+    return R.table(s, d, "part").select("p_partkey", word.alias("issue_type"), F.nullif(level, F.lit("")).cast("int").alias("priority"))
+
+
+@query("str18_mappings")
+def _(s, d):
+    text = F.concat(F.col("n_nationkey"), F.lit(" = /w/"), F.col("n_name"), F.lit("=x"))
+    parts = F.split(text, "=", 2)
+    return R.table(s, d, "nation").select(F.trim(F.element_at(parts, 1)).alias("id"), F.trim(F.element_at(parts, 2)).alias("path"))
+
+
+@query("arr4_ordered_distinct")
+def _(s, d):
+    words = F.split(F.lower("text"), "[ \n]")
+    return R.table(s, d, "benchmark").select("item_id", F.array_join(F.array_distinct(words), " ").alias("words"))
+
+
+@query("agg16_pair_quality")
+def _(s, d):
+    i = Inputs(s, d)
+    partners = i.edges.filter("relationship_type = 'blocks'").groupBy(F.col("source_id").alias("left_id")).agg(F.min("target_id").alias("right_id"))
+    few = i.vectors.join(partners.select(F.col("left_id").alias("id")), "id", "left_semi")
+    known = partners.join(i.vectors.select(F.col("id").alias("right_id")), "right_id", "left_semi")
+    return evaluate.pair_quality(V.top_ranks(few, i.vectors, 1 << 30), known)
+
+
+@query("agg17_medians")
+def _(s, d):
+    return R.table(s, d, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"))
+
+
+@query("set3_shared_modules")
+def _(s, d):
+    found = surfaces.surfaces(_pointers(s, d)).filter("kind = 'module'")
+    by = found.groupBy("issue_id").agg(F.array_sort(F.collect_set("surface")).alias("m"))
+    other = by.select((F.col("issue_id") - 1).alias("issue_id"), F.col("m").alias("n"))
+    return by.join(other, "issue_id").select("issue_id", F.array_join(F.array_intersect("m", "n"), ",").alias("shared"))
+
+
+@query("set5_additions")
+def _(s, d):
+    i = Inputs(s, d)
+    keys = ["kind", "issue_id", "related_issue_id"]
+    loose = CandidatePolicy(echo_threshold=0.32, overlap_threshold=0.36)
+    rows = i.qualified(loose)
+    return rows.join(i.qualified().select(*keys), keys, "left_anti").groupBy("kind", "lane").agg(F.count("*").alias("candidates"))
+
+
+@query("srt9_queue_receipt")
+def _(s, d):
+    rows = Inputs(s, d).pairs(0.34)
+    n = rows.agg(F.count("*").alias("available"))
+    return n.select("available", F.least("available", F.lit(20)).alias("queued"), F.when(F.col("available") > 20, "budget-reached").otherwise("source-exhausted").alias("reason"))
+
+
+@query("srt11_hub_sample")
+def _(s, d):
+    found = surfaces.surfaces(_pointers(s, d))
+    hub = found.join(surfaces.hubs(found, HUB_LIMIT).select("kind", "surface"), ["kind", "surface"], "left_semi").filter("kind = 'path' AND NOT observed")
+    first = hub.groupBy("surface").agg(F.slice(F.array_sort(F.collect_set("issue_id")), 1, 2).alias("ids"))
+    return first.select("surface", F.element_at("ids", 1).alias("issue_id"), F.try_element_at("ids", F.lit(2)).alias("related_issue_id")).orderBy("issue_id", "surface").limit(10)
+
+
+@query("src7_team_lookup")
+def _(s, d):
+    """The one row whose name equals the asked one in any case."""
+    n = R.table(s, d, "nation")
+    wanted = n.filter("n_nationkey = 3").select(F.lower("n_name").alias("wanted"))
+    return n.join(F.broadcast(wanted), F.lower("n_name") == F.col("wanted")).select("n_nationkey", "n_name")
+
+
+@query("src16_judgments")
+def _(s, d):
+    j = _judged(s, d)
+    known = Inputs(s, d).records.select("id")
+    lost = j.select(F.explode(F.array("left_id", "right_id")).alias("id")).join(known, "id", "left_anti")
+    return j.groupBy("rating").agg(F.count("*").alias("pairs")).crossJoin(lost.agg(F.count("*").alias("missing_endpoints")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

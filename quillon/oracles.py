@@ -309,6 +309,27 @@ def queries() -> dict[str, str]:
     out["agg12_relation_accounting"] = edged + f" SELECT count(*) AS raw, count(*) FILTER (n = 1) AS omitted_boundary, count(*) FILTER (n = 0) AS unrelated, (SELECT count(*) FROM {canonical.format(inside)} WHERE k = 1) AS retained, (SELECT sum(collapsed)::bigint FROM {canonical.format(inside)} WHERE k = 1) AS collapsed, 0::bigint AS unaccounted FROM (SELECT {touch} AS n FROM typed)"
     out["win6_bounded_neighbours"] = edged + f", c AS (SELECT source_id, target_id, relationship_type FROM edges UNION SELECT id, parent_id, 'parent-child' FROM records WHERE parent_id IS NOT NULL), b AS (SELECT source_id AS id, 'outgoing' AS direction, target_id AS other, relationship_type FROM c UNION ALL SELECT target_id, 'incoming', source_id, relationship_type FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY id, direction ORDER BY (other NOT IN (SELECT id FROM active))::int, {order}, relationship_type, other) AS place, count(*) OVER (PARTITION BY id, direction) AS n FROM b) SELECT id, direction, other, relationship_type, place::int AS place, n - least(n, 4) AS omitted FROM k WHERE place <= 4"
     out["flt6_paths"] = _path_sql()
+    own = ", ".join(f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda t: length(t) >= 3 AND NOT list_contains({_list(STOPS)}, t))) AS {c}" for c in ("title", "description", "acceptance_criteria"))
+    dice = "(CASE WHEN len(a.{c}) = 0 OR len(b.{c}) = 0 THEN 0.0::double ELSE round(2.0::double * len(list_intersect(a.{c}, b.{c})) / (len(a.{c}) + len(b.{c})), 3) END)"
+    t, ds, ac = (dice.format(c=c) for c in ("title", "description", "acceptance_criteria"))
+    out["exp2_patterns"] = qualified + f", own AS (SELECT id, parent_id, {own} FROM records), s AS (SELECT q.kind, q.lane, q.issue_id, q.related_issue_id, {t} AS t, {ds} AS d, {ac} AS a, coalesce(a.parent_id = q.related_issue_id OR b.parent_id = q.issue_id, false) AS fam FROM qualified q JOIN own a ON a.id = q.issue_id JOIN own b ON b.id = q.related_issue_id), f AS (SELECT kind, issue_id, related_issue_id, string_agg(name, ',' ORDER BY v DESC, k) AS names FROM (SELECT kind, issue_id, related_issue_id, 'title' AS name, t AS v, 0 AS k FROM s UNION ALL SELECT kind, issue_id, related_issue_id, 'acceptance criteria', a, 1 FROM s UNION ALL SELECT kind, issue_id, related_issue_id, 'description', d, 2 FROM s) WHERE v > 0 GROUP BY ALL) SELECT s.kind, s.issue_id, s.related_issue_id, CASE WHEN fam THEN 'parent-child' WHEN s.kind = 'completed-work-echo' THEN 'completed-work' WHEN t >= 0.5 AND a >= 0.35 THEN 'same-outcome' WHEN d >= 0.25 THEN 'shared-subsystem' WHEN greatest(t, d, a) > 0 THEN 'vocabulary-only' ELSE 'semantic-only' END AS pattern, CASE WHEN lane = 'dependency' THEN 'structure' ELSE lane END AS objective, coalesce(names, '') AS evidence_fields, t AS title_score, d AS description_score FROM s LEFT JOIN f USING (kind, issue_id, related_issue_id)"
+    out["mth3_hashing_vectors"] = "SELECT item_id, ('0x' || substr(md5(w), 1, 8))::bigint % 64 AS bucket, sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::int % 2 = 0 THEN 1 ELSE -1 END)::bigint AS value FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark) GROUP BY ALL"
+    out["mth6_identifier_score"] = r"WITH t AS (SELECT c_custkey, c_mktsegment || ' AB-' || (c_custkey % 20 + 10) AS t FROM customer) SELECT a.c_custkey, CASE WHEN lower(a.t) = lower(b.t) THEN 1.0::double WHEN list_has_any(regexp_extract_all(a.t, '\b[A-Z]{2,8}-?\d{2,5}\b'), regexp_extract_all(b.t, '\b[A-Z]{2,8}-?\d{2,5}\b')) THEN 0.9 ELSE 0 END AS score FROM t a JOIN t b ON b.c_custkey = a.c_custkey + 20"
+    out["mth7_batch_capacities"] = "WITH b AS (SELECT p_partkey, least(p_partkey, greatest(1, (p_partkey + (p_size % 9 + 1) // 2) // (p_size % 9 + 1)))::bigint AS batches FROM part WHERE p_partkey > 0) SELECT p_partkey, batches, p_partkey // batches AS capacity, p_partkey % batches AS larger FROM b"
+    out["mth8_lane_reservations"] = "SELECT n::int AS queue, least(CASE n WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE n - 2 * greatest(1, n // 5) END, 75)::int AS dependency, least(CASE WHEN n <= 2 THEN 0 ELSE greatest(1, n // 5) END, 125)::int AS echo, least(CASE WHEN n <= 2 THEN 1 ELSE greatest(1, n // 5) END, 125)::int AS overlap FROM range(1, 301) t(n)"
+    out["str4_words"] = r"WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_''-]+') AS w FROM conversations) SELECT conv_id, turn, greatest(len(w), 1)::int AS words, md5(array_to_string(w, ' ')) AS digest FROM w"
+    out["str8_plain_titles"] = base + r" SELECT id, array_to_string(regexp_extract_all(lower(title), '[\p{L}\p{M}\p{N}]+'), ' ') AS title FROM records"
+    out["str16_label_types"] = "SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), 'bug|brass') THEN 'bug' WHEN regexp_matches(lower(p_type), 'feature|steel') THEN 'feature' WHEN regexp_matches(lower(p_type), 'epic|copper') THEN 'epic' ELSE 'task' END AS issue_type, CASE WHEN p_size % 7 <= 4 THEN (p_size % 7)::int END AS priority FROM part"
+    out["str18_mappings"] = "SELECT n_nationkey::varchar AS id, '/w/' || n_name || '=x' AS path FROM nation"
+    out["agg16_pair_quality"] = full + f", p AS (SELECT source_id AS left_id, min(target_id) AS right_id FROM edges WHERE relationship_type = 'blocks' GROUP BY 1), k AS (SELECT left_id, right_id, max(list_dot_product(a.v, b.v)) FILTER (b.id = right_id) AS own, max(list_dot_product(a.v, b.v)) FILTER (b.id <> right_id) AS other FROM p JOIN vec a ON a.id = left_id JOIN vec b ON b.id <> left_id WHERE right_id IN (SELECT id FROM vec) GROUP BY ALL) SELECT round(avg((own > other)::int), 6) AS recall_at_1, round(median(own - other), 6) AS median_margin FROM k"
+    out["agg17_medians"] = "SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY event_type"
+    out["set3_shared_modules"] = f"WITH {_PTR}, m AS (SELECT issue_id, list_sort(list(DISTINCT module)) AS m FROM pointers GROUP BY 1) SELECT a.issue_id, array_to_string(list_filter(a.m, lambda x: list_contains(b.m, x)), ',') AS shared FROM m a JOIN m b ON b.issue_id = a.issue_id + 1"
+    out["set5_additions"] = f"SELECT kind, lane, count(*) AS candidates FROM (WITH {_qualified(0.32, 0.36)} SELECT kind, lane, issue_id, related_issue_id FROM qualified) WHERE (kind, issue_id, related_issue_id) NOT IN ({qualified} SELECT (kind, issue_id, related_issue_id) FROM qualified) GROUP BY ALL"
+    out["srt9_queue_receipt"] = vec + f" SELECT count(*) AS available, least(count(*), 20) AS queued, CASE WHEN count(*) > 20 THEN 'budget-reached' ELSE 'source-exhausted' END AS reason FROM ({_upper('avec', 0.34)})"
+    out["srt11_hub_sample"] = f"WITH {_PTR}, f AS (SELECT surface, list_sort(list(DISTINCT issue_id)) AS ids FROM surf WHERE kind = 'path' AND NOT observed AND (kind, surface) IN (SELECT (kind, surface) FROM hub) GROUP BY 1) SELECT surface, ids[1] AS issue_id, ids[2] AS related_issue_id FROM f ORDER BY 2, 1 LIMIT 10"
+    out["src7_team_lookup"] = "SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) = (SELECT lower(n_name) FROM nation WHERE n_nationkey = 3)"
+    out["src16_judgments"] = vec + f", {_JUDGED} SELECT rating, count(*) AS pairs, (SELECT count(*) FROM judged WHERE left_id NOT IN (SELECT id FROM records) OR right_id NOT IN (SELECT id FROM records)) AS missing_endpoints FROM judged GROUP BY rating"
+    out["val1_validation"] = "SELECT * FROM (VALUES ('batch-too-large', 0::bigint), ('record-in-two-batches', 0), ('candidate-without-packaged-endpoint', 0)) t(code, violations)"
     return out
 
 
