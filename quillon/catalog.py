@@ -478,6 +478,10 @@ def _decisions(s, d, policy: CandidatePolicy):
 TIGHT = CandidatePolicy(echo_threshold=0.3, overlap_threshold=0.3, max_total=60, max_per_issue=2, lane_reservations={"dependency": 10, "echo": 20, "overlap": 20})
 
 
+#: Many echoes of few targets, so that target caps and backfills occur.
+ECHOES = CandidatePolicy(echo_threshold=0.2, overlap_threshold=0.9, max_echoes=250, max_per_issue=10, max_echoes_per_target=1, max_echo_alternatives_per_active=5)
+
+
 @query("sel1_selection")
 def _(s, d):
     return _decisions(s, d, POLICY)[1]
@@ -498,7 +502,7 @@ def _(s, d):
 
 @query("sel4_backfills")
 def _(s, d):
-    return _decisions(s, d, TIGHT)[1].filter("backfill_for > 0").select("issue_id", "related_issue_id", "backfill_for")
+    return _decisions(s, d, ECHOES)[1].filter("backfill_for > 0").select("issue_id", "related_issue_id", "backfill_for")
 
 
 @query("sel5_capped_dependencies")
@@ -514,7 +518,7 @@ def _(s, d):
 
 @query("agg9_echo_hubs")
 def _(s, d):
-    return selection.echo_hubs(_decisions(s, d, TIGHT)[1])
+    return selection.echo_hubs(_decisions(s, d, ECHOES)[1])
 
 
 @query("agg10_admission_reasons")
