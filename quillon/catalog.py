@@ -977,6 +977,75 @@ def _(s, d):
     return j.groupBy("rating").agg(F.count("*").alias("pairs")).crossJoin(lost.agg(F.count("*").alias("missing_endpoints")))
 
 
+@query("src10_worktrees")
+def _(s, d):
+    n = F.col("n_nationkey")
+    branch = F.when(n % 4 == 0, F.lit("detached")).otherwise(F.concat(F.lit("branch refs/heads/fix-"), n))
+    blocks = R.table(s, d, "nation").select(F.concat(F.lit("worktree /w/"), F.lower("n_name"), F.lit("\nHEAD h"), n, F.lit("\n"), branch).alias("value"))
+    return surfaces.worktrees(blocks)
+
+
+@query("src14_cache_read")
+def _(s, d):
+    """Cached vectors that are of the wanted size and usable; anything else is a miss."""
+    cache = R.table(s, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 10 == 0, F.slice("embedding", 1, 8)).when(F.col("vec_id") % 11 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")).alias("v"))
+    fine = (F.size("v") == 64) & V.normalize(F.col("v")).isNotNull()
+    return cache.groupBy(fine.alias("hit")).agg(F.count("*").alias("vectors"))
+
+
+@query("jon13_batch_evidence")
+def _(s, d):
+    """For each batch of ids, the candidate pairs that touch one of its members."""
+    i = Inputs(s, d)
+    members = i.active.select("id", F.floor(F.col("n") / 100).alias("batch"))
+    pairs = i.pairs(0.3).select("left_id", "right_id")
+    ends = pairs.select("left_id", "right_id", F.explode(F.array("left_id", "right_id")).alias("id"))
+    return ends.join(members, "id").select("batch", "left_id", "right_id").distinct().groupBy("batch").agg(F.count("*").alias("pairs"))
+
+
+@query("set6_displaced")
+def _(s, d):
+    """Identities that looser thresholds bring in, push out, or leave in the queue."""
+    keys = ["kind", "issue_id", "related_issue_id"]
+    strict = _decisions(s, d, POLICY)[1].filter("decision = 'admitted'").select(*keys, F.lit(1).alias("a"))
+    loose = _decisions(s, d, TIGHT)[1].filter("decision = 'admitted'").select(*keys, F.lit(1).alias("b"))
+    change = F.when(F.col("a").isNull(), "introduced").when(F.col("b").isNull(), "displaced").otherwise("kept")
+    return strict.join(loose, keys, "full").select(*keys, change.alias("change"))
+
+
+@query("set9_warnings")
+def _(s, d):
+    c = R.table(s, d, "conversations")
+    a = F.collect_set(F.when(F.col("turn") < 2, F.col("role")))
+    b = F.collect_set(F.when(F.col("turn") >= 2, F.col("role")))
+    return c.groupBy("conv_id").agg(F.array_join(F.array_sort(F.array_union(a, b)), ",").alias("roles"))
+
+
+@query("prj4_state_mapping")
+def _(s, d):
+    state = F.col("o_orderstatus")
+    status = F.when(state == "F", "closed").when(state == "P", "in_progress").when(state == "O", "open").otherwise(F.raise_error(F.concat(F.lit("unknown state "), state)))
+    rank = F.substring("o_orderpriority", 1, 1).cast("int")
+    return R.table(s, d, "orders").groupBy(status.alias("status"), F.when(rank.between(0, 4), rank).alias("priority")).agg(F.count("*").alias("records"))
+
+
+@query("srt10_bounded_evidence")
+def _(s, d):
+    found = surfaces.surfaces(_pointers(s, d)).filter("kind = 'path'")
+    return found.groupBy("issue_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("surface")), 1, 3), ",").alias("paths"))
+
+
+@query("arr5_connections")
+def _(s, d):
+    """Nested pages of nodes, packed to JSON and taken apart again."""
+    c = R.table(s, d, "conversations")
+    node = F.struct(F.col("turn").alias("id"), F.struct(F.col("role").alias("name")).alias("state"))
+    page = F.to_json(F.struct(F.struct(F.array_sort(F.collect_list(node)).alias("nodes")).alias("issues")))
+    kind = "struct<issues:struct<nodes:array<struct<id:bigint,state:struct<name:string>>>>>"
+    rows = c.groupBy("conv_id").agg(page.alias("p")).select("conv_id", F.explode(F.from_json("p", kind)["issues"]["nodes"]).alias("n"))
+    return rows.select("conv_id", "n.id", "n.state.name")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -309,6 +309,13 @@ def queries() -> dict[str, str]:
     out["agg12_relation_accounting"] = edged + f" SELECT count(*) AS raw, count(*) FILTER (n = 1) AS omitted_boundary, count(*) FILTER (n = 0) AS unrelated, (SELECT count(*) FROM {canonical.format(inside)} WHERE k = 1) AS retained, (SELECT sum(collapsed)::bigint FROM {canonical.format(inside)} WHERE k = 1) AS collapsed, 0::bigint AS unaccounted FROM (SELECT {touch} AS n FROM typed)"
     out["win6_bounded_neighbours"] = edged + f", c AS (SELECT source_id, target_id, relationship_type FROM edges UNION SELECT id, parent_id, 'parent-child' FROM records WHERE parent_id IS NOT NULL), b AS (SELECT source_id AS id, 'outgoing' AS direction, target_id AS other, relationship_type FROM c UNION ALL SELECT target_id, 'incoming', source_id, relationship_type FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY id, direction ORDER BY (other NOT IN (SELECT id FROM active))::int, {order}, relationship_type, other) AS place, count(*) OVER (PARTITION BY id, direction) AS n FROM b) SELECT id, direction, other, relationship_type, place::int AS place, n - least(n, 4) AS omitted FROM k WHERE place <= 4"
     out["flt6_paths"] = _path_sql()
+    out["src10_worktrees"] = "SELECT '/w/' || lower(n_name) AS path, 'h' || n_nationkey AS head, CASE WHEN n_nationkey % 4 <> 0 THEN 'fix-' || n_nationkey END AS branch FROM nation"
+    out["src14_cache_read"] = "SELECT NOT (vec_id % 10 = 0 OR vec_id % 11 = 0) AS hit, count(*) AS vectors FROM embeddings GROUP BY 1"
+    out["jon13_batch_evidence"] = vec + f", p AS ({_upper('avec', 0.3)}) SELECT n // 100 AS batch, count(DISTINCT left_id || right_id) AS pairs FROM p JOIN active ON id IN (left_id, right_id) GROUP BY 1"
+    out["set9_warnings"] = "SELECT conv_id, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM conversations GROUP BY conv_id"
+    out["prj4_state_mapping"] = "SELECT CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'P' THEN 'in_progress' ELSE 'open' END AS status, CASE WHEN left(o_orderpriority, 1)::int <= 4 THEN left(o_orderpriority, 1)::int END AS priority, count(*) AS records FROM orders GROUP BY ALL"
+    out["srt10_bounded_evidence"] = f"WITH {_PTR} SELECT issue_id, array_to_string(list_sort(list(DISTINCT path))[:3], ',') AS paths FROM pointers GROUP BY issue_id"
+    out["arr5_connections"] = "SELECT conv_id, turn AS id, role AS name FROM conversations"
     own = ", ".join(f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda t: length(t) >= 3 AND NOT list_contains({_list(STOPS)}, t))) AS {c}" for c in ("title", "description", "acceptance_criteria"))
     dice = "(CASE WHEN len(a.{c}) = 0 OR len(b.{c}) = 0 THEN 0.0::double ELSE round(2.0::double * len(list_intersect(a.{c}, b.{c})) / (len(a.{c}) + len(b.{c})), 3) END)"
     t, ds, ac = (dice.format(c=c) for c in ("title", "description", "acceptance_criteria"))
