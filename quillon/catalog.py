@@ -843,7 +843,7 @@ def _(s, d):
 @query("exp2_patterns")
 def _(s, d):
     i = Inputs(s, d)
-    rows = explain.explain(i.qualified().select("kind", "lane", "issue_id", "related_issue_id"), i.records, STOP_WORDS)
+    rows = explain.explain(i.qualified().select("kind", "lane", "issue_id", "related_issue_id", "similarity", "structural_context"), i.records, STOP_WORDS)
     return rows.select("kind", "issue_id", "related_issue_id", "pattern", "objective", F.array_join("evidence_fields", ",").alias("evidence_fields"), "title_score", "description_score")
 
 
@@ -1047,8 +1047,12 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from quillon import catalog_review
+
+    return {**_QUERIES, **catalog_review.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.queries()
+    from quillon import catalog_review
+
+    return {**oracles.queries(), **catalog_review.oracle_sql()}

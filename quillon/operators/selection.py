@@ -7,7 +7,9 @@ size the thresholds bound; pair generation and qualification stay distributed.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -150,3 +152,180 @@ def capped_dependencies(decisions: DataFrame, candidates: DataFrame) -> DataFram
     dropped = decisions.filter("drop_reason IN ('lane-cap', 'run-cap', 'dependency-per-issue-cap')").select("kind", "issue_id", "related_issue_id", "drop_reason")
     rows = candidates.filter("evidence_type IS NOT NULL").join(dropped, ["kind", "issue_id", "related_issue_id"])
     return rows.select("evidence_source", "evidence_target", "evidence_type", "drop_reason")
+
+
+class ConservationError(ValueError):
+    """The dependency funnel lost or made relations; carries counts, never content."""
+
+
+def with_degradation(run: Callable[[CandidatePolicy], DataFrame], policy: CandidatePolicy) -> tuple[DataFrame, dict | None]:
+    """The run, or where its dependency accounts do not balance the run without that lane and a receipt."""
+    try:
+        return run(policy), None
+    except ConservationError as error:
+        wanted = (policy.objectives or frozenset({"overlap", "echo", "structure"})) - {"structure"}
+        kept = [lane for lane in ("echo", "overlap") if lane in wanted]
+        if not kept:
+            raise
+        return run(replace(policy, objectives=wanted, lane_reservations=None)), {"lane": "dependency", "stage": str(error), "retained_lanes": kept}
+
+
+@dataclass(frozen=True, order=True)
+class Chosen:
+    """A candidate of a bounded queue, for comparing two queues on the driver."""
+
+    kind: str
+    issue_id: str
+    related_issue_id: str
+    lane: str = field(default="", compare=False)
+
+    @property
+    def resources(self) -> set[str]:
+        """Keys of everything that the candidate could share with another."""
+        echo = {f"target:{self.related_issue_id}", f"one:{self.issue_id}"} if self.kind == ECHO else set()
+        return {f"{self.budget}:{end}" for end in self.ends} | echo | {f"lane:{self.lane}", "run"}
+
+    @property
+    def name(self) -> str:
+        return f"{self.kind}|{self.issue_id}|{self.related_issue_id}"
+
+    @property
+    def ends(self) -> frozenset[str]:
+        return frozenset((self.issue_id, self.related_issue_id))
+
+    @property
+    def budget(self) -> str:
+        return "dependency" if self.lane == "dependency" else "semantic"
+
+
+class Usage:
+    """How much of each cap a queue has used."""
+
+    def __init__(self, queue: list[Chosen], policy: CandidatePolicy) -> None:
+        self.policy, self.total = policy, len(queue)
+        self.lanes = Counter(c.lane for c in queue)
+        self.ends = Counter((c.budget, end) for c in queue for end in c.ends)
+        self.targets = Counter(c.related_issue_id for c in queue if c.kind == ECHO)
+
+    def end_is_full(self, c: Chosen, end: str) -> bool:
+        cap = self.policy.max_dependencies_per_issue if c.budget == "dependency" else self.policy.max_per_issue
+        return self.ends[c.budget, end] >= cap
+
+    def lane_is_full(self, lane: str) -> bool:
+        return self.lanes[lane] >= self.policy.lane_caps[lane]
+
+    def governing(self, new: Chosen, displaced: list[Chosen]) -> str | None:
+        """The cap that kept ``new`` out of the queue that this is the usage of."""
+        echoes = [d for d in displaced if d.kind == ECHO] if new.kind == ECHO else []
+        if any(d.related_issue_id == new.related_issue_id for d in echoes):
+            return "max-echoes-per-target"
+        if any(d.issue_id == new.issue_id for d in echoes):
+            return "one-echo-per-active-record"
+        if any(self.end_is_full(new, end) for end in new.ends):
+            return "max-dependencies-per-issue" if new.budget == "dependency" else "max-candidates-per-issue"
+        if self.lane_is_full(new.lane):
+            return f"lane-cap:{new.lane}"
+        return "run-cap" if self.total >= self.policy.max_total else None
+
+    def shared(self, a: Chosen, b: Chosen) -> str | None:
+        """A used-up resource that both draw on."""
+        if a.budget == b.budget:
+            for end in sorted(a.ends & b.ends):
+                if self.end_is_full(a, end):
+                    return f"{a.budget}-issue:{end}"
+        if a.kind == b.kind == ECHO:
+            if a.related_issue_id == b.related_issue_id and self.targets[a.related_issue_id] >= self.policy.max_echoes_per_target:
+                return f"echo-target:{a.related_issue_id}"
+            if a.issue_id == b.issue_id:
+                return f"one-echo:{a.issue_id}"
+        if a.lane == b.lane and self.lane_is_full(a.lane):
+            return f"lane:{a.lane}"
+        return "run" if self.total >= self.policy.max_total else None
+
+
+def _chain(new: Chosen, nodes: list[Chosen], removed: list[Chosen], displaced: set[Chosen], introduced: set[Chosen], usage: Usage, cap: str) -> list[dict[str, str]]:
+    """Shortest way over shared resources from a lost qualification to the admission."""
+    goals, came, waiting = set(removed), {new: None}, deque([new])
+    end = new if new in goals else None
+    while waiting and end is None:
+        here = waiting.popleft()
+        for node in nodes:
+            if node in came:
+                continue
+            resource = usage.shared(here, node)
+            if resource is None:
+                continue
+            came[node] = (here, resource)
+            if node in goals:
+                end = node
+                break
+            waiting.append(node)
+    if end is None:
+        lost = min(removed, key=lambda c: c.name)
+        return [{"candidate_id": c.name, "event": e, "resource": f"governing-cap:{cap}"} for c, e in ((lost, "qualification-removed"), (new, "selection-admitted"))]
+    out, node, resource = [], end, f"governing-cap:{cap}"
+    while node is not None:
+        link = came[node]
+        resource = link[1] if link else resource
+        event = "qualification-removed" if not out else "selection-admitted" if node in introduced else "selection-displaced" if node in displaced else "selection-transition"
+        out.append({"candidate_id": node.name, "event": event, "resource": resource})
+        node = link[0] if link else None
+    return out
+
+
+def cap_replacements(reference: list[Chosen], strict: list[Chosen], reference_qualified: list[Chosen], strict_qualified: list[Chosen], policy: CandidatePolicy) -> list[dict]:
+    """Admissions that stricter thresholds bring in, each with its cap, what it displaced and why.
+
+    Of the qualified ones only those that the stricter thresholds remove matter.
+    """
+    introduced, displaced = sorted(set(strict) - set(reference)), sorted(set(reference) - set(strict))
+    removed = sorted(set(reference_qualified) - set(strict_qualified))
+    usage = Usage(reference, policy)
+    nodes, out = sorted({*removed, *displaced, *introduced}), []
+    for new in introduced:
+        cap = usage.governing(new, displaced)
+        if cap is None:
+            continue
+        if not removed:
+            raise ValueError("a replacement without a lost qualification")
+        wide = cap in ("run-cap", f"lane-cap:{new.lane}")
+        touched = [
+            d.name
+            for d in displaced
+            if (cap == "max-candidates-per-issue" and d.budget == "semantic" and new.ends & d.ends) or (d.lane == new.lane and (wide or new.ends & d.ends))
+        ]
+        chain = _chain(new, nodes, removed, set(displaced), set(introduced), usage, cap)
+        out.append({"candidate_id": new.name, "governing_cap": cap, "displaced": sorted(touched), "causal_chain": chain})
+    return sorted(out, key=lambda d: d["candidate_id"])
+
+
+REPLACEMENTS = "candidate_id string, governing_cap string, displaced array<string>, causal_chain array<struct<candidate_id:string,event:string,resource:string>>"
+
+
+def _nearest_lost(lost: DataFrame, queue: list[Chosen]) -> list[Chosen]:
+    """Of the lost qualifications the first for each resource that the queues touch.
+
+    A chain ends at the first lost one that shares a resource with its last link,
+    so no other can occur in it; what comes to the driver is bounded by the queues.
+    """
+    spark, echo = lost.sparkSession, F.col("kind") == ECHO
+    budget = F.when(F.col("lane") == "dependency", "dependency:").otherwise("semantic:")
+    keys = F.array(
+        F.concat(budget, "issue_id"), F.concat(budget, "related_issue_id"), F.when(echo, F.concat(F.lit("target:"), "related_issue_id")),
+        F.when(echo, F.concat(F.lit("one:"), "issue_id")), F.concat(F.lit("lane:"), "lane"), F.lit("run"),
+    )
+    touched = spark.createDataFrame([(k,) for k in sorted({"run"}.union(*(c.resources for c in queue)))], "key string")
+    row = F.struct("kind", "issue_id", "related_issue_id", "lane")
+    near = lost.select(row.alias("c"), F.explode(keys).alias("key")).join(F.broadcast(touched), "key", "left_semi").groupBy("key").agg(F.min("c").alias("c"))
+    first = lost.agg(F.min(F.struct(F.concat_ws("|", "kind", "issue_id", "related_issue_id").alias("name"), row.alias("c"))).alias("m")).select(F.col("m.c").alias("c"))
+    return [Chosen(*r.c) for r in near.select("c").unionByName(first).collect() if r.c is not None]
+
+
+def replacements(reference: DataFrame, strict: DataFrame, policy: CandidatePolicy) -> DataFrame:
+    """``cap_replacements`` of two tables of decisions, in which each qualified candidate has one."""
+    keys = ["kind", "issue_id", "related_issue_id"]
+    admitted = lambda rows: [Chosen(*r) for r in rows.filter("decision = 'admitted'").select(*keys, "lane").distinct().collect()]
+    before, after = admitted(reference), admitted(strict)
+    lost = reference.select(*keys, "lane").join(strict.select(*keys), keys, "left_anti")
+    rows = cap_replacements(before, after, _nearest_lost(lost, before + after), [], policy)
+    return reference.sparkSession.createDataFrame([tuple(r.values()) for r in rows], REPLACEMENTS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,3 +170,70 @@ def worktrees(blocks: DataFrame) -> DataFrame:
     take = lambda key: F.nullif(F.regexp_extract("value", rf"(?m)^{key} (.*)$", 1), F.lit(""))
     rows = blocks.select(take("worktree").alias("path"), take("HEAD").alias("head"), F.regexp_replace(take("branch"), "^refs/heads/", "").alias("branch"))
     return rows.filter("path IS NOT NULL")
+
+
+def associate_worktrees(issues: DataFrame, trees: DataFrame, named: DataFrame) -> DataFrame:
+    """``issue_id, path``: which worktree (path, branch) shows an issue's observed changes.
+
+    ``named (issue_id, path)`` comes first. Else a branch that holds an issue's id
+    between separators, or ``bead-N`` for the only issue whose id ends in ``.N``,
+    belongs to it if no other issue without a worktree fits the branch. Branches
+    are cut at their separators and the spans joined with ids, so no issue meets
+    every branch. Only the fits, of which a branch has a few, are taken in turn,
+    by path, since each decides what the next may have.
+    """
+    ids = issues.select("issue_id", F.lower("issue_id").alias("key"), F.nullif(F.regexp_extract("issue_id", r"\.(\d+)$", 1), F.lit("")).alias("suffix"))
+    ids = ids.withColumn("alike", F.count("suffix").over(Window.partitionBy("suffix")))
+    first = named.join(issues.select("issue_id"), "issue_id", "left_semi").join(trees.select("path"), "path", "left_semi").select("issue_id", "path")
+    free = trees.join(first.select("path"), "path", "left_anti").select("path", F.lower(F.coalesce("branch", F.lit(""))).alias("b"))
+    open_ids = ids.join(first.select("issue_id"), "issue_id", "left_anti")
+    parts = F.regexp_extract_all("b", F.lit(r"([^/_-]+|[/_-])"), 1)
+    spans = free.select("path", "b", parts.alias("parts")).withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.size("parts"), F.lit(1)))))
+    spans = spans.withColumn("j", F.explode(F.sequence(F.col("i"), F.greatest(F.size("parts"), F.col("i")))))
+    edge = lambda k: F.coalesce(F.get("parts", k).isin("/", "_", "-"), F.lit(True))
+    spans = spans.filter(edge(F.col("i") - 2) & edge(F.col("j"))).select("path", F.array_join(F.slice("parts", F.col("i"), F.col("j") - F.col("i") + 1), "").alias("key"))
+    full = spans.join(open_ids.select("issue_id", "key"), "key").select("issue_id", "path")
+    numbers = free.select("path", F.explode(F.regexp_extract_all("b", F.lit(r"(?:^|[/_.-])bead[-_](\d+)(?=$|[/_.-])"), 1)).alias("suffix"))
+    short = numbers.join(open_ids.filter("alike = 1").select("issue_id", "suffix"), "suffix").select("issue_id", "path")
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        given: dict[str, str] = {}
+        for path, group in pdf.sort_values(["path", "issue_id"]).groupby("path", sort=True):
+            left = [i for i in group["issue_id"] if i not in given]
+            if len(left) == 1:
+                given[left[0]] = path
+        return pd.DataFrame({"issue_id": list(given), "path": list(given.values())}, dtype=object)
+
+    fits = full.withColumn("issue_id", F.col("issue_id").cast("string")).unionByName(short).distinct()
+    return first.unionByName(fits.groupBy().applyInPandas(take, "issue_id string, path string"))
+
+
+def path_presence(pointers: DataFrame, listing: DataFrame | None) -> DataFrame:
+    """``path_presence`` of each pointer by the repository's file list; unavailable without one."""
+    if listing is None:
+        return pointers.withColumn("path_presence", F.lit("unavailable"))
+    folders = listing.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))).alias("bare"))
+    known = folders.distinct().withColumn("here", F.lit(True))
+    rows = pointers.withColumn("bare", F.regexp_replace("path", "/+$", "")).join(known, "bare", "left")
+    return rows.withColumn("path_presence", F.when(F.col("here"), "existing").otherwise("missing")).drop("bare", "here")
+
+
+def in_code_fence(text: Column, position: Column) -> Column:
+    """``code-fence`` where an odd number of fence lines starts before a position (from 0)."""
+    fences = F.regexp_count(F.substring(text, F.lit(1), position), F.lit(r"(?m)^[ \t]*(?:```|~~~)"))
+    return F.when(fences % 2 == 1, "code-fence").otherwise("prose")
+
+
+def repository_context(invoked: tuple[str, str] | None, tracker: tuple[str, str] | None, asked: bool = True) -> tuple[str | None, str, str | None]:
+    """(root, where it comes from, warning) of the roots and shared folders of two worktrees.
+
+    The invoking worktree wins if it belongs to the tracker's repository.
+    """
+    if not asked or invoked is None:
+        if tracker is None:
+            return None, "unavailable", None
+        return tracker[0], "tracker-workspace", "not invoked in a worktree; the tracker's is used" if asked else None
+    if tracker is None:
+        return invoked[0], "invocation-worktree", "the tracker is in no repository; the invoking worktree is used"
+    if invoked[0] == tracker[0] or invoked[1] == tracker[1]:
+        return invoked[0], "invocation-worktree", None
+    return tracker[0], "tracker-workspace", "the invoking repository is not the tracker's; the tracker's is used"

@@ -153,3 +153,32 @@ def multi_view_pairs(views: DataFrame, threshold: float) -> DataFrame:
         own = pairs_above(views.filter(F.col("channel") == channel).select("id", "v"), None, threshold)
         out = own if out is None else out.unionByName(own)
     return out.groupBy("left_id", "right_id").agg(F.max("score").alias("score"))
+
+
+def pair_ranks(pairs: DataFrame, vectors: DataFrame, pool: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """``query_id, target_id, score, rank``: where each target stands in the query's ranking of ``pool``.
+
+    A rank is one more than the members that come before the target, by (score
+    down, id), the query itself left out; the target need not be in the pool. Each
+    block yields one count for a pair, so the full rankings are never made.
+    """
+    own = vectors.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    other = vectors.select(F.col("id").alias("target_id"), F.col("v").alias("tv"))
+    asked = pairs.select("query_id", "target_id").distinct().join(own, "query_id").join(other, "target_id")
+    asked = asked.select(F.concat_ws("\x1f", "query_id", "target_id").alias("id"), F.concat("qv", "tv").alias("v"))
+
+    def work(keys, both, pi, pv) -> pd.DataFrame:
+        if not len(keys) or not len(pi):
+            return pd.DataFrame({"key": [], "score": [], "ahead": []})
+        width = both.shape[1] // 2
+        ends = np.array([k.split("\x1f") for k in keys], object)
+        score = np.clip(np.einsum("ij,ij->i", both[:, :width], both[:, width:]), -1.0, 1.0)
+        gap = np.round(np.clip(both[:, :width] @ pv.T, -1.0, 1.0) - score[:, None], 12)
+        ahead = (gap > 0) | ((gap == 0) & (pi[None, :] < ends[:, 1:]))
+        ahead &= (pi[None, :] != ends[:, :1]) & (pi[None, :] != ends[:, 1:])
+        return pd.DataFrame({"key": keys, "score": score, "ahead": ahead.sum(1)})
+
+    counts = _met(asked, pool, False, work, "key string, score double, ahead long", block_rows)
+    ends = F.split("key", "\x1f")
+    rows = counts.groupBy("key").agg(F.max("score").alias("score"), F.sum("ahead").alias("ahead"))
+    return rows.select(ends[0].alias("query_id"), ends[1].alias("target_id"), "score", (F.col("ahead") + 1).alias("rank"))

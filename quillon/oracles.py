@@ -319,7 +319,7 @@ def queries() -> dict[str, str]:
     own = ", ".join(f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda t: length(t) >= 3 AND NOT list_contains({_list(STOPS)}, t))) AS {c}" for c in ("title", "description", "acceptance_criteria"))
     dice = "(CASE WHEN len(a.{c}) = 0 OR len(b.{c}) = 0 THEN 0.0::double ELSE round(2.0::double * len(list_intersect(a.{c}, b.{c})) / (len(a.{c}) + len(b.{c})), 3) END)"
     t, ds, ac = (dice.format(c=c) for c in ("title", "description", "acceptance_criteria"))
-    out["exp2_patterns"] = qualified + f", own AS (SELECT id, parent_id, {own} FROM records), s AS (SELECT q.kind, q.lane, q.issue_id, q.related_issue_id, {t} AS t, {ds} AS d, {ac} AS a, coalesce(a.parent_id = q.related_issue_id OR b.parent_id = q.issue_id, false) AS fam FROM qualified q JOIN own a ON a.id = q.issue_id JOIN own b ON b.id = q.related_issue_id), f AS (SELECT kind, issue_id, related_issue_id, string_agg(name, ',' ORDER BY v DESC, k) AS names FROM (SELECT kind, issue_id, related_issue_id, 'title' AS name, t AS v, 0 AS k FROM s UNION ALL SELECT kind, issue_id, related_issue_id, 'acceptance criteria', a, 1 FROM s UNION ALL SELECT kind, issue_id, related_issue_id, 'description', d, 2 FROM s) WHERE v > 0 GROUP BY ALL) SELECT s.kind, s.issue_id, s.related_issue_id, CASE WHEN fam THEN 'parent-child' WHEN s.kind = 'completed-work-echo' THEN 'completed-work' WHEN t >= 0.5 AND a >= 0.35 THEN 'same-outcome' WHEN d >= 0.25 THEN 'shared-subsystem' WHEN greatest(t, d, a) > 0 THEN 'vocabulary-only' ELSE 'semantic-only' END AS pattern, CASE WHEN lane = 'dependency' THEN 'structure' ELSE lane END AS objective, coalesce(names, '') AS evidence_fields, t AS title_score, d AS description_score FROM s LEFT JOIN f USING (kind, issue_id, related_issue_id)"
+    out["exp2_patterns"] = qualified + f", own AS (SELECT id, parent_id, {own} FROM records), s AS (SELECT q.kind, q.lane, q.issue_id, q.related_issue_id, {t} AS t, {ds} AS d, {ac} AS a, coalesce(a.parent_id = q.related_issue_id OR b.parent_id = q.issue_id, false) AS fam FROM qualified q JOIN own a ON a.id = q.issue_id JOIN own b ON b.id = q.related_issue_id), f AS (SELECT kind, issue_id, related_issue_id, string_agg(name, ',' ORDER BY v DESC, k) AS names FROM (SELECT kind, issue_id, related_issue_id, 'title' AS name, t AS v, 0 AS k FROM s UNION ALL SELECT kind, issue_id, related_issue_id, 'description', d, 1 FROM s UNION ALL SELECT kind, issue_id, related_issue_id, 'acceptance criteria', a, 2 FROM s) WHERE v > 0 GROUP BY ALL) SELECT s.kind, s.issue_id, s.related_issue_id, CASE WHEN fam THEN 'parent-child' WHEN s.kind = 'completed-work-echo' THEN 'completed-work' WHEN t >= 0.5 AND a >= 0.35 THEN 'same-outcome' WHEN d >= 0.25 THEN 'shared-subsystem' WHEN greatest(t, d, a) > 0 THEN 'vocabulary-only' ELSE 'semantic-only' END AS pattern, CASE WHEN lane = 'dependency' THEN 'structure' WHEN s.kind = 'completed-work-echo' THEN 'echo' ELSE 'overlap' END AS objective, coalesce(names, '') AS evidence_fields, t AS title_score, d AS description_score FROM s LEFT JOIN f USING (kind, issue_id, related_issue_id)"
     out["mth3_hashing_vectors"] = "SELECT item_id, ('0x' || substr(md5(w), 1, 8))::bigint % 64 AS bucket, sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::int % 2 = 0 THEN 1 ELSE -1 END)::bigint AS value FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark) GROUP BY ALL"
     out["mth6_identifier_score"] = r"WITH t AS (SELECT c_custkey, c_mktsegment || ' AB-' || (c_custkey % 20 + 10) AS t FROM customer) SELECT a.c_custkey, CASE WHEN lower(a.t) = lower(b.t) THEN 1.0::double WHEN list_has_any(regexp_extract_all(a.t, '\b[A-Z]{2,8}-?\d{2,5}\b'), regexp_extract_all(b.t, '\b[A-Z]{2,8}-?\d{2,5}\b')) THEN 0.9 ELSE 0 END AS score FROM t a JOIN t b ON b.c_custkey = a.c_custkey + 20"
     out["mth7_batch_capacities"] = "WITH b AS (SELECT p_partkey, least(p_partkey, greatest(1, (p_partkey + (p_size % 9 + 1) // 2) // (p_size % 9 + 1)))::bigint AS batches FROM part WHERE p_partkey > 0) SELECT p_partkey, batches, p_partkey // batches AS capacity, p_partkey % batches AS larger FROM b"
