@@ -17,7 +17,7 @@ A shard yields at most one link for each member (a spanning forest).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -61,17 +61,18 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(sums * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp`` of whole texts; null and empty texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, also: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, fp`` of whole texts, and the long columns ``also``; null and empty texts have fingerprint zero."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_DOCS):
                 batch = whole.slice(at, BATCH_DOCS)
                 made = [fingerprint(t, words) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64())], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64()), *map(batch.column, also)], ["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *also)
+    return sent.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in also)]))
 
 
 def split_bits(bits: list[int], parts: int) -> list[int]:
@@ -230,14 +231,26 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``key_a, key_b``: 128 bits of hash of id and text, never null."""
+    own = [F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), F.col("text").cast("string")]
+    return docs.withColumns({name: F.xxhash64(F.lit(seed), *own) for name, seed in (("key_a", 1), ("key_b", 2))})
+
+
 def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns, with the smallest id of their group.
+    """One row of ``docs``, all columns, for each group: one with its smallest id.
 
-    Rows that repeat that id are one document and stay one row. Rows without an
-    id are kept only where their group has no id, one for the group.
+    Where rows of a group share that id, or it has none, the row is chosen by the
+    hash of id and text. Groups that share an id, or have none, keep a row each.
     """
-    found = near_duplicates(docs, words, radius)
-    kept = found.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.min("fp").alias("fp"))
-    renamed, own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{docs.columns.index('doc_id')}"
-    rows = renamed.join(kept.select("doc_id"), renamed[own].eqNullSafe(kept["doc_id"]), "left_semi")
-    return rows.dropDuplicates([own]).toDF(*docs.columns)
+    (doc_id, text), at = [F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text")], len(docs.columns)
+    rows = docs.toDF(*[f"c{i}" for i in range(at)])
+    keys = ["key_a", "key_b"]
+    named = _keyed(rows.select("*", doc_id.alias("doc_id"), text.alias("text")))
+    prints = stage(fingerprints(named, words, keys), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *keys)
+    nodes = stage(prints.groupBy("fp").agg(F.min(first).alias("least")), "nodes")
+    roots = components(near_links(nodes.select("fp"), radius))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left")
+    kept = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least")).select("least.key_a", "least.key_b")
+    return named.drop("doc_id", "text").join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys).toDF(*docs.columns)

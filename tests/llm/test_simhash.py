@@ -70,3 +70,11 @@ def test_edges(spark):
     got = simhash.near_duplicates(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 3), (3, 3), (4, 3), (8, 8), (9, 8), (9, 8), (10, 10)]
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_representatives_of_null_and_repeated_ids(spark):
+    rows = [(None, "one of a kind", "a"), (None, "quite another text", "b"), (None, "quite another text", "c"), (None, "third without id", "d"), (5, "text x", "e"), (5, "text y", "f"), (5, "text y", "g"), (8, "text y", "h"), (2, "third without id", "i"), (9, None, "j"), (None, "", "k")]
+    for docs in (rows, rows[::-1]):
+        got = simhash.representatives(spark.createDataFrame(docs, "doc_id long, text string, key_a string").repartition(3))
+        assert got.columns == ["doc_id", "text", "key_a"]
+        assert sorted(((r.doc_id or 0, r.text) for r in got.collect()), key=str) == [(0, "one of a kind"), (0, "quite another text"), (2, "third without id"), (5, "text x"), (5, "text y"), (9, None)]
