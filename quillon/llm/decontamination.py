@@ -21,13 +21,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.learning import by_place
+
 K1, B = 1.2, 0.75
 RETRIEVE = 0.5  # share of an item's score against itself
 OVERLAP = 0.8  # share of an item's shingles in the passage
@@ -192,22 +196,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIE
     and empty texts hold nothing; null item ids are left out; repeated documents
     each get their rows; an empty benchmark gives none.
     """
-    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    parts = [texts.mapInArrow(_searcher(shared, retrieve, overlap), SCHEMA) for shared in _indexes(benchmark)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _indexes(benchmark: DataFrame) -> Iterator[Broadcast[Index]]:
+    """The index in blocks, each broadcast; at least one."""
     sizes = _terms(benchmark)
     n_items, n_words = sizes.filter("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     blocks = max(-(-n_items // BLOCK_ITEMS), -(-n_words // BLOCK_WORDS), 1)
     counts = sizes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = []
     for block in range(blocks):
         items = read_items(benchmark, block, blocks)
         index = Index(items, n_items, n_words / max(1, n_items), _document_frequencies(counts, items))
-        shared = spark.sparkContext.broadcast(index)
-        parts.append(texts.mapInArrow(_searcher(shared, retrieve, overlap), SCHEMA))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast(index)
 
 
 def _document_frequencies(counts: DataFrame, items: list[Item]) -> dict[str, int]:
@@ -236,7 +242,21 @@ def _searcher(shared, retrieve: float, overlap: float):
     return run
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item; a null ``doc_id`` is kept only if no such row does."""
-    held = contaminated(docs, benchmark).select("doc_id").distinct().withColumnRenamed("doc_id", "held_id")
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["held_id"]), "left_anti")
+def _cleaner(shared, retrieve: float, overlap: float):
+    def run(batches):
+        index = shared.value
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            clean = pa.array([not find_in(index, words_of(t), retrieve, overlap) for t in texts], pa.bool_())
+            yield batch.filter(clean)
+
+    return run
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of ``docs``, all columns, whose own text holds no item, whatever their ``doc_id``."""
+    renamed, text = by_place(docs, "text")
+    kept = renamed.withColumn("text", text.cast("string"))
+    for shared in _indexes(benchmark):
+        kept = kept.mapInArrow(_cleaner(shared, retrieve, overlap), kept.schema)
+    return kept.drop("text").toDF(*docs.columns)

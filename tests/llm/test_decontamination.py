@@ -61,3 +61,15 @@ def test_blocks_answers_and_edges(spark, monkeypatch):
     kept = dc.clean_documents(df, benchmark)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [10, 11, 12]
     assert dc.contaminated(df, benchmark.limit(0)).count() == 0 and dc.contaminated(df.limit(0), benchmark).count() == 0
+
+
+def test_clean_rows_stay_beside_leaks_of_their_id(spark, monkeypatch):
+    leak, other, filler = (" ".join(f"{p}{k}" for k in range(30)) for p in ("q", "r", "f"))
+    benchmark = spark.createDataFrame([(1, leak), (2, other)], "item_id long, text string")
+    rows = [(None, f"{filler} {leak}", "text"), (None, filler, "a"), (None, None, None), (7, f"{other} {filler}", "b"), (7, filler, "c"), (7, filler, "c"), (8, "", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, c1 string")
+    for size in (20_000, 1):
+        monkeypatch.setattr(dc, "BLOCK_ITEMS", size)
+        kept = dc.clean_documents(docs, benchmark)
+        assert kept.columns == docs.columns
+        assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [r for r in rows if leak not in (r[1] or "") and other not in (r[1] or "")]))
