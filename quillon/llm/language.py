@@ -4,7 +4,8 @@ First the language family is predicted, then one-versus-one linear support vecto
 machines separate the related languages within it. Features are the counts of
 hashed byte trigrams of the lower-cased letters of the whole text, square-rooted
 and scaled to length one. Fitting uses at most ``FIT_ROWS`` texts for each
-language of the learning fold.
+language of the learning fold, and ``ALL_FIT_ROWS`` in all shared out evenly; every
+language has at least one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from quillon.llm.learning import by_place, fit_linear, held_out, sigmoid
 UNKNOWN = "und"
 DIMENSIONS = 4096
 FIT_ROWS = 500  # texts for each language
-MAX_LANGUAGES = 40
+ALL_FIT_ROWS = 20_000  # bounds the matrix that the driver fits on, 16 kB a row
 RIDGE = 1e-5
 SHARPNESS = 4.0
 BATCH_DOCS = 500
@@ -125,20 +126,21 @@ def fit(x: np.ndarray, langs: list[str]) -> LanguageModel:
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
-    """Fit on texts with a known language outside the held-out fold.
+    """Fit on texts of every known language outside the held-out fold.
 
-    The sample has ``fit_rows`` rows for each of the ``MAX_LANGUAGES`` commonest
-    languages, chosen by hash of the id and read by a join with the chosen ids.
+    The sample has ``fit_rows`` rows for each language, fewer where they would be
+    more than ``ALL_FIT_ROWS``, chosen by hash of the id and read by a join with
+    the chosen ids.
     """
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not common:
+    counts = known.groupBy("lang").count().collect()
+    if not counts:
         return fit(np.zeros((0, DIMENSIONS)), [])
-    share = F.lit(0.0)
-    for r in common:
-        share = F.when(F.col("lang") == r.lang, min(1.0, 1.5 * (fit_rows + 30) / r["count"])).otherwise(share)
+    fit_rows = max(1, min(fit_rows, ALL_FIT_ROWS // len(counts)))
+    shares = [(r.lang, min(1.0, 1.5 * (fit_rows + 30) / r["count"])) for r in counts]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    few = known.select("doc_id", "lang", place.alias("place")).filter(F.col("place") < share)
+    few = known.select("doc_id", "lang", place.alias("place")).join(shares, "lang").filter(F.col("place") < F.col("share"))
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
     few = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= fit_rows).select("doc_id", F.col("lang").alias("known"))
     chosen = F.broadcast(few.groupBy("doc_id").agg(F.min("known").alias("known")))

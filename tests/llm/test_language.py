@@ -35,3 +35,15 @@ def test_edges(spark):
     kept = language.filter_language(docs, language.train(docs))
     assert kept.columns == docs.columns and kept.count() == 18
     assert language.classify(docs.limit(0)).count() == 0
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    langs = [f"x{k}" for k in range(50)]
+    words = {v: " ".join(chr(97 + k // 26) + chr(97 + k % 26) + c for c in "abcdefgh") for k, v in enumerate(langs)}
+    rows = [(k * 8 + j, words[v], v) for k, v in enumerate(langs) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for bound in (20_000, 10):
+        monkeypatch.setattr(language, "ALL_FIT_ROWS", bound)
+        model = language.train(docs)
+        assert sorted(sum(model.members.values(), [])) == sorted(langs)
+        assert model.predict(list(words.values()))[0] == langs
