@@ -640,7 +640,7 @@ def _(s, d):
 
 @query("grf4_balanced_batches")
 def _(s, d):
-    return graph.balanced_batches(Inputs(s, d).active_vectors.filter("id < 'doc-000200'"))
+    return graph.balanced_batches(Inputs(s, d).active_vectors)
 
 
 @query("agg25_batch_diagnostics")

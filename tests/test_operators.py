@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from quillon import catalog
 from quillon.functions import text as T
 from quillon.operators import freshness, graph, incremental, surfaces
 from quillon.operators import vectors as V
@@ -49,6 +50,29 @@ def test_balanced_batches_cover_all(spark):
     assert len({r.id for r in rows}) == 23 and sizes.max() - sizes.min() <= 1 and len(sizes) == 5
 
 
+def test_every_active_record_is_in_a_batch(spark, sf_dir):
+    v = catalog.Inputs(spark, sf_dir).active_vectors.unionByName(catalog.Inputs(spark, sf_dir).active_vectors.select(F.concat(F.lit("z"), "id").alias("id"), "v"))
+    own = {r.id: np.array(r.v) for r in v.collect()}
+    left, want, target = sorted(own), [], 9
+    count = max(1, (len(left) + target // 2) // target)
+    n = len(left)
+    for k in range(count):
+        mean = {a: round(sum(float(own[a] @ own[b]) for b in left if b != a), 9) for a in left}
+        seed = min(left, key=lambda a: (-mean[a], a))
+        rest = sorted((a for a in left if a != seed), key=lambda a: (-round(float(own[seed] @ own[a]), 12), a))
+        members = [seed, *rest[: n // count + (k < n % count) - 1]]
+        want += [(k + 1, p + 1, a) for p, a in enumerate(members)]
+        left = [a for a in left if a not in members]
+    assert sorted(map(tuple, graph.balanced_batches(v).collect())) == want
+
+
+def test_grf4_has_all_active_records(spark):
+    d = "/root/testdata/sf0.01"
+    want = {r.id for r in catalog.Inputs(spark, d).active_vectors.select("id").collect()}
+    assert max(want) > "doc-000200"
+    assert sorted(r.id for r in catalog.queries()["grf4_balanced_batches"](spark, d).collect()) == sorted(want)
+
+
 def test_text_forms(spark):
     row = spark.createDataFrame([("a \r\nb\t\r c\n\n", "getHTTPValue fooBar api")], "t string, u string").select(
         T.normalize_text(F.col("t")).alias("n"), T.reciprocal_tokens(F.col("u")).alias("k"), T.plain_title(F.lit("Ünïcode_Title - 2!")).alias("p")
