@@ -136,7 +136,7 @@ def _(s, d):
 
 @query("str1_normalized_text")
 def _(s, d):
-    return R.table(s, d, "documents").select("doc_id", F.md5(T.normalize_text(F.col("text"), 2000)).alias("digest"))
+    return R.table(s, d, "documents").select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("digest"))
 
 
 @query("str2_canonical_text")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FIELDS = ("title", "description", "acceptance_criteria", "design")
-FIELD_LIMIT = 12_000
+FIELD_LIMIT = 16_000
 
 # Word lists of the token rules.
 GENERIC_TOKENS = (

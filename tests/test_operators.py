@@ -1,5 +1,7 @@
 """Small cases of operators whose results SQL does not check."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -80,6 +82,15 @@ def test_text_forms(spark):
     assert (row.n, row.k, row.p) == ("a\nb\n c", ["get", "httpvalue", "foo", "bar"], "ünïcode title 2")
 
 
+def test_fields_keep_sixteen_thousand_characters(spark, tmp_path):
+    text = "x" * 17_000
+    spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = spark.createDataFrame([("t", text, "", "", "")], "title string, description string, acceptance_criteria string, design string, notes string")
+    assert row.select(T.canonical_text().alias("c")).first().c.count("x") == 16_000
+    got = catalog.queries()["str1_normalized_text"](spark, str(tmp_path)).first().digest
+    assert got == hashlib.md5(text[:16_000].encode()).hexdigest()
+
+
 def test_path_mentions(spark):
     text = "Fix `README.md` and `src/parser/dependencies.py::parse_dependency` but not foo/bar, https://x.io/src/a.py, releases/1.2.3; update docs/parser/ <!-- lib/z.py -->"
     rows = surfaces.path_mentions(spark.createDataFrame([("i", "title", text)], "issue_id string, source_field string, text string")).collect()
