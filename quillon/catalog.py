@@ -278,9 +278,9 @@ def _(s, d):
 @query("win4_target_rank")
 def _(s, d):
     i = Inputs(s, d)
-    few = i.vectors.filter("id IN ('doc-000003', 'doc-000010')")
-    ranks = V.top_ranks(few, i.vectors, 1 << 30)
-    return ranks.filter(F.substring("candidate_id", -2, 2) == "50").select("query_id", "candidate_id", "rank")
+    pairs = i.edges.select(F.col("source_id").alias("query_id"), "target_id").filter("query_id <> target_id")
+    ranks = V.pair_ranks(pairs, i.vectors, i.vectors)
+    return ranks.select("query_id", F.col("target_id").alias("candidate_id"), F.col("rank").cast("int").alias("rank"))
 
 
 @query("srt4_nearest_neighbours")

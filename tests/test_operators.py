@@ -24,6 +24,15 @@ def test_ranks_break_ties_by_id(spark):
         assert got == {"Q": ["A", "B"], "A": ["B", "C"]}
 
 
+def test_target_ranks_of_all_edges(spark, sf_dir):
+    i = catalog.Inputs(spark, sf_dir)
+    own = {r.id: np.array(r.v) for r in i.vectors.collect()}
+    pairs = {(r.source_id, r.target_id) for r in i.edges.collect() if r.source_id != r.target_id and r.source_id in own and r.target_id in own}
+    place = lambda q: {c: k + 1 for k, c in enumerate(sorted(own.keys() - {q}, key=lambda c: (-round(float(own[q] @ own[c]), 12), c)))}
+    got = {(r.query_id, r.candidate_id): r["rank"] for r in catalog.queries()["win4_target_rank"](spark, sf_dir).collect()}
+    assert len(pairs) > 50 and got == {(q, t): place(q)[t] for q, t in pairs}
+
+
 def test_pairs_in_blocks_equal_all_pairs(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((60, 8))
