@@ -5,7 +5,9 @@ its pre-tokens one after the other. Natural text repeats its words, so a worker
 asks the library's model once for each distinct pre-token and keeps the answer
 in a bounded table. Splitting is done here only for the two published patterns below
 and only for texts whose characters have had one fixed class in every Unicode
-version; any other file or text goes to the library whole, with equal results.
+version and that hold no added token's string; any other file or text goes to the
+library whole. The ids are those of ``Tokenizer.from_file(path).encode(text,
+add_special_tokens=False)`` in every case.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ WORD_END_SOURCE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 SPACES = "\t\n\r \u00a0"
-#: Characters with a settled class: printable ASCII, tab, line ends, Latin-1 and
-#: Latin Extended, but for U+0130, whose lower case is two characters.
-SETTLED = re.compile("[^\t\n\r\x20-\x7e\u00a0-\u012f\u0131-\u024f\u2010-\u2027\u20ac]")
+#: Characters with a settled class: printable ASCII, tab, line ends, Latin-1, Latin
+#: Extended and common marks.
+SETTLED = "\t\n\r\x20-\x7e\u00a0-\u024f\u2010-\u2027\u20ac"
 
 CHUNK_CHARS = 1 << 20
 
@@ -43,6 +45,16 @@ def byte_letters() -> dict[int, str]:
 BYTE_LETTERS = byte_letters()
 
 
+def _outside() -> re.Pattern:
+    """Finds a character without a settled class, or whose lower case has none."""
+    settled = re.compile(f"[{SETTLED}]")
+    leaving = [c for c in map(chr, range(0x2028)) if settled.match(c) and not settled.fullmatch(c.lower())]
+    return re.compile(f"[^{SETTLED}]|[{''.join(leaving)}]")
+
+
+OUTSIDE = _outside()
+
+
 def _fill(pattern: str) -> re.Pattern:
     return re.compile(
         pattern.replace("{L}", f"[{LETTERS}]")
@@ -70,11 +82,12 @@ class WordEncoder:
 
     def __init__(self, path: str, max_words: int = 700_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.max_words = max_words
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.pattern, self.fold = self._splitter(spec)
+        added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.added = [a.lower() for a in added] if self.fold else added
         self._clear()
 
     @staticmethod
@@ -138,11 +151,14 @@ class WordEncoder:
             self._clear()
         rows: list[np.ndarray | None] = []
         for text in texts:
-            if self.pattern is None or SETTLED.search(text):
+            if self.pattern is None or OUTSIDE.search(text):
                 rows.append(None)
                 continue
             if self.fold:
                 text = unicodedata.normalize("NFC", text).lower()
+            if any(a in text for a in self.added):
+                rows.append(None)
+                continue
             words = self.pattern.findall(text)
             rows.append(np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words)))
         self._learn()

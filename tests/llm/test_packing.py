@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from quillon.llm import packing
 from quillon.llm.encoding import WordEncoder
@@ -14,7 +15,7 @@ from quillon.llm.registry import op2_best_fit_packing, tokenizer_file
 
 ODD_TEXTS = [
     None, "", " ", "\n\n", "  a  b\n\n c  ", "l'été's don't we'll 12³½ ²", "Ωmega ΣΑΣ İstanbul", "école",
-    "\x1c\x1d a", "<|endoftext|> x", "a\t\tb\r\n", "日本語 text", "--- ... !!!", "\x85line\xa0x", "ǅ ß ẞ", "🙂 ok",
+    "\x1c\x1d a", "<|endoftext|> x", "a\t\tb\r\n", "日本語 text", "--- ... !!!", "\x85line\xa0x", "ǅ ß ẞ", "🙂 ok", "Əli ƁƆ Ⱥ", "end <|endoftext|> here", "a<|ENDOFTEXT|>b", "<|startoftext|>", "<|endof text|>",
 ]
 
 
@@ -24,11 +25,28 @@ def test_encoder_equals_library(name, spark, sf_dir):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + ODD_TEXTS
     for part in (texts[:100], texts[100:], texts):
         flat, counts = enc.encode(part)
-        want = [e.ids for e in enc.tokenizer.encode_batch([t or "" for t in part], add_special_tokens=False)]
+        want = [e.ids for e in Tokenizer.from_file(tokenizer_file(name)).encode_batch([t or "" for t in part], add_special_tokens=False)]
         assert counts.tolist() == [len(w) for w in want]
         assert flat.tolist() == list(itertools.chain.from_iterable(want))
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_library_on_random_strings(name):
+    path, rng = tokenizer_file(name), random.Random(name)
+    library, ours = Tokenizer.from_file(path), WordEncoder(path)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    planes = [(0x20, 0x7E), (0x20, 0x24F), (0, 0xD7FF), (0xE000, 0xFFFF), (0x300, 0x370)]
+    texts = []
+    for _ in range(100_000):
+        lo, hi = rng.choice(planes)
+        text = "".join(chr(rng.randint(lo, hi)) if rng.random() < 0.7 else rng.choice("aZ e\n 1'") for _ in range(rng.randint(0, 12)))
+        texts.append(text + rng.choice(added) + text[:3] if rng.random() < 0.1 else text)
+    flat, counts = ours.encode(texts)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    ends = np.cumsum(counts)
+    assert [t for t, w, e, n in zip(texts, want, ends, counts, strict=True) if flat[e - n : e].tolist() != w] == []
+
+
 def test_fullest_is_optimal():
     rng = random.Random(1)
     for _ in range(200):
@@ -62,7 +80,7 @@ def test_plan_places_every_piece_once():
 
 def test_query_against_brute_force(spark, sf_dir):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    tok = WordEncoder(tokenizer_file("word_bpe_49k.json")).tokenizer
+    tok = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
     rows = op2_best_fit_packing(spark, sf_dir).collect()
     got, bins, total = defaultdict(dict), defaultdict(list), 0
     for r in rows:

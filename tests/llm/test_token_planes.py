@@ -5,9 +5,9 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from quillon.llm import token_planes as tp
-from quillon.llm.encoding import WordEncoder
 from quillon.llm.registry import op9_token_planes, tokenizer_file
 
 
@@ -37,7 +37,7 @@ def test_file_round_trip(planes):
 
 def test_query_against_brute_force(spark, sf_dir):
     rows = op9_token_planes(spark, sf_dir).collect()
-    tok, start = WordEncoder(tokenizer_file("byte_bpe_50k.json")).tokenizer, 0
+    tok, start = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json")), 0
     docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
     assert len(rows) == len(docs)
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in rows}
