@@ -11,6 +11,7 @@ language has at least one.
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +42,8 @@ FAMILIES = {
     "malayic": ["id", "ms"],
 }
 _FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
-_LETTER = re.compile(r"[^\W\d_]")
+#: Word characters beyond ASCII; numerals like U+00B2 and U+2167 are among them.
+_ASCII_LETTER, _WORD_CHARACTER = re.compile("[A-Za-z]"), re.compile(r"[^\W\d_]")
 
 # Bytes of letters keep their value; all others part words as a blank.
 _FOLD = np.full(256, 32, np.uint32)
@@ -54,6 +56,11 @@ def family_of(lang: str) -> str:
     return _FAMILY_OF.get(lang, f"only-{lang}")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of one of Unicode's letter categories."""
+    return _ASCII_LETTER.search(text) is not None or any(unicodedata.category(m[0])[0] == "L" for m in _WORD_CHARACTER.finditer(text))
+
+
 def features(text: str) -> np.ndarray:
     data = _FOLD[np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)]
     grams = data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)
@@ -75,7 +82,7 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
         for text in texts:
-            if text is None or not self.families or not _LETTER.search(text):
+            if text is None or not self.families or not has_letter(text):
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue
@@ -148,7 +155,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
 
     def run(batches):
         for batch in batches:
-            made = [features(t).astype(np.float32).tobytes() if t and _LETTER.search(t) else None for t in batch.column("text").to_pylist()]
+            made = [features(t).astype(np.float32).tobytes() if t and has_letter(t) else None for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(made, pa.binary())], ["doc_id", "lang", "x"])
 
     sent = rows.select(F.col("doc_id").cast("long"), "lang", "text")
@@ -184,12 +191,22 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """Learn from the table's own labels and predict every row."""
+    """Learn from the table's own labels and predict every row.
+
+    Whole texts are read, however long; a null text or one without a letter is
+    ``und``. An empty table gives no rows, and where no row has a language all are
+    ``und``. Repeated rows are predicted each; a null ``doc_id`` is not held out
+    and not learned from; columns with other names are not read.
+    """
     return identify(docs, train(docs))
 
 
 def filter_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows, all columns, whose text has a language (not ``und``)."""
+    """The rows, all columns, whose text has a language (not ``und``).
+
+    Null and letterless texts go; null or repeated ids, repeated rows and columns
+    of any name stay as they are; an empty table stays empty.
+    """
     renamed, text = by_place(docs, "text")
     found = identify(renamed.withColumn("text", text), model, renamed.columns)
     return found.filter(F.col("lang_pred") != UNKNOWN).select(*renamed.columns).toDF(*docs.columns)
