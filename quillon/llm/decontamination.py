@@ -6,11 +6,13 @@ so an item that a passage holds whole scores 1 and one threshold fits all items.
 Passages are windows of twice the longest item's words, half overlapping, so any
 occurrence of an item lies whole in one.
 
-Block-max WAND: a passage whose terms' largest weights do not reach the threshold
-is skipped; for the others the weights' maxima by block of items leave the blocks
-that can reach it; only their postings are scored, exactly. What is retrieved is
-then verified: word shingles of the question and of the answer must be in the
-passage.
+Block-max WAND, for many passages at a time: with a passage's terms by rising
+bound (largest weight), the pivot is the first at which the bounds add up to the
+threshold; a block of items that holds none of the pivot and later terms is never
+opened. Of the opened blocks, those whose block maxima over all terms do not
+reach the threshold are skipped, and only the postings of the rest are scored,
+exactly. What is retrieved is then verified: word shingles of the item (with an
+``answer`` column: of the question and of the answer) must be in the passage.
 
 The index is broadcast in blocks of at most ``BLOCK_ITEMS`` items and
 ``BLOCK_WORDS`` words, with statistics over all items, and all passages are
@@ -23,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,10 @@ K1, B = 1.2, 0.75
 RETRIEVE = 0.5  # share of an item's score against itself
 OVERLAP = 0.8  # share of an item's shingles in the passage
 SHINGLE_WORDS = 5
-POSTING_BLOCK = 16
+POSTING_BLOCK = 8
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
+DENSE_CELLS = 4_000_000
+BATCH_DOCS, PASSAGES = 64, 1024  # searched at a time
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -73,12 +78,22 @@ class Item:
         return self.question + self.answer
 
 
+def _spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges ``lo`` to ``hi`` one after the other, and whose they are."""
+    n = hi - lo
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(lo - (ends - n), n), np.repeat(np.arange(len(n)), n)
+
+
 class Index:
-    """Inverted index of items with block maxima, in arrays by term."""
+    """Inverted index of items with block maxima, in arrays sorted by term.
 
-    def __init__(self, items: list[Item], n_items: int, mean_words: float, df: dict[str, int]) -> None:
-        self.items = items
-        self.longest = max((len(i.words) for i in items), default=1)
+    ``width`` is the longest item's number of words, over all blocks of the index.
+    """
+
+    def __init__(self, items: list[Item], n_items: int, mean_words: float, df: dict[str, int], width: int) -> None:
+        self.items, self.width = items, max(1, width)
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for i in items for w in i.words}))}
         postings: list[tuple[int, int, float]] = []
         for at, item in enumerate(items):
@@ -89,35 +104,59 @@ class Index:
             postings += [(self.vocabulary[w], at, v / whole) for w, v in own.items()]
         postings.sort()
         table = np.array(postings, np.float64).reshape(-1, 3)
-        self.item, self.weight = table[:, 1].astype(np.int64), table[:, 2]
-        terms = table[:, 0].astype(np.int64)
-        n = len(self.vocabulary)
-        self.start = np.searchsorted(terms, np.arange(n + 1))
+        terms, n = table[:, 0].astype(np.int64), len(self.vocabulary)
         self.n_blocks = -(-max(1, len(items)) // POSTING_BLOCK)
-        key = terms * self.n_blocks + self.item // POSTING_BLOCK
-        cut = np.flatnonzero(np.diff(key, prepend=-1))
-        self.block_max = np.maximum.reduceat(self.weight, cut) if len(cut) else np.zeros(0)
-        self.block_of = key[cut] % self.n_blocks
-        self.block_start = np.searchsorted(key[cut] // self.n_blocks, np.arange(n + 1))
-        self.term_max = np.maximum.reduceat(self.weight, self.start[:-1]) if n else np.zeros(0)
-
-    @staticmethod
-    def _rows(start: np.ndarray, terms: np.ndarray) -> np.ndarray:
-        lengths = start[terms + 1] - start[terms]
-        ends = np.cumsum(lengths)
-        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[terms] - (ends - lengths), lengths)
-
-    def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """(item, score) of all items that reach the threshold for distinct terms."""
-        rows = self._rows(self.block_start, terms)
-        bound = np.bincount(self.block_of[rows], self.block_max[rows], self.n_blocks)
-        alive = bound >= threshold
-        if not alive.any():
-            return []
-        rows = self._rows(self.start, terms)
-        rows = rows[alive[self.item[rows] // POSTING_BLOCK]]
-        score = np.bincount(self.item[rows], self.weight[rows], len(self.items))
-        return [(int(k), float(score[k])) for k in np.flatnonzero(score >= threshold)]
+        self.room = self.n_blocks * POSTING_BLOCK
+        self.posting, self.weight = terms * self.room + table[:, 1].astype(np.int64), table[:, 2]
+        block = self.posting // POSTING_BLOCK  # term * n_blocks + block of items
+        cut = np.flatnonzero(np.diff(block, prepend=-1))
+        self.block, self.block_max = block[cut], np.maximum.reduceat(self.weight, cut) if len(cut) else np.zeros(0)
+        self.block_start = np.searchsorted(self.block, np.arange(n + 1) * self.n_blocks)
+        self.dense = None  # the block maxima in a table, where it is small
+        if n * self.n_blocks <= DENSE_CELLS:
+            self.dense = np.zeros(n * self.n_blocks)
+            self.dense[self.block] = self.block_max
+        self.term_max = np.maximum.reduceat(self.weight, np.searchsorted(terms, np.arange(n))) if n else np.zeros(0)
+
+    def _maximum(self, block: np.ndarray) -> np.ndarray:
+        """Largest weights of (term, block of items), zero where there is none."""
+        if self.dense is not None:
+            return self.dense[block]
+        at = np.minimum(np.searchsorted(self.block, block), len(self.block) - 1)
+        return np.where(self.block[at] == block, self.block_max[at], 0.0)
+
+    def search(self, query: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, item, score) of all items that reach the threshold.
+
+        ``query, term`` are the distinct terms of queries numbered from 0, sorted.
+        """
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        enough = threshold - 1e-9  # bounds are sums in another order than scores
+        if not len(query):
+            return none
+        # The pivot: terms by rising bound; what holds only terms before it scores too little.
+        order = np.lexsort((self.term_max[term], query))
+        query, term = query[order], term[order]
+        start = np.searchsorted(query, np.arange(query[-1] + 2))
+        total = np.concatenate([[0.0], np.cumsum(self.term_max[term])])
+        opening = np.flatnonzero(total[1:] - total[start[query]] >= enough)
+        rows, owner = _spans(self.block_start[term[opening]], self.block_start[term[opening] + 1])
+        opened = np.unique(query[opening][owner] * self.n_blocks + self.block[rows] % self.n_blocks)
+        # Block maxima of all terms, in the opened blocks alone.
+        asked, block = opened // self.n_blocks, opened % self.n_blocks
+        rows, owner = _spans(start[asked], start[asked + 1])
+        start_of = np.concatenate([[0], np.cumsum(start[asked + 1] - start[asked])])[:-1]
+        wanted = term[rows] * self.n_blocks + block[owner]
+        bound = np.add.reduceat(self._maximum(wanted), start_of) if len(opened) else np.zeros(0)
+        alive = np.flatnonzero(bound >= enough)
+        # Exact scores of the items of the blocks that are left.
+        asked, block = asked[alive], block[alive]
+        rows, owner = _spans(start[asked], start[asked + 1])
+        first = term[rows] * self.room + block[owner] * POSTING_BLOCK
+        rows, part = _spans(np.searchsorted(self.posting, first), np.searchsorted(self.posting, first + POSTING_BLOCK))
+        score = np.bincount(owner[part] * POSTING_BLOCK + self.posting[rows] % POSTING_BLOCK, self.weight[rows], len(alive) * POSTING_BLOCK)
+        found = np.flatnonzero(score >= threshold)
+        return asked[found // POSTING_BLOCK], block[found // POSTING_BLOCK] * POSTING_BLOCK + found % POSTING_BLOCK, score[found]
 
 
 def _verify(item: Item, passage: list[str]) -> tuple[float, float, float]:
@@ -136,32 +175,38 @@ def _verify(item: Item, passage: list[str]) -> tuple[float, float, float]:
     return share(item.words), share(item.question), share(item.answer)
 
 
-def find_in(index: Index, words: list[str], retrieve: float, overlap: float) -> dict[int, tuple]:
-    """Best verified passage of each item in a document's words."""
-    ids = np.fromiter((index.vocabulary.get(w, -1) for w in words), np.int64, len(words))
-    known = ids >= 0
-    if not known.any():
-        return {}
-    worth = np.where(known, index.term_max[np.maximum(ids, 0)], 0.0)
-    total = np.concatenate([[0.0], np.cumsum(worth)])
-    half = index.longest
-    starts = np.arange(0, max(1, len(words) - half), half)
-    ends = np.minimum(starts + 2 * half, len(words))
-    found: dict[int, tuple] = {}
-    for lo, hi in zip(starts[total[ends] - total[starts] >= retrieve], ends[total[ends] - total[starts] >= retrieve], strict=True):
-        terms = np.unique(ids[lo:hi])
-        terms = terms[terms >= 0]
-        if index.term_max[terms].sum() < retrieve:
-            continue
-        for at, score in index.search(terms, retrieve):
-            item = index.items[at]
-            whole, question, answer = _verify(item, words[lo:hi])
+def passages(n_words: int, width: int) -> np.ndarray:
+    """Starts of a text's passages of ``2 * width`` words, half overlapping."""
+    return np.arange(0, max(1, n_words - width), width)
+
+
+def find_in(index: Index, texts: list[list[str]], retrieve: float, overlap: float) -> list[dict[int, tuple]]:
+    """For each text, given as words, the best verified passage of each item."""
+    found: list[dict[int, tuple]] = [{} for _ in texts]
+    todo = [(k, lo) for k, words in enumerate(texts) for lo in passages(len(words), index.width).tolist()]
+    ids = [np.fromiter(map(index.vocabulary.get, words, repeat(-1)), np.int64, len(words)) for words in texts]
+    for at in range(0, len(todo), PASSAGES):
+        part = todo[at : at + PASSAGES]
+        own = [ids[k][lo : lo + 2 * index.width] for k, lo in part]
+        query, term = np.repeat(np.arange(len(own)), [len(o) for o in own]), np.concatenate(own)
+        distinct = np.unique((query * len(index.vocabulary) + term)[term >= 0])
+        hits = index.search(*np.divmod(distinct, max(1, len(index.vocabulary))), retrieve)
+        for n, item_at, score in zip(*(h.tolist() for h in hits), strict=True):
+            k, lo = part[n]
+            item = index.items[item_at]
+            whole, question, answer = _verify(item, texts[k][lo : lo + 2 * index.width])
             passed = min(question, answer) >= overlap if item.split else whole >= overlap
-            if passed and (at not in found or (whole, score) > found[at][:2]):
-                found[at] = (whole, score, question, answer, int(lo))
+            if passed and (item_at not in found[k] or (whole, score) > found[k][item_at][:2]):
+                found[k][item_at] = (whole, score, question, answer, lo)
     return found
 
 
+def _in_batches(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
+    """Words of a few texts at a time, with the place of the first."""
+    for at in range(0, len(texts), BATCH_DOCS):
+        yield at, [words_of(t) for t in texts[at : at + BATCH_DOCS]]
+
+
 def read_items(benchmark: DataFrame, block: int, blocks: int) -> list[Item]:
     """The items of one block; bounded by its share of the items."""
     rows = benchmark.filter(F.col("item_id").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block))
@@ -191,6 +236,10 @@ def _terms(benchmark: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP) -> DataFrame:
     """One row for each document and item that it holds, with the best passage.
 
+    Of equally good passages the first counts. Whole texts are searched, however
+    long; only ``doc_id`` and ``text`` of ``docs`` are read, whatever other
+    columns there are.
+
     ``benchmark`` has ``item_id``, ``text`` and perhaps ``answer``; with an answer
     both it and the question must overlap, without one the item as a whole. Null
     and empty texts hold nothing; null item ids are left out; repeated documents
@@ -207,12 +256,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIE
 def _indexes(benchmark: DataFrame) -> Iterator[Broadcast[Index]]:
     """The index in blocks, each broadcast; at least one."""
     sizes = _terms(benchmark)
-    n_items, n_words = sizes.filter("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_items, n_words, width = sizes.filter("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
     blocks = max(-(-n_items // BLOCK_ITEMS), -(-n_words // BLOCK_WORDS), 1)
     counts = sizes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     for block in range(blocks):
         items = read_items(benchmark, block, blocks)
-        index = Index(items, n_items, n_words / max(1, n_items), _document_frequencies(counts, items))
+        index = Index(items, n_items, n_words / max(1, n_items), _document_frequencies(counts, items), width)
         yield benchmark.sparkSession.sparkContext.broadcast(index)
 
 
@@ -230,10 +279,11 @@ def _searcher(shared, retrieve: float, overlap: float):
     def run(batches):
         index = shared.value
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for at, (whole, score, question, answer, lo) in find_in(index, words_of(text), retrieve, overlap).items():
-                    rows.append((doc, index.items[at].item_id, score, whole, question, answer, lo))
+            rows, docs = [], batch.column("doc_id").to_pylist()
+            for at, texts in _in_batches(batch.column("text").to_pylist()):
+                for doc, hits in zip(docs[at : at + len(texts)], find_in(index, texts, retrieve, overlap), strict=True):
+                    for item_at, (whole, score, question, answer, lo) in hits.items():
+                        rows.append((doc, index.items[item_at].item_id, score, whole, question, answer, lo))
             kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64()]
             names = [part.split()[0] for part in SCHEMA.split(", ")]
             columns = zip(*rows, strict=True) if rows else [()] * 7
@@ -246,15 +296,18 @@ def _cleaner(shared, retrieve: float, overlap: float):
     def run(batches):
         index = shared.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            clean = pa.array([not find_in(index, words_of(t), retrieve, overlap) for t in texts], pa.bool_())
-            yield batch.filter(clean)
+            clean = [not hits for _, texts in _in_batches(batch.column("text").to_pylist()) for hits in find_in(index, texts, retrieve, overlap)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
 
     return run
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of ``docs``, all columns, whose own text holds no item, whatever their ``doc_id``."""
+    """The rows of ``docs``, all columns, whose own text holds no item, whatever their ``doc_id``.
+
+    Null and empty texts stay, as do all rows where the benchmark is empty;
+    repeated rows are judged each; columns may have any names.
+    """
     renamed, text = by_place(docs, "text")
     kept = renamed.withColumn("text", text.cast("string"))
     for shared in _indexes(benchmark):

@@ -1,5 +1,6 @@
 """Retrieval against exact BM25 scores; matches against all pairs."""
 
+import math
 import random
 from collections import Counter
 
@@ -14,18 +15,33 @@ def test_search_equals_scoring_all_items():
     rng = random.Random(1)
     vocab = [f"w{k}" for k in range(60)]
     items = [dc.Item(k, rng.choices(vocab, [1 / (j + 1) for j in range(60)], k=rng.randint(3, 20)), [], False) for k in range(70)]
-    df = Counter(w for i in items for w in set(i.words))
-    index = dc.Index(items, 70, np.mean([len(i.words) for i in items]), df)
+    df, n_words = Counter(w for i in items for w in set(i.words)), sum(len(i.words) for i in items)
+    index = dc.Index(items, 70, n_words / 70, df, 20)
     dense = np.zeros((70, len(index.vocabulary)))
-    for term in range(len(index.vocabulary)):
-        rows = slice(index.start[term], index.start[term + 1])
-        dense[index.item[rows], term] = index.weight[rows]
-    assert np.allclose(dense.sum(1), 1)
-    for _ in range(200):
-        terms = np.unique(rng.choices(range(len(index.vocabulary)), k=rng.randint(1, 25)))
-        score = dense[:, terms].sum(1)
-        for threshold in (0.2, 0.5):
-            assert [k for k, _ in index.search(terms, threshold)] == np.flatnonzero(score >= threshold).tolist()
+    for k, item in enumerate(items):
+        for w, c in Counter(item.words).items():
+            idf = math.log(1 + (70 - df[w] + 0.5) / (df[w] + 0.5))
+            dense[k, index.vocabulary[w]] = idf * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(item.words) / (n_words / 70)))
+    dense /= dense.sum(1, keepdims=True)
+    sets = [np.unique(rng.choices(range(len(index.vocabulary)), k=rng.randint(0, 25))).astype(np.int64) for _ in range(200)]
+    query, term = np.repeat(np.arange(200), list(map(len, sets))), np.concatenate(sets)
+    for threshold in (0.2, 0.5):
+        q, k, score = index.search(query, term, threshold)
+        want = {(n, int(i)) for n, terms in enumerate(sets) for i in np.flatnonzero(dense[:, terms].sum(1) >= threshold)}
+        assert set(zip(q.tolist(), k.tolist(), strict=True)) == want and len(want) > 50
+        assert np.allclose(score, [dense[i, sets[n]].sum() for n, i in zip(q, k, strict=True)])
+
+
+def test_block_sizes_change_nothing(spark, monkeypatch):
+    words = [f"a{k}" for k in range(90)]
+    loose = " ".join(w if k % 30 else f"{w} {' '.join(f'z{j}' for j in range(20))}" for k, w in enumerate(words[:60]))
+    benchmark = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:60])), (3, "b c d")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, loose), (2, " ".join(words)), (3, "a b c d e")], "doc_id long, text string")
+    got = []
+    for size in (20_000, 1):
+        monkeypatch.setattr(dc, "BLOCK_ITEMS", size)
+        got.append(sorted((r.doc_id, r.item_id) for r in dc.contaminated(docs, benchmark).collect()))
+    assert got[0] == got[1] and {(2, 1), (2, 2), (3, 3)} <= set(got[0])
 
 
 def brute(docs, items):
