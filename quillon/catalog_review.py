@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon import oracles
-from quillon.catalog import POLICY, STOP_WORDS, TIGHT, Inputs, Query, _decisions, _lines, _pointers
-from quillon.operators import anchors, evaluate, explain, selection, surfaces
+from quillon.catalog import POLICY, STOP_WORDS, TIGHT, Inputs, Query, _decisions, _funnel, _lines, _pointers
+from quillon.operators import anchors, evaluate, explain, relations, selection, surfaces
 from quillon.operators import vectors as V
 from quillon.plans.staging import stage
 from quillon.sources import host_pages, records as R, trackers
@@ -179,18 +179,23 @@ def _(s, d):
 _STRICT = type(TIGHT)(echo_threshold=0.33, overlap_threshold=0.38, max_total=60, max_per_issue=2, lane_reservations=TIGHT.lane_reservations)
 
 
-@query("sel6_degradation")
+@query(
+    "sel6_degradation",
+    f"WITH {oracles._qualified(objectives=('echo', 'overlap'))} SELECT kind, lane, count(*) AS candidates, 'dependency' AS lost_lane, 'discovery' AS lost_stage FROM qualified GROUP BY ALL",
+)
 def _(s, d):
-    """A run whose dependency accounts do not balance goes on with the semantic lanes."""
+    """A run whose dependency accounts are one relation short goes on with the semantic lanes."""
     i = Inputs(s, d)
 
     def run(policy):
         if policy.wants("structure"):
-            raise selection.ConservationError("eligibility")
+            funnel = relations.dependency_funnel(_funnel(s, d)).withColumn("eligible", F.col("eligible") - 1)
+            selection.check_accounts(selection.dependency_accounts(funnel, _decisions(s, d, policy)[1]))
         return i.qualified(policy)
 
     rows, receipt = selection.with_degradation(run, POLICY)
-    return rows.groupBy("kind", "lane").agg(F.count("*").alias("candidates")).withColumn("lost_lane", F.lit(receipt["lane"]))
+    counts = rows.groupBy("kind", "lane").agg(F.count("*").alias("candidates"))
+    return counts.withColumns({"lost_lane": F.lit(receipt["degraded_lanes"][0]), "lost_stage": F.lit(receipt["stage"])})
 
 
 @query("flt5_gated_lanes", f"WITH {oracles._qualified(objectives=('echo',))} SELECT kind, lane, count(*) AS candidates FROM qualified GROUP BY ALL")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import sys
 import uuid
+from datetime import UTC, datetime
 from pathlib import Path
 
 from quillon.model import ACTIVE_STATUSES, CandidatePolicy
@@ -19,6 +20,7 @@ ABILITIES = ("read-only-review", "bounded-queue", "typed-dependencies", "code-su
 GUARDED = ("triage", "sweep", "collisions")
 WRITERS = ("--output", "--output-dir")
 TAKES_VALUE = ("--list", "--context", "--tracker-version", "--export", "--vectors", "--master")
+STATE = ["title", "description", "acceptance_criteria", "design", "notes", "status", "issue_type", "priority", "parent_id", "labels", "links"]
 
 
 def _policy_options(p: argparse.ArgumentParser) -> None:
@@ -36,6 +38,22 @@ def _policy_options(p: argparse.ArgumentParser) -> None:
     p.add_argument("--objective", action="append", choices=("collision", "overlap", "echo", "structure"))
 
 
+def _surface_options(p: argparse.ArgumentParser, on: bool) -> None:
+    switch = p.add_mutually_exclusive_group()
+    switch.add_argument("--code-surfaces", action="store_true", default=on, dest="code_surfaces")
+    switch.add_argument("--no-code-surfaces", action="store_false", dest="code_surfaces")
+    p.add_argument("--worktree", action="append", default=[], metavar="ID=PATH")
+    for name in ("--repository-files", "--worktree-list", "--changed-paths", "--revision"):
+        p.add_argument(name)
+
+
+def _incremental_options(p: argparse.ArgumentParser) -> None:
+    scope = p.add_mutually_exclusive_group()
+    scope.add_argument("--since")
+    scope.add_argument("--checkpoint")
+    p.add_argument("--write-checkpoint")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="quillon")
     for name in TAKES_VALUE:
@@ -58,7 +76,10 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--include-closed", action="store_true")
         if name in ("triage", "sweep", "batch"):
             _policy_options(p)
-            p.add_argument("--max-batch-size", type=int, default=9)
+            _incremental_options(p)
+            p.add_argument("--max-batch-size", "--size", type=int, default=9)
+        if name in GUARDED or name == "batch":
+            _surface_options(p, name in ("triage", "collisions"))
     return top
 
 
@@ -94,8 +115,67 @@ def _review(args: argparse.Namespace, spark):
         raise SourceError("--list names no file")
     snapshot, records = TrackerFiles(spark, args.list, args.context, args.tracker_version, args.export).load()
     vectors = unit_vectors(spark.read.parquet(args.vectors), "id", "embedding") if args.vectors else None
-    options = Options(tuple(args.status or ACTIVE_STATUSES), args.include_epics, getattr(args, "max_batch_size", 9))
-    return Review(snapshot, records, policy_of(args), options, vectors)
+    options = Options(tuple(args.status or ACTIVE_STATUSES), args.include_epics, getattr(args, "max_batch_size", 9), getattr(args, "code_surfaces", True))
+    return Review(snapshot, records, policy_of(args), options, vectors, _repository(args, spark), _scope(args, spark, snapshot, records))
+
+
+def _repository(args: argparse.Namespace, spark):
+    """What the given files tell of the code: a path a line, porcelain worktrees, changes as JSON lines."""
+    from pyspark.sql import functions as F
+
+    from quillon.operators import surfaces
+    from quillon.plans.review import Repository
+
+    if not hasattr(args, "worktree"):
+        return Repository()
+    if args.worktree and not args.worktree_list:
+        raise ValueError("--worktree needs --worktree-list")
+    files = spark.read.text(args.repository_files).select(F.col("value").alias("path")) if args.repository_files else None
+    trees = surfaces.worktrees(spark.read.text(args.worktree_list, lineSep="\n\n")) if args.worktree_list else None
+    changes = spark.read.schema("worktree string, path string, kind string").json(args.changed_paths) if args.changed_paths else None
+    mappings = surfaces.mappings(spark.createDataFrame([(w,) for w in args.worktree], "value string")) if args.worktree else None
+    return Repository(files, trees, changes, mappings, args.revision, "handed-over" if files is not None or trees is not None else "unavailable")
+
+
+def _scope(args: argparse.Namespace, spark, snapshot, records):
+    """Ids of the records that changed, of an incremental run; None for a whole one."""
+    from pyspark.sql import functions as F
+
+    from quillon.operators import incremental
+
+    if getattr(args, "since", None):
+        if spark.range(1).select(incremental.parse_rfc3339(F.lit(args.since)).isNull()).first()[0]:
+            raise ValueError("--since is no time with a zone")
+        return incremental.scope_since(records, args.since).filter("state = 'changed'").select("id")
+    if getattr(args, "checkpoint", None):
+        prior = sinks.read_checkpoint(spark, args.checkpoint, snapshot.workspace_id, _now())
+        return incremental.compare(incremental.checkpoint(_plain_state(records), STATE), prior).filter("state = 'changed'").select("id")
+    return None
+
+
+def _now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def run_id() -> str:
+    """When the run was, and eight digits that part it from others of that second."""
+    return f"{datetime.now(UTC):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}"
+
+
+def _plain_state(records):
+    """Records with labels and links as texts, for fingerprints."""
+    from pyspark.sql import functions as F
+
+    links = F.array_join(F.transform("links", lambda p: F.concat_ws(":", p["target_id"], p["relationship_type"])), ",")
+    return records.withColumns({"labels": F.array_join("labels", ","), "links": links})
+
+
+def _save_checkpoint(args: argparse.Namespace, review) -> None:
+    from quillon.operators import incremental
+
+    if getattr(args, "write_checkpoint", None):
+        path = sinks.outside(args.write_checkpoint, review.snapshot.workspace_path)
+        sinks.write_checkpoint(incremental.checkpoint(_plain_state(review.records), STATE), str(path), review.snapshot.workspace_id, _now())
 
 
 def _reports(args: argparse.Namespace, review) -> tuple[str, dict, str, list[tuple[dict, str]]]:
@@ -188,7 +268,7 @@ def run(argv: list[str] | None = None, spark=None) -> int:
             return 0
         review = _review(args, spark)
         name, report, text, batches = _reports(args, review)
-        report = {**report, "run_id": uuid.uuid4().hex}
+        report = {**report, "run_id": run_id()}
         folder, file, form = sinks.output_paths(args.output, args.output_dir, "", "")
         if args.output is None and args.output_dir is None:
             sys.stdout.write(sinks.to_json(report) if args.as_json else text)
@@ -196,6 +276,7 @@ def run(argv: list[str] | None = None, spark=None) -> int:
             sinks.write_text(file, sinks.to_json(report) if form == "json" else text)
         else:
             sinks.report_folder(folder, name, report, text, batches)
+        _save_checkpoint(args, review)
         return sinks.exit_code(bool(review.snapshot.divergence), args.fail_on_divergence)
     except (ValueError, OSError) as error:
         sys.stderr.write(f"quillon: {str(error)[:500]}\n")

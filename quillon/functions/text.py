@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,9 +66,25 @@ def phrases(tokens: Column) -> Column:
     )
 
 
+def _found(text: Column, pattern: str, ascii_pattern: str, normal: Callable[[str], str]) -> Column:
+    """Matches of a word pattern in folded text.
+
+    Spark has neither full case folding nor NFKC, so texts beyond ASCII, and only
+    they, go through Python in Arrow batches.
+    """
+
+    @F.pandas_udf("array<string>")
+    def beyond(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else re.findall(pattern, normal(t)))
+
+    plain = F.coalesce(text, F.lit(""))
+    other = plain.rlike("[^\\x00-\\x7F]")
+    return F.coalesce(beyond(F.when(other, plain)), F.regexp_extract_all(F.lower(plain), F.lit(ascii_pattern), 0))
+
+
 def word_tokens(text: Column) -> Column:
-    """Words of letters, digits, apostrophes and hyphens; one empty word if none."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?U)([\\w'-]+)"), 1)
+    """Words of letters, digits, apostrophes and hyphens, case folded; one empty word if none."""
+    found = _found(text, r"[\w'-]+", r"[A-Za-z0-9_'-]+", str.casefold)
     return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
 
 
@@ -73,9 +94,22 @@ def explain_tokens(text: Column, stop_words: tuple[str, ...]) -> Column:
 
 
 def plain_title(title: Column) -> Column:
-    """Lower-cased words of letters and digits, joined by blanks."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit("(?U)([^\\W_]+)"), 1)
-    return F.array_join(found, " ")
+    """Words of letters and digits after NFKC and case folding, joined by blanks."""
+    return F.array_join(_found(title, r"[^\W_]+", "[A-Za-z0-9]+", lambda t: unicodedata.normalize("NFKC", t).casefold()), " ")
+
+
+#: Fixed value: what a ticket's identifier looks like.
+IDENTIFIER = r"\b[A-Z]{2,8}-?\d{2,5}\b"
+
+
+def identifiers(text: Column) -> Column:
+    """Identifiers of a text, in order, repeats kept."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(IDENTIFIER), 0)
+
+
+def identifier_score(a: Column, b: Column) -> Column:
+    """1 for titles that are equal but for case, 0.9 for a common identifier, else 0."""
+    return F.when(F.lower(a) == F.lower(b), 1.0).when(F.arrays_overlap(identifiers(a), identifiers(b)), 0.9).otherwise(0.0)
 
 
 def markdown_escape(text: Column) -> Column:

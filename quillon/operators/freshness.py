@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +21,17 @@ EVIDENCE_ORDER = (
     "lifecycle-active-closed", "lifecycle-unknown", "candidate-possible-overlap", "candidate-completed-work-echo",
     "reciprocal-local-evidence", "semantic-threshold-admission", "semantic-candidate-only", "no-actionable-evidence",
 )
-CUES = r"(?i)\b(?:after|before|block(?:ed|er|ers|ing|s)?|build(?:s|ing)? on|continu(?:ation|e|ed|es|ing)|depend(?:s|ed|ing)? on|discover(?:ed)? from|follow[\s-]?up|relat(?:e|ed|es|ing|ion|ionship)|supersed(?:e|ed|es|ing))\b"
+ACTION_ORDER = ("duplicate", "superseded-open", "missing-relation", "uncertain", "intentional-follow-up")
+#: Wording around the id of another record that states a relation to it.
+CUE_AROUND = r"\b(?:after|before|block(?:ed|er|ers|ing|s)?(?:\s+by)?|build(?:s|ing)?\s+on|continu(?:ation|e|ed|es|ing)|depend(?:s|ed|ing)?\s+on|discover(?:ed)?\s+from|follow[\s-]?up|relat(?:e|ed|es|ing|ion|ionship)|supersed(?:e|ed|es|ing))\b"
+LINEAGE_BEFORE = r"\b(?:decision|split)\s+from[\s:,\-–—()]*$"
+REREVIEW_BEFORE = r"\b(?:found\s+by(?:\s+an?)?\s+)?re[\s-]?review(?:ed|ing)?(?:\s+of)?[\s:,\-–—()]*$"
+REREVIEW_AFTER = r"^[\s:,\-–—()]{0,16}re[\s-]?review(?:ed|ing)?\b"
+REMOVED_BUT_AFTER = r"^[\s:,\-–—()]{0,16}removed\b[\s\S]{0,64}\bbut\b"
+FROM_BEFORE = r"\bfrom[\s:,\-–—()]*$"
+ADVERSARIAL_REVIEW_AFTER = r"^[\s:,\-–—()]{0,16}adversarial\s+review\b"
+RECIPROCAL_REASONS = ("discriminative-field-phrase", "discriminative-title-alignment", "discriminative-title-token", "sparse-title-alignment")
+TEXT_FIELDS = ("title", "description", "acceptance_criteria", "design")  # notes tell of the past
 TEXT_LIMIT, WINDOW = 4096, 96
 
 
@@ -28,15 +41,41 @@ def lifecycle(left: Column, right: Column) -> Column:
     return F.when(blank, "unknown").when(closed == 0, "active-active").when(closed == 1, "active-closed").otherwise("unknown")
 
 
+def _states_relation(before: Column, after: Column) -> Column:
+    """Whether the wording on the two sides of an id states a relation."""
+    says = lambda text, cue: text.rlike("(?iU)" + cue)
+    around = F.concat(before, F.lit(" issue-reference "), after)  # so that the sides cannot make up a cue together
+    return (
+        says(around, CUE_AROUND) | says(before, LINEAGE_BEFORE) | says(before, REREVIEW_BEFORE) | says(after, REREVIEW_AFTER)
+        | says(after, REMOVED_BUT_AFTER) | (says(before, FROM_BEFORE) & says(after, ADVERSARIAL_REVIEW_AFTER))
+    )
+
+
 def reference_with_cue(text: Column, other_id: Column) -> Column:
-    """Whether the text names an id with a relationship cue within the window around it."""
-    near = F.concat(F.lit(rf"(?is)(.{{0,{WINDOW}}}(?<![A-Za-z0-9_.-])\Q"), other_id, F.lit(rf"\E(?![A-Za-z0-9_-]).{{0,{WINDOW}}})"))
-    return F.exists(F.regexp_extract_all(F.substring(F.coalesce(text, F.lit("")), 1, TEXT_LIMIT), near, 1), lambda w: w.rlike(CUES))
+    """Whether the first ``TEXT_LIMIT`` characters name an id with a relation cue within the window around it.
+
+    The text is cut at the id; the place of each cut follows from the lengths.
+    """
+    text = F.substring(F.coalesce(text, F.lit("")), 1, TEXT_LIMIT)
+    named = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9_.-])\Q"), other_id, F.lit(r"\E(?![A-Za-z0-9_-]|\.[A-Za-z0-9])"))
+    lengths = F.transform(F.split(text, named, -1), F.length)
+    size = F.length(other_id)
+    ends = F.transform(F.sequence(F.lit(1), F.size(lengths)), lambda k: F.aggregate(F.slice(lengths, F.lit(1), k), F.lit(0), lambda s, n: s + n) + (k - 1) * size)
+    starts = F.slice(ends, F.lit(1), F.size(ends) - 1)
+
+    def stated(at: Column) -> Column:
+        first = F.greatest(at - WINDOW, F.lit(0))
+        return _states_relation(F.substring(text, first + 1, at - first), F.substring(text, at + size + 1, F.lit(WINDOW)))
+
+    return F.coalesce((other_id != "") & F.exists(starts, stated), F.lit(False))
 
 
 def ordered_codes(codes: Column) -> Column:
-    """Codes without nulls and repeats in the fixed order."""
-    return F.filter(F.array(*map(F.lit, EVIDENCE_ORDER)), lambda c: F.array_contains(codes, c))
+    """Codes without nulls and repeats in the fixed order; an unknown one fails."""
+    known = F.array(*map(F.lit, EVIDENCE_ORDER))
+    odd = F.array_except(F.filter(codes, lambda c: c.isNotNull()), known)
+    fail = F.raise_error(F.concat(F.lit("unknown freshness evidence code: "), F.array_min(odd))).cast("array<string>")
+    return F.when(F.size(odd) > 0, fail).otherwise(F.filter(known, lambda c: F.array_contains(codes, c)))
 
 
 def consumers(edges: DataFrame, active: DataFrame) -> DataFrame:
@@ -70,13 +109,13 @@ def classify(candidates: DataFrame, records: DataFrame, edges: DataFrame, active
     information.
     """
     complete = scope_complete and not degraded
-    state = lambda key, p: records.select(F.col("id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in ("title", "description", "acceptance_criteria", "design", "status")])
+    state = lambda key, p: records.select(F.col("id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in (*TEXT_FIELDS, "status")])
     rows = candidates.join(state("issue_id", "l"), "issue_id").join(state("related_issue_id", "r"), "related_issue_id")
     rows = direct_codes(rows, edges, records)
     used = third_party_consumer(candidates, edges, active).withColumn("used", F.lit(True))
     rows = rows.join(used, ["issue_id", "related_issue_id"], "left")
-    whole = lambda p: F.concat_ws("\n", *[F.substring(f"{p}_{c}", 1, TEXT_LIMIT) for c in ("title", "description", "acceptance_criteria", "design")])
-    cue = reference_with_cue(whole("l"), F.col("related_issue_id")) | reference_with_cue(whole("r"), F.col("issue_id"))
+    names = [reference_with_cue(F.col(f"{p}_{c}"), F.col(other)) for p, other in (("l", "related_issue_id"), ("r", "issue_id")) for c in TEXT_FIELDS]
+    cue = functools.reduce(operator.or_, names)
     same = (plain_title(F.col("l_title")) != "") & (plain_title(F.col("l_title")) == plain_title(F.col("r_title")))
     rows = rows.withColumns({"cue": cue, "same": same, "life": lifecycle(F.col("l_status"), F.col("r_status"))})
     bound = (F.size("direct") > 0) | F.coalesce("used", F.lit(False))
@@ -89,7 +128,8 @@ def classify(candidates: DataFrame, records: DataFrame, edges: DataFrame, active
     rows = rows.withColumn("likely_action", action)
     a = F.col("likely_action")
     one = lambda test, code: F.when(test, code)
-    wording = F.col("reciprocal_evidence").isNotNull() & (F.col("signal_quality") == "discriminative-local-evidence")
+    reciprocal = F.col("admission_reason") == "reciprocal-neighbor-threshold-exception"
+    wording = reciprocal & F.col("reciprocal_evidence").isin(*RECIPROCAL_REASONS) & (F.col("signal_quality") == "discriminative-local-evidence")
     doubt, other = a == "uncertain", a.isin("duplicate", "superseded-open", "uncertain")
     codes = F.concat(
         F.when(a == "intentional-follow-up", F.col("direct")).otherwise(F.array().cast("array<string>")),
@@ -113,10 +153,16 @@ def classify(candidates: DataFrame, records: DataFrame, edges: DataFrame, active
     return rows.select(*candidates.columns, "likely_action", tier.alias("review_tier"), ordered_codes(codes).alias("evidence_codes"))
 
 
-def queue(assessed: DataFrame, budget: int) -> DataFrame:
-    """The pool re-ranked: actions first, in the order of the old positions; the first ``budget``."""
-    order = Window.orderBy(F.when(F.col("review_tier") == "action", 0).otherwise(1), "likely_action", "position", "issue_id", "related_issue_id")
-    return assessed.withColumn("freshness_position", F.row_number().over(order)).filter(F.col("freshness_position") <= budget)
+def queue(assessed: DataFrame, budget: int | None = None) -> DataFrame:
+    """The pool re-ranked: actions first, then by kind of action, in the order of the old positions; the first ``budget``.
+
+    The pool is a bounded queue, so one task may number it.
+    """
+    place = F.when(F.col("review_tier") == "action", 0).otherwise(1)
+    kind = F.array_position(F.array(*map(F.lit, ACTION_ORDER)), F.col("likely_action"))
+    order = Window.orderBy(place, kind, "position", "kind", "issue_id", "related_issue_id")
+    ranked = assessed.withColumn("freshness_position", F.row_number().over(order))
+    return ranked if budget is None else ranked.filter(F.col("freshness_position") <= budget)
 
 
 def summary(assessed: DataFrame) -> DataFrame:

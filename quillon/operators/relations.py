@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.model import NO_LINK
+from quillon.model import CONTEXT_CLOSED_STATUSES, NO_LINK
 from quillon.sources.records import is_closed
 
 # Kinds that count the same in both directions, and the order in
 # which one relation of a pair is kept.
 SYMMETRIC_TYPES = ("duplicate", "related", "similar")
 RELATION_PRIORITY = ("blocks", "duplicate", "related", "similar")
+CONTEXT_PRIORITY = ("blocks", "depends-on", "duplicate-of", "parent-child", "discovered-from", "relates-to", "similar-to")
 
 
 def normalized_edges(typed: DataFrame, legacy: DataFrame) -> DataFrame:
@@ -169,12 +170,29 @@ def context_edges(edges: DataFrame, records: DataFrame) -> DataFrame:
     return edges.select("source_id", "target_id", "relationship_type").unionByName(parents).distinct()
 
 
-def bounded_neighbours(edges: DataFrame, active: DataFrame, limit: int = 4) -> DataFrame:
-    """Each endpoint's first ``limit`` edges by direction, active counterparts first."""
+def bounded_neighbours(edges: DataFrame, records: DataFrame, limit: int = 4, pairs: DataFrame | None = None) -> DataFrame:
+    """Each endpoint's first ``limit`` edges by direction: ``id, direction, other, relationship_type, place, omitted``.
+
+    Counterparts in the candidate ``pairs (issue_id, related_issue_id)`` come
+    first, then records that are known and not closed, then the kind of relation,
+    then ids. Counts and places are made apart, so that of an endpoint with very
+    many edges each task sends only its first ones.
+    """
+    if limit < 1:
+        raise ValueError("limit must be positive")
     out = edges.select(F.col("source_id").alias("id"), F.lit("outgoing").alias("direction"), F.col("target_id").alias("other"), "relationship_type")
     into = edges.select(F.col("target_id").alias("id"), F.lit("incoming").alias("direction"), F.col("source_id").alias("other"), "relationship_type")
-    rows = out.unionByName(into).join(active.select(F.col("id").alias("other"), F.lit(0).alias("live")), "other", "left")
-    whole = Window.partitionBy("id", "direction")
-    order = whole.orderBy(F.coalesce("live", F.lit(1)), priority(F.col("relationship_type")), "relationship_type", "other")
-    rows = rows.withColumns({"place": F.row_number().over(order), "n": F.count("*").over(whole)}).filter(F.col("place") <= limit)
-    return rows.select("id", "direction", "other", "relationship_type", "place", (F.col("n") - F.least("n", F.lit(limit))).alias("omitted"))
+    both = out.unionByName(into)
+    live = ~F.coalesce(F.lower("status").isin(*CONTEXT_CLOSED_STATUSES), F.lit(False))
+    rows = both.join(records.filter(live).select(F.col("id").alias("other"), F.lit(0).alias("live")), "other", "left")
+    rows = rows.withColumn("near", F.lit(1))
+    if pairs is not None:
+        one = pairs.select(F.col("issue_id").alias("id"), F.col("related_issue_id").alias("other"))
+        ends = one.union(one.select("other", "id")).distinct().withColumn("counterpart", F.lit(0))
+        rows = rows.join(ends, ["id", "other"], "left").withColumn("near", F.coalesce("counterpart", F.lit(1)))
+    kind = priority(F.lower("relationship_type"), CONTEXT_PRIORITY)
+    order = Window.partitionBy("id", "direction").orderBy("near", F.coalesce("live", F.lit(1)), kind, "other", "relationship_type")
+    first = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    counts = both.groupBy("id", "direction").agg(F.count("*").alias("n"))
+    omitted = (F.col("n") - F.least("n", F.lit(limit))).alias("omitted")
+    return first.join(counts, ["id", "direction"]).select("id", "direction", "other", "relationship_type", "place", omitted)

@@ -89,7 +89,8 @@ def select_candidates(requested: DataFrame, policy: CandidatePolicy, baseline: D
     rows = requested
     if baseline is not None:
         marked = baseline.select(*keys).distinct().withColumn("protected", F.lit(True))
-        rows = rows.join(marked, keys, "left")
+        extra = baseline.join(requested.select(*keys), keys, "left_anti").withColumn("protected", F.lit(True))
+        rows = rows.join(marked, keys, "left").unionByName(extra)
         stage = F.when(F.col("protected"), "baseline").otherwise("addition")
     rows = rows.select("kind", "lane", "issue_id", "related_issue_id", "similarity", "admission_reason", "signal_quality", stage.alias("stage"))
     place = [F.when(F.col("stage") == "addition", 1).otherwise(0), *ranking_key()]
@@ -157,17 +158,47 @@ def capped_dependencies(decisions: DataFrame, candidates: DataFrame) -> DataFram
 class ConservationError(ValueError):
     """The dependency funnel lost or made relations; carries counts, never content."""
 
+    def __init__(self, stage: str, balance: dict, counts: dict[str, int]) -> None:
+        parts = ", ".join(f"{p['name']}={p['count']}" for p in (balance["input"], *balance["parts"]))
+        super().__init__(f"typed dependency {stage} funnel does not conserve ({parts}, unaccounted={balance['unaccounted']})")
+        self.receipt = {"code": "typed-dependency-conservation-failed", "lane": "dependency", "stage": stage, "balance": balance, "counts": counts}
+
+
+#: Each stage of the funnel: what goes in, and the sums that must come out.
+ACCOUNTS = (
+    ("discovery", "total_non_parent_typed", {"excluded": ("inactive_or_closed_only", "below_qualification"), "eligible": ("eligible",)}),
+    ("edge-to-candidate", "eligible", {"eligible_candidates": ("eligible_candidates",), "coalesced_eligible_edges": ("coalesced_eligible_edges",)}),
+    ("admission", "eligible_candidates", {"admitted": ("admitted",), "omitted": ("omitted_by_per_issue_cap", "omitted_by_lane_cap", "omitted_by_run_cap")}),
+)
+
+
+def dependency_accounts(funnel: DataFrame, decisions: DataFrame) -> dict[str, int]:
+    """Counts of the funnel's one row and of what selection did with the dependency lane."""
+    reasons = {"omitted_by_per_issue_cap": "dependency-per-issue-cap", "omitted_by_lane_cap": "lane-cap", "omitted_by_run_cap": "run-cap"}
+    counted = [F.count_if(F.col("drop_reason") == r).alias(k) for k, r in reasons.items()]
+    row = decisions.filter("lane = 'dependency'").agg(F.count_if(F.col("decision") == "admitted").alias("admitted"), *counted).first()
+    return {**{k: v for k, v in funnel.first().asDict().items() if k != "unaccounted"}, **row.asDict()}
+
+
+def check_accounts(counts: dict[str, int]) -> dict[str, int]:
+    """The counts, if each stage of the funnel gives out what went in."""
+    for stage, name, parts in ACCOUNTS:
+        sums = [{"name": part, "count": sum(counts[c] for c in columns)} for part, columns in parts.items()]
+        missing = counts[name] - sum(p["count"] for p in sums)
+        if missing:
+            raise ConservationError(stage, {"input": {"name": name, "count": counts[name]}, "parts": sums, "unaccounted": missing}, counts)
+    return counts
+
 
 def with_degradation(run: Callable[[CandidatePolicy], DataFrame], policy: CandidatePolicy) -> tuple[DataFrame, dict | None]:
     """The run, or where its dependency accounts do not balance the run without that lane and a receipt."""
     try:
         return run(policy), None
     except ConservationError as error:
-        wanted = (policy.objectives or frozenset({"overlap", "echo", "structure"})) - {"structure"}
-        kept = [lane for lane in ("echo", "overlap") if lane in wanted]
-        if not kept:
-            raise
-        return run(replace(policy, objectives=wanted, lane_reservations=None)), {"lane": "dependency", "stage": str(error), "retained_lanes": kept}
+        wanted = (frozenset({"overlap", "echo"}) if policy.objectives is None else policy.objectives) - {"structure"}
+        reserved = policy.lane_reservations and {**policy.lane_reservations, "dependency": 0}
+        rows = run(replace(policy, objectives=wanted, max_dependencies=0, lane_reservations=reserved))
+        return rows, {**error.receipt, "degraded_lanes": ["dependency"], "retained_lanes": [lane for lane in ("echo", "overlap") if lane in wanted]}
 
 
 @dataclass(frozen=True, order=True)

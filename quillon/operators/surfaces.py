@@ -17,7 +17,10 @@ REFERENCE_VERBS = "audit check document inspect inventory read reference review
 PATH_PATTERN = r"(?<![\w:/.-])((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+(?:\.[A-Za-z0-9]+|/))(?:(?:::|#)([A-Za-z_][A-Za-z0-9_.-]*))?"
 ROOT_PATTERN = r"`([A-Za-z0-9_.-]+\.[A-Za-z0-9]+)(?:(?:::|#)([A-Za-z_][A-Za-z0-9_.-]*))?`"
 URL_PATTERN = r"(?i)\b[a-z][a-z0-9+.-]*://\S+"
-OBSERVED = "active-worktree-diff"
+OBSERVED, EXPLICIT = "active-worktree-diff", "explicit-reference"
+BEFORE, AFTER = 80, 40  # characters around a mention that tell its intent
+#: Each character of an HTML comment: where one starts, and on from there to its end.
+COMMENT_CHARACTER = r"(?s)(?:(?=<!--.*?-->)|(?!\A)\G(?:(?<!-->)|(?<=<!-->))(?<!\A[^<]))."
 MAX_COMMITTED_PATHS = 250
 
 
@@ -48,19 +51,60 @@ def edit_intent(context: Column) -> Column:
     return F.when(context.rlike(words(EDIT_VERBS)), "likely-edit").when(context.rlike(words(REFERENCE_VERBS)), "reference-only").otherwise("unknown")
 
 
-def path_mentions(texts: DataFrame) -> DataFrame:
-    """``issue_id, path, symbol, source_field`` of ``texts (issue_id, source_field, text)``.
+def _matches(text: Column, pattern: str) -> Column:
+    """``start, end, path, symbol`` of a pattern's matches, with places from 0.
 
-    HTML comments and urls are blanked first; files at the root count only in back-ticks.
+    The text is cut at the matches; places follow from the lengths.
+    """
+    found = lambda k: F.regexp_extract_all(text, F.lit(pattern), k)
+    between = F.transform(F.split(text, pattern, -1), F.length)
+    sizes = F.transform(found(0), F.length)
+    upto = lambda lengths, k: F.aggregate(F.slice(lengths, F.lit(1), k), F.lit(0), lambda s, n: s + n)
+    start = lambda k: upto(between, k + 1) + upto(sizes, k)
+    return F.transform(
+        found(1),
+        lambda path, k: F.struct(start(k).alias("start"), (start(k) + F.get(sizes, k)).alias("end"), path.alias("path"), F.get(found(2), k).alias("symbol")),
+    )
+
+
+def explicit_pointers(texts: DataFrame) -> DataFrame:
+    """``issue_id, source_field, path, symbol, edit_intent, context_kind`` of ``texts (issue_id, source_field, text)``.
+
+    Urls are taken out and HTML comments blanked; files at the root count only in
+    back-ticks. The intent is that of the words from 80 characters before a
+    mention to 40 after it.
     """
-    clean = F.regexp_replace(F.regexp_replace(F.col("text"), r"(?s)<!--.*?-->", " "), URL_PATTERN, " ")
-    found = []
-    for pattern in (PATH_PATTERN, ROOT_PATTERN):
-        pairs = F.arrays_zip(F.regexp_extract_all(clean, F.lit(pattern), 1).alias("p"), F.regexp_extract_all(clean, F.lit(pattern), 2).alias("s"))
-        found.append(pairs)
-    rows = texts.select("issue_id", "source_field", F.explode(F.concat(*found)).alias("m"))
-    rows = rows.select("issue_id", "source_field", normalize_path(F.col("m.p")).alias("path"), F.nullif(F.col("m.s"), F.lit("")).alias("symbol"))
-    return rows.filter("path IS NOT NULL").distinct()
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), URL_PATTERN, " ")
+    clean = F.when(clean.contains("<!--"), F.regexp_replace(clean, COMMENT_CHARACTER, " ")).otherwise(clean)
+    rows = texts.select("issue_id", "source_field", clean.alias("clean"))
+    text = F.col("clean")
+
+    def pointer(m: Column) -> Column:
+        first = F.greatest(m["start"] - BEFORE, F.lit(0))
+        around = F.substring(text, first + 1, m["end"] + AFTER - first)
+        return F.struct(
+            normalize_path(m["path"]).alias("path"), F.nullif(m["symbol"], F.lit("")).alias("symbol"),
+            edit_intent(around).alias("edit_intent"), in_code_fence(text, m["start"]).alias("context_kind"),
+        )
+
+    found = F.concat(_matches(text, PATH_PATTERN), _matches(text, ROOT_PATTERN))
+    rows = rows.select("issue_id", "source_field", F.explode(F.transform(found, pointer)).alias("p"))
+    return rows.select("issue_id", "source_field", "p.path", "p.symbol", "p.edit_intent", "p.context_kind").filter("path IS NOT NULL").distinct()
+
+
+def path_mentions(texts: DataFrame) -> DataFrame:
+    """``issue_id, source_field, path, symbol``: what ``explicit_pointers`` names, however worded."""
+    return explicit_pointers(texts).select("issue_id", "source_field", "path", "symbol").distinct()
+
+
+def observed_pointers(associated: DataFrame, trees: DataFrame, changed: DataFrame) -> DataFrame:
+    """Pointers of the paths that an issue's worktree (``issue_id, path``) was seen to change (``worktree, path``)."""
+    head = trees.select(F.col("path").alias("worktree"), F.col("head").alias("revision"))
+    rows = associated.select("issue_id", F.col("path").alias("worktree")).join(head, "worktree").join(changed, "worktree")
+    facts = {"edit_intent": F.lit("observed-edit"), "context_kind": F.lit("observed-worktree"), "source": F.lit(OBSERVED)}
+    none = F.lit(None).cast("string")
+    rows = rows.select("issue_id", normalize_git_path(F.col("path")).alias("path"), "revision", none.alias("symbol"), none.alias("source_field"))
+    return rows.filter("path IS NOT NULL").withColumns(facts).distinct()
 
 
 def surfaces(pointers: DataFrame) -> DataFrame:
@@ -172,6 +216,30 @@ def worktrees(blocks: DataFrame) -> DataFrame:
     return rows.filter("path IS NOT NULL")
 
 
+def mappings(lines: DataFrame) -> DataFrame:
+    """``issue_id, path`` of ``ID=PATH`` texts in ``value``; an empty side or an id given twice fails."""
+    parts = F.split("value", "=", 2)
+    side = lambda k: F.trim(F.coalesce(F.get(parts, F.lit(k)), F.lit("")))
+    rows = lines.select(side(0).alias("issue_id"), side(1).alias("path"))
+    count = F.count("*").over(Window.partitionBy("issue_id"))
+    empty = (F.col("issue_id") == "") | (F.col("path") == "")
+    fail = F.when(empty, F.raise_error(F.lit("a worktree mapping is not ID=PATH"))).when(count > 1, F.raise_error(F.concat(F.lit("a worktree is mapped twice: "), "issue_id")))
+    return rows.select("issue_id", F.coalesce(fail.cast("string"), F.col("path")).alias("path"))
+
+
+def check_mappings(named: DataFrame, issues: DataFrame, trees: DataFrame) -> DataFrame:
+    """Mappings whose issue is under review and whose path is a worktree of one issue only; others fail."""
+    faults = (
+        (named.join(issues.select("issue_id"), "issue_id", "left_anti"), "a worktree mapping names an issue outside the review"),
+        (named.join(trees.select("path"), "path", "left_anti"), "a mapped path is no worktree"),
+        (named.groupBy("path").count().filter("count > 1"), "a mapped path belongs to another issue already"),
+    )
+    for rows, told in faults:
+        if not rows.isEmpty():
+            raise ValueError(told)
+    return named
+
+
 def associate_worktrees(issues: DataFrame, trees: DataFrame, named: DataFrame) -> DataFrame:
     """``issue_id, path``: which worktree (path, branch) shows an issue's observed changes.
 

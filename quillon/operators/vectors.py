@@ -1,19 +1,28 @@
 """Vectors: normal form, cosine pairs above a threshold, ranks.
 
 All-pairs work is done block against block: rows are dealt to blocks of a bounded
-size, each pair of blocks meets in one task as two matrices, and only pairs that
-pass (or each query's best of a block) leave it. Exact, with memory bounded by
-the block, and the same for a self-join and for two sides.
+size and packed to one binary matrix each before they are copied, each pair of
+blocks meets in one task, and only pairs that pass (or each query's best of a
+tile) leave it. Exact, with memory bounded by the block, and the same for a
+self-join and for two sides.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS, LEAST_ROWS = 4096, 256
+from quillon.functions.text import word_tokens
+from quillon.plans.staging import stage
+
+BLOCK_BYTES, TILE_ROWS, LEAST_ROWS = 8 << 20, 4096, 256
 
 
 def norm(v: Column) -> Column:
@@ -42,34 +51,64 @@ def unit_vectors(rows: DataFrame, id_column: str, vector_column: str) -> DataFra
     return rows.select(F.col(id_column).alias("id"), normalize(F.col(vector_column)).alias("v")).filter("v IS NOT NULL")
 
 
-def _block(count: int) -> Column:
-    return F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+def _packed(rows: DataFrame, block_rows: int | None) -> tuple[DataFrame, int]:
+    """``rows (id, v)`` dealt evenly to blocks, one row with one matrix each, and their number.
+
+    A block has at most ``BLOCK_BYTES`` of numbers, or fewer where there would not
+    be pairs of blocks for all cores. The table is staged: how rows are dealt does
+    not matter, but every reader must see the same blocks.
+    """
+    kind, cores = dict(rows.dtypes)["id"], rows.sparkSession.sparkContext.defaultParallelism
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("width")).first()
+    wanted = min(math.ceil(math.sqrt(2 * cores)), -(-size.n // LEAST_ROWS))
+    blocks = max(1, -(-size.n // block_rows) if block_rows else max(-(-size.n * size.width * 8 // BLOCK_BYTES), wanted))
+
+    def pack(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            n, whole = sum(b.num_rows for b in held), lambda name: pa.concat_arrays([b.column(name) for b in held])
+            matrix = whole("v").flatten().to_numpy(zero_copy_only=False)
+            ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), whole("id"))
+            columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), ids, pa.array([np.ascontiguousarray(matrix, "<f8").tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "m"])
+
+    dealt = rows.select("id", F.col("v").cast("array<double>").alias("v")).repartition(blocks)
+    return stage(dealt.mapInArrow(pack, f"block int, ids array<{kind}>, m binary"), "blocks"), blocks
+
+
+def _no_ids(kind: str) -> np.ndarray:
+    """An empty column of ids, typed: Arrow cannot tell the type of an empty list."""
+    return np.zeros(0, object if kind == "string" else np.int64)
 
 
 def _met(left: DataFrame, right: DataFrame, same: bool, work, schema: str, block_rows: int | None) -> DataFrame:
     """``work(left ids, left matrix, right ids, right matrix)`` for every pair of blocks.
 
-    Blocks are as large as memory allows, but small enough that there are pairs
-    of blocks for all cores.
+    A pair of blocks is one task's group of two rows; within it tiles bound the
+    memory of the scores. With itself a block meets each pair of its tiles once.
     """
-    wanted = int(np.ceil(np.sqrt(2 * left.sparkSession.sparkContext.defaultParallelism)))
-
-    def blocks(rows: DataFrame) -> int:
-        n = max(1, rows.count())
-        return -(-n // block_rows) if block_rows else max(-(-n // BLOCK_ROWS), min(wanted, -(-n // LEAST_ROWS)))
-
-    n_left = blocks(left)
-    n_right = n_left if same else blocks(right)
+    a, n_left = _packed(left, block_rows)
+    b, n_right = (a, n_left) if same else _packed(right, block_rows)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = left.select(F.col("id").alias("a_id"), F.col("v").alias("a_v"), _block(n_left).alias("al"), every(n_right).alias("ar"))
-    b = right.select(F.col("id").alias("b_id"), F.col("v").alias("b_v"), _block(n_right).alias("br"), every(n_left).alias("bl"))
+    a = a.select(F.col("block").alias("al"), every(n_right).alias("ar"), "ids", "m")
+    b = b.select(F.col("block").alias("br"), every(n_left).alias("bl"), "ids", "m")
     if same:
         a, b = a.filter("al <= ar"), b.filter("bl <= br")
 
+    def matrix(row: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.asarray(row["ids"].iloc[0])
+        return ids, np.frombuffer(row["m"].iloc[0], "<f8").reshape(len(ids), -1)
+
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        none = np.array([], object), np.zeros((0, 1))
         if x.empty or y.empty:
-            return work(np.array([], object), np.zeros((0, 1)), np.array([], object), np.zeros((0, 1)))
-        return work(x["a_id"].to_numpy(), np.stack(x["a_v"].to_numpy()), y["b_id"].to_numpy(), np.stack(y["b_v"].to_numpy()))
+            return work(*none, *none)
+        (li, lv), (ri, rv), out = matrix(x), matrix(y), []
+        itself = same and x["al"].iloc[0] == x["ar"].iloc[0]
+        for p in range(0, len(li), TILE_ROWS):
+            for q in range(p if itself else 0, len(ri), TILE_ROWS):
+                out.append(work(li[p : p + TILE_ROWS], lv[p : p + TILE_ROWS], ri[q : q + TILE_ROWS], rv[q : q + TILE_ROWS]))
+        return pd.concat(out, ignore_index=True)
 
     return a.groupBy("al", "ar").cogroup(b.groupBy("bl", "br")).applyInPandas(meet, schema)
 
@@ -85,7 +124,7 @@ def pairs_above(left: DataFrame, right: DataFrame | None, threshold: float, bloc
 
     def work(li, lv, ri, rv) -> pd.DataFrame:
         if not len(li) or not len(ri):
-            return pd.DataFrame({"left_id": [], "right_id": [], "score": []})
+            return pd.DataFrame({"left_id": _no_ids(kind), "right_id": _no_ids(kind), "score": np.zeros(0)})
         scores = np.clip(lv @ rv.T, -1.0, 1.0)
         i, j = np.nonzero(scores >= threshold)
         out = pd.DataFrame({"left_id": li[i], "right_id": ri[j], "score": scores[i, j]})
@@ -109,7 +148,7 @@ def top_ranks(queries: DataFrame, candidates: DataFrame, limit: int, block_rows:
 
     def work(qi, qv, ci, cv) -> pd.DataFrame:
         if not len(qi) or not len(ci):
-            return pd.DataFrame({"query_id": [], "candidate_id": [], "score": []})
+            return pd.DataFrame({"query_id": _no_ids(kind), "candidate_id": _no_ids(kind), "score": np.zeros(0)})
         scores = np.clip(qv @ cv.T, -1.0, 1.0)
         scores = np.where(qi[:, None] == ci[None, :], -np.inf, scores)
         if limit < scores.shape[1]:
@@ -125,6 +164,38 @@ def top_ranks(queries: DataFrame, candidates: DataFrame, limit: int, block_rows:
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
+def _slots(buckets: int):
+    """Bucket and sign of words, by their BLAKE2b digest of 16 bytes."""
+
+    @F.pandas_udf("struct<k:int,sign:double>")
+    def of(words: pd.Series) -> pd.DataFrame:
+        memo: dict[str, tuple[int, float]] = {}
+        for word in words.unique():
+            digest = hashlib.blake2b(word.encode(), digest_size=16).digest()
+            memo[word] = int.from_bytes(digest[:8], "big") % buckets, 1.0 if digest[8] & 1 else -1.0
+        return pd.DataFrame([memo[w] for w in words], columns=["k", "sign"])
+
+    return of
+
+
+def hashing_vectors(texts: DataFrame, buckets: int = 64) -> DataFrame:
+    """``id, v``: unit vectors of signed word counts of ``texts (id, text)``.
+
+    Words are counted before they are hashed and summed by bucket before a vector
+    is made, so a long text gives at most ``buckets`` rows. Where all cancels, or
+    there is no word, the first bucket is 1.
+    """
+    if buckets < 2:
+        raise ValueError("there must be two buckets or more")
+    counts = texts.select("id", F.explode(word_tokens(F.col("text"))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
+    slots = counts.withColumn("s", _slots(buckets)("w")).groupBy("id", "s.k").agg(F.sum(F.col("n") * F.col("s.sign")).alias("x"))
+    found = slots.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("m"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
+    first = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda k: F.when(k == 0, 1.0).otherwise(0.0))
+    rows = found.select("id", filled.alias("e")).withColumn("e", F.when(F.forall("e", lambda x: x == 0), first).otherwise(F.col("e")))
+    return unit_vectors(rows, "id", "e")
+
+
 def scored(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Pairs with the score of their vectors; both ids must have one."""
     a = vectors.select(F.col("id").alias("left_id"), F.col("v").alias("lv"))
@@ -169,7 +240,7 @@ def pair_ranks(pairs: DataFrame, vectors: DataFrame, pool: DataFrame, block_rows
 
     def work(keys, both, pi, pv) -> pd.DataFrame:
         if not len(keys) or not len(pi):
-            return pd.DataFrame({"key": [], "score": [], "ahead": []})
+            return pd.DataFrame({"key": _no_ids("string"), "score": np.zeros(0), "ahead": np.zeros(0, np.int64)})
         width = both.shape[1] // 2
         ends = np.array([k.split("\x1f") for k in keys], object)
         score = np.clip(np.einsum("ij,ij->i", both[:, :width], both[:, width:]), -1.0, 1.0)

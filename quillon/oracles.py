@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillon.functions.text import FUNCTION_WORDS, GENERIC_TOKENS, WORKFLOW_TERMS
+from quillon.operators.freshness import EVIDENCE_ORDER
 from quillon.operators.surfaces import CODE_EXTENSIONS, DIRECTORY_ROOTS, IGNORED_PARTS
 
 STOPS = "about after also been before being between from have into only should that their then this through using when where with".split()
@@ -140,13 +141,13 @@ def _pick(*names: str) -> str:
 
 
 _PTR = f"""pointers AS (SELECT DISTINCT l_orderkey AS issue_id, 'src/m' || l_partkey // 10 || '/f' || l_partkey || '.py' AS path,
-    CASE WHEN l_orderkey % 5 = 0 THEN 'active-worktree-diff' ELSE 'explicit-text' END AS source,
+    CASE WHEN l_orderkey % 5 = 0 THEN 'active-worktree-diff' ELSE 'explicit-reference' END AS source,
     CASE WHEN l_orderkey % 5 = 0 THEN 'observed-edit' ELSE {_pick('likely-edit', 'reference-only', 'unknown')} END AS edit_intent,
     CASE WHEN l_orderkey % 5 = 0 THEN 'observed-worktree' ELSE {_pick('prose', 'code-fence')} END AS context_kind,
     {_pick('existing', 'missing', 'unavailable', 'existing')} AS path_presence,
     CASE WHEN l_orderkey % 5 = 0 THEN 'r' || l_orderkey % 3 END AS revision, {_pick('title', 'description')} AS source_field,
     'src/m' || l_partkey // 10 AS module
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' AND o_orderpriority LIKE '1%'),
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 surf AS (SELECT issue_id, kind, surface, bool_or(source = 'active-worktree-diff') AS observed FROM (
     SELECT issue_id, source, 'path' AS kind, path AS surface FROM pointers UNION ALL SELECT issue_id, source, 'module', module FROM pointers) GROUP BY ALL),
 hub AS (SELECT kind, surface, count(*) AS issue_count FROM surf GROUP BY ALL HAVING count(*) > 5),
@@ -157,7 +158,8 @@ sp AS (SELECT issue_id, related_issue_id, list_sort(coalesce(list(DISTINCT surfa
     list_sort(coalesce(list(DISTINCT surface) FILTER (kind = 'module' AND observed), []))[:8] AS modules FROM shared GROUP BY ALL),
 pairs AS (SELECT * FROM sp WHERE len(paths) + len(modules) > 0),
 facts AS (SELECT p.issue_id, p.related_issue_id, paths, modules, q.*EXCLUDE (issue_id), q.issue_id = p.issue_id AS is_left,
-    list_contains(paths, path) OR list_contains(modules, module) AS hit FROM pairs p JOIN pointers q ON q.issue_id IN (p.issue_id, p.related_issue_id)),
+    list_contains(paths, path) OR list_contains(modules, module) AS hit
+  FROM (SELECT *, issue_id AS one FROM pairs UNION ALL SELECT *, related_issue_id FROM pairs) p JOIN pointers q ON q.issue_id = p.one),
 agg AS (SELECT issue_id, related_issue_id, any_value(paths) AS paths, any_value(modules) AS modules,
     coalesce(bool_or(source = 'active-worktree-diff') FILTER (hit AND is_left), false)::int + coalesce(bool_or(source = 'active-worktree-diff') FILTER (hit AND NOT is_left), false)::int AS sides,
     list_sort(list(DISTINCT source) FILTER (hit)) AS sources, list(DISTINCT edit_intent) FILTER (hit) AS intents, list(DISTINCT context_kind) FILTER (hit) AS contexts,
@@ -185,6 +187,62 @@ _SNAP = """now AS (SELECT * REPLACE (CASE WHEN n % 10 = 0 THEN 'resolved' ELSE s
 before AS (SELECT * FROM records WHERE n % 23 <> 0)"""
 
 
+#: Case folding and NFKC of the letters that the tables have.
+_FOLDED = "replace(lower({}), 'ß', 'ss')"
+_PLAIN = "array_to_string(regexp_extract_all(" + _FOLDED + ", '[\\p{{L}}\\p{{N}}]+'), ' ')"
+
+
+def _freshness() -> str:
+    """CTEs up to ``assessed``: the pool with positions and what freshness says of it.
+
+    A cue counts where it stands within 96 characters of the id; the rarer
+    wordings are left to the tests, as no text of the tables holds an id.
+    """
+    cue = r"(after|before|block|builds? on|continu|depends? on|discovered from|follow-up|relat|supersed)"
+    fields = ("title", "description", "acceptance_criteria", "design")
+    named = " OR ".join(f"regexp_matches(substr({a}.{f}, 1, 4096), '(?is){cue}.{{0,96}}' || {b} || '|' || {b} || '.{{0,96}}{cue}')" for a, b in (("l", "p.related_issue_id"), ("r", "p.issue_id")) for f in fields)
+    order = _list(EVIDENCE_ORDER)
+    return f"""{_qualified()},
+placed AS (SELECT *, (row_number() OVER (ORDER BY {_KEY}))::int AS position FROM qualified),
+bonds AS (SELECT least(source_id, target_id) AS lo, greatest(source_id, target_id) AS hi, relationship_type AS t FROM edges WHERE relationship_type IN ('parent-child', 'blocks', 'depends-on', 'discovered-from')
+  UNION SELECT least(id, parent_id), greatest(id, parent_id), 'parent-child' FROM records WHERE parent_id IS NOT NULL),
+bound AS (SELECT lo, hi, list('direct-' || t) AS direct FROM bonds GROUP BY ALL),
+used AS (SELECT DISTINCT issue_id, related_issue_id FROM placed JOIN edges e ON e.target_id IN (issue_id, related_issue_id) WHERE e.source_id NOT IN (issue_id, related_issue_id) AND e.source_id IN (SELECT id FROM active)),
+seen AS (SELECT p.*, coalesce(bound.direct, []) AS direct, used.issue_id IS NOT NULL AS consumed, {named} AS cue,
+    {_PLAIN.format('l.title')} <> '' AND {_PLAIN.format('l.title')} = {_PLAIN.format('r.title')} AS same,
+    CASE (l.status = 'closed')::int + (r.status = 'closed')::int WHEN 0 THEN 'active-active' WHEN 1 THEN 'active-closed' ELSE 'unknown' END AS life
+  FROM placed p JOIN records l ON l.id = p.issue_id JOIN records r ON r.id = p.related_issue_id
+  LEFT JOIN bound ON lo = least(p.issue_id, p.related_issue_id) AND hi = greatest(p.issue_id, p.related_issue_id)
+  LEFT JOIN used ON used.issue_id = p.issue_id AND used.related_issue_id = p.related_issue_id),
+acts AS (SELECT *, CASE WHEN len(direct) > 0 OR consumed THEN 'intentional-follow-up' WHEN cue THEN 'missing-relation' WHEN same AND life = 'active-active' THEN 'duplicate' WHEN same AND life = 'active-closed' THEN 'superseded-open' ELSE 'uncertain' END AS likely_action FROM seen),
+coded AS (SELECT *, CASE WHEN likely_action = 'intentional-follow-up' THEN direct ELSE [] END || list_filter([
+    CASE WHEN likely_action = 'intentional-follow-up' AND consumed THEN 'active-incoming-consumer' END,
+    CASE WHEN cue AND likely_action <> 'intentional-follow-up' THEN 'explicit-issue-id-reference' END, CASE WHEN cue AND likely_action <> 'intentional-follow-up' THEN 'bounded-relationship-cue' END,
+    'relationship-scope-complete', CASE WHEN likely_action = 'missing-relation' THEN 'no-direct-explanatory-relationship' END,
+    CASE WHEN same AND likely_action IN ('duplicate', 'superseded-open', 'uncertain') THEN 'exact-normalized-title' END, CASE WHEN same AND likely_action IN ('duplicate', 'superseded-open', 'uncertain') THEN 'lifecycle-' || life END,
+    CASE WHEN likely_action = 'uncertain' THEN 'candidate-' || kind END,
+    CASE WHEN likely_action = 'uncertain' AND admission_reason = 'reciprocal-neighbor-threshold-exception' AND reciprocal_evidence IS NOT NULL AND signal_quality = 'discriminative-local-evidence' THEN 'reciprocal-local-evidence' END,
+    CASE WHEN likely_action = 'uncertain' AND admission_reason = 'semantic-threshold' THEN 'semantic-threshold-admission' END,
+    CASE WHEN likely_action = 'uncertain' THEN 'semantic-candidate-only' END,
+    CASE WHEN likely_action = 'uncertain' AND NOT same AND NOT cue THEN 'no-actionable-evidence' END], lambda c: c IS NOT NULL) AS codes FROM acts),
+assessed AS (SELECT kind, issue_id, related_issue_id, position, likely_action, CASE WHEN likely_action IN ('missing-relation', 'duplicate', 'superseded-open') THEN 'action' ELSE 'informational' END AS review_tier,
+  array_to_string(list_filter({order}, lambda c: list_contains(codes, c)), ',') AS evidence_codes FROM coded)"""
+
+
+def _mentions() -> str:
+    """Paths that documents name: urls and comments blanked, a path after no path character."""
+    n = "doc_id"
+    made = f"printf('Update src/mod%d/file%d.py::run_%d and `README%d.md`, see https://x.example/src/a.py <!-- docs/b.md --> then review docs/parser%d/ or foo/bar', {n} % 7, {n} % 23, {n} % 3, {n} % 5, {n} % 4)"
+    clean = rf"regexp_replace(regexp_replace(coalesce(text, '') || chr(10) || {made}, '(?s)<!--.*?-->', ' ', 'g'), '(?i)\b[a-z][a-z0-9+.-]*://\S+', ' ', 'g')"
+    path = r"(?:^|[^\w:/.-])((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+(?:\.[A-Za-z0-9]+|/))(?:(?:::|#)([A-Za-z_][A-Za-z0-9_.-]*))?"
+    root = r"`([A-Za-z0-9_.-]+\.[A-Za-z0-9]+)(?:(?:::|#)([A-Za-z_][A-Za-z0-9_.-]*))?`"
+    both = lambda k: f"regexp_extract_all(clean, '{path}', {k}) || regexp_extract_all(clean, '{root}', {k})"
+    return f"""WITH t AS (SELECT {n} AS issue_id, {clean} AS clean FROM documents),
+m AS (SELECT issue_id, unnest({both(1)}) AS raw, unnest({both(2)}) AS symbol FROM t),
+{_path_ctes('m')}
+SELECT DISTINCT issue_id, 'title' AS source_field, path, nullif(symbol, '') AS symbol FROM d WHERE path IS NOT NULL"""
+
+
 def _print() -> str:
     parts = ", ".join(f"coalesce('=' || {c}::varchar, '-')" for c in ("id", "title", "status", "priority", "parent_id"))
     return f"sha256(concat_ws(chr(31), {parts}))"
@@ -218,9 +276,9 @@ def queries() -> dict[str, str]:
         "flt9_version_gate": "SELECT DISTINCT version, (a, b, c) >= (1, 0, 5) AND NOT starts_with(version, '1.0.5-') AS compatible FROM (SELECT p_size % 3 AS a, p_partkey % 2 AS b, p_partkey % 9 AS c, (p_size % 3) || '.' || (p_partkey % 2) || '.' || (p_partkey % 9) || CASE WHEN p_partkey % 10 = 0 THEN '-rc1' ELSE '' END AS version FROM part)",
         "src3_envelope": "SELECT role AS status, count(*) AS n, sum(length(text))::bigint AS chars FROM conversations GROUP BY role",
         "src18_synthetic": "SELECT printf('synthetic-%04d', i) AS id, 'work ' || i % 211 || ' part ' || i % 80 AS title, CASE WHEN i >= 750 THEN 'closed' ELSE 'open' END AS status FROM range(1000) t(i)",
-        "str1_normalized_text": f"SELECT doc_id, md5({_normal('text', 2000)}) AS digest FROM documents",
-        "str2_canonical_text": base + f", p AS (SELECT id, {_normal('title', 12000)} AS t, {_normal('description', 12000)} AS d, {_normal('acceptance_criteria', 12000)} AS a FROM records) SELECT id, md5(concat_ws(chr(10) || chr(10), CASE WHEN t <> '' THEN 'Title:' || chr(10) || t END, CASE WHEN t <> '' THEN 'Title emphasis:' || chr(10) || t END, CASE WHEN d <> '' THEN 'Description:' || chr(10) || d END, CASE WHEN a <> '' THEN 'Acceptance criteria:' || chr(10) || a END)) AS digest FROM p",
-        "str3_field_views": base + f", v AS (SELECT 'title' AS field, {_normal('title', 12000)} AS t FROM records UNION ALL SELECT 'description', {_normal('description', 12000)} FROM records UNION ALL SELECT 'acceptance_criteria', {_normal('acceptance_criteria', 12000)} FROM records) SELECT field, count(*) AS records, sum(length(t))::bigint AS chars FROM v WHERE t <> '' GROUP BY field",
+        "str1_normalized_text": f"SELECT doc_id, md5({_normal('text', 16000)}) AS digest FROM documents",
+        "str2_canonical_text": base + f", p AS (SELECT id, {_normal('title', 16000)} AS t, {_normal('description', 16000)} AS d, {_normal('acceptance_criteria', 16000)} AS a FROM records) SELECT id, md5(concat_ws(chr(10) || chr(10), CASE WHEN t <> '' THEN 'Title:' || chr(10) || t END, CASE WHEN t <> '' THEN 'Title emphasis:' || chr(10) || t END, CASE WHEN d <> '' THEN 'Description:' || chr(10) || d END, CASE WHEN a <> '' THEN 'Acceptance criteria:' || chr(10) || a END)) AS digest FROM p",
+        "str3_field_views": base + f", v AS (SELECT 'title' AS field, {_normal('title', 16000)} AS t FROM records UNION ALL SELECT 'description', {_normal('description', 16000)} FROM records UNION ALL SELECT 'acceptance_criteria', {_normal('acceptance_criteria', 16000)} FROM records) SELECT field, count(*) AS records, sum(length(t))::bigint AS chars FROM v WHERE t <> '' GROUP BY field",
         "str5_reciprocal_tokens": base + f", t AS (SELECT id, {_tokens('description')} AS k FROM records) SELECT id, len(k)::int AS tokens, md5(array_to_string(k, ' ')) AS digest FROM t",
         "str6_sparse_titles": base + f" SELECT id, array_to_string(list_sort(list_filter(list_distinct({_LONG.format('title')}), lambda t: NOT list_contains({_list(FUNCTION_WORDS)}, t))), ' ') AS tokens FROM records",
         "str7_explain_tokens": base + f" SELECT id, len(list_distinct(list_filter(regexp_extract_all(lower(description), '[a-z0-9]+'), lambda t: length(t) >= 3 AND NOT list_contains({_list(STOPS)}, t))))::int AS tokens FROM records",
@@ -239,10 +297,10 @@ def queries() -> dict[str, str]:
         "flt3_scoped_pairs": vec + f" SELECT left_id, right_id FROM ({_upper('avec', 0.3)}) WHERE right(left_id, 1) IN ('3', '7') OR right(right_id, 1) IN ('3', '7')",
         "win1_top_ranks": vec + f", {_RANK.format(k='', a='vec', b='vec')} SELECT query_id, candidate_id, rank::int AS rank FROM ranked WHERE rank <= 5",
         "win2_rank_tables": vec + f", {_RANK.format(k='_o', a='avec', b='avec')}, {_RANK.format(k='_ac', a='avec', b='cvec')}, {_RANK.format(k='_ca', a='cvec', b='avec')} SELECT 'overlap' AS kind, query_id, candidate_id, rank::int AS rank FROM ranked_o WHERE rank <= 5 UNION ALL SELECT 'active_to_closed', query_id, candidate_id, rank FROM ranked_ac WHERE rank <= 5 UNION ALL SELECT 'closed_to_active', query_id, candidate_id, rank FROM ranked_ca WHERE rank <= 5",
-        "win3_mutual_neighbours": vec + f", {_RANK.format(k='', a='avec', b='avec')} SELECT a.query_id AS left_id, a.candidate_id AS right_id, a.rank::int AS left_rank, b.rank::int AS right_rank FROM ranked a JOIN ranked b ON a.query_id = b.candidate_id AND a.candidate_id = b.query_id WHERE a.rank <= 5 AND b.rank <= 5 AND a.query_id < a.candidate_id",
-        "win4_target_rank": vec + f", {_RANK.format(k='', a='vec', b='vec')} SELECT query_id, candidate_id, rank::int AS rank FROM ranked WHERE query_id IN ('doc-000003', 'doc-000010') AND right(candidate_id, 2) = '50'",
+        "win3_mutual_neighbours": vec + f", {_RANK.format(k='', a='avec', b='avec')}, near AS MATERIALIZED (SELECT query_id, candidate_id, rank::int AS rank FROM ranked WHERE rank <= 5) SELECT a.query_id AS left_id, a.candidate_id AS right_id, a.rank AS left_rank, b.rank AS right_rank FROM near a JOIN near b ON a.query_id = b.candidate_id AND a.candidate_id = b.query_id WHERE a.query_id < a.candidate_id",
+        "win4_target_rank": full + f", {_RANK.format(k='', a='vec', b='vec')} SELECT query_id, candidate_id, rank::int AS rank FROM ranked WHERE (query_id, candidate_id) IN (SELECT (source_id, target_id) FROM edges)",
         "srt4_nearest_neighbours": "WITH e AS (SELECT vec_id AS id, list_transform(embedding::double[], lambda x: x / sqrt(list_sum(list_transform(embedding::double[], lambda y: y * y)))) AS v FROM embeddings), " + _RANK.format(k="", a="e", b="e") + " SELECT query_id, candidate_id, rank::int AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 5",
-        "srt5_full_ranking": vec + f", {_RANK.format(k='', a='vec', b='vec')} SELECT candidate_id, rank::int AS rank, round(score, 6) AS score FROM ranked WHERE query_id = 'doc-000007'",
+        "srt5_full_ranking": vec + f", {_RANK.format(k='', a='vec', b='vec')} SELECT query_id, candidate_id, rank::int AS rank, round(score, 6) AS score FROM ranked WHERE substr(query_id, 5)::int % 50 = 0",
         "agg13_density": vec + " SELECT a.id, round(sum(list_dot_product(a.v, b.v)), 6) AS total FROM avec a CROSS JOIN avec b GROUP BY a.id",
         "agg1_relation_types": edged + " SELECT relationship_type, count(*) AS edges FROM typed GROUP BY relationship_type",
         "jon5_edge_endpoints": edged + " SELECT e.*, s.status AS source_status, t.status AS target_status FROM edges e LEFT JOIN records s ON s.id = source_id LEFT JOIN records t ON t.id = target_id",
@@ -296,7 +354,7 @@ def queries() -> dict[str, str]:
         "agg24_tf_idf": f"WITH {_TFIDF} SELECT id, token, round(weight, 6) AS weight FROM weights",
         "mth5_sparse_scores": f"WITH {_TFIDF}, p AS (SELECT item_id AS left_id, item_id + 1 AS right_id FROM benchmark), s AS (SELECT left_id, right_id, sum(a.weight * b.weight) AS s FROM p JOIN weights a ON a.id = left_id JOIN weights b ON b.id = right_id AND b.token = a.token GROUP BY ALL) SELECT left_id, right_id, round(coalesce(s, 0), 6) AS score FROM p LEFT JOIN s USING (left_id, right_id)",
         "mth4_dice": edged + f", k AS (SELECT id, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda t: length(t) >= 3 AND NOT list_contains({_list(STOPS)}, t))) AS t FROM records), p AS (SELECT DISTINCT source_id, target_id FROM edges) SELECT source_id, target_id, round(CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0 ELSE 2.0::double * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)) END, 3) AS dice FROM p JOIN k a ON a.id = source_id JOIN k b ON b.id = target_id",
-        "win7_stratified_sample": vec + f", p AS ({_upper('avec', 0.3)}), r AS (SELECT left_id || '|' || right_id AS candidate_id, CASE WHEN right(left_id, 1) < '5' THEN 'echo' ELSE 'overlap' END AS lane, row_number() OVER (ORDER BY round(score, 6) DESC, left_id || '|' || right_id) AS rank FROM p), b AS (SELECT *, CASE WHEN rank <= 20 THEN '1-20' WHEN rank <= 50 THEN '21-50' ELSE '51-100' END AS bucket FROM r WHERE rank <= 100), c AS (SELECT *, row_number() OVER (PARTITION BY lane, bucket ORDER BY sha256('seed|sample|' || candidate_id)) AS k FROM b) SELECT candidate_id, lane, rank::int AS rank, bucket, 'review-' || lpad((row_number() OVER (ORDER BY sha256('seed|review|' || candidate_id)))::varchar, 3, '0') AS review_id FROM c WHERE k <= 5",
+        "win7_stratified_sample": vec + f", p AS ({_upper('avec', 0.3)}), r AS (SELECT left_id || '|' || right_id AS candidate_id, CASE WHEN right(left_id, 1) < '5' THEN 'echo' ELSE 'overlap' END AS lane, row_number() OVER (ORDER BY round(score, 6) DESC, left_id || '|' || right_id) AS rank FROM p), b AS (SELECT *, CASE WHEN rank <= 20 THEN '1-20' WHEN rank <= 50 THEN '21-50' ELSE '51-100' END AS bucket FROM r WHERE rank <= 100), c AS (SELECT *, row_number() OVER (PARTITION BY lane, bucket ORDER BY sha256('seed' || chr(0) || 'stratum' || chr(0) || candidate_id)) AS k FROM b) SELECT candidate_id, lane, rank::int AS rank, bucket, 'review-' || lpad((row_number() OVER (ORDER BY sha256('seed' || chr(0) || 'blind-review-order' || chr(0) || candidate_id)))::varchar, 3, '0') AS review_id FROM c WHERE k <= 5",
         "agg26_export_summary": base + " SELECT count(*) AS issues, count(*) FILTER (status <> 'closed') AS active, count(*) FILTER (status = 'closed') AS closed FROM records",
     }
     out["jon4_scores"] = f"SELECT count(*) AS pairs, round(avg(score), 6) AS mean_score FROM ({out['mth2_cosine']})"
@@ -307,29 +365,36 @@ def queries() -> dict[str, str]:
     inside = "(SELECT * FROM typed WHERE source_id IN (SELECT id FROM active) AND target_id IN (SELECT id FROM active))"
     touch = "(source_id IN (SELECT id FROM active))::int + (target_id IN (SELECT id FROM active))::int"
     out["agg12_relation_accounting"] = edged + f" SELECT count(*) AS raw, count(*) FILTER (n = 1) AS omitted_boundary, count(*) FILTER (n = 0) AS unrelated, (SELECT count(*) FROM {canonical.format(inside)} WHERE k = 1) AS retained, (SELECT sum(collapsed)::bigint FROM {canonical.format(inside)} WHERE k = 1) AS collapsed, 0::bigint AS unaccounted FROM (SELECT {touch} AS n FROM typed)"
-    out["win6_bounded_neighbours"] = edged + f", c AS (SELECT source_id, target_id, relationship_type FROM edges UNION SELECT id, parent_id, 'parent-child' FROM records WHERE parent_id IS NOT NULL), b AS (SELECT source_id AS id, 'outgoing' AS direction, target_id AS other, relationship_type FROM c UNION ALL SELECT target_id, 'incoming', source_id, relationship_type FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY id, direction ORDER BY (other NOT IN (SELECT id FROM active))::int, {order}, relationship_type, other) AS place, count(*) OVER (PARTITION BY id, direction) AS n FROM b) SELECT id, direction, other, relationship_type, place::int AS place, n - least(n, 4) AS omitted FROM k WHERE place <= 4"
+    kinds = "coalesce(list_position(['blocks', 'depends-on', 'duplicate-of', 'parent-child', 'discovered-from', 'relates-to', 'similar-to'], relationship_type), 8)"
+    out["win6_bounded_neighbours"] = edged + f", c AS (SELECT source_id, target_id, relationship_type FROM edges UNION SELECT id, parent_id, 'parent-child' FROM records WHERE parent_id IS NOT NULL), b AS (SELECT source_id AS id, 'outgoing' AS direction, target_id AS other, relationship_type FROM c UNION ALL SELECT target_id, 'incoming', source_id, relationship_type FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY id, direction ORDER BY (other NOT IN (SELECT id FROM records WHERE status <> 'closed'))::int, {kinds}, other, relationship_type) AS place, count(*) OVER (PARTITION BY id, direction) AS n FROM b) SELECT id, direction, other, relationship_type, place::int AS place, n - least(n, 4) AS omitted FROM k WHERE place <= 4"
     out["flt6_paths"] = _path_sql()
     out["src10_worktrees"] = "SELECT '/w/' || lower(n_name) AS path, 'h' || n_nationkey AS head, CASE WHEN n_nationkey % 4 <> 0 THEN 'fix-' || n_nationkey END AS branch FROM nation"
     out["src14_cache_read"] = "SELECT NOT (vec_id % 10 = 0 OR vec_id % 11 = 0) AS hit, count(*) AS vectors FROM embeddings GROUP BY 1"
     out["jon13_batch_evidence"] = vec + f", p AS ({_upper('avec', 0.3)}) SELECT n // 100 AS batch, count(DISTINCT left_id || right_id) AS pairs FROM p JOIN active ON id IN (left_id, right_id) GROUP BY 1"
     out["set9_warnings"] = "SELECT conv_id, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM conversations GROUP BY conv_id"
-    out["prj4_state_mapping"] = "SELECT CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'P' THEN 'in_progress' ELSE 'open' END AS status, CASE WHEN left(o_orderpriority, 1)::int <= 4 THEN left(o_orderpriority, 1)::int END AS priority, count(*) AS records FROM orders GROUP BY ALL"
+    out["prj4_state_mapping"] = "SELECT CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'P' THEN 'in_progress' ELSE 'open' END AS status, left(o_orderpriority, 1)::int - 1 AS priority, count(*) AS records FROM orders GROUP BY ALL"
     out["srt10_bounded_evidence"] = f"WITH {_PTR} SELECT issue_id, array_to_string(list_sort(list(DISTINCT path))[:3], ',') AS paths FROM pointers GROUP BY issue_id"
     out["arr5_connections"] = "SELECT conv_id, turn AS id, role AS name FROM conversations"
     own = ", ".join(f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda t: length(t) >= 3 AND NOT list_contains({_list(STOPS)}, t))) AS {c}" for c in ("title", "description", "acceptance_criteria"))
     dice = "(CASE WHEN len(a.{c}) = 0 OR len(b.{c}) = 0 THEN 0.0::double ELSE round(2.0::double * len(list_intersect(a.{c}, b.{c})) / (len(a.{c}) + len(b.{c})), 3) END)"
     t, ds, ac = (dice.format(c=c) for c in ("title", "description", "acceptance_criteria"))
     out["exp2_patterns"] = qualified + f", own AS (SELECT id, parent_id, {own} FROM records), s AS (SELECT q.kind, q.lane, q.issue_id, q.related_issue_id, {t} AS t, {ds} AS d, {ac} AS a, coalesce(a.parent_id = q.related_issue_id OR b.parent_id = q.issue_id, false) AS fam FROM qualified q JOIN own a ON a.id = q.issue_id JOIN own b ON b.id = q.related_issue_id), f AS (SELECT kind, issue_id, related_issue_id, string_agg(name, ',' ORDER BY v DESC, k) AS names FROM (SELECT kind, issue_id, related_issue_id, 'title' AS name, t AS v, 0 AS k FROM s UNION ALL SELECT kind, issue_id, related_issue_id, 'description', d, 1 FROM s UNION ALL SELECT kind, issue_id, related_issue_id, 'acceptance criteria', a, 2 FROM s) WHERE v > 0 GROUP BY ALL) SELECT s.kind, s.issue_id, s.related_issue_id, CASE WHEN fam THEN 'parent-child' WHEN s.kind = 'completed-work-echo' THEN 'completed-work' WHEN t >= 0.5 AND a >= 0.35 THEN 'same-outcome' WHEN d >= 0.25 THEN 'shared-subsystem' WHEN greatest(t, d, a) > 0 THEN 'vocabulary-only' ELSE 'semantic-only' END AS pattern, CASE WHEN lane = 'dependency' THEN 'structure' WHEN s.kind = 'completed-work-echo' THEN 'echo' ELSE 'overlap' END AS objective, coalesce(names, '') AS evidence_fields, t AS title_score, d AS description_score FROM s LEFT JOIN f USING (kind, issue_id, related_issue_id)"
-    out["mth3_hashing_vectors"] = "SELECT item_id, ('0x' || substr(md5(w), 1, 8))::bigint % 64 AS bucket, sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::int % 2 = 0 THEN 1 ELSE -1 END)::bigint AS value FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark) GROUP BY ALL"
     out["mth6_identifier_score"] = r"WITH t AS (SELECT c_custkey, c_mktsegment || ' AB-' || (c_custkey % 20 + 10) AS t FROM customer) SELECT a.c_custkey, CASE WHEN lower(a.t) = lower(b.t) THEN 1.0::double WHEN list_has_any(regexp_extract_all(a.t, '\b[A-Z]{2,8}-?\d{2,5}\b'), regexp_extract_all(b.t, '\b[A-Z]{2,8}-?\d{2,5}\b')) THEN 0.9 ELSE 0 END AS score FROM t a JOIN t b ON b.c_custkey = a.c_custkey + 20"
     out["mth7_batch_capacities"] = "WITH b AS (SELECT p_partkey, least(p_partkey, greatest(1, (p_partkey + (p_size % 9 + 1) // 2) // (p_size % 9 + 1)))::bigint AS batches FROM part WHERE p_partkey > 0) SELECT p_partkey, batches, p_partkey // batches AS capacity, p_partkey % batches AS larger FROM b"
     out["mth8_lane_reservations"] = "SELECT n::int AS queue, least(CASE n WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE n - 2 * greatest(1, n // 5) END, 75)::int AS dependency, least(CASE WHEN n <= 2 THEN 0 ELSE greatest(1, n // 5) END, 125)::int AS echo, least(CASE WHEN n <= 2 THEN 1 ELSE greatest(1, n // 5) END, 125)::int AS overlap FROM range(1, 301) t(n)"
-    out["str4_words"] = r"WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_''-]+') AS w FROM conversations) SELECT conv_id, turn, greatest(len(w), 1)::int AS words, md5(array_to_string(w, ' ')) AS digest FROM w"
-    out["str8_plain_titles"] = base + r" SELECT id, array_to_string(regexp_extract_all(lower(title), '[\p{L}\p{M}\p{N}]+'), ' ') AS title FROM records"
-    out["str16_label_types"] = "SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), 'bug|brass') THEN 'bug' WHEN regexp_matches(lower(p_type), 'feature|steel') THEN 'feature' WHEN regexp_matches(lower(p_type), 'epic|copper') THEN 'epic' ELSE 'task' END AS issue_type, CASE WHEN p_size % 7 <= 4 THEN (p_size % 7)::int END AS priority FROM part"
+    out["str4_words"] = f"WITH w AS (SELECT conv_id, turn, regexp_extract_all({_FOLDED.format('text')}, '[\\p{{L}}\\p{{N}}_''-]+') AS w FROM conversations) SELECT conv_id, turn, greatest(len(w), 1)::int AS words, md5(array_to_string(w, ' ')) AS digest FROM w"
+    out["str8_plain_titles"] = base + f" SELECT id, {_PLAIN.format('title')} AS title FROM records"
+    out["str16_label_types"] = "SELECT p_partkey, ['bug', 'bug', 'feature', 'feature', 'task'][p_partkey % 5 + 1] AS issue_type, [0, 1, 3, 3, 0, 2, 1][p_size % 7 + 1]::int AS priority FROM part"
     out["str18_mappings"] = "SELECT n_nationkey::varchar AS id, '/w/' || n_name || '=x' AS path FROM nation"
     out["agg16_pair_quality"] = full + f", p AS (SELECT source_id AS left_id, min(target_id) AS right_id FROM edges WHERE relationship_type = 'blocks' GROUP BY 1), k AS (SELECT left_id, right_id, max(list_dot_product(a.v, b.v)) FILTER (b.id = right_id) AS own, max(list_dot_product(a.v, b.v)) FILTER (b.id <> right_id) AS other FROM p JOIN vec a ON a.id = left_id JOIN vec b ON b.id <> left_id WHERE right_id IN (SELECT id FROM vec) GROUP BY ALL) SELECT round(avg((own > other)::int), 6) AS recall_at_1, round(median(own - other), 6) AS median_margin FROM k"
     out["agg17_medians"] = "SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY event_type"
+    assessed = f"WITH {_freshness()}"
+    out["frs1_freshness"] = assessed + " SELECT kind, issue_id, related_issue_id, likely_action, review_tier, evidence_codes FROM assessed"
+    out["agg23_freshness_summary"] = assessed + " SELECT coalesce(likely_action, 'all') AS likely_action, coalesce(review_tier, 'all') AS review_tier, count(*) AS pairs FROM assessed GROUP BY CUBE (likely_action, review_tier)"
+    acts = "list_position(['duplicate', 'superseded-open', 'missing-relation', 'uncertain', 'intentional-follow-up'], likely_action)"
+    out["win10_freshness_queue"] = assessed + f", q AS (SELECT *, (row_number() OVER (ORDER BY review_tier <> 'action', {acts}, position, kind, issue_id, related_issue_id))::int AS freshness_position FROM assessed) SELECT kind, issue_id, related_issue_id, position, freshness_position FROM q WHERE freshness_position <= 20"
+    out["arr4_ordered_distinct"] = r"WITH w AS (SELECT item_id, string_split_regex(lower(text), '[ \n]') AS w FROM benchmark) SELECT item_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words FROM w"
+    out["str10_path_mentions"] = _mentions()
     out["set3_shared_modules"] = f"WITH {_PTR}, m AS (SELECT issue_id, list_sort(list(DISTINCT module)) AS m FROM pointers GROUP BY 1) SELECT a.issue_id, array_to_string(list_filter(a.m, lambda x: list_contains(b.m, x)), ',') AS shared FROM m a JOIN m b ON b.issue_id = a.issue_id + 1"
     out["set5_additions"] = f"SELECT kind, lane, count(*) AS candidates FROM (WITH {_qualified(0.32, 0.36)} SELECT kind, lane, issue_id, related_issue_id FROM qualified) WHERE (kind, issue_id, related_issue_id) NOT IN ({qualified} SELECT (kind, issue_id, related_issue_id) FROM qualified) GROUP BY ALL"
     out["srt9_queue_receipt"] = vec + f" SELECT count(*) AS available, least(count(*), 20) AS queued, CASE WHEN count(*) > 20 THEN 'budget-reached' ELSE 'source-exhausted' END AS reason FROM ({_upper('avec', 0.34)})"
@@ -340,16 +405,22 @@ def queries() -> dict[str, str]:
     return out
 
 
-def _path_sql() -> str:
+def _path_ctes(rows: str) -> str:
+    """CTEs up to ``d``: ``rows`` with ``raw`` in normal form as ``path``."""
     strip = r"""regexp_replace(raw, '^[`''"()\[\]{}<>,;:]+|[`''"()\[\]{}<>,;:]+$', '', 'g')"""
     parts = "list_filter(string_split({}, '/'), lambda p: p NOT IN ('', '.'))"
     bad = f"list_has_any({{}}, {_list(['..', *IGNORED_PARTS])})"
-    return rf"""WITH r AS (SELECT p_partkey, printf({_PATHS}[p_partkey % 10 + 1], p_partkey) AS raw FROM part),
-a AS (SELECT *, replace({strip}, '\', '/') AS t, regexp_replace(replace(trim(raw), '\', '/'), '/+$', '') AS g FROM r),
+    return rf"""a AS (SELECT *, replace({strip}, '\', '/') AS t, regexp_replace(replace(trim(raw), '\', '/'), '/+$', '') AS g FROM {rows}),
 b AS (SELECT *, ends_with(t, '/') AS folder, regexp_replace(t, '/+$', '') AS bare FROM a),
 c AS (SELECT *, {parts.format('bare')} AS parts, {parts.format('g')} AS gparts, lower(regexp_extract(bare, '[^/.](\.[^./]+)$', 1)) AS suffix FROM b),
 d AS (SELECT *, CASE WHEN bare <> '' AND length(bare) <= 240 AND NOT starts_with(bare, '/') AND NOT starts_with(bare, '~/') AND NOT regexp_matches(bare, '^[A-Za-z]:')
     AND bare <> '.' AND NOT starts_with(bare, './') AND NOT {bad.format('parts')} AND len(parts) > 0
     AND CASE WHEN folder THEN list_contains({_list(DIRECTORY_ROOTS)}, parts[1]) ELSE list_contains({_list(CODE_EXTENSIONS)}, suffix) END
-    THEN array_to_string(parts, '/') || CASE WHEN folder THEN '/' ELSE '' END END AS path FROM c)
-SELECT p_partkey, path, coalesce(path, CASE WHEN NOT {bad.format('gparts')} AND g NOT IN ('', '.') AND NOT starts_with(g, '/') THEN array_to_string(gparts, '/') END) AS git_path FROM d"""
+    THEN array_to_string(parts, '/') || CASE WHEN folder THEN '/' ELSE '' END END AS path,
+  CASE WHEN NOT {bad.format('gparts')} AND g NOT IN ('', '.') AND NOT starts_with(g, '/') THEN array_to_string(gparts, '/') END AS tracked FROM c)"""
+
+
+def _path_sql() -> str:
+    return f"""WITH r AS (SELECT p_partkey, printf({_PATHS}[p_partkey % 10 + 1], p_partkey) AS raw FROM part),
+{_path_ctes('r')}
+SELECT p_partkey, path, coalesce(path, tracked) AS git_path FROM d"""

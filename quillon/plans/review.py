@@ -45,17 +45,25 @@ class Options:
 
 
 def hashing_vectors(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``id, v``: unit vectors of signed word counts; records without words have none.
+    """``id, v``: signed hashing vectors of the records' whole texts."""
+    return V.hashing_vectors(records.select("id", T.canonical_text().alias("text")), buckets)
 
-    Counts are summed by bucket before a record's vector is made, so a long text
-    gives at most ``buckets`` rows.
+
+@dataclass
+class Repository:
+    """What is known of the code: files, worktrees and what changed in them, each if handed over.
+
+    ``files (path)``, ``trees (path, head, branch)``, ``changes (worktree, path,
+    kind)`` with kinds ``committed``, ``working`` and ``untracked``, ``mappings
+    (issue_id, path)``.
     """
-    words = F.regexp_extract_all(F.lower(T.canonical_text()), F.lit("([a-z0-9]+)"), 1)
-    rows = records.select("id", F.explode(words).alias("w")).withColumn("h", F.xxhash64("w"))
-    sums = rows.groupBy("id", F.pmod("h", F.lit(buckets)).alias("k")).agg(F.sum(F.when(F.shiftright("h", 40) % 2 == 0, 1.0).otherwise(-1.0)).alias("x"))
-    found = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("m"))
-    slots = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda k: F.coalesce(F.try_element_at("m", k.cast("long")), F.lit(0.0)))
-    return V.unit_vectors(found.withColumn("e", slots), "id", "e")
+
+    files: DataFrame | None = None
+    trees: DataFrame | None = None
+    changes: DataFrame | None = None
+    mappings: DataFrame | None = None
+    revision: str | None = None
+    context: str = "unavailable"
 
 
 @dataclass
@@ -67,6 +75,8 @@ class Review:
     policy: CandidatePolicy = field(default_factory=CandidatePolicy)
     options: Options = field(default_factory=Options)
     vectors: DataFrame | None = None
+    repository: Repository = field(default_factory=Repository)
+    scope: DataFrame | None = None  # ids that a candidate must touch, in an incremental run
 
     def __post_init__(self) -> None:
         self.records = stage(self.records.drop("cut"), "records")
@@ -75,18 +85,56 @@ class Review:
         self.active = self.records.filter(F.coalesce(wanted, F.lit(False)) & plain & ~F.col("ephemeral"))
         self.edges = typed_edges(self.records)
         self.vectors = stage(hashing_vectors(self.records) if self.vectors is None else self.vectors, "vectors")
-        self._made: dict[str, DataFrame] = {}
+        self._made: dict = {}
 
     def _once(self, name: str, build) -> DataFrame:
         if name not in self._made:
             self._made[name] = stage(build(), name)
         return self._made[name]
 
-    def qualified(self) -> DataFrame:
-        return self._once("qualified", lambda: qualify.qualified(self.records, self.active, self.edges, self.vectors, self.policy))
+    def _qualified(self, policy: CandidatePolicy) -> DataFrame:
+        return qualify.qualified(self.records, self.active, self.edges, self.vectors, policy, self.scope)
+
+    def _select(self, policy: CandidatePolicy) -> DataFrame:
+        """Decisions under a policy, once the dependency lane's accounts balance.
+
+        Candidates of the baseline's thresholds are protected where a threshold is
+        below it.
+        """
+        rows = stage(self._qualified(policy), "qualified")
+        baseline = stage(self._qualified(policy.baseline), "baseline") if policy.looser else None
+        made = stage(selection.select_candidates(rows, policy, baseline), "decisions")
+        if policy.wants("structure") and self.scope is None and not policy.looser:
+            classes = relations.funnel_classes(self.edges, self.records, self.active, self.vectors, policy.echo_threshold, policy.overlap_threshold, policy.exception_margin)
+            self._made["accounts"] = selection.check_accounts(selection.dependency_accounts(relations.dependency_funnel(classes), made))
+        both = rows if baseline is None else rows.unionByName(baseline.join(rows, ["kind", "issue_id", "related_issue_id"], "left_anti"))
+        self._made["qualified"] = both
+        return made
 
     def decisions(self) -> DataFrame:
-        return self._once("decisions", lambda: selection.select_candidates(self.qualified(), self.policy))
+        if "decisions" not in self._made:
+            self._made["decisions"], self._made["degraded"] = selection.with_degradation(self._select, self.policy)
+        return self._made["decisions"]
+
+    def qualified(self) -> DataFrame:
+        self.decisions()
+        return self._made["qualified"]
+
+    def degradation(self) -> dict | None:
+        self.decisions()
+        return self._made["degraded"]
+
+    def accounts(self) -> dict[str, int] | None:
+        """The dependency funnel's counts, of a whole run that was not degraded."""
+        self.decisions()
+        return self._made.get("accounts") if self._made["degraded"] is None else None
+
+    def replacements(self) -> DataFrame | None:
+        """What thresholds above the baseline bring in through caps; None where none is."""
+        if not self.policy.stricter:
+            return None
+        reference = stage(selection.select_candidates(self._qualified(self.policy.baseline), self.policy), "reference")
+        return self._once("replacements", lambda: selection.replacements(reference, self.decisions(), self.policy))
 
     def queue(self) -> DataFrame:
         """Admitted candidates, explained and assessed, with their place."""
@@ -96,19 +144,35 @@ class Review:
             kept = self.decisions().filter("decision = 'admitted'").select(*keys, "position")
             rows = stage(self.qualified().join(F.broadcast(kept), keys), "admitted")
             told = explain.explain(rows, self.records, STOP_WORDS)
-            seen = freshness.classify(rows, self.records, self.edges, self.active)
+            seen = freshness.classify(rows, self.records, self.edges, self.active, degraded=self.degradation() is not None)
             return told.join(seen.select(*keys, "likely_action", "review_tier", "evidence_codes"), keys)
 
         return self._once("queue", build)
 
     def pointers(self) -> DataFrame:
-        """Paths that active records name in their texts."""
+        """Paths that active records name in their texts, and that their worktrees were seen to change."""
+        return self._once("pointers", self._pointers)
+
+    def _pointers(self) -> DataFrame:
+        code = self.repository
         texts = self.active.select(F.col("id").alias("issue_id"), F.explode(F.array(*[F.struct(F.lit(c).alias("source_field"), F.col(c).alias("text")) for c in TEXTS])).alias("t"))
-        found = surfaces.path_mentions(texts.select("issue_id", "t.source_field", "t.text"))
-        around = texts.select("issue_id", "t.source_field", surfaces.edit_intent(F.col("t.text")).alias("edit_intent"))
-        rows = found.join(around, ["issue_id", "source_field"])
-        facts = {"source": F.lit("explicit-text"), "context_kind": F.lit("prose"), "path_presence": F.lit("unavailable"), "revision": F.lit(None).cast("string")}
-        return rows.withColumns(facts)
+        found = surfaces.explicit_pointers(texts.select("issue_id", "t.source_field", "t.text"))
+        found = found.withColumns({"source": F.lit(surfaces.EXPLICIT), "revision": F.lit(code.revision).cast("string")})
+        found = surfaces.path_presence(found, code.files)
+        if code.trees is None or code.changes is None:
+            return found
+        issues = self.active.select(F.col("id").alias("issue_id"))
+        named = issues.limit(0).withColumn("path", F.lit("")) if code.mappings is None else surfaces.check_mappings(code.mappings, issues, code.trees)
+        kinds = [code.changes.filter(F.col("kind") == k).select("worktree", "path") for k in ("committed", "working", "untracked")]
+        own = surfaces.associate_worktrees(issues, code.trees, named)
+        seen = surfaces.observed_pointers(own, code.trees, surfaces.changed_paths(*kinds))
+        return found.unionByName(surfaces.path_presence(seen, code.files))
+
+    def guarded_hubs(self, limit: int) -> list[dict]:
+        """The first hub surfaces, by kind and number of issues."""
+        order = [F.when(F.col("kind") == "path", 0).otherwise(1), F.desc("issue_count"), F.col("surface")]
+        hubs = surfaces.hubs(surfaces.surfaces(self.pointers()), self.options.hub_limit)
+        return [r.asDict() for r in hubs.orderBy(*order).limit(limit).collect()]
 
     def collisions(self) -> DataFrame:
         return self._once("collisions", lambda: surfaces.collisions(self.pointers(), self.options.hub_limit))
@@ -164,10 +228,12 @@ def sweep_report(review: Review) -> dict:
     body = {
         "population": review.population(), "lane_summary": lanes, "candidates": _plain(review.queue(), ["position"]),
         "batches": _plain(review.batches().filter("kind = 'connected-component'"), ["batch"]), "collisions": _leads(review),
+        "dependency_accounts": review.accounts(), "degradation_receipts": [review.degradation()] if review.degradation() else [],
+        "cap_replacements": [] if review.replacements() is None else _plain(review.replacements(), ["candidate_id"]),
         "anchor_metrics": _plain(anchors.anchor_metrics(review.queue()), ["total"])[0], "parameters": {**asdict(review.policy), "objectives": sorted(review.policy.objectives or ())},
     }
     stable = {**body, "workspace": review.snapshot.workspace_id}
-    return {**_frame("sweep", review), **body, "analysis_fingerprint": _fingerprint(stable), "analysis_status": "complete"}
+    return {**_frame("sweep", review), **body, "analysis_fingerprint": _fingerprint(stable), "analysis_status": "degraded" if review.degradation() else "complete"}
 
 
 def triage_report(sweep: dict) -> dict:
@@ -179,7 +245,10 @@ def triage_report(sweep: dict) -> dict:
 def collisions_report(review: Review) -> dict:
     hubs = surfaces.hubs(surfaces.surfaces(review.pointers()), review.options.hub_limit)
     counts = _plain(surfaces.pointer_counts(review.pointers()), ["facet", "value"])
-    return {**_frame("collisions", review), "collisions": _leads(review), "hubs": hubs.count(), "pointer_counts": counts}
+    return {
+        **_frame("collisions", review), "collisions": _leads(review), "hubs": hubs.count(), "hub_surfaces": review.guarded_hubs(review.options.leads), "pointer_counts": counts,
+        "repository_context": review.repository.context, "repository_revision": review.repository.revision,
+    }
 
 
 def neighbors_report(review: Review, issue_id: str, limit: int, include_closed: bool) -> dict:

@@ -150,14 +150,19 @@ class HostPages:
         return relation_accounting(parse_relations(nodes(self.spark, self.relations, "issueRelations")), base.select("id"))
 
 
+def label_rules(labels: Column) -> tuple[Column, Column]:
+    """(type, priority) that labels state: a bug before a feature, the most urgent first."""
+    said = F.lower(F.array_join(labels, " "))
+    kind = F.when(said.rlike(BUGS), "bug").when(said.rlike(FEATURES), "feature").otherwise("task")
+    return kind, F.when(said.rlike(URGENT), 0).when(said.rlike(HIGH), 1).when(said.rlike(LOW), 3).otherwise(2)
+
+
 def label_records(issues: DataFrame, repository: str, body_limit: int) -> DataFrame:
     """Records of a code host's issues (number, title, body, state, labels, created, updated, url): type and priority come from labels."""
     if body_limit < 1:
         raise ValueError("body_limit must be positive")
     prefix = re.sub(r"[^a-z0-9]+", "-", repository.partition("/")[2].lower()).strip("-") or "host"
-    said = F.lower(F.array_join("labels", " "))
-    kind = F.when(said.rlike(BUGS), "bug").when(said.rlike(FEATURES), "feature").otherwise("task")
-    urgency = F.when(said.rlike(URGENT), 0).when(said.rlike(HIGH), 1).when(said.rlike(LOW), 3).otherwise(2)
+    kind, urgency = label_rules(F.col("labels"))
     return issues.select(
         F.concat(F.lit(f"{prefix}-gh-"), F.col("number").cast("string")).alias("id"), F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled issue")).alias("title"),
         F.substring(F.coalesce("body", F.lit("")), 1, body_limit).alias("description"), F.when(F.lower("state") == "closed", "closed").otherwise("open").alias("status"),

@@ -27,7 +27,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n")
     status = F.element_at(F.array(*map(F.lit, ("closed", "open", "in_progress", "blocked"))), (n % 4 + 1).cast("int"))
     moment = F.timestamp_seconds(F.lit(1704067200) + n * 60)
-    return docs.join(F.broadcast(parents), "source", "left").select(
+    return docs.join(parents, "source", "left").select(
         n.alias("n"),
         record_id(n).alias("id"),
         F.element_at(lines, 1).alias("title"),

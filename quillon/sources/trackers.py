@@ -8,6 +8,7 @@ Anything of another shape fails, and errors name ids and fields only.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -152,11 +153,20 @@ def format_types(counts: tuple[tuple[str, int], ...]) -> str:
     return ", ".join(f"{kind}={n}" for kind, n in counts) or "none"
 
 
-def check_version(version: str) -> str:
-    """A version that is not older than the oldest supported one, nor a trial of it."""
-    import re
+VERSION = r"^v?(\d+)\.(\d+)\.(\d+)([-+].*)?$"
+
+
+def compatible(version: Column) -> Column:
+    """Whether a version is known and not older than the oldest supported one, nor a trial of it."""
+    part = lambda k: F.regexp_extract(F.trim(version), VERSION, k)
+    number = F.struct(*[part(k).try_cast("long") for k in (1, 2, 3)])
+    oldest = F.struct(*[F.lit(n).cast("long") for n in OLDEST])
+    return F.trim(version).rlike(VERSION) & ((number > oldest) | ((number == oldest) & ~part(4).startswith("-")))
 
-    found = re.fullmatch(r"v?(\d+)\.(\d+)\.(\d+)([-+].*)?", version.strip())
+
+def check_version(version: str) -> str:
+    """As ``compatible``, of one version; what is not fails."""
+    found = re.fullmatch(VERSION, version.strip())
     if not found:
         raise SourceError("the tracker's version is not known")
     number = tuple(int(found[k]) for k in (1, 2, 3))
@@ -200,7 +210,7 @@ class TrackerFiles:
         if self.version is None:
             return None
         row = self._whole(self.version).select(F.coalesce(_get(F.col("value"), *VERSION_KEYS), F.regexp_extract("value", r'^\s*"(.*)"\s*$', 1)).alias("v")).first()
-        return check_version(row.v if row else "")
+        return check_version(row.v if row and row.v else "")
 
     def load(self) -> tuple[Snapshot, DataFrame]:
         """The snapshot and its records; an export that differs only warns."""

@@ -73,3 +73,52 @@ def test_small_commands(spark, capsys):
     for bad in (["neighbors", "x"], ["triage", "--output=x"], ["--list"], []):
         with pytest.raises(ValueError):
             cli.guard(bad)
+
+
+def test_incremental_runs(spark, tracker, tmp_path, capsys):
+    given = ["triage", "--json", "--overlap-threshold", "0.5", "--echo-threshold", "0.5"]
+    mark = str(tmp_path / "mark")
+    assert ask(spark, tracker, capsys, *given, "--write-checkpoint", mark)[0] == 0
+    _, out, _ = ask(spark, tracker, capsys, *given, "--checkpoint", mark)
+    assert json.loads(out)["candidates"] == []
+    rows = json.loads((tracker / "list.json").read_text())
+    other = tmp_path / "later"
+    other.mkdir()
+    rows[1]["title"] += " again"
+    (other / "list.json").write_text(json.dumps(rows))
+    (other / "context.json").write_text((tracker / "context.json").read_text())
+    _, out, _ = ask(spark, other, capsys, *given, "--checkpoint", mark)
+    found = json.loads(out)["candidates"]
+    assert found and all("t-2" in (c["issue_id"], c["related_issue_id"]) for c in found)
+    code, _, err = ask(spark, tracker, capsys, *given, "--since", "yesterday")
+    assert code == 2 and "--since" in err
+
+
+def test_collisions_with_worktrees(spark, tracker, tmp_path, capsys):
+    (tmp_path / "trees").write_text("worktree /w/one\nHEAD abc\nbranch refs/heads/fix/t-4\n\nworktree /w/two\nHEAD def\nbranch refs/heads/main\n")
+    changes = [("/w/one", "src/app/parse.py", "working"), ("/w/one", "notes.bin", "untracked"), ("/w/two", "src/app/other.py", "committed")]
+    (tmp_path / "changes.jsonl").write_text("\n".join(json.dumps(dict(zip(("worktree", "path", "kind"), c, strict=True))) for c in changes))
+    (tmp_path / "files").write_text("src/app/parse.py\n")
+    given = ["collisions", "--json", "--worktree-list", str(tmp_path / "trees"), "--changed-paths", str(tmp_path / "changes.jsonl"), "--repository-files", str(tmp_path / "files"), "--revision", "abc"]
+    code, out, _ = ask(spark, tracker, capsys, *given)
+    report = json.loads(out)
+    by = {(c["issue_id"], c["related_issue_id"]): c for c in report["collisions"]}
+    assert code == 0 and set(by) == {("t-1", "t-2"), ("t-1", "t-4"), ("t-2", "t-4")}
+    assert by["t-1", "t-4"]["confidence"] == "corroborated" and by["t-1", "t-4"]["edit_intent"] == "observed-edit"
+    assert by["t-1", "t-2"]["path_presence"] == "all-existing" and by["t-1", "t-2"]["revision_relation"] == "same"
+    _, out, _ = ask(spark, tracker, capsys, *given, "--worktree", "t-1=/w/two")
+    assert ("t-1", "t-2") in {(c["issue_id"], c["related_issue_id"]) for c in json.loads(out)["collisions"]}
+    for bad, told in (("t-9=/w/one", "outside the review"), ("t-1=/w/x", "no worktree"), ("t-1", "ID=PATH")):
+        code, _, err = ask(spark, tracker, capsys, *given, "--worktree", bad)
+        assert code == 2 and told in err
+
+
+def test_dependency_accounts_and_run_id(spark, tracker, capsys):
+    _, out, _ = ask(spark, tracker, capsys, "sweep", "--json", "--max-dependency-candidates-per-issue", "0")
+    report = json.loads(out)
+    counts = report["dependency_accounts"]
+    assert counts["total_non_parent_typed"] == 1 and counts["eligible_candidates"] == counts["admitted"] + counts["omitted_by_per_issue_cap"]
+    assert report["analysis_status"] == "complete" and report["degradation_receipts"] == []
+    import re
+
+    assert re.fullmatch(r"\d{8}T\d{6}Z-[0-9a-f]{8}", report["run_id"])

@@ -1,14 +1,18 @@
 """Small cases of operators whose results SQL does not check."""
 
 import hashlib
+import json
+import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from quillon import catalog
 from quillon.functions import text as T
-from quillon.operators import freshness, graph, incremental, surfaces
+from quillon.operators import evaluate, freshness, graph, incremental, selection, surfaces
 from quillon.operators import vectors as V
+from quillon.plans import ranked_review, shadow
 from pyspark.sql import functions as F
 
 
@@ -77,18 +81,23 @@ def test_every_active_record_is_in_a_batch(spark, sf_dir):
     assert sorted(map(tuple, graph.balanced_batches(v).collect())) == want
 
 
-def test_grf4_has_all_active_records(spark):
-    d = "/root/testdata/sf0.01"
-    want = {r.id for r in catalog.Inputs(spark, d).active_vectors.select("id").collect()}
-    assert max(want) > "doc-000200"
-    assert sorted(r.id for r in catalog.queries()["grf4_balanced_batches"](spark, d).collect()) == sorted(want)
+def test_grf4_has_all_records_of_the_queue(spark):
+    d, run = "/root/testdata/sf0.01", catalog.queries()
+    queue = run["sel1_selection"](spark, d).filter("decision = 'admitted'").collect()
+    want = sorted({end for r in queue for end in (r.issue_id, r.related_issue_id)})
+    rows = run["grf4_balanced_batches"](spark, d).collect()
+    sizes = np.bincount([r.batch for r in rows])[1:]
+    assert sorted(r.id for r in rows) == want and sizes.max() - sizes.min() <= 1 and max(want) > "doc-000200"
 
 
 def test_text_forms(spark):
-    row = spark.createDataFrame([("a \r\nb\t\r c\n\n", "getHTTPValue fooBar api")], "t string, u string").select(
-        T.normalize_text(F.col("t")).alias("n"), T.reciprocal_tokens(F.col("u")).alias("k"), T.plain_title(F.lit("Ünïcode_Title - 2!")).alias("p")
+    row = spark.createDataFrame([("a \r\nb\t\r c\n\n", "getHTTPValue fooBar api", "Ünïcode_Straße - ﬁne²!")], "t string, u string, w string").select(
+        T.normalize_text(F.col("t")).alias("n"), T.reciprocal_tokens(F.col("u")).alias("k"), T.plain_title(F.col("w")).alias("p"), T.word_tokens(F.col("w")).alias("q")
     ).first()
-    assert (row.n, row.k, row.p) == ("a\nb\n c", ["get", "httpvalue", "foo", "bar"], "ünïcode title 2")
+    assert (row.n, row.k, row.p) == ("a\nb\n c", ["get", "httpvalue", "foo", "bar"], "ünïcode strasse fine2")
+    assert row.q == ["ünïcode_strasse", "-", "fine²"]
+    few = spark.createDataFrame([("It's A-1_b",), ("",), (None,), ("ÀΣ",)], "w string").select(T.word_tokens(F.col("w")).alias("q"), T.plain_title(F.col("w")).alias("p")).collect()
+    assert [(r.q, r.p) for r in few] == [(["it's", "a-1_b"], "it s a 1 b"), ([""], ""), ([""], ""), (["àσ"], "àσ")]
 
 
 def test_fields_keep_sixteen_thousand_characters(spark, tmp_path):
@@ -135,8 +144,152 @@ def test_reference_cue(spark):
         ("depends on xdoc-000007", False),
         ("x" * 200 + " after " + "y" * 200 + " doc-000007", False),
         ("doc-000007 is blocked by another", True),
+        ("A split from: doc-000007.", True),
+        ("decision from doc-000007 and", True),
+        ("split of doc-000007", False),
+        ("Found by a re-review of (DOC-000007)", True),
+        ("doc-000007 - rereviewed by them", True),
+        ("doc-000007: removed the flag, but kept the rest", True),
+        ("doc-000007 removed the flag", False),
+        ("from doc-000007, adversarial review", True),
+        ("of doc-000007, adversarial review", False),
+        ("doc-000007.1 after", False),
+        ("doc-000007. After that", True),
+        ("builds doc-000007 on", False),
+        ("doc-000007 x " + "y" * 100 + " doc-000007 follow-up", True),
+        ("z" * 4090 + " doc-000007 after", False),
+        ("", False),
         (None, False),
     ]
-    df = spark.createDataFrame([(t,) for t, _ in rows], "t string")
+    df = spark.createDataFrame([(t,) for t, _ in rows], "t string").repartition(1)
     got = df.select(freshness.reference_with_cue(F.col("t"), F.lit("doc-000007")).alias("c")).collect()
     assert [r.c for r in got] == [want for _, want in rows]
+
+
+def test_unknown_code_fails(spark):
+    df = spark.createDataFrame([(["direct-blocks", None, "direct-parent-child"],), (["odd"],)], "c array<string>")
+    assert df.limit(1).select(freshness.ordered_codes(F.col("c")).alias("c")).first().c == ["direct-parent-child", "direct-blocks"]
+    with pytest.raises(Exception, match="unknown freshness evidence code: odd"):
+        df.select(freshness.ordered_codes(F.col("c")).alias("c")).collect()
+
+
+def test_pair_quality_needs_two_ranks_only(spark):
+    ranks = spark.createDataFrame([("a", "b", 0.9, 1), ("a", "c", 0.5, 2), ("d", "e", 0.7, 1), ("d", "g", 0.6, 2)], "query_id string, candidate_id string, score double, rank int")
+    partners = spark.createDataFrame([("a", "b", 0.9), ("d", "f", 0.1)], "left_id string, right_id string, score double")
+    assert tuple(evaluate.pair_quality(ranks, partners).first()) == (0.5, -0.1)
+
+
+def test_judgments_are_checked(spark):
+    records = spark.createDataFrame([("a",), ("b",)], "id string")
+    fine = spark.createDataFrame([("a", "b", 2), ("b", "a", 0)], "left_id string, right_id string, rating int")
+    assert {(r.rating, r.pairs, r.missing_endpoints) for r in evaluate.judgment_counts(fine, records).collect()} == {(2, 1, 0), (0, 1, 0)}
+    for row, told in ((("a", "x", 1), "no two known records"), (("a", "a", 1), "no two known records"), (("a", "b", 3), "not 0, 1 or 2"), (("a", "b", None), "not 0, 1 or 2")):
+        with pytest.raises(Exception, match=told):
+            evaluate.check_judgments(spark.createDataFrame([row], fine.schema), records).collect()
+
+
+def test_mappings(spark):
+    rows = surfaces.mappings(spark.createDataFrame([(" a = /w/x=1 ",), ("b=/y",)], "value string")).collect()
+    assert {tuple(r) for r in rows} == {("a", "/w/x=1"), ("b", "/y")}
+    for bad in (["a"], ["=x"], ["a="], ["a=/x", "a=/y"]):
+        with pytest.raises(Exception, match="mapping is not|mapped twice"):
+            surfaces.mappings(spark.createDataFrame([(b,) for b in bad], "value string")).collect()
+
+
+def test_pointers_take_the_words_around_them(spark):
+    fence = "```\nsee src/app/one.py\n```\n"
+    text = "<!-- fix src/app/zero.py " + "x" * 200 + " -->" + fence + "Fix src/app/two.py::run" + " y" * 60 + " review src/app/three.py" + " z" * 60 + " lib/four.py"
+    rows = surfaces.explicit_pointers(spark.createDataFrame([("i", "title", text), ("j", "notes", None), ("k", "title", "")], "issue_id string, source_field string, text string")).collect()
+    got = {(r.issue_id, r.path, r.symbol, r.edit_intent, r.context_kind) for r in rows}
+    assert got == {
+        ("i", "src/app/one.py", None, "likely-edit", "code-fence"), ("i", "src/app/two.py", "run", "likely-edit", "prose"),
+        ("i", "src/app/three.py", None, "reference-only", "prose"), ("i", "lib/four.py", None, "unknown", "prose"),
+    }
+
+
+def test_comments_keep_their_length(spark):
+    cases = ["a <!-- b --> c <!----> d <!-- open", "<!--x-->y", "no", "-->", "<!-- a\nb --><!--c-->d"]
+    got = [r.t for r in spark.createDataFrame([(c,) for c in cases], "t string").select(F.regexp_replace("t", surfaces.COMMENT_CHARACTER, " ").alias("t")).collect()]
+    assert got == [re.sub("(?s)<!--.*?-->", lambda m: " " * len(m[0]), c) for c in cases]
+
+
+def test_hashing_vectors(spark):
+    texts = {"a": "Straße it's x-1 It's", "b": "", "c": None, "d": "w " * 5000}
+    rows = V.hashing_vectors(spark.createDataFrame(list(texts.items()), "id string, text string"), 16).collect()
+    for r in rows:
+        want = np.zeros(16)
+        for token in re.findall(r"[\w'-]+", (texts[r.id] or "").casefold()) or [""]:
+            digest = hashlib.blake2b(token.encode(), digest_size=16).digest()
+            want[int.from_bytes(digest[:8], "big") % 16] += 1 if digest[8] & 1 else -1
+        assert np.allclose(r.v, want / np.linalg.norm(want))
+    assert {r.id for r in rows} == set(texts)
+
+
+def test_accounts_name_the_stage_that_leaks():
+    counts = dict.fromkeys([c for _, name, parts in selection.ACCOUNTS for c in (name, *sum(parts.values(), ()))], 0)
+    fine = {**counts, "total_non_parent_typed": 5, "inactive_or_closed_only": 2, "below_qualification": 1, "eligible": 2, "eligible_candidates": 1, "coalesced_eligible_edges": 1, "admitted": 1}
+    assert selection.check_accounts(fine) == fine
+    for key, stage in (("below_qualification", "discovery"), ("coalesced_eligible_edges", "edge-to-candidate"), ("admitted", "admission")):
+        with pytest.raises(selection.ConservationError, match=stage):
+            selection.check_accounts({**fine, key: fine[key] + 1})
+
+
+def test_context_receipts_and_shadow_packet(spark):
+    records = spark.createDataFrame([(f"r{k}", f"t{k}", "", "", "", "closed" if k == 3 else "open", "r1" if k == 2 else None) for k in range(1, 8)], "id string, title string, description string, acceptance_criteria string, design string, status string, parent_id string")
+    edges = spark.createDataFrame([("r1", "r4", "relates-to"), ("r1", "r3", "blocks"), ("r1", "r5", "blocks"), ("r1", "gone", "blocks"), ("r1", "r6", "related-to"), ("r4", "r1", "blocks")], "source_id string, target_id string, relationship_type string")
+    pool = spark.createDataFrame([("possible-overlap", "overlap", "r1", "r4", 0.9, "semantic-threshold", "semantic", None, 1), ("possible-overlap", "overlap", "r5", "r7", 0.8, "semantic-threshold", "semantic", None, 2)], "kind string, lane string, issue_id string, related_issue_id string, similarity double, admission_reason string, signal_quality string, reciprocal_evidence string, position int")
+    packet = shadow.shadow_packet(pool, records, edges, records.filter("status = 'open'"), context_limit=2)
+    one = next(c for c in packet["relationship_contexts"] if c["issue_id"] == "r1")
+    assert [e["target_id"] for e in one["outgoing"]] == ["r4", "r5"] and one["omitted_outgoing_count"] == 3
+    assert next(c for c in packet["relationship_contexts"] if c["issue_id"] == "r7") == {"issue_id": "r7", "incoming": [], "outgoing": [], "omitted_incoming_count": 0, "omitted_outgoing_count": 0}
+    assert [(r["candidate_id"], r["likely_action"]) for r in packet["ranked_candidates"]] == [("possible-overlap|r5|r7", "intentional-follow-up"), ("possible-overlap|r1|r4", "intentional-follow-up")][::-1]
+    assert packet["review_queues"]["informational"]["stopping_reason"] == "source-exhausted"
+    stable = {k: v for k, v in packet.items() if k != "shadow_fingerprint"}
+    assert packet["shadow_fingerprint"] == shadow.fingerprint(stable)
+    for bad in (pool.union(pool), pool.withColumn("related_issue_id", F.lit("nobody")), pool.withColumn("related_issue_id", F.col("issue_id"))):
+        with pytest.raises(ValueError):
+            shadow.shadow_packet(bad, records, edges, records)
+
+
+def test_freshness_order_of_actions(spark):
+    rows = [("k", f"a{k}", "b", action, "action" if action in ("duplicate", "superseded-open", "missing-relation") else "informational", k) for k, action in enumerate(freshness.ACTION_ORDER[::-1])]
+    df = spark.createDataFrame(rows, "kind string, issue_id string, related_issue_id string, likely_action string, review_tier string, position int")
+    assert [r.likely_action for r in freshness.queue(df).orderBy("freshness_position").collect()] == list(freshness.ACTION_ORDER)
+
+
+def test_ranked_review(tmp_path):
+    report = {"report_type": "sweep", "analysis_fingerprint": "f", "candidates": [{"kind": ("completed-work-echo", "possible-overlap")[k % 2], "issue_id": f"a{k}", "related_issue_id": f"b{k}", "similarity": 1 - k / 100} for k in range(60)]}
+    path = tmp_path / "report.json"
+    path.write_text(json.dumps(report))
+    loaded, digest = ranked_review.load_report(path)
+    assert digest == hashlib.sha256(path.read_bytes()).hexdigest()
+    manifest, review = ranked_review.prepare(loaded, digest, 50, "20,50", 4, "s")
+    assert [s["rank_bucket"] + s["lane"] for s in manifest["sampling"]["strata"]] == ["1-20echo", "1-20overlap", "21-50echo", "21-50overlap"]
+    assert len(review["review_items"]) == 16 and review["review_items"][0]["review_id"] == "review-001"
+    want = sorted((f"completed-work-echo|a{k}|b{k}" for k in range(0, 20, 2)), key=lambda c: hashlib.sha256(f"s\0stratum\0{c}".encode()).hexdigest())[:4]
+    assert {r["candidate_id"] for r in manifest["sample"] if r["rank_bucket"] == "1-20" and r["lane"] == "echo"} == set(want)
+    assert "similarity" not in review["review_items"][0] and (manifest, review) == ranked_review.prepare(loaded, digest, 50, "20,50", 4, "s")
+    ranked_review.write(str(tmp_path / "out"), manifest, review)
+    assert json.loads((tmp_path / "out" / "manifest.json").read_text()) == manifest
+    for wrong in ({"report_type": "x", "candidates": []}, {"report_type": "sweep"}, []):
+        path.write_text(json.dumps(wrong))
+        with pytest.raises(ValueError):
+            ranked_review.load_report(path)
+    for bounds, pool in (("", 5), ("0,9", 5), ("5,5", 5), ("a", 5), ("4", 5)):
+        with pytest.raises(ValueError):
+            evaluate.parse_bounds(bounds, pool)
+    with pytest.raises(ValueError):
+        ranked_review.write(str(Path(__file__).parent / "x"), manifest, review)
+
+
+def test_four_scorers(spark):
+    records = spark.createDataFrame([("a", "Fix AB-12", "x"), ("b", "fix ab-12", "y"), ("c", "see AB-12", "z")], "id string, title string, description string")
+    channels = [("a", "whole", [1.0, 0.0]), ("b", "whole", [0.6, 0.8]), ("c", "whole", [0.0, 1.0]), ("a", "title", [1.0, 0.0]), ("b", "title", [1.0, 0.0])]
+    tokens = [("a", "p"), ("a", "q"), ("b", "p"), ("c", "r")]
+    judged = spark.createDataFrame([("a", "b", 2), ("a", "c", 1), ("b", "c", 0)], "left_id string, right_id string, rating int")
+    rows = evaluate.judged_scores(judged, records, spark.createDataFrame(channels, "id string, channel string, v array<double>"), spark.createDataFrame(tokens, "id string, token string"))
+    got = {(r.left_id, r.right_id): r for r in rows.collect()}
+    assert (got["a", "b"].whole_record_score, got["a", "b"].field_aware_score, got["a", "b"].selected_channel, got["a", "b"].exact_identifier_score) == (0.6, 1.0, "title", 1.0)
+    assert got["a", "c"].exact_identifier_score == 0.9 and got["a", "c"].sparse_tfidf_score == 0.0 and 0 < got["a", "b"].sparse_tfidf_score < 1
+    summary = {r.scorer: r for r in evaluate.scorer_summary(rows, 1, 0.72).collect()}
+    assert set(summary) == set(evaluate.SCORERS) and summary["field_aware_score"].precision_at_budget == 1.0
