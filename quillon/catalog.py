@@ -1058,6 +1058,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from quillon import catalog_review
+    from quillon import catalog_review, oracles_queue
 
-    return {**oracles.queries(), **catalog_review.oracle_sql()}
+    return {**oracles.queries(), **oracles_queue.queries(), **catalog_review.oracle_sql()}

@@ -90,20 +90,20 @@ def _met(left: DataFrame, right: DataFrame, same: bool, work, schema: str, block
     a, n_left = _packed(left, block_rows)
     b, n_right = (a, n_left) if same else _packed(right, block_rows)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = a.select(F.col("block").alias("al"), every(n_right).alias("ar"), "ids", "m")
-    b = b.select(F.col("block").alias("br"), every(n_left).alias("bl"), "ids", "m")
+    a = a.select(F.col("block").alias("al"), every(n_right).alias("ar"), F.col("ids").alias("a_ids"), F.col("m").alias("a_m"))
+    b = b.select(F.col("block").alias("br"), every(n_left).alias("bl"), F.col("ids").alias("b_ids"), F.col("m").alias("b_m"))
     if same:
         a, b = a.filter("al <= ar"), b.filter("bl <= br")
 
-    def matrix(row: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.asarray(row["ids"].iloc[0])
-        return ids, np.frombuffer(row["m"].iloc[0], "<f8").reshape(len(ids), -1)
+    def matrix(row: pd.DataFrame, side: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.asarray(row[f"{side}_ids"].iloc[0])
+        return ids, np.frombuffer(row[f"{side}_m"].iloc[0], "<f8").reshape(len(ids), -1)
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         none = np.array([], object), np.zeros((0, 1))
         if x.empty or y.empty:
             return work(*none, *none)
-        (li, lv), (ri, rv), out = matrix(x), matrix(y), []
+        (li, lv), (ri, rv), out = matrix(x, "a"), matrix(y, "b"), []
         itself = same and x["al"].iloc[0] == x["ar"].iloc[0]
         for p in range(0, len(li), TILE_ROWS):
             for q in range(p if itself else 0, len(ri), TILE_ROWS):

@@ -101,7 +101,7 @@ evidence AS (SELECT ev.left_id, ev.right_id, CASE WHEN mt.m <= rare THEN 'discri
   FROM ev CROSS JOIN lim LEFT JOIN mt USING (left_id, right_id) LEFT JOIN ma USING (left_id, right_id) LEFT JOIN mp USING (left_id, right_id))"""
 
 
-def _qualified(echo: float = 0.35, overlap: float = 0.40, margin: float = 0.08, objectives: tuple[str, ...] | None = None, scope: str = "true") -> str:
+def _qualified(echo: float = 0.35, overlap: float = 0.40, margin: float = 0.08, objectives: tuple[str, ...] | None = None, scope: str = "true", alternatives: int = 3) -> str:
     """All CTEs up to ``qualified``. ``scope`` is a predicate on an alias ``e``."""
     legacy = objectives is None
     wants = lambda o: str(legacy or o in objectives).lower()
@@ -129,7 +129,7 @@ laned AS (SELECT kind, CASE WHEN evidence_type IS NOT NULL AND {wants('structure
   CASE WHEN admission_reason = 'reciprocal-neighbor-threshold-exception' THEN reason END AS reciprocal_evidence,
   CASE WHEN evidence_type IS NOT NULL THEN 'typed-dependency' WHEN starts_with(structural_context, 'same parent ') THEN 'shared-parent' ELSE 'none' END AS structural_corroboration FROM decided),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY kind, issue_id, lane = 'dependency' ORDER BY {_KEY}) AS k FROM laned),
-qualified AS (SELECT * EXCLUDE (k) FROM numbered WHERE kind = 'possible-overlap' OR lane = 'dependency' OR k <= 3)"""
+qualified AS (SELECT * EXCLUDE (k) FROM numbered WHERE kind = 'possible-overlap' OR lane = 'dependency' OR k <= {alternatives})"""
 
 
 _KEY = "CASE lane WHEN 'dependency' THEN 0 WHEN 'echo' THEN 1 ELSE 2 END, (admission_reason <> 'semantic-threshold')::int, (signal_quality = 'vocabulary-only')::int, similarity DESC, kind, issue_id, related_issue_id"
