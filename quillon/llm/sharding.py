@@ -1,10 +1,14 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
-Records are hashed into a fixed number of slots (thousands, many times the
-shards). Bytes and rows are summed by slot, and the map, a table with one row for
-each slot and version, gives every slot a shard so that bytes are near equal.
-Rebalancing edits the map: only slots that must move get another shard, and the
-records keep their slots for good.
+Records are hashed by their text into a fixed number of slots (thousands, many
+times the shards), so equal texts share a slot; a group of equal texts with more
+bytes than the mean slot is salted into pieces of about that size, so that no
+group keeps the shards from being near equal. Bytes and rows are summed by slot,
+and the map gives every slot a shard. Rebalancing edits the map: only slots that
+must move get another shard, and the records keep their slots for good.
+
+The map is stored as a Parquet table with a folder for each version; versions are
+only ever added, and a reader takes the newest or the one that it names.
 
 Places within a shard come from the row number inside a slot and the running
 count of the shard's slots, so no shard is gathered in one task. Only DataFrame
@@ -20,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.plans.staging import stage
+from quillon.plans.staging import shared_path, stage
 
 SLOTS = 4096
 SHARDS = 40
@@ -37,10 +41,23 @@ class SlotLoad:
 
 
 def digest(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``doc_id, size, text_crc32, virtual_slot``; a null text has no bytes."""
+    """``doc_id, size, text_crc32, virtual_slot``; a null text has no bytes.
+
+    At most ``slots`` groups can be above the mean slot, so the table of their
+    sizes that is broadcast has a proven bound. Pieces of a group are dealt by
+    row, so a repeated ``doc_id`` does not gather in one.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
+    size = (F.octet_length(text) + ROW_BYTES).cast("long")
+    columns = [F.col("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group")]
+    rows = stage(docs.select(*columns, F.monotonically_increasing_id().alias("row")), "digest")
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first().bytes
+    share = max(1.0, total / slots)
+    pieces = F.ceil(F.sum("size") / share).alias("pieces")
+    large = F.broadcast(rows.groupBy("group").agg(pieces).filter(F.col("pieces") > 1))
+    piece = F.pmod(F.xxhash64("row"), F.coalesce("pieces", F.lit(1)))
+    slot = F.pmod(F.xxhash64("group", piece), F.lit(slots)).cast("int")
+    return rows.join(large, "group", "left").select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"))
 
 
 def slot_loads(rows: DataFrame) -> list[SlotLoad]:
@@ -94,7 +111,10 @@ def rebalance(current: dict[int, int], loads: list[SlotLoad], shards: int) -> di
 
 
 def map_table(spark: SparkSession, chosen: dict[int, int], loads: list[SlotLoad], version: int) -> DataFrame:
-    """The stored form of a map: a row for each slot that holds records."""
+    """The stored form of a map: a row for each slot that holds records.
+
+    ``base`` is the number of rows of the shard's slots before it.
+    """
     at: dict[int, int] = {}
     rows = []
     for load in sorted(loads, key=lambda s: s.slot):
@@ -105,6 +125,38 @@ def map_table(spark: SparkSession, chosen: dict[int, int], loads: list[SlotLoad]
     return spark.range(1).select(F.inline(parsed))
 
 
+class SlotMaps:
+    """The versions of a slot-to-shard map under one folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def versions(self) -> list[int]:
+        """The stored versions; one counts once its write is complete."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(hadoop(self.path)):
+            return []
+        done = (s.getPath().getName() for s in fs.listStatus(hadoop(self.path)) if fs.exists(hadoop(s.getPath(), "_SUCCESS")))
+        return sorted(int(name.removeprefix("version-")) for name in done if name.startswith("version-"))
+
+    def load(self, version: int | None = None) -> DataFrame:
+        """The rows of a version, by default of the newest."""
+        number = version if version is not None else max(self.versions())
+        return self.spark.read.schema(MAP_SCHEMA).parquet(f"{self.path}/version-{number:06d}")
+
+    def store(self, chosen: dict[int, int], loads: list[SlotLoad]) -> int:
+        """Write the next version; an existing one is never written over."""
+        number = max(self.versions(), default=0) + 1
+        map_table(self.spark, chosen, loads, number).write.mode("error").parquet(f"{self.path}/version-{number:06d}")
+        return number
+
+    def edit(self, loads: list[SlotLoad], shards: int) -> int:
+        """Rebalance the newest version for other loads or shards; the new version."""
+        current = {r.virtual_slot: r.shard for r in self.load().collect()}
+        return self.store(rebalance(current, loads, shards), loads)
+
+
 def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Add ``shard``, ``slot`` (place in the shard, gapless) and ``map_version``.
 
@@ -118,13 +170,17 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     return placed.withColumn("slot", (F.col("base") + F.col("local")).cast("long")).drop("base", "local")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Every document with its slot and shard under version 1 of a new map.
+def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+    """Every document with its slot and shard under the newest map.
 
-    Null ids and texts, repeated rows and other columns are all allowed; an empty
-    table gives no rows.
+    With a ``map_path`` that holds versions the newest is edited for these loads
+    and stored as the next; otherwise version 1 is made (in the shared folder
+    where no path is given). Null ids and texts, empty and very long texts,
+    repeated rows and other columns of any name are all allowed; equal records
+    take neighbouring places in either order; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = stage(digest(docs, slots), "slot-digest")
-    loads = slot_loads(rows)
-    return place(rows, stage(map_table(spark, first_map(loads, shards), loads, 1), "slot-map"))
+    loads, maps = slot_loads(rows), SlotMaps(spark, map_path or shared_path(spark, "slot-maps"))
+    version = maps.edit(loads, shards) if maps.versions() else maps.store(first_map(loads, shards), loads)
+    return place(rows, maps.load(version))

@@ -46,3 +46,28 @@ def test_edges(spark):
         places[r.shard].append(r.slot)
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
     assert sharding.shard_documents(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_stored_maps_and_read_back(spark, tmp_path):
+    rows = [(k, f"text {k % 700} " * (k % 9 + 1)) for k in range(2000)]
+    docs, path = spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/maps"
+    first = {r.doc_id: (r.virtual_slot, r.shard) for r in sharding.shard_documents(docs, 10, 256, path).collect()}
+    second = {r.doc_id: (r.virtual_slot, r.shard, r.map_version) for r in sharding.shard_documents(docs, 11, 256, path).collect()}
+    maps = sharding.SlotMaps(spark, path)
+    assert maps.versions() == [1, 2]
+    one, two = ({r.virtual_slot: r.shard for r in maps.load(v).collect()} for v in (1, 2))
+    assert {r.version for r in maps.load().collect()} == {2} and one.keys() == two.keys()
+    assert all(two[s] == 10 for s in one if one[s] != two[s]) and 10 in two.values()
+    for doc, (slot, shard) in first.items():
+        assert one[slot] == shard and second[doc] == (slot, two[slot], 2)
+
+
+def test_equal_texts_share_a_slot_unless_they_are_many(spark):
+    rows = [(k, f"unique {k}") for k in range(3000)] + [(5000 + k, "twice the same") for k in range(2)] + [(None, "hot group") for k in range(1500)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8, 512).collect()
+    assert len({r.virtual_slot for r in got if r.doc_id in (5000, 5001)}) == 1
+    assert len({r.virtual_slot for r in got if r.doc_id is None}) > 50
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) - min(sizes.values()) <= 0.03 * sum(sizes.values()) / 8
