@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.learning import by_place, fit_linear, held_out, sigmoid
+from quillon.llm.learning import CHUNK_BYTES, by_place, fit_linear, held_out, pack_row, sigmoid, unpack_rows
 
 UNKNOWN = "und"
 DIMENSIONS = 4096
@@ -62,11 +62,14 @@ def has_letter(text: str) -> bool:
 
 
 def features(text: str) -> np.ndarray:
-    data = _FOLD[np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)]
-    grams = data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)
-    grams = grams[(data[1:-1] != 32)]
-    slots = (grams * np.uint32(0x9E3779B1)) >> np.uint32(20)
-    x = np.sqrt(np.bincount(slots, minlength=DIMENSIONS).astype(np.float32))
+    out = np.zeros(DIMENSIONS, np.int64)
+    folded = _FOLD[np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)]
+    for at in range(0, len(folded) - 2, CHUNK_BYTES):
+        data = folded[at : at + CHUNK_BYTES + 2]
+        grams = data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)
+        slots = (grams[data[1:-1] != 32] * np.uint32(0x9E3779B1)) >> np.uint32(20)
+        out += np.bincount(slots, minlength=DIMENSIONS)
+    x = np.sqrt(out.astype(np.float32))
     return x / (np.linalg.norm(x) or 1.0)
 
 
@@ -137,7 +140,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
 
     The sample has ``fit_rows`` rows for each language, fewer where they would be
     more than ``ALL_FIT_ROWS``, chosen by hash of the id and read by a join with
-    the chosen ids.
+    the chosen ids; one text for each id and language, as sparse counts.
     """
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     counts = known.groupBy("lang").count().collect()
@@ -151,42 +154,36 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
     few = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= fit_rows).select("doc_id", F.col("lang").alias("known"))
     chosen = F.broadcast(few.groupBy("doc_id").agg(F.min("known").alias("known")))
-    rows = docs.select("doc_id", "lang", F.col("text").cast("string")).join(chosen, "doc_id").filter("lang = known")
+    rows = docs.select("doc_id", "lang", F.col("text").cast("string")).join(chosen, "doc_id").filter("lang = known AND text IS NOT NULL")
+    rows = rows.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches):
         for batch in batches:
-            made = [features(t).astype(np.float32).tobytes() if t and has_letter(t) else None for t in batch.column("text").to_pylist()]
+            made = [pack_row(features(t)) if has_letter(t) else None for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(made, pa.binary())], ["doc_id", "lang", "x"])
 
     sent = rows.select(F.col("doc_id").cast("long"), "lang", "text")
     got = sent.mapInArrow(run, "doc_id long, lang string, x binary").filter("x IS NOT NULL").collect()
     got.sort(key=lambda r: (r.lang, r.doc_id, bytes(r.x)))
-    x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float32).reshape(-1, DIMENSIONS)
-    return fit(x, [r.lang for r in got])
+    return fit(unpack_rows([bytes(r.x) for r in got], DIMENSIONS), [r.lang for r in got])
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` (or ``keep``, ``lang_pred``, ``score``).
+def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of every row.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was
     learned. Repeated rows stay; other columns may have any names.
     """
-    keep_all = ["doc_id"] if keep is None else keep
-    names = [f"k{i}" for i in range(len(keep_all))]
-    sent = docs.select(*[F.col(c).alias(n) for c, n in zip(keep_all, names, strict=True)], F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_DOCS):
                 batch = whole.slice(at, BATCH_DOCS)
                 langs, scores = model.predict(batch.column("text").to_pylist())
-                own = [batch.column(n) for n in names]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    schema = ", ".join([*(f"{n} {sent.schema[n].dataType.simpleString()}" for n in names), "lang_pred string", "score double"])
-    found = sent.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep_all, strict=True)], "lang_pred", "score")
-    if keep is not None:
-        return found
+    sent = docs.select("doc_id", F.col("text").cast("string"))
+    found = sent.mapInArrow(run, f"doc_id {sent.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -207,6 +204,13 @@ def filter_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     Null and letterless texts go; null or repeated ids, repeated rows and columns
     of any name stay as they are; an empty table stays empty.
     """
-    renamed, text = by_place(docs, "text")
-    found = identify(renamed.withColumn("text", text), model, renamed.columns)
-    return found.filter(F.col("lang_pred") != UNKNOWN).select(*renamed.columns).toDF(*docs.columns)
+    renamed, text = by_place(docs)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in renamed.schema)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_DOCS):
+                batch = whole.slice(at, BATCH_DOCS)
+                yield batch.filter(pa.array([lang != UNKNOWN for lang in model.predict(batch.column(text).to_pylist())[0]], pa.bool_()))
+
+    return renamed.mapInArrow(run, kinds).select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
