@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.plans.staging import stage
+
 BLOCK_RULES = 200_000
 #: Host and path after the first ``://``; both empty where that is missing.
 URL_PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -114,14 +116,16 @@ def judge_urls(
     subdomains where the path starts with the rule's; the longest host and path
     together wins, the longer host among equals. Where none fits, ``rule`` is null and the verdict
     is ``default``. A null url, or one without ``://``, has empty host and path.
-    Repeated rows each get a row; other columns of ``pages`` are not read; an
-    empty rule set leaves the default everywhere.
+    Repeated rows each get a row, null ids too; a url of any length is read
+    whole; other columns of ``pages`` are not read; an empty rule set leaves the
+    default everywhere, an empty table gives no rows.
     """
     spark = pages.sparkSession
     slices = slices or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     url = F.col(url_column).cast("string")
     rows = pages.select(F.col(id_column).alias("page_id"), url.alias("url"))
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "row": F.monotonically_increasing_id()})
+    rows = stage(rows, "page-rows")  # numbered once, whatever is computed again
     rows = rows.withColumns({"key": canonical(F.col("host")), "slice": F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int")})
     clean = _clean_rules(rules)
     blocks = -(-clean.count() // block_rules)
