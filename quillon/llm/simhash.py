@@ -13,11 +13,19 @@ distance to the parent, and a search follows only the edges within the radius.
 The tree is built where its shard is: a shard's members are also its only
 queries, so nothing that grows with the corpus is broadcast.
 A shard yields at most one link for each member (a spanning forest).
+
+``representatives`` keeps one document of each group of texts with a similarity
+of 0.8 or more over five words. 64 bits tell that similarity only to within a
+few tenths, and a radius that covers it leaves no block to share, so there the
+fingerprint has 512 bits, its radius is the angle of that similarity and a margin,
+shards are texts that share the least hash of one of eight hash functions, and the
+sets of shingles decide what is linked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -26,11 +34,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.sketches import GOLDEN, mix, shingle_hashes
 from quillon.plans.components import components
 from quillon.plans.staging import stage
 
 SHINGLE_WORDS = 3
 RADIUS = 2
+WIDE_WORDS, SIMILARITY = 5, 0.8
+WIDE_BITS, MINIMA = 512, 8  # 64 bits from each hash function
+WIDE_SHARD, WIDE_DEALS, PIVOTS = 16_384, 2, 64
+WIDE_CHUNK, SPREADS = 1 << 14, 2.5
 SEED = 42
 SHARD_SIZE = 256
 DEALS = 3  # times that a large shard is dealt again
@@ -61,18 +74,17 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(sums * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, also: Sequence[str] = ()) -> DataFrame:
-    """``doc_id, fp`` of whole texts, and the long columns ``also``; null and empty texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """``doc_id, fp`` of whole texts; null and empty texts have fingerprint zero."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_DOCS):
                 batch = whole.slice(at, BATCH_DOCS)
                 made = [fingerprint(t, words) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64()), *map(batch.column, also)], ["doc_id", "fp", *also])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64())], ["doc_id", "fp"])
 
-    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *also)
-    return sent.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in also)]))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def split_bits(bits: list[int], parts: int) -> list[int]:
@@ -120,90 +132,101 @@ def shards(nodes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE,
 
 
 class BKTree:
-    """Nodes with children keyed by distance; a search within a radius, then an insertion."""
+    """Children keyed by distance to the parent; members are joined to components.
+
+    A search follows only the edges within the radius, and no subtree whose
+    members are all in the searcher's own component already, so a dense group of
+    near copies costs each member a few steps.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, radius: int, check: Callable[[int, int], bool] | None = None) -> None:
+        self.radius, self.check = radius, check  # by place, of what is within the radius
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
-
-    def near(self, value: int, radius: int) -> list[int]:
-        if not self.values:
-            return []
-        found, todo = [], [0]
+        self.above: list[int] = []  # union-find
+        self.whole: list[int] = []  # a member, if the subtree is of one component
+
+    def component(self, node: int) -> int:
+        above = self.above
+        while above[node] != node:
+            above[node] = above[above[node]]
+            node = above[node]
+        return node
+
+    def join(self, value: int) -> list[int]:
+        """Add a member; a near member of each component that it joins up."""
+        values, children, whole, component = self.values, self.children, self.whole, self.component
+        new, linked, todo = len(values), [], [0] if values else []
+        values.append(value)
+        children.append({})
+        self.above.append(new)
+        whole.append(new)
         while todo:
             node = todo.pop()
-            d = (self.values[node] ^ value).bit_count()
-            if d <= radius:
-                found.append(node)
-            children = self.children[node]
-            for k in range(max(1, d - radius), d + radius + 1):
-                if k in children:
-                    todo.append(children[k])
-        return found
-
-    def add(self, value: int) -> int:
-        new = len(self.values)
-        self.values.append(value)
-        self.children.append({})
+            if linked and whole[node] >= 0 and component(whole[node]) == component(new):
+                continue
+            d = (values[node] ^ value).bit_count()
+            if d <= self.radius and component(node) != component(new) and (self.check is None or self.check(new, node)):
+                self.above[component(new)] = component(node)
+                linked.append(node)
+            todo += [child for k, child in children[node].items() if abs(k - d) <= self.radius]
         node = 0
         while node != new:
-            d = (self.values[node] ^ value).bit_count()
-            node = self.children[node].setdefault(d, new)
-        return new
-
+            if whole[node] >= 0 and component(whole[node]) != component(new):
+                whole[node] = -1
+            node = children[node].setdefault((values[node] ^ value).bit_count(), new)
+        return linked
 
-def forest(members: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """Links that join all members of a shard that chains of near ones connect."""
-    tree, parent = BKTree(), list(range(len(members)))
 
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    for value in members:
-        own = None
-        near = tree.near(value, radius)
-        own = tree.add(value)
-        for other in near:
-            a, b = root(own), root(other)
-            if a != b:
-                parent[a] = b
-                yield value, members[other]
+def forest(members: list[int], radius: int, check: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
+    """Links, by place, that join all members that chains of near ones connect."""
+    tree = BKTree(radius, check)
+    for k, value in enumerate(members):
+        yield from ((k, near) for near in tree.join(value))
 
 
 def near_links(nodes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
     """Links ``u, v`` between distinct fingerprints of ``nodes (fp)`` within the radius."""
 
-    def search(batches):
-        key, members = None, []
+    rows = shards(nodes, radius, shard_size)
+    search = _by_shard(["mask", "value"], ["fp"], lambda fps: forest(fps.view(np.uint64).tolist(), radius))
+    return rows.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(search, "u long, v long")
+
+
+def _by_shard(keys: list[str], columns: list[str], near: Callable[..., Iterator[tuple[int, int]]]):
+    """A search of sorted rows, shard after shard, for ``u, v``.
+
+    ``near`` gets a shard's ``columns`` and yields the places of near members; the
+    first column names them.
+    """
+
+    def run(batches):
+        last, held = None, [[] for _ in columns]
         for batch in batches:
-            mask, value, fp = (batch.column(c).to_numpy() for c in ("mask", "value", "fp"))
-            if not len(fp):
+            if not batch.num_rows:
                 continue
-            cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1
-            bounds, links = [0, *cuts.tolist(), len(fp)], []
+            by = [batch.column(k).to_numpy() for k in keys]
+            changes = np.any([k[1:] != k[:-1] for k in by], axis=0)
+            bounds, links = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows], []
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                own = (int(mask[lo]), int(value[lo]))
-                if own != key:
-                    links += _linked(members, radius)
-                    key, members = own, []
-                members.append(fp[lo:hi])
+                shard = tuple(int(k[lo]) for k in by)
+                if shard != last:
+                    links += linked(held)
+                    last, held = shard, [[] for _ in columns]
+                for parts, column in zip(held, own, strict=True):
+                    parts.append(column[lo:hi])
             yield _links(links)
-        yield _links(_linked(members, radius))
-
-    rows = shards(nodes, radius, shard_size)
-    return rows.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(search, "u long, v long")
+        yield _links(linked(held))
 
+    def linked(held: list[list[np.ndarray]]) -> list[tuple[int, int]]:
+        if sum(map(len, held[0])) < 2:
+            return []
+        members = [np.concatenate(parts) for parts in held]
+        names = members[0].tolist()
+        return [(names[a], names[b]) for a, b in near(*members)]
 
-def _linked(members: list[np.ndarray], radius: int) -> list[tuple[int, int]]:
-    n = sum(map(len, members))
-    if n < 2:
-        return []
-    values = np.concatenate(members)
-    signed = dict(zip(values.view(np.uint64).tolist(), values.tolist(), strict=True))
-    return [(signed[a], signed[b]) for a, b in forest(list(signed), radius)]
+    return run
 
 
 def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -231,26 +254,159 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``key_a, key_b``: 128 bits of hash of id and text, never null."""
-    own = [F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), F.col("text").cast("string")]
-    return docs.withColumns({name: F.xxhash64(F.lit(seed), *own) for name, seed in (("key_a", 1), ("key_b", 2))})
+# --- one document of each group of texts with a similarity of 0.8 or more ---------
 
 
-def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row of ``docs``, all columns, for each group: one with its smallest id.
+def radius_of(similarity: float, bits: int = WIDE_BITS) -> int:
+    """Bits in which two sets of one size with that Jaccard similarity may differ.
 
-    Where rows of a group share that id, or it has none, the row is chosen by the
-    hash of id and text. Groups that share an id, or have none, keep a row each.
+    The bits that differ are binomial, by the sets' angle; the radius is
+    ``SPREADS`` standard deviations above their mean.
     """
-    (doc_id, text), at = [F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text")], len(docs.columns)
-    rows = docs.toDF(*[f"c{i}" for i in range(at)])
-    keys = ["key_a", "key_b"]
-    named = _keyed(rows.select("*", doc_id.alias("doc_id"), text.alias("text")))
-    prints = stage(fingerprints(named, words, keys), "fingerprints")
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *keys)
-    nodes = stage(prints.groupBy("fp").agg(F.min(first).alias("least")), "nodes")
-    roots = components(near_links(nodes.select("fp"), radius))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left")
-    kept = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least")).select("least.key_a", "least.key_b")
-    return named.drop("doc_id", "text").join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys).toDF(*docs.columns)
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + SPREADS * math.sqrt(bits * share * (1 - share)))
+
+
+def wide_fingerprint(text: str | None, words: int = WIDE_WORDS) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """SimHash of ``WIDE_BITS`` bits of a text's distinct shingles, the least hash of
+    each of ``MINIMA`` hash functions (zeros without words), and the shingles
+    themselves: their distinct hashes, sorted, of 32 bits."""
+    shingles = np.unique(shingle_hashes(text, words) >> np.uint64(32))
+    sums, minima = np.zeros(WIDE_BITS, np.int64), np.zeros(MINIMA, np.uint64)
+    for at in range(0, len(shingles), WIDE_CHUNK):
+        part = shingles[at : at + WIDE_CHUNK]
+        hashes = np.stack([mix(part + np.uint64(k * GOLDEN % 2**64)) for k in range(1, MINIMA + 1)], axis=1)
+        minima = hashes.min(axis=0) if at == 0 else np.minimum(minima, hashes.min(axis=0))
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        sums += np.add.reduce(bits, axis=0, dtype=np.uint32)
+    return np.packbits(sums * 2 > len(shingles), bitorder="little").tobytes(), minima.view(np.int64), shingles.astype("<u4")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted arrays of distinct numbers; 1 for two empty ones."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    if not len(b):
+        return 1.0 if not len(a) else 0.0
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def wide_fingerprints(rows: DataFrame, words: int = WIDE_WORDS) -> DataFrame:
+    """``row, doc_id, text_hash, fp, minima, shingles`` of ``rows (row, doc_id, text)``."""
+    given = ["row", "doc_id", "text_hash"]
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_DOCS):
+                batch = whole.slice(at, BATCH_DOCS)
+                made = [wide_fingerprint(t, words) for t in batch.column("text").to_pylist()]
+                fps, minima, shingles = zip(*made, strict=True) if made else ((), (), ())
+                new = pa.array(fps, pa.binary()), pa.array([m.tolist() for m in minima], pa.list_(pa.int64())), pa.array([x.tobytes() for x in shingles], pa.binary())
+                yield pa.RecordBatch.from_arrays([*map(batch.column, given), *new], [*given, "fp", "minima", "shingles"])
+
+    text = F.col("text").cast("string")
+    sent = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text.isNull(), text).alias("text_hash"), text.alias("text"))
+    return sent.mapInArrow(run, "row long, doc_id long, text_hash long, fp binary, minima array<long>, shingles binary")
+
+
+def _agreeing(which: Column) -> Column:
+    """The shard of a text for a set of hash functions: those minima, hashed."""
+    picked = F.filter(F.col("minima"), lambda _, k: F.getbit(which, k) == 1)
+    return F.xxhash64(which, picked)
+
+
+def shards_by_minima(nodes: DataFrame, shard_size: int = WIDE_SHARD, deals: int = WIDE_DEALS) -> DataFrame:
+    """``mask, value, block, node, fp``: the shards that each of ``nodes (node, fp, minima)`` is in.
+
+    Two texts of Jaccard similarity s have one least hash in common with
+    probability s, and so share one of the first shards with 1 - (1 - s) ** MINIMA.
+    Members of a shard beyond ``shard_size`` are dealt again, to those of its
+    members that have another minimum in common too. What is still larger after
+    the last deal is a family of near copies: it is searched in blocks by hash of
+    the fingerprint, each with the same ``PIVOTS`` or so of its members.
+    """
+    ones = [1 << k for k in range(MINIMA)]
+    rows = nodes.select("node", "fp", "minima", F.explode(F.array(*map(F.lit, ones))).alias("mask"))
+    rows, size = rows.withColumn("value", _agreeing(F.col("mask"))), F.lit(1).cast("long")
+    for deal in range(deals + 1):
+        counts = rows.groupBy("mask", "value").agg(F.count("*").alias("size"))
+        large = stage(counts.filter(F.col("size") > shard_size), "large-shards")
+        if large.isEmpty():
+            break
+        rows = rows.join(large, ["mask", "value"], "left")
+        if deal == deals:
+            size = F.coalesce(F.col("size"), F.lit(1))
+            break
+        again = F.filter(F.transform(F.array(*map(F.lit, ones)), lambda m: m.bitwiseOR(F.col("mask"))), lambda m: m != F.col("mask"))
+        dealt = F.when(F.col("size").isNotNull(), again).otherwise(F.array("mask"))
+        rows = rows.select("node", "fp", "minima", F.explode(dealt).alias("mask"))
+        rows = stage(rows.withColumn("value", _agreeing(F.col("mask"))).distinct(), "dealt-shards")
+    return rows.select("mask", "value", F.explode(_blocks(size, shard_size)).alias("block"), "node", "fp")
+
+
+def _blocks(size: Column, limit: int) -> Column:
+    """The blocks that a member of a group of ``size`` goes to: one, a pivot to all."""
+    blocks = F.ceil(size / limit).cast("int")
+    place = F.pmod(F.xxhash64("fp"), F.lit(1 << 30))
+    pivot = (blocks > 1) & (place < F.lit(float(PIVOTS << 30)) / size)
+    return F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(place, blocks).cast("int")))
+
+
+def candidates(nodes: DataFrame, radius: int, shard_size: int = WIDE_SHARD, deals: int = WIDE_DEALS) -> DataFrame:
+    """Links ``u, v`` of ``nodes (node, fp, minima)`` whose fingerprints are within the radius."""
+    keys, columns = ["mask", "value", "block"], ["node", "fp"]
+    search = _by_shard(keys, columns, lambda _, fps: forest(_wide(fps), radius))
+    rows = shards_by_minima(nodes, shard_size, deals)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(search, "u long, v long")
+
+
+def _wide(fps: np.ndarray) -> list[int]:
+    return [int.from_bytes(fp, "little") for fp in fps]
+
+
+def similar_links(nodes: DataFrame, shingles: DataFrame, similarity: float, shard_size: int = WIDE_SHARD) -> DataFrame:
+    """Links ``u, v`` of texts that are similar, which joins up all chains of them.
+
+    ``nodes`` has ``node, fp, minima, row``, ``shingles`` the sets by ``row``.
+    Chains of candidates are the groups; in each group a BK-tree finds near
+    fingerprints again and the sets decide. Groups beyond ``shard_size`` are
+    searched in blocks with common pivots.
+    """
+    radius = radius_of(similarity)
+    roots = stage(components(candidates(nodes, radius, shard_size)), "candidate-groups")
+    ends = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    sizes = ends.groupBy("root").agg(F.count("*").alias("size"))
+    members = stage(nodes.select("node", "fp", "row").join(ends, "node").join(sizes, "root"), "candidate-members")
+    dealt = members.select("root", F.explode(_blocks(F.col("size"), shard_size)).alias("block"), "node", "fp", "row")
+    own = shingles.join(members.select("row"), "row", "left_semi")  # row numbers alone are few enough to broadcast for longer
+    rows = own.join(dealt, "row").select("root", "block", "node", "fp", "shingles")
+
+    def near(_, fps, packed):
+        sets = [np.frombuffer(p, "<u4") for p in packed]
+        return forest(_wide(fps), radius, lambda a, b: jaccard(sets[a], sets[b]) >= similarity)
+
+    keys, columns = ["root", "block"], ["node", "fp", "shingles"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(_by_shard(keys, columns, near), "u long, v long")
+
+
+def representatives(docs: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY, shard_size: int = WIDE_SHARD) -> DataFrame:
+    """One row of ``docs``, all columns, for each group of near copies: one with its smallest id.
+
+    Rows of a group that share that id, or a group without ids, are decided by
+    the hash of the text and then by their place in the table. Texts without
+    words are one group; repeated rows are copies; rows of one id, or of none,
+    with different texts are judged by their texts. Whole texts count, however
+    long. Columns may have any names; an empty table stays empty.
+    """
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    rows = stage(docs.toDF(*own).withColumn("row", F.monotonically_increasing_id()), "rows")
+    prints = stage(wide_fingerprints(rows.select("row", doc_id.alias("doc_id"), text.alias("text")), words), "wide-fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row")
+    nodes = prints.groupBy("fp").agg(F.first("minima").alias("minima"), F.min(first).alias("least"))
+    nodes = stage(nodes.withColumns({"node": F.monotonically_increasing_id(), "row": F.col("least.row")}), "nodes")
+    roots = components(similar_links(nodes, prints.select("row", "shingles"), similarity, shard_size))
+    rooted = nodes.select("node", "least").join(roots, "node", "left")
+    kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
+    dropped = stage(prints.select("row").join(kept, "row", "left_anti"), "dropped")
+    return rows.join(dropped, "row", "left_anti").select(*own).toDF(*docs.columns)

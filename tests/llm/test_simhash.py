@@ -78,3 +78,74 @@ def test_representatives_of_null_and_repeated_ids(spark):
         got = simhash.representatives(spark.createDataFrame(docs, "doc_id long, text string, key_a string").repartition(3))
         assert got.columns == ["doc_id", "text", "key_a"]
         assert sorted(((r.doc_id or 0, r.text) for r in got.collect()), key=str) == [(0, "one of a kind"), (0, "quite another text"), (2, "third without id"), (5, "text x"), (5, "text y"), (9, None)]
+
+
+def brute_similar(texts, similarity=0.8):
+    """Row number to the first row of its group, over all pairs of texts."""
+    sets = []
+    for text in texts:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall("[^\x20\x09-\x0d]+", low)
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    group = list(range(len(texts)))
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if not a and not b or a and b and len(a & b) >= similarity * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                group[y] = x
+    return [root(k) for k in range(len(texts))]
+
+
+def families(rng, n, sizes):
+    """Texts of which some are another with words replaced, from one to a third of them."""
+    words, out = [f"w{k}" for k in range(3000)], []
+    for _ in range(n):
+        base = rng.choices(words, k=rng.randint(20, 150))
+        for _ in range(rng.choice(sizes)):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 25))):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            out.append(" ".join(own))
+    rng.shuffle(out)
+    return out
+
+
+def test_representatives_against_all_pairs(spark, sf_dir):
+    table = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    for texts in (table, families(random.Random(3), 60, [1, 2, 5, 12])):
+        want = set(brute_similar(texts))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+        got = {r.doc_id for r in simhash.representatives(docs).collect()}
+        assert len(want) < len(texts) and got == want
+
+
+def test_large_families_in_deals_and_blocks(spark):
+    """With a tiny shard size: dealt again twice, then blocks that pivots hold together."""
+    rng = random.Random(5)
+    texts = families(rng, 1, [400]) + families(rng, 30, [1, 3])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.representatives(docs, shard_size=100).collect()} == set(brute_similar(texts))
+
+
+def test_wide_fingerprint_in_chunks(monkeypatch):
+    text = " ".join(f"w{k * k % 977}" for k in range(3000))
+    whole = simhash.wide_fingerprint(text)
+    monkeypatch.setattr(simhash, "WIDE_CHUNK", 100)
+    parts = simhash.wide_fingerprint(text)
+    assert whole[0] == parts[0] and whole[1].tolist() == parts[1].tolist() and len(whole[0]) * 8 == simhash.WIDE_BITS
+    assert simhash.wide_fingerprint(None)[0] == bytes(64)
+
+
+def test_representatives_of_odd_tables(spark):
+    long = "many words of one long text " * 40_000
+    rows = [(1, long, "a", None), (2, long + "more", "b", 1), (3, "ONE two", None, 2), (4, "one\tTWO", "", 3), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, fp int")
+    got = simhash.representatives(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id or 0 for r in got.collect()) == [0, 1, 3]
+    assert simhash.representatives(docs.limit(0)).count() == 0
