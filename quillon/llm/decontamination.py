@@ -42,7 +42,7 @@ SHINGLE_WORDS = 5
 POSTING_BLOCK = 8
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
 DENSE_CELLS = 4_000_000
-BATCH_DOCS, PASSAGES = 64, 1024  # searched at a time
+BATCH_DOCS, PASSAGES = 64, 256  # searched at a time
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -201,12 +201,6 @@ def find_in(index: Index, texts: list[list[str]], retrieve: float, overlap: floa
     return found
 
 
-def _in_batches(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
-    """Words of a few texts at a time, with the place of the first."""
-    for at in range(0, len(texts), BATCH_DOCS):
-        yield at, [words_of(t) for t in texts[at : at + BATCH_DOCS]]
-
-
 def read_items(benchmark: DataFrame, block: int, blocks: int) -> list[Item]:
     """The items of one block; bounded by its share of the items."""
     rows = benchmark.filter(F.col("item_id").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block))
@@ -279,9 +273,11 @@ def _searcher(shared, retrieve: float, overlap: float):
     def run(batches):
         index = shared.value
         for batch in batches:
-            rows, docs = [], batch.column("doc_id").to_pylist()
-            for at, texts in _in_batches(batch.column("text").to_pylist()):
-                for doc, hits in zip(docs[at : at + len(texts)], find_in(index, texts, retrieve, overlap), strict=True):
+            rows = []
+            for at in range(0, batch.num_rows, BATCH_DOCS):
+                few = batch.slice(at, BATCH_DOCS)
+                found = find_in(index, [words_of(t) for t in few.column("text").to_pylist()], retrieve, overlap)
+                for doc, hits in zip(few.column("doc_id").to_pylist(), found, strict=True):
                     for item_at, (whole, score, question, answer, lo) in hits.items():
                         rows.append((doc, index.items[item_at].item_id, score, whole, question, answer, lo))
             kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64()]
@@ -292,12 +288,14 @@ def _searcher(shared, retrieve: float, overlap: float):
     return run
 
 
-def _cleaner(shared, retrieve: float, overlap: float):
+def _cleaner(shared, text: str, retrieve: float, overlap: float):
     def run(batches):
         index = shared.value
-        for batch in batches:
-            clean = [not hits for _, texts in _in_batches(batch.column("text").to_pylist()) for hits in find_in(index, texts, retrieve, overlap)]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_DOCS):
+                batch = whole.slice(at, BATCH_DOCS)
+                hits = find_in(index, [words_of(t) for t in batch.column(text).to_pylist()], retrieve, overlap)
+                yield batch.filter(pa.array([not h for h in hits], pa.bool_()))
 
     return run
 
@@ -308,8 +306,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, retrieve: float = RET
     Null and empty texts stay, as do all rows where the benchmark is empty;
     repeated rows are judged each; columns may have any names.
     """
-    renamed, text = by_place(docs, "text")
-    kept = renamed.withColumn("text", text.cast("string"))
+    kept, text = by_place(docs)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
     for shared in _indexes(benchmark):
-        kept = kept.mapInArrow(_cleaner(shared, retrieve, overlap), kept.schema)
-    return kept.drop("text").toDF(*docs.columns)
+        kept = kept.mapInArrow(_cleaner(shared, text, retrieve, overlap), kinds)
+    return kept.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
