@@ -166,12 +166,22 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """Encode, cut and pack whole documents; the encoding runs once and is staged."""
+    """Encode, cut and pack whole documents; the encoding runs once and is staged.
+
+    Null and empty texts are one piece, the end id; texts of any length are cut
+    into pieces, none of which is dropped; repeated rows are packed each; null ids
+    stay null; columns other than ``doc_id`` and ``text`` are not read, whatever
+    their names; an empty table gives no rows.
+    """
     return pack(stage(pieces(docs, tokenizer_path, end_id, capacity, keep_ids), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """The packed sequences themselves: ``sequence_id, length, ids`` from pieces with ids."""
+    """The packed sequences themselves: ``sequence_id, length, ids`` from pieces with ids.
+
+    A sequence has at most ``capacity`` ids, so gathering one is bounded; no
+    pieces give no sequences.
+    """
     rows = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
     return rows.select("sequence_id", F.size(ids).alias("length"), ids.alias("ids"))

@@ -109,3 +109,12 @@ def test_edges(spark):
     assert packing.pack_documents(spark.createDataFrame([], schema), path).count() == 0
     packed = packing.pack_documents(spark.createDataFrame(rows[:3], schema), path, keep_ids=True)
     assert [list(r.ids) for r in packing.sequences(packed).collect()] == [[1, 1, 1]]
+
+
+def test_sequences_of_nothing_and_of_ties(spark):
+    path = tokenizer_file("word_bpe_49k.json")
+    none = packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), path, keep_ids=True)
+    assert packing.sequences(none).count() == 0
+    same = packing.pack_documents(spark.createDataFrame([(1, "one two")] * 5, "doc_id long, text string"), path, keep_ids=True)
+    (only,) = packing.sequences(same).collect()
+    assert only.length == 15 and list(only.ids) == list(only.ids)[:3] * 5
