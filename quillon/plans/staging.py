@@ -67,6 +67,22 @@ def unstage(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, whose session sends Python workers at most ``rows`` texts at a time.
+
+    Spark's default of 10,000 rows is meant for numbers; of long texts it is many
+    megabytes in the executor, again in the worker, and again on the way back. A
+    size that the session names itself is kept.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_ROWS) == "10000":
+        conf.set(ARROW_ROWS, str(rows))
+    return df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its scan has far fewer partitions than there are.
 
