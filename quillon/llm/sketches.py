@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -20,17 +21,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.plans.staging import bounded_batches
+
 K = 128
 SHINGLE_WORDS = 5
 BATCH_DOCS = 200
+PART_BYTES, MOST_PARTS = 16 << 20, 100_000
 FLUSH_SKETCHES = 2000
 
 # Odd multipliers for the places in a shingle, from powers of the golden ratio.
-_GOLDEN = 0x9E3779B97F4A7C15
+GOLDEN = 0x9E3779B97F4A7C15
 _EMPTY = np.zeros(0, np.uint64)
 
 
-def _mix(z: np.ndarray) -> np.ndarray:
+def mix(z: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit over all."""
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
@@ -48,8 +53,8 @@ def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     width = min(words, len(found))
     sums = np.full(len(found) - width + 1, width, np.uint64)
     for k in range(width):
-        sums += own[k : len(found) - width + 1 + k] * np.uint64(pow(_GOLDEN, k + 1, 1 << 64) | 1)
-    return _mix(sums)
+        sums += own[k : len(found) - width + 1 + k] * np.uint64(pow(GOLDEN, k + 1, 1 << 64) | 1)
+    return mix(sums)
 
 
 def bottom_k(hashes: np.ndarray, k: int = K) -> np.ndarray:
@@ -152,34 +157,52 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - quarter] + following[:quarter]
 
 
-def _ranges(docs: DataFrame, parts: int) -> tuple[np.ndarray, dict[int | None, int], int]:
-    """Bounds of near-equal ranges of ids; the first id of each range that has rows
-    with the range before it (for the first, the last). One number for each range."""
-    places = [k / parts for k in range(1, parts)]
-    ids = docs.select(F.col("doc_id").cast("long"))
-    found = ids.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", places, 1.0 / (8 * parts)) if parts > 1 else []
-    bounds = np.unique(np.array(found, np.float64))
-    at = _range_of(bounds)
-    firsts = ids.select(at("doc_id").alias("range"), "doc_id").groupBy("range").agg(F.min("doc_id").alias("first"), F.min(F.col("doc_id").isNotNull()).alias("known"))
-    rows = sorted((r.range, r.first if r.known else None) for r in firsts.collect())
-    return bounds, {first: rows[k - 1][0] for k, (_, first) in enumerate(rows)}, len(rows)
+def _parts(rows: DataFrame) -> int:
+    """Tasks of about ``PART_BYTES`` of text, and enough for all cores; beyond
+    ``MOST_PARTS`` they grow, which costs a task time but no memory."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
+    return max(min(-(-total // PART_BYTES), MOST_PARTS), 2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """Consecutive ranges of the order (id, text hash); a null id is the least.
+
+    ``ids`` and ``hashes`` are the first keys of the ranges, one row for each.
+    """
+
+    ids: np.ndarray
+    hashes: np.ndarray
+
+    def of(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.ids, ids, side="left"), np.searchsorted(self.ids, ids, side="right")
+        at = hi - 1
+        inside = np.flatnonzero(hi > lo)  # ids that ranges begin with
+        for start in np.unique(lo[inside]).tolist():
+            own = inside[lo[inside] == start]
+            at[own] = start - 1 + np.searchsorted(self.hashes[start : hi[own[0]]], hashes[own], side="right")
+        return np.maximum(at, 0)
 
 
-def _range_of(bounds: np.ndarray):
-    @F.pandas_udf("int")
-    def at(ids: pd.Series) -> pd.Series:
-        values = ids.to_numpy(dtype="float64", na_value=-np.inf)
-        return pd.Series(np.searchsorted(bounds, values, side="right").astype("int32"))
+def _ranges(keys: DataFrame, parts: int) -> Ranges:
+    """Ranges of near-equal numbers of rows: the first key of each part of a
+    range partitioning of ids and hashes alone."""
+    sorted_keys = keys.repartitionByRange(parts, "id", "hash").select(F.spark_partition_id().alias("part"), F.struct("id", "hash").alias("key"))
+    firsts = sorted(tuple(r.first) for r in sorted_keys.groupBy("part").agg(F.min("key").alias("first")).collect())
+    return Ranges(np.array([i for i, _ in firsts], np.int64), np.array([h for _, h in firsts], np.int64))
 
-    return at
 
+def _targets(ranges: Ranges):
+    """The part that a row is in and, for the first of a range, the one before it:
+    twice its number, and one more for what only follows there."""
+    first = set(zip(ranges.ids.tolist(), ranges.hashes.tolist(), strict=True))
 
-def _targets(bounds: np.ndarray, before: dict):
     @F.pandas_udf("array<int>")
-    def to(ids: pd.Series) -> pd.Series:
-        at = np.searchsorted(bounds, ids.to_numpy(dtype="float64", na_value=-np.inf), side="right")
-        own = [None if pd.isna(v) else int(v) for v in ids.astype("Int64")]
-        return pd.Series([[2 * int(a)] + ([2 * before[v] + 1] if v in before else []) for a, v in zip(at, own, strict=True)])
+    def to(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        at = ranges.of(ids.to_numpy("int64"), hashes.to_numpy("int64"))
+        return pd.Series([
+            [2 * a, 2 * ((a - 1) % len(ranges.ids)) + 1] if (i, h) in first else [2 * a] for i, h, a in zip(ids, hashes, at.tolist(), strict=True)
+        ])
 
     return to
 
@@ -193,30 +216,34 @@ def beside_edited(docs: DataFrame, k: int = K, words: int = SHINGLE_WORDS, parts
     """Fingerprints of each text and of its edited text, and their likeness.
 
     The next document is the one after in ascending ``doc_id`` (null ids first,
-    equal ids by text), after the last the first. Texts move once, to a range of
-    ids; the first document of a range also goes to the range before, so that
-    each task sees its own documents and the one that follows them. Null texts
-    are empty; repeated rows stay; an empty table gives no rows.
+    equal ids by hash of the text), after the last the first. Texts move once, to
+    ranges of that order whose number follows from the bytes of the texts; the
+    first document of a range also goes to the range before, so that each task
+    sees its own documents and the one that follows them. Null texts are empty,
+    texts of any length whole; repeated rows stay; other columns are not read; an
+    empty table gives no rows.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds, before, _ = _ranges(docs, 2 * parts)
-    dealt = rows.withColumn("to", F.explode(_targets(bounds, before)("doc_id")))
-    dealt = dealt.select("doc_id", "text", (F.col("to") / 2).cast("int").alias("range"), (F.col("to") % 2).alias("after"))
-    dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", "after", "doc_id", "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    least = F.coalesce(doc_id, F.lit(-(2**63)))
+    rows = bounded_batches(docs).select(doc_id.alias("doc_id"), text.alias("text"), least.alias("id"), F.xxhash64(text).alias("hash"))
+    parts = parts or _parts(rows)
+    ranges = _ranges(rows.select("id", "hash"), parts)
+    dealt = rows.withColumn("to", F.explode(_targets(ranges)("id", "hash")))
+    dealt = dealt.withColumns({"part": F.expr("to div 2").cast("int"), "after": F.col("to") % 2})
+    dealt = dealt.repartitionById(max(1, len(ranges.ids)), "part").sortWithinPartitions("after", "id", "hash").select("after", "doc_id", "text")
 
     def run(batches):
-        pending, rows = None, []  # the row whose follower is not seen yet: (range, doc, text, sketch)
+        pending, rows = None, []  # the row whose follower is not seen yet
         for whole in batches:
-            columns = (whole.column(c).to_pylist() for c in ("range", "after", "doc_id", "text"))
-            for where, after, doc, text in zip(*columns, strict=True):
+            columns = (whole.column(c).to_pylist() for c in ("after", "doc_id", "text"))
+            for after, doc, text in zip(*columns, strict=True):
                 if after and pending is None:
                     continue  # a tie of the first follower
                 own = sketch(text, k, words)
                 if pending is not None:
                     rows.append(compare(pending, text, own))
-                pending = None if after else (where, doc, text, own)
+                pending = None if after else (doc, text, own)
                 if len(rows) >= BATCH_DOCS:
                     yield batch(rows)
                     rows = []
@@ -224,7 +251,7 @@ def beside_edited(docs: DataFrame, k: int = K, words: int = SHINGLE_WORDS, parts
             yield batch(rows)
 
     def compare(one, following, its_sketch):
-        _, doc, text, own = one
+        doc, text, own = one
         new = edited(text, following)
         other = sketch(new, k, words)
         digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
