@@ -130,6 +130,11 @@ def _repository(args: argparse.Namespace, spark):
         return Repository()
     if args.worktree and not args.worktree_list:
         raise ValueError("--worktree needs --worktree-list")
+    given = [tuple(part.strip() for part in w.partition("=")) for w in args.worktree]
+    if not all(issue and path for issue, _, path in given):
+        raise ValueError("a worktree mapping is not ID=PATH")
+    if len({issue for issue, _, _ in given}) < len(given):
+        raise ValueError("a worktree is mapped twice")
     files = spark.read.text(args.repository_files).select(F.col("value").alias("path")) if args.repository_files else None
     trees = surfaces.worktrees(spark.read.text(args.worktree_list, lineSep="\n\n")) if args.worktree_list else None
     changes = spark.read.schema("worktree string, path string, kind string").json(args.changed_paths) if args.changed_paths else None
