@@ -7,9 +7,10 @@ cost almost nothing. An index at the end gives the place, size and checksum of
 every block, and a document table the bounds of every document; a reader fetches
 only the blocks that it needs.
 
-Layout: magic, blocks, document table, index, then a fixed footer. Files are
-written under a name of their own attempt and renamed when complete, so a lost
-executor leaves no half file under a final name.
+Layout: magic, blocks, document table, index, then a fixed footer. Every attempt
+at a task writes a file of its own name and nothing is renamed or written over;
+the manifest names the files of the attempts that counted, and what lost
+executors left behind is deleted.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.encoding import encoder
-from quillon.plans.staging import shared_path
+from quillon.plans.staging import bounded_batches, shared_path
 
 MAGIC = b"QPLANES1"
 FOOTER = struct.Struct("<QQQQQBB6s8s")  # docs at, index at, blocks, documents, ids, planes, unused, pad, magic
@@ -174,23 +175,24 @@ def write_planes(
 
     The rows are range-partitioned by ``doc_id`` before they are encoded, so each
     task writes one file and the files in order hold ascending ids (null ids
-    first, equal ids by text). The manifest has a row per file. An empty table
-    writes none.
+    first). Equal ids are ordered by the text's hash and then by row, so that
+    ranges part an id that many rows have. Texts are encoded whole, however long;
+    repeated rows stay; columns with other names are not read. The manifest has a
+    row per file. An empty table writes none.
     """
     spark = docs.sparkSession
-    out_dir, kinds = out_dir or shared_path(spark, "token-planes"), PLANES[planes]
+    out_dir, kinds, run = (out_dir or shared_path(spark, "token-planes")).rstrip("/"), PLANES[planes], uuid.uuid4().hex[:12]
 
     def write(batches):
-        part, enc, writer, final = TaskContext.get().partitionId(), encoder(tokenizer_path), None, None
+        part, enc, writer, name = TaskContext.get().partitionId(), encoder(tokenizer_path), None, None
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_DOCS):
                 batch = whole.slice(at, BATCH_DOCS)
                 if writer is None:
                     fs, root = pafs.FileSystem.from_uri(out_dir)
                     fs.create_dir(root, recursive=True)
-                    final = f"{root}/shard-{part:06d}.qpl"
-                    own = f"{root}/.{uuid.uuid4().hex}"
-                    sink = fs.open_output_stream(own)
+                    name = f"{run}-{part:06d}-{uuid.uuid4().hex[:12]}.qpl"
+                    sink = fs.open_output_stream(f"{root}/{name}")
                     writer = ShardWriter(sink, kinds, block_ids, level)
                 flat, counts = enc.encode(batch.column("text").to_pylist())
                 pos = 0
@@ -200,20 +202,32 @@ def write_planes(
         if writer is not None:
             writer.close()
             sink.close()
-            fs.move(own, final)
-            row = [[part], [f"{out_dir}/shard-{part:06d}.qpl"], [len(writer.docs)], [writer.n_ids], [writer.at]]
+            row = [[part], [f"{out_dir}/{name}"], [len(writer.docs)], [writer.n_ids], [writer.at]]
             yield pa.RecordBatch.from_arrays([pa.array(r) for r in row], ["part", "path", "documents", "ids", "bytes"])
 
-    columns = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = columns.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.col("text").cast("string")
+    columns = bounded_batches(docs).select(F.col("doc_id").cast("long"), text, F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "hash", "row"]
+    ordered = columns.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     rows = ordered.mapInArrow(write, "part long, path string, documents long, ids long, bytes long").collect()
     shards, start = [], 0
     for r in sorted(rows, key=lambda r: r.part):
         shards.append(Shard(r.path, r.documents, start, r.ids, r.bytes))
         start += r.ids
+    _drop_strays(spark, out_dir, run, {s.path.rsplit("/", 1)[1] for s in shards})
     return shards
 
 
+def _drop_strays(spark: SparkSession, out_dir: str, run: str, counted: set[str]) -> None:
+    """Delete the files of this run whose attempt did not count."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out_dir)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(jpath) if counted else []:
+        name = status.getPath().getName()
+        if name.startswith(run) and name not in counted:
+            fs.delete(status.getPath(), False)
+
+
 def read_planes(spark: SparkSession, shards: list[Shard], with_ids: bool = False) -> DataFrame:
     """Documents read back: ``doc_id, start, n_tokens, ids_crc32`` (and ``ids``)."""
 

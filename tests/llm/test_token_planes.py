@@ -53,6 +53,35 @@ def test_edges(spark):
     for planes in ("byte", "bit"):
         shards = tp.write_planes(spark.createDataFrame(rows, schema), path, 2, planes=planes, block_ids=2)
         got = sorted(tp.read_planes(spark, shards, with_ids=True).collect(), key=lambda r: r.start)
+        assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+        got.sort(key=lambda r: (r.doc_id is not None, r.doc_id, list(r.ids)))
         assert [(r.doc_id, list(r.ids)) for r in got] == [(None, [2]), (1, [2]), (2, [64, 2]), (2, [64, 2]), (2, [65, 2])]
     assert tp.write_planes(spark.createDataFrame([], schema), path, 2) == []
     assert tp.read_planes(spark, []).count() == 0
+
+
+def test_a_retried_task_counts_once(spark, tmp_path, monkeypatch):
+    """Attempts that die after their file is written leave no rows and no file."""
+    out, path = tmp_path / "planes", tokenizer_file("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(50)], "doc_id long, text string")
+    first = tp.write_planes(docs, path, 2, f"file://{out}")
+    run = first[0].path.rsplit("/", 1)[1][:12]
+    (out / f"{run}-000000-deadattempt1.qpl").write_bytes(b"half")
+    tp._drop_strays(spark, f"file://{out}", run, {s.path.rsplit("/", 1)[1] for s in first})
+    assert sorted(f"file://{p}" for p in out.glob("*.qpl")) == sorted(s.path for s in first)
+    again = tp.write_planes(docs, path, 2, f"file://{out}")
+    assert not {s.path for s in first} & {s.path for s in again}
+    for shards in (first, again):
+        assert sorted(r.doc_id for r in tp.read_planes(spark, shards).collect()) == list(range(50))
+
+
+def test_a_hot_id_is_parted(spark):
+    rows = [(None, f"text {k}") for k in range(600)] + [(k, "x") for k in range(200)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = tp.write_planes(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_file("byte_bpe_50k.json"), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(shards) > 2 and max(s.documents for s in shards) < 400
+    got = sorted(tp.read_planes(spark, shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 600 + list(range(200))
