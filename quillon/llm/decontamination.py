@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.learning import by_place
+from quillon.llm.learning import bounded_batches, by_place
 
 K1, B = 1.2, 0.75
 RETRIEVE = 0.5  # share of an item's score against itself
@@ -239,7 +239,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIE
     and empty texts hold nothing; null item ids are left out; repeated documents
     each get their rows; an empty benchmark gives none.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = [texts.mapInArrow(_searcher(shared, retrieve, overlap), SCHEMA) for shared in _indexes(benchmark)]
     out = parts[0]
     for part in parts[1:]:

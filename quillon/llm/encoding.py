@@ -78,9 +78,9 @@ class _Memo(dict):
 
 
 class WordEncoder:
-    """Ids of whole texts. ``max_words`` bounds the memo's memory (about 110 MB)."""
+    """Ids of whole texts. ``max_words`` bounds the memo's memory (about 80 MB)."""
 
-    def __init__(self, path: str, max_words: int = 400_000) -> None:
+    def __init__(self, path: str, max_words: int = 300_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.max_words = max_words
         with open(path, encoding="utf-8") as f:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.learning import CHUNK_BYTES, by_place, fit_linear, held_out, pack_row, sigmoid, unpack_rows
+from quillon.llm.learning import CHUNK_BYTES, bounded_batches, by_place, fit_linear, held_out, pack_row, sigmoid, unpack_rows
 
 UNKNOWN = "und"
 DIMENSIONS = 4096
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 langs, scores = model.predict(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    sent = docs.select("doc_id", F.col("text").cast("string"))
+    sent = bounded_batches(docs).select("doc_id", F.col("text").cast("string"))
     found = sent.mapInArrow(run, f"doc_id {sent.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 

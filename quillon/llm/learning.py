@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.plans.staging import bounded_batches
+
 HELD_OUT_MOD, HELD_OUT = 4, 2
 CHUNK_BYTES = 1 << 20
 
@@ -27,7 +29,7 @@ def by_place(docs: DataFrame) -> tuple[DataFrame, str]:
     A text that is no string gets a string beside it; else the one column serves
     for reading and for keeping, so that texts are sent once.
     """
-    renamed, text = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{docs.columns.index('text')}"
+    renamed, text = bounded_batches(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{docs.columns.index('text')}"
     if renamed.schema[text].dataType.simpleString() == "string":
         return renamed, text
     return renamed.withColumn("text", F.col(text).cast("string")), "text"

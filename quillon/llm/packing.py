@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.encoding import encoder
-from quillon.plans.staging import stage
+from quillon.plans.staging import bounded_batches, stage
 
 CAPACITY = 4096
 END_ID = 1
@@ -137,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity:
                 yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * keep_ids)
 
     schema = PIECE_SCHEMA + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:

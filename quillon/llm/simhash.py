@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.sketches import GOLDEN, mix, shingle_hashes
 from quillon.plans.components import components
-from quillon.plans.staging import stage
+from quillon.plans.staging import bounded_batches, stage
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
                 made = [fingerprint(t, words) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def split_bits(bits: list[int], parts: int) -> list[int]:
@@ -305,7 +305,7 @@ def wide_fingerprints(rows: DataFrame, words: int = WIDE_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*map(batch.column, given), *new], [*given, "fp", "minima", "shingles"])
 
     text = F.col("text").cast("string")
-    sent = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text.isNull(), text).alias("text_hash"), text.alias("text"))
+    sent = bounded_batches(rows).select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text.isNull(), text).alias("text_hash"), text.alias("text"))
     return sent.mapInArrow(run, "row long, doc_id long, text_hash long, fp binary, minima array<long>, shingles binary")
 
 
