@@ -140,17 +140,18 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
 
     The sample has ``fit_rows`` rows for each language, fewer where they would be
     more than ``ALL_FIT_ROWS``, chosen by hash of the id and read by a join with
-    the chosen ids; one text for each id and language, as sparse counts.
+    the chosen ids; one text for each id and language, as sparse counts, so an id
+    that many rows have takes one place.
     """
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().collect()
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("ids")).collect()
     if not counts:
         return fit(np.zeros((0, DIMENSIONS)), [])
     fit_rows = max(1, min(fit_rows, ALL_FIT_ROWS // len(counts)))
-    shares = [(r.lang, min(1.0, 1.5 * (fit_rows + 30) / r["count"])) for r in counts]
+    shares = [(r.lang, min(1.0, 1.5 * (fit_rows + 30) / max(1, r.ids))) for r in counts]
     shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    few = known.select("doc_id", "lang", place.alias("place")).join(shares, "lang").filter(F.col("place") < F.col("share"))
+    few = known.select("doc_id", "lang", place.alias("place")).join(shares, "lang").filter(F.col("place") < F.col("share")).distinct()
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
     few = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= fit_rows).select("doc_id", F.col("lang").alias("known"))
     chosen = F.broadcast(few.groupBy("doc_id").agg(F.min("known").alias("known")))

@@ -47,3 +47,14 @@ def test_every_language_is_learned(spark, monkeypatch):
         model = language.train(docs)
         assert sorted(sum(model.members.values(), [])) == sorted(langs)
         assert model.predict(list(words.values()))[0] == langs
+
+
+def test_an_id_on_many_rows_takes_one_place(spark, monkeypatch):
+    seen, fit = [], language.fit
+    monkeypatch.setattr(language, "fit", lambda x, y: seen.append(list(y)) or fit(x, y))
+    free = [k for k in range(3000) if zlib.crc32(str(k).encode()) % 4 != 2]
+    rows = [(k, f"the cat and dog number {k}", "en") for k in free[:300]] + [(free[300], "der Hund", "de")]
+    hot = spark.createDataFrame([(free[400], "the hot one", "en")], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(hot.crossJoin(spark.range(3000)).drop("id"))
+    language.train(docs)
+    assert seen[0].count("en") == 301 and seen[0].count("de") == 1
