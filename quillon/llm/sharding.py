@@ -1,9 +1,9 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
 Records are hashed by their text into a fixed number of slots (thousands, many
-times the shards), so equal texts share a slot; a group of equal texts with more
-bytes than the mean slot is salted into pieces of about that size, so that no
-group keeps the shards from being near equal. Bytes and rows are summed by slot,
+times the shards), so equal texts share a slot and a shard; only a group of equal texts
+with more bytes than the mean shard, which no one shard could hold beside equal others,
+is salted into pieces of about the mean slot. Bytes and rows are summed by slot,
 and the map gives every slot a shard. Rebalancing edits the map: only slots that
 must move get another shard, and the records keep their slots for good.
 
@@ -40,10 +40,10 @@ class SlotLoad:
     rows: int
 
 
-def digest(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+def digest(docs: DataFrame, slots: int = SLOTS, shards: int = SHARDS) -> DataFrame:
     """``doc_id, size, text_crc32, virtual_slot``; a null text has no bytes.
 
-    At most ``slots`` groups can be above the mean slot, so the table of their
+    Fewer than ``shards`` groups can be above the mean shard, so the table of their
     sizes that is broadcast has a proven bound. Pieces of a group are dealt by
     row, so a repeated ``doc_id`` does not gather in one.
     """
@@ -52,9 +52,8 @@ def digest(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     columns = [F.col("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group")]
     rows = stage(docs.select(*columns, F.monotonically_increasing_id().alias("row")), "digest")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first().bytes
-    share = max(1.0, total / slots)
-    pieces = F.ceil(F.sum("size") / share).alias("pieces")
-    large = F.broadcast(rows.groupBy("group").agg(pieces).filter(F.col("pieces") > 1))
+    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > total / shards)
+    large = F.broadcast(groups.select("group", F.ceil(F.col("bytes") / max(1.0, total / slots)).alias("pieces")))
     piece = F.pmod(F.xxhash64("row"), F.coalesce("pieces", F.lit(1)))
     slot = F.pmod(F.xxhash64("group", piece), F.lit(slots)).cast("int")
     return rows.join(large, "group", "left").select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"))
@@ -180,7 +179,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, m
     take neighbouring places in either order; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = stage(digest(docs, slots), "slot-digest")
+    rows = stage(digest(docs, slots, shards), "slot-digest")
     loads, maps = slot_loads(rows), SlotMaps(spark, map_path or shared_path(spark, "slot-maps"))
     version = maps.edit(loads, shards) if maps.versions() else maps.store(first_map(loads, shards), loads)
     return place(rows, maps.load(version))

@@ -3,6 +3,9 @@
 import zlib
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from quillon.llm import sharding
 from quillon.llm.registry import op6_virtual_slot_sharding
 
@@ -22,6 +25,15 @@ def test_query(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 0.02 * sum(sizes.values()) / 40
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_no_group_of_equal_texts_is_split_and_shards_are_equal(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    placed = sharding.shard_documents(docs).join(docs.select("doc_id", "text"), "doc_id").groupBy("text")
+    assert placed.agg(F.count_distinct("shard").alias("n")).filter("n > 1").count() == 0
+    sizes = [r.bytes for r in sharding.shard_documents(docs).groupBy("shard").agg(F.sum("size").alias("bytes")).collect()]
+    assert len(sizes) == 40 and max(sizes) <= 1.01 * sum(sizes) / 40 and min(sizes) >= 0.99 * sum(sizes) / 40
+
+
 def test_rebalance_moves_only_into_new_shards():
     loads = [sharding.SlotLoad(s, 100 + s * 37 % 91, 3) for s in range(800)]
     old = sharding.first_map(loads, 10)
