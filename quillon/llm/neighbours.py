@@ -8,16 +8,17 @@ length and the correction scalar a = <x, o> of its direction o, a query's direct
 
 where e is a random direction for the rotation, so that e . q is about a normal number
 of spread 1 / sqrt(bits - 1). ``SIGMAS`` of them bound each squared distance from both
-sides. A candidate is kept where its lower bound does not exceed the k-th smallest upper
-bound that its query has met, and what is kept is reranked by the distance of the
+sides. The codes are read twice: first for the k rows that each query is estimated to
+have nearest, whose true distances give a bound that its k nearest cannot exceed; then
+for every row whose lower bound is within it. These are reranked by the distance of the
 original vectors; a true neighbour is lost only where its own error passes the bound.
 
-The centre and each query's first bound (the k-th smallest distance to a sample) come
-from a sample of about ``SAMPLE_ROWS`` vectors, at most so many of each length; all
-vectors are coded. Of equal vectors only the first k + 1 by id can be among anyone's k
-nearest, so only these are searched, and equal queries are searched once: a vector that
-a third of all rows share is no work of its own. Codes move instead of vectors, one copy
-for each block of queries. Vectors of different lengths are never compared.
+The centre comes from a sample of about ``SAMPLE_ROWS`` vectors, at most so many of each
+length; all vectors are coded. Of equal vectors only the first k + 1 by id can be among
+anyone's k nearest, so only these are searched, and equal queries are searched once: a
+vector that a third of all rows share is no work of its own. Codes move instead of
+vectors, one copy for each block of queries. Vectors of different lengths are never
+compared.
 """
 
 from __future__ import annotations
@@ -75,43 +76,25 @@ def encode(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.packbits(signs, axis=1), length, np.where(np.isfinite(scalar), scalar, 0.0)
 
 
-class Fit:
-    """Centre and sample of each vector length, from a bounded sample of rows."""
-
-    def __init__(self, vectors: DataFrame) -> None:
-        grain = 1 << 20
-        share = min(grain, -(-2 * SAMPLE_ROWS * grain // max(1, vectors.count())))
-        some = vectors.select("dim", "row", "vector").filter(F.pmod(F.xxhash64("row"), F.lit(grain)) < share)
-        within = Window.partitionBy("dim").orderBy(F.xxhash64("row"), "row")
-        ranked = some.withColumn("at", F.row_number().over(within)).filter(F.col("at") <= SAMPLE_ROWS)
-        ranked = ranked.filter((F.col("at") == 1) | (F.col("at") * F.col("dim") <= SAMPLE_NUMBERS))
-        self.sample: dict[int, np.ndarray] = {}
-        self.centre: dict[int, np.ndarray] = {}
-        for dim, part in ranked.select("dim", "vector").toPandas().groupby("dim"):
-            self.sample[dim] = np.array(part["vector"].tolist(), np.float64)
-            with np.errstate(over="ignore"):
-                self.centre[dim] = np.nan_to_num(self.sample[dim].mean(axis=0), posinf=0.0, neginf=0.0)
-
-    def first_bounds(self, queries: np.ndarray, k: int) -> np.ndarray:
-        """Squared distances within which k vectors of the sample are."""
-        sample, found = self.sample.get(queries.shape[1]), np.full(len(queries), np.inf)
-        if sample is None or len(sample) < k:
-            return found
-        for at in range(0, len(queries), TILE_QUERIES):
-            part = queries[at : at + TILE_QUERIES]
-            with np.errstate(over="ignore", invalid="ignore"):
-                sizes = (part * part).sum(axis=1)[:, None] + (sample * sample).sum(axis=1)[None, :]
-                apart = np.maximum(sizes - 2 * part @ sample.T, 0) + 1e-9 * sizes
-            apart = np.where(np.isfinite(apart), apart, np.inf)
-            found[at : at + TILE_QUERIES] = np.partition(apart, k - 1, axis=1)[:, k - 1]
-        return found
+def centres(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """The mean of a bounded sample of the vectors of each length."""
+    grain = 1 << 20
+    share = min(grain, -(-2 * SAMPLE_ROWS * grain // max(1, vectors.count())))
+    some = vectors.select("dim", "row", "vector").filter(F.pmod(F.xxhash64("row"), F.lit(grain)) < share)
+    within = Window.partitionBy("dim").orderBy(F.xxhash64("row"), "row")
+    ranked = some.withColumn("at", F.row_number().over(within)).filter(F.col("at") <= SAMPLE_ROWS)
+    ranked = ranked.filter((F.col("at") == 1) | (F.col("at") * F.col("dim") <= SAMPLE_NUMBERS))
+    means = {}
+    for dim, part in ranked.select("dim", "vector").toPandas().groupby("dim"):
+        with np.errstate(over="ignore"):
+            means[dim] = np.nan_to_num(np.array(part["vector"].tolist(), np.float64).mean(axis=0), posinf=0.0, neginf=0.0)
+    return means
 
 
 class Search:
     """One block of queries against one run of codes."""
 
-    def __init__(self, queries: np.ndarray, centre: np.ndarray, first: np.ndarray, k: int) -> None:
-        self.first, self.k = first, k
+    def __init__(self, queries: np.ndarray, centre: np.ndarray) -> None:
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
             rest = queries - centre
             self.length = np.sqrt((rest * rest).sum(axis=1))
@@ -119,43 +102,49 @@ class Search:
         self.turned = (unit @ rotation(queries.shape[1])).astype(np.float32)
         self.bits = self.turned.shape[1]
 
-    def bounds(self, part: slice, codes: np.ndarray, length: np.ndarray, scalar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the squared distances, queries by codes."""
+    def estimates(self, part: slice, codes: np.ndarray, length: np.ndarray, scalar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated squared distances, queries by codes, and their lower bounds."""
         signs = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
         own = self.length[part, None]
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            estimate = (self.turned[part] @ signs.T) / np.sqrt(self.bits) / scalar
+            inner = (self.turned[part] @ signs.T) / np.sqrt(self.bits) / scalar
             error = np.sqrt(np.maximum(0, 1 - scalar * scalar)) / scalar * (SIGMAS / np.sqrt(self.bits - 1)) + 1e-5
             sizes, both = own**2 + length[None, :] ** 2, 2 * own * length[None, :]
-            middle, margin = sizes - both * estimate, both * error + 1e-9 * sizes
-            lower = np.maximum(middle - margin, (own - length[None, :]) ** 2 - 1e-9 * sizes)
-        return np.where(np.isfinite(lower), lower, 0.0), np.where(np.isfinite(middle + margin), middle + margin, np.inf)
+            middle = sizes - both * inner
+            lower = np.maximum(middle - both * error, (own - length[None, :]) ** 2) - 1e-9 * sizes
+        return np.where(np.isfinite(middle), middle, np.inf), np.where(np.isfinite(lower), lower, -np.inf)
 
-    def run(self, codes: np.ndarray, length: np.ndarray, scalar: np.ndarray):
-        """``query, code, lower, upper`` of the pairs within the bounds that the run ends with."""
-        out = []
+    def _tiles(self, codes: np.ndarray, length: np.ndarray, scalar: np.ndarray):
         for q in range(0, len(self.length), TILE_QUERIES):
-            part, kept = slice(q, q + TILE_QUERIES), []
-            cut = self.first[part]
-            best = np.full((len(cut), self.k), np.inf)
             for at in range(0, len(length), TILE_CODES):
                 tile = slice(at, at + TILE_CODES)
-                lower, upper = self.bounds(part, codes[tile], length[tile], scalar[tile])
-                lowest = np.partition(upper, min(self.k, upper.shape[1]) - 1, axis=1)[:, : self.k]
-                best = np.sort(np.concatenate([best, lowest], axis=1), axis=1)[:, : self.k]
-                cut = np.minimum(cut, best[:, -1])
-                i, j = np.nonzero(lower <= cut[:, None])
-                kept.append((i, j + at, lower[i, j], upper[i, j]))
-            i, j, lower, upper = (np.concatenate(x) for x in zip(*kept, strict=True))
-            near = lower <= cut[i]
-            out.append((i[near] + q, j[near], lower[near], upper[near]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-_PAIRS = pa.schema([("query", pa.int64()), ("row", pa.int64()), ("lower", pa.float64()), ("upper", pa.float64())])
-
-
-def coded(vectors: DataFrame, fit: Fit) -> DataFrame:
+                yield q, at, *self.estimates(slice(q, q + TILE_QUERIES), codes[tile], length[tile], scalar[tile])
+
+    def best(self, codes: np.ndarray, length: np.ndarray, scalar: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """``query, code, estimate`` of the k codes that each query is estimated to have nearest."""
+        value = np.full((len(self.length), k), np.inf)
+        code = np.full((len(self.length), k), -1)
+        for q, at, middle, _ in self._tiles(codes, length, scalar):
+            part = slice(q, q + len(middle))
+            few = np.argpartition(middle, min(k, middle.shape[1]) - 1, axis=1)[:, :k]
+            values = np.concatenate([value[part], np.take_along_axis(middle, few, axis=1)], axis=1)
+            order = np.argsort(values, axis=1, kind="stable")[:, :k]
+            value[part] = np.take_along_axis(values, order, axis=1)
+            code[part] = np.take_along_axis(np.concatenate([code[part], few + at], axis=1), order, axis=1)
+        i, j = np.nonzero(code >= 0)
+        return i, code[i, j], value[i, j]
+
+    def within(self, codes: np.ndarray, length: np.ndarray, scalar: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``query, code`` of the pairs whose lower bound is within the query's bound."""
+        queries, found = [np.zeros(0, int)], [np.zeros(0, int)]
+        for q, at, _, lower in self._tiles(codes, length, scalar):
+            i, j = np.nonzero(lower <= bound[q : q + len(lower), None])
+            queries.append(i + q)
+            found.append(j + at)
+        return np.concatenate(queries), np.concatenate(found)
+
+
+def coded(vectors: DataFrame, means: dict[int, np.ndarray]) -> DataFrame:
     """``dim, row, code, length, scalar`` of every vector."""
 
     def run(batches):
@@ -163,7 +152,7 @@ def coded(vectors: DataFrame, fit: Fit) -> DataFrame:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 own = batch.filter(pa.array(dims == dim))
-                centre = fit.centre.get(dim, np.zeros(dim))
+                centre = means.get(dim, np.zeros(dim))
                 codes, length, scalar = encode(matrix(own.column("vector"), dim), centre)
                 columns = [own.column("dim"), own.column("row"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(scalar)]
                 yield pa.RecordBatch.from_arrays(columns, ["dim", "row", "code", "length", "scalar"])
@@ -171,55 +160,76 @@ def coded(vectors: DataFrame, fit: Fit) -> DataFrame:
     return vectors.select("dim", "row", "vector").mapInArrow(run, "dim int, row long, code binary, length double, scalar double")
 
 
-def candidates(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``query, row``: for each query every row of ``vectors`` that may be among its k nearest.
-
-    ``vectors`` are ``dim, row, vector``, ``queries`` are ``dim, query, vector``. A task
-    has one block of queries and one run of codes, both of a stated size. What is
-    broadcast is a row for each vector length.
-    """
-    fit, cores = Fit(vectors), vectors.sparkSession.sparkContext.defaultParallelism
-    sizes = vectors.groupBy("dim").agg(F.count("*").alias("n"))
-    asked = queries.groupBy("dim").agg(F.count("*").alias("asked"))
-    runs = F.greatest(F.ceil(F.col("n") / RUN_ROWS), F.least(F.lit(2 * cores), F.ceil(F.col("n") / TILE_QUERIES)))
-    blocks = F.ceil(F.col("asked") * F.col("dim") / QUERY_NUMBERS)
-    cuts = F.broadcast(sizes.join(asked, "dim").select("dim", runs.cast("int").alias("runs"), blocks.cast("int").alias("blocks")))
-
-    def dealt(key: str, parts: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
-
-    keys = ["dim", "block", "run"]
-    codes = coded(vectors, fit).join(cuts, "dim").withColumn("run", dealt("row", "runs"))
-    codes = codes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    codes = codes.select(*keys, "row", "code", "length", "scalar")
-    blocked = queries.join(cuts, "dim").withColumn("block", dealt("query", "blocks"))
-    blocked = blocked.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).select(*keys, "query", "vector")
-    blocked = blocked.toDF(*blocked.columns)  # columns of its own, as both sides come from one table
-
-    def search(key: tuple, asking: pa.Table, run: pa.Table) -> pa.Table:
-        if not asking.num_rows or not run.num_rows:
-            return _PAIRS.empty_table()
-        own, rows = asking.column("query").to_numpy(), run.column("row").to_numpy()
-        wanted = matrix(asking.column("vector").combine_chunks(), key[0].as_py())
-        centre = fit.centre.get(wanted.shape[1], np.zeros(wanted.shape[1]))
-        packed = np.frombuffer(b"".join(run.column("code").to_pylist()), np.uint8).reshape(len(rows), -1)
-        found = Search(wanted, centre, fit.first_bounds(wanted, k), k)
-        i, j, lower, upper = found.run(packed, run.column("length").to_numpy(), run.column("scalar").to_numpy())
-        return pa.Table.from_arrays([pa.array(own[i]), pa.array(rows[j]), pa.array(lower), pa.array(upper)], schema=_PAIRS)
-
-    met = blocked.groupBy(*keys).cogroup(codes.groupBy(*keys)).applyInArrow(search, "query long, row long, lower double, upper double")
-    own = Window.partitionBy("query")
-    ranked = met.withColumn("at", F.row_number().over(own.orderBy("upper")))
-    ranked = ranked.withColumn("cut", F.max(F.when(F.col("at") <= k, F.col("upper"))).over(own))
-    return ranked.filter(F.col("lower") <= F.col("cut")).select("query", "row")
-
-
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance in double precision, summed from the first component on."""
     squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 
+class Index:
+    """The codes of ``vectors (dim, row, vector)``, searched in blocks of queries and runs of codes.
+
+    A task has one block of queries and one run of codes, both of a stated size. What
+    is broadcast is a row for each vector length.
+    """
+
+    def __init__(self, vectors: DataFrame) -> None:
+        self.vectors, self.means = vectors, centres(vectors)
+        self.codes = stage(coded(vectors, self.means), "codes")
+
+    def scan(self, queries: DataFrame, work, columns: str) -> DataFrame:
+        """``work(search, bound, codes, length, scalar)`` for every block and run: query and code places, and more columns."""
+        cores, means = self.vectors.sparkSession.sparkContext.defaultParallelism, self.means
+        sizes = self.codes.groupBy("dim").agg(F.count("*").alias("n"))
+        asked = queries.groupBy("dim").agg(F.count("*").alias("asked"))
+        runs = F.greatest(F.ceil(F.col("n") / RUN_ROWS), F.least(F.lit(2 * cores), F.ceil(F.col("n") / TILE_QUERIES)))
+        blocks = F.ceil(F.col("asked") * F.col("dim") / QUERY_NUMBERS)
+        cuts = F.broadcast(sizes.join(asked, "dim").select("dim", runs.cast("int").alias("runs"), blocks.cast("int").alias("blocks")))
+
+        def dealt(key: str, parts: str) -> Column:
+            return F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
+
+        keys = ["dim", "block", "run"]
+        codes = self.codes.join(cuts, "dim").withColumn("run", dealt("row", "runs"))
+        codes = codes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        codes = codes.select(*keys, "row", "code", "length", "scalar")
+        blocked = queries.join(cuts, "dim").withColumn("block", dealt("query", "blocks"))
+        blocked = blocked.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).select(*keys, "query", "vector", "bound")
+        blocked = blocked.toDF(*blocked.columns)  # columns of its own, as both sides come from one table
+        names = [name for name, _ in (c.split() for c in columns.split(", "))]
+
+        def meet(key: tuple, asking: pa.Table, run: pa.Table) -> pa.Table:
+            own, rows = asking.column("query").to_numpy(), run.column("row").to_numpy()
+            if not len(own) or not len(rows):
+                return pa.table({name: pa.array([], pa.int64() if kind == "long" else pa.float64()) for name, kind in (c.split() for c in columns.split(", "))})
+            dim = key[0].as_py()
+            search = Search(matrix(asking.column("vector").combine_chunks(), dim), means.get(dim, np.zeros(dim)))
+            packed = np.frombuffer(b"".join(run.column("code").to_pylist()), np.uint8).reshape(len(rows), -1)
+            i, j, *more = work(search, asking.column("bound").to_numpy(), packed, run.column("length").to_numpy(), run.column("scalar").to_numpy())
+            return pa.table(dict(zip(names, (own[i], rows[j], *more), strict=True)))
+
+        return blocked.groupBy(*keys).cogroup(codes.groupBy(*keys)).applyInArrow(meet, columns)
+
+    def apart(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+        """``pairs (query, row)`` with their true distance as ``score``."""
+        asked = queries.select("query", F.col("vector").alias("asked"))
+        met = pairs.join(self.vectors.select("row", "vector"), "row").join(asked.toDF(*asked.columns), "query")
+        return met.select("query", "row", distance(F.col("vector"), F.col("asked")).alias("score"))
+
+    def nearest(self, queries: DataFrame, k: int) -> DataFrame:
+        """``query, row, score`` of all rows that may be among the k nearest of ``queries (dim, query, vector)``."""
+        free = queries.withColumn("bound", F.lit(None).cast("double"))
+        first = self.scan(free, lambda search, bound, *codes: search.best(*codes, k), "query long, row long, estimate double")
+        at = F.row_number().over(Window.partitionBy("query").orderBy("estimate", "row"))
+        few = first.withColumn("at", at).filter(F.col("at") <= k).select("query", "row")
+        bound = F.when(F.count("*") >= k, F.max("score")).alias("reach")
+        reach = self.apart(few, queries).groupBy("query").agg(bound)
+        square = F.coalesce(F.col("reach") * F.col("reach") * (1 + 1e-9), F.lit(float("inf")))
+        bounded = stage(queries.join(reach, "query", "left").select("dim", "query", "vector", square.alias("bound")), "bounds")
+        found = self.scan(bounded, lambda search, bound, *codes: search.within(*codes, bound), "query long, row long")
+        return self.apart(found, bounded)
+
+
 def nearest(embeddings: DataFrame, every: int, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest of each row whose id ``every`` divides.
 
@@ -240,10 +250,8 @@ def nearest(embeddings: DataFrame, every: int, k: int = K) -> DataFrame:
     asking = vectors.filter(F.col("vec_id") % every == 0)
     asked = stage(asking.groupBy("key", "vector").agg(F.min("row").alias("query"), F.first("dim").alias("dim")), "queries")
 
-    pairs = candidates(searched, asked.select("dim", "query", "vector"), k + 1)
-    found = pairs.join(searched.select("row", "vec_id", "vector"), "row")
-    found = found.join(asked.select("query", F.col("vector").alias("asked")), "query")
-    scored = found.select("query", "row", "vec_id", distance(F.col("vector"), F.col("asked")).alias("score"))
+    scored = Index(searched).nearest(asked.select("dim", "query", "vector"), k + 1)
+    scored = scored.join(searched.select("row", "vec_id"), "row")
     nearer = ("score", "vec_id", "row")
     at = F.row_number().over(Window.partitionBy("query").orderBy(*nearer))
     best = scored.withColumn("at", at).filter(F.col("at") <= k + 1).drop("at")

@@ -58,6 +58,7 @@ def test_many_runs_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "RUN_ROWS", 50)
     monkeypatch.setattr(neighbours, "QUERY_NUMBERS", 96)
     monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 20)
+    monkeypatch.setattr(neighbours, "TILE_CODES", 16)
     rng = np.random.default_rng(2)
     rows = [(k, (rng.standard_normal(16) + 3).tolist()) for k in range(400)]
     compare(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10, 5).collect(), brute(rows, 10, 5))
@@ -69,9 +70,14 @@ def test_bounds_hold_and_prune():
     centre = vectors.mean(axis=0)
     codes, length, scalar = neighbours.encode(vectors, centre)
     assert codes.shape == (4000, 32)
-    search = neighbours.Search(vectors[:40], centre, np.full(40, np.inf), 11)
-    lower, upper = search.bounds(slice(0, 40), codes, length, scalar)
+    search = neighbours.Search(vectors[:40], centre)
+    middle, lower = search.estimates(slice(0, 40), codes, length, scalar)
     apart = ((vectors[:40, None] - vectors[None]) ** 2).sum(axis=2)
-    assert np.mean((lower <= apart) & (apart <= upper)) > 0.99
-    kept = search.run(codes, length, scalar)[0]
-    assert len(kept) < 0.2 * 40 * 4000
+    assert np.mean(lower <= apart) > 0.99 and np.corrcoef(middle.ravel(), apart.ravel())[0, 1] > 0.9
+    reach = np.sort(apart, axis=1)[:, 10]
+    i, j = search.within(codes, length, scalar, reach)
+    assert len(i) < 0.1 * 40 * 4000
+    assert sum(map((lambda near: near <= set(zip(i.tolist(), j.tolist()))), [{(q, c)} for q in range(40) for c in np.argsort(apart[q])[:11].tolist()])) >= 0.99 * 440
+    i, j, value = search.best(codes, length, scalar, 11)
+    want = np.sort(middle, axis=1)[:, :11]
+    assert np.allclose(np.sort(value.reshape(40, 11), axis=1), want) and np.allclose(middle[i, j], value)
