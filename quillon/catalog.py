@@ -533,7 +533,7 @@ def _(s, d):
 def _pointers(s: SparkSession, d: str) -> DataFrame:
     """Orders as work and the parts of their lines as paths; some are observed changes."""
     work = R.table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
-    lines = R.table(s, d, "lineitem").join(work, "l_orderkey").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    lines = R.table(s, d, "lineitem").join(work, "l_orderkey").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
     path = F.format_string("src/m%d/f%d.py", F.floor(F.col("l_partkey") / 10), F.col("l_partkey"))
     pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("l_linenumber") % len(names) + 1).cast("int"))
     return lines.select(
@@ -544,6 +544,7 @@ def _pointers(s: SparkSession, d: str) -> DataFrame:
         pick("existing", "missing", "unavailable", "existing").alias("path_presence"),
         F.when(F.col("l_orderkey") % 5 == 0, F.concat(F.lit("r"), (F.col("l_orderkey") % 3).cast("string"))).alias("revision"),
         pick("title", "description").alias("source_field"),
+        F.when(F.col("l_returnflag") == "A", F.format_string("run_%d", "l_suppkey")).alias("symbol"),
     ).distinct()
 
 
@@ -578,7 +579,41 @@ def _(s, d):
 
 @query("col1_collisions")
 def _(s, d):
-    return _lines(surfaces.collisions(_pointers(s, d), HUB_LIMIT), "shared_paths", "shared_modules", "evidence_sources", "intent_source_fields")
+    return _lines(surfaces.collisions(_pointers(s, d), HUB_LIMIT), "shared_paths", "shared_symbols", "shared_modules", "evidence_sources", "intent_source_fields")
+
+
+def _guarded(s: SparkSession, d: str, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Surfaces of all work, and what its pairs (in scope) share."""
+    found = stage(surfaces.surfaces(_pointers(s, d)), "surfaces")
+    return found, stage(surfaces.shared_evidence(found, HUB_LIMIT, scope=scope), "shared")
+
+
+@query("col2_guard_counts")
+def _(s, d):
+    found, shared = _guarded(s, d)
+    return s.range(1).select(*[F.lit(n).cast("long").alias(k) for k, n in surfaces.guard_counts(found, shared, HUB_LIMIT).items()])
+
+
+@query("col2_hub_guard_sample")
+def _(s, d):
+    found, shared = _guarded(s, d)
+    return _lines(surfaces.hub_guard_sample(found, shared, HUB_LIMIT, 10), "suppressing_paths", "suppressing_modules")
+
+
+@query("col3_scoped_collisions")
+def _(s, d):
+    """An incremental run: only pairs with work ordered since a day."""
+    scope = R.table(s, d, "orders").filter("o_orderdate >= DATE '1998-01-01'").select(F.col("o_orderkey").alias("issue_id"))
+    found, shared = _guarded(s, d, scope)
+    counts = surfaces.guard_counts(found, shared, HUB_LIMIT, scope)
+    hits = surfaces.collisions(_pointers(s, d), HUB_LIMIT, scope=scope, shared=shared)
+    return hits.agg(F.count("*").alias("collisions"), *[F.any_value(F.lit(n).cast("long")).alias(k) for k, n in counts.items()]).na.fill(0)
+
+
+@query("set3_shared_evidence")
+def _(s, d):
+    shared = surfaces.shared_evidence(surfaces.surfaces(_pointers(s, d)), HUB_LIMIT)
+    return _lines(shared, "shared_paths", "shared_symbols", "shared_modules").select("issue_id", "related_issue_id", "shared_paths", "shared_symbols", "shared_modules")
 
 
 @query("srt6_collision_order")

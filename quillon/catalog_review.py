@@ -212,6 +212,28 @@ def _(s, d):
     return ranked.groupBy(evaluate.rank_bucket(F.col("k"), (20, 50, 200)).alias("bucket")).agg(F.count("*").alias("candidates"))
 
 
+_DRAWN = """, first250 AS (SELECT kind || '|' || issue_id || '|' || related_issue_id AS candidate_id, issue_id, related_issue_id, lane, k AS source_rank,
+    CASE WHEN k <= 20 THEN '1-20' WHEN k <= 50 THEN '21-50' WHEN k <= 100 THEN '51-100' ELSE '101-250' END AS rank_bucket
+  FROM (SELECT *, row_number() OVER (ORDER BY """ + oracles._REPORT + """)::int AS k FROM qualified) WHERE k <= 250),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY lane, rank_bucket ORDER BY sha256('ranked-evaluation-v1' || chr(0) || 'stratum' || chr(0) || candidate_id)) AS place FROM first250)
+SELECT 'review-' || lpad((row_number() OVER (ORDER BY sha256('ranked-evaluation-v1' || chr(0) || 'blind-review-order' || chr(0) || candidate_id)))::varchar, 3, '0') AS review_id,
+  candidate_id, lane, source_rank, rank_bucket FROM drawn WHERE place <= 10"""
+
+
+@query("evl1_ranked_review", QUALIFIED + _DRAWN)
+def _(s, d):
+    """The blinded sample of the first 250 candidates of a report."""
+    from quillon.operators import qualify
+    from quillon.plans import ranked_review
+
+    order = F.row_number().over(Window.orderBy(*qualify.report_key()))
+    first = Inputs(s, d).qualified().orderBy(*qualify.report_key()).limit(250).withColumn("rank", order)
+    rows = first.select("rank", "kind", "issue_id", "related_issue_id", "lane", F.lit(None).cast("string").alias("candidate_id"), "similarity")
+    bounds = evaluate.parse_bounds(ranked_review.BOUNDS, 250)
+    drawn = ranked_review.draw(ranked_review.fixed_pool(rows, 250, bounds), ranked_review.SEED, bounds, 10)
+    return drawn.select("review_id", "candidate_id", "lane", "source_rank", "rank_bucket")
+
+
 @query("sup4_lane_fallback", QUALIFIED + " SELECT kind, CASE WHEN kind = 'completed-work-echo' THEN 'echo' WHEN kind = 'possible-overlap' THEN 'overlap' ELSE 'dependency' END AS fallback, count(*) AS candidates FROM qualified GROUP BY ALL")
 def _(s, d):
     kind = F.col("kind")

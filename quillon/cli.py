@@ -45,6 +45,8 @@ def _surface_options(p: argparse.ArgumentParser, on: bool) -> None:
     p.add_argument("--worktree", action="append", default=[], metavar="ID=PATH")
     for name in ("--repository-files", "--worktree-list", "--changed-paths", "--revision"):
         p.add_argument(name)
+    p.add_argument("--max-hub-surface-issues", type=int, default=5)
+    p.add_argument("--explain-hub-guard", type=int, nargs="?", const=5, default=0, metavar="PAIRS")
 
 
 def _incremental_options(p: argparse.ArgumentParser) -> None:
@@ -67,6 +69,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--fail-on-divergence", action="store_true")
         p.add_argument("--status", action="append")
         p.add_argument("--include-epics", action="store_true")
+        p.add_argument("--include-ephemeral", action="store_true")
         where = p.add_mutually_exclusive_group()
         where.add_argument("--output")
         where.add_argument("--output-dir")
@@ -74,9 +77,10 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("issue_id")
             p.add_argument("--limit", type=int, default=5)
             p.add_argument("--include-closed", action="store_true")
+        if name in ("triage", "sweep", "batch", "collisions"):
+            _incremental_options(p)
         if name in ("triage", "sweep", "batch"):
             _policy_options(p)
-            _incremental_options(p)
             p.add_argument("--max-batch-size", "--size", type=int, default=9)
         if name in GUARDED or name == "batch":
             _surface_options(p, name in ("triage", "collisions"))
@@ -115,7 +119,8 @@ def _review(args: argparse.Namespace, spark):
         raise SourceError("--list names no file")
     snapshot, records = TrackerFiles(spark, args.list, args.context, args.tracker_version, args.export).load()
     vectors = unit_vectors(spark.read.parquet(args.vectors), "id", "embedding") if args.vectors else None
-    options = Options(tuple(args.status or ACTIVE_STATUSES), args.include_epics, getattr(args, "max_batch_size", 9), getattr(args, "code_surfaces", True))
+    limits = {"hub_limit": args.max_hub_surface_issues, "guarded_pairs": args.explain_hub_guard} if hasattr(args, "explain_hub_guard") else {}
+    options = Options(tuple(args.status or ACTIVE_STATUSES), args.include_epics, getattr(args, "max_batch_size", 9), getattr(args, "code_surfaces", True), include_ephemeral=args.include_ephemeral, **limits)
     return Review(snapshot, records, policy_of(args), options, vectors, _repository(args, spark), _scope(args, spark, snapshot, records))
 
 

@@ -7,17 +7,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import module_of
+from quillon.plans.staging import stage
 
 # What counts as a code path.
-CODE_EXTENSIONS = ".c .cc .cpp .cs .css .go .h .hpp .html .java .js .json .jsx .kt .md .php .proto .py .rb .rs .scala .sh .sql .svelte .swift .toml .ts .tsx .vue .xml .yaml .yml".split()
-IGNORED_PARTS = ".beads .git .mypy_cache .pytest_cache .ruff_cache .venv build dist node_modules".split()
-DIRECTORY_ROOTS = "app apps docs lib packages src test tests .github backend cmd frontend internal pkg scripts services".split()
-EDIT_VERBS = "add change create edit fix implement migrate modify move refactor remove rename repair replace rewrite update write".split()
-REFERENCE_VERBS = "audit check document inspect inventory read reference review see trace verify".split()
+CODE_EXTENSIONS = [".c", ".cc", ".cpp", ".cs", ".css", ".go", ".h", ".hpp", ".html", ".java", ".js", ".json", ".jsx", ".kt", ".md", ".php", ".proto", ".py", ".rb", ".rs", ".scala", ".sh", ".sql", ".svelte", ".swift", ".toml", ".ts", ".tsx", ".vue", ".xml", ".yaml", ".yml"]
+IGNORED_PARTS = [".beads", ".git", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".venv", "build", "dist", "node_modules"]
+DIRECTORY_ROOTS = ["app", "apps", "docs", "lib", "packages", "src", "test", "tests", ".github", "backend", "cmd", "frontend", "internal", "pkg", "scripts", "services"]
+EDIT_VERBS = ["add", "change", "create", "edit", "fix", "implement", "migrate", "modify", "move", "refactor", "remove", "rename", "repair", "replace", "rewrite", "update", "write"]
+REFERENCE_VERBS = ["audit", "check", "document", "inspect", "inventory", "read", "reference", "review", "see", "trace", "verify"]
 PATH_PATTERN = r"(?<![\w:/.-])((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+(?:\.[A-Za-z0-9]+|/))(?:(?:::|#)([A-Za-z_][A-Za-z0-9_.-]*))?"
 ROOT_PATTERN = r"`([A-Za-z0-9_.-]+\.[A-Za-z0-9]+)(?:(?:::|#)([A-Za-z_][A-Za-z0-9_.-]*))?`"
 URL_PATTERN = r"(?i)\b[a-z][a-z0-9+.-]*://\S+"
 OBSERVED, EXPLICIT = "active-worktree-diff", "explicit-reference"
+#: The values that a pointer's facts can have, by column.
+VOCABULARIES = {
+    "source": (OBSERVED, EXPLICIT),
+    "edit_intent": ("observed-edit", "likely-edit", "reference-only", "unknown"),
+    "context_kind": ("observed-worktree", "prose", "code-fence"),
+    "path_presence": ("existing", "missing", "unavailable"),
+    "source_field": ("title", "description", "acceptance_criteria", "design", "notes"),
+}
 BEFORE, AFTER = 80, 40  # characters around a mention that tell its intent
 #: Each character of an HTML comment: where one starts, and on from there to its end.
 COMMENT_CHARACTER = r"(?s)(?:(?=<!--.*?-->)|(?!\A)\G(?:(?<!-->)|(?<=<!-->))(?<!\A[^<]))."
@@ -107,76 +116,233 @@ def observed_pointers(associated: DataFrame, trees: DataFrame, changed: DataFram
     return rows.filter("path IS NOT NULL").withColumns(facts).distinct()
 
 
+def _mask(column: str) -> Column:
+    """The bit of a fixed vocabulary's value; none where it is null or another."""
+    out = F.lit(0)
+    for value in VOCABULARIES[column]:
+        out = F.when(F.col(column) == value, _bit(column, value)).otherwise(out)
+    return out
+
+
+def _bit(column: str, value: str) -> int:
+    before = 0
+    for name, values in VOCABULARIES.items():
+        if name == column:
+            return 1 << (before + values.index(value))
+        before += len(values)
+    raise KeyError(column)
+
+
+def _symbol(path: Column, symbol: Column) -> Column:
+    return F.when(F.coalesce(symbol, F.lit("")) != "", F.concat(path, F.lit("::"), symbol))
+
+
 def surfaces(pointers: DataFrame) -> DataFrame:
-    """``issue_id, kind, surface, observed``: distinct paths and modules of each issue."""
-    path = F.when(~F.col("path").endswith("/"), F.struct(F.lit("path").alias("kind"), F.col("path").alias("surface")))
-    module = F.when(module_of(F.col("path")).isNotNull(), F.struct(F.lit("module").alias("kind"), module_of(F.col("path")).alias("surface")))
-    rows = pointers.select("issue_id", (F.col("source") == OBSERVED).alias("observed"), F.explode(F.filter(F.array(path, module), lambda s: s.isNotNull())).alias("s"))
-    return rows.groupBy("issue_id", "s.kind", "s.surface").agg(F.bool_or("observed").alias("observed"))
+    """``issue_id, kind, surface, observed, facts``: distinct paths, modules and symbols (``path::symbol``) of each issue.
+
+    ``facts`` has a bit for each source, intent, context, presence and field that the
+    issue names the surface with, ``path_facts`` those of a symbol's path.
+    """
+    own, module = F.col("path"), module_of(F.col("path"))
+    known = [(~own.endswith("/"), "path", own), (module.isNotNull(), "module", module)]
+    if "symbol" in pointers.columns:
+        known.append((_symbol(own, F.col("symbol")).isNotNull(), "symbol", _symbol(own, F.col("symbol"))))
+    named = [F.when(fits, F.struct(F.lit(kind).alias("kind"), surface.alias("surface"))) for fits, kind, surface in known]
+    bits = F.lit(0)
+    for column in VOCABULARIES:
+        bits = bits.bitwiseOR(_mask(column)) if column in pointers.columns else bits
+    rows = pointers.select("issue_id", "path", (F.col("source") == OBSERVED).alias("observed"), bits.alias("bits"), F.array_compact(F.array(*named)).alias("s"))
+    found = rows.select("issue_id", "observed", "bits", F.inline("s")).groupBy("issue_id", "kind", "surface")
+    found = found.agg(F.bool_or("observed").alias("observed"), F.bit_or("bits").alias("facts"))
+    if "symbol" not in pointers.columns:
+        return found.withColumn("path_facts", F.lit(None).cast("int"))
+    paths = rows.groupBy("issue_id", "path").agg(F.bit_or("bits").alias("path_facts"))
+    paths = paths.toDF("issue_id", "of", "path_facts")
+    symbols = found.filter("kind = 'symbol'").withColumn("of", _path_of(F.col("surface"))).join(paths, ["issue_id", "of"]).drop("of")
+    return found.filter("kind <> 'symbol'").withColumn("path_facts", F.lit(None).cast("int")).unionByName(symbols)
+
+
+def _path_of(symbol: Column) -> Column:
+    return F.regexp_extract(symbol, "(?s)^(.*)::", 1)
 
 
 def hubs(found: DataFrame, limit: int) -> DataFrame:
-    """Surfaces of more than ``limit`` issues."""
-    return found.groupBy("kind", "surface").agg(F.count("*").alias("issue_count")).filter(F.col("issue_count") > limit)
+    """Paths and modules of more than ``limit`` issues; a symbol is never a hub."""
+    return found.filter("kind <> 'symbol'").groupBy("kind", "surface").agg(F.count("*").alias("issue_count")).filter(F.col("issue_count") > limit)
 
 
-def shared_surfaces(found: DataFrame, limit: int) -> DataFrame:
-    """``issue_id, related_issue_id, kind, surface, observed`` of pairs that share one.
+def _shared(found: DataFrame, limit: int, scope: DataFrame | None = None) -> DataFrame:
+    """``issue_id, related_issue_id, kind, surface, observed`` and both sides' facts: one row for each surface that a pair shares.
 
     An equi-join on the surface. Hubs are taken out before it, but for pairs on a
-    hub path that one side was seen to change: each surface then joins at most
-    ``limit`` issues, or a hub's observed issues with its others.
+    hub path that one side was seen to change: each path or module then joins at most
+    ``limit`` issues, or a hub's observed issues with its others. ``scope (issue_id)``
+    keeps the pairs with an issue in it.
     """
+    inside = F.lit(True)
+    if scope is not None:
+        found = found.join(scope.select("issue_id").distinct().withColumn("inside", F.lit(True)), "issue_id", "left")
+        inside = F.coalesce("inside", F.lit(False))
+    found = found.withColumn("inside", inside)
     marked = found.join(hubs(found, limit).select("kind", "surface", F.lit(True).alias("hub")), ["kind", "surface"], "left")
-    plain = marked.filter("hub IS NULL")
-    side = lambda rows, name: rows.select("kind", "surface", F.col("issue_id").alias(name), F.col("observed").alias(f"o_{name}"))
-    pairs = side(plain, "a").join(side(plain, "b"), ["kind", "surface"]).filter("a < b")
-    hub = marked.filter("hub AND kind = 'path'")
-    seen = side(hub.filter("observed"), "a").join(side(hub, "b"), ["kind", "surface"]).filter("a <> b AND (a < b OR NOT o_b)")
-    rows = pairs.unionByName(seen)
-    return rows.select(F.least("a", "b").alias("issue_id"), F.greatest("a", "b").alias("related_issue_id"), "kind", "surface", (F.col("o_a") | F.col("o_b")).alias("observed")).distinct()
+    marked = stage(marked.na.fill(False, ["hub"]), "surfaces")  # read four times
+    facts = F.struct("facts", "path_facts", "observed", "inside")
+    side = lambda rows, name: rows.select("kind", "surface", F.col("issue_id").alias(name), facts.alias(f"f_{name}"))
+    plain, hub = marked.filter("NOT hub"), marked.filter("hub AND kind = 'path'")
+    pairs = side(plain, "a").join(side(plain, "b"), ["kind", "surface"]).filter("a < b AND (f_a.inside OR f_b.inside)")
+    seen = side(hub.filter("observed"), "a").join(side(hub, "b"), ["kind", "surface"])
+    seen = seen.filter("a <> b AND (a < b OR NOT f_b.observed) AND (f_a.inside OR f_b.inside)")
+    rows, first = pairs.unionByName(seen), F.col("a") < F.col("b")
+    return rows.select(
+        F.least("a", "b").alias("issue_id"), F.greatest("a", "b").alias("related_issue_id"), "kind", "surface", (F.col("f_a.observed") | F.col("f_b.observed")).alias("observed"),
+        F.when(first, F.col("f_a")).otherwise(F.col("f_b")).alias("l"), F.when(first, F.col("f_b")).otherwise(F.col("f_a")).alias("r"),
+    )
+
+
+def shared_surfaces(found: DataFrame, limit: int, scope: DataFrame | None = None) -> DataFrame:
+    """``issue_id, related_issue_id, kind, surface, observed`` of pairs that share a symbol, or a path or module that no guard holds back."""
+    return _shared(found, limit, scope).select("issue_id", "related_issue_id", "kind", "surface", "observed")
+
+
+def shared_evidence(found: DataFrame, limit: int, max_evidence: int = 8, scope: DataFrame | None = None) -> DataFrame:
+    """``shared_paths, shared_symbols, shared_modules, guarded`` of every pair that shares one, with both sides' facts.
+
+    Of the first ``max_evidence`` modules those count that an observed change touches;
+    a pair with other modules only is ``guarded``. A shared symbol brings its path
+    back, also one that is a hub.
+    """
+    entry = F.struct("surface", "observed", F.col("l.facts").alias("l"), F.col("r.facts").alias("r"), F.col("l.path_facts").alias("pl"), F.col("r.path_facts").alias("pr"))
+    of = lambda kind: F.slice(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, entry))), 1, max_evidence)
+    pairs = _shared(found, limit, scope).groupBy("issue_id", "related_issue_id").agg(of("path").alias("p"), of("symbol").alias("s"), of("module").alias("all_m"))
+    brought = F.transform("s", lambda x: F.struct(_path_of(x["surface"]).alias("surface"), x["pl"].alias("l"), x["pr"].alias("r")))
+    paths = F.transform("p", lambda x: F.struct(x["surface"].alias("surface"), x["l"].alias("l"), x["r"].alias("r")))
+    pairs = pairs.withColumn("p", F.when(F.size("s") == 0, paths).otherwise(F.slice(F.sort_array(F.array_union(paths, brought)), 1, max_evidence))).withColumn("m", F.filter("all_m", lambda x: x["observed"]))
+    every = lambda side: F.aggregate(F.concat(*[F.transform(c, lambda x: x[side]) for c in ("p", "s", "m")]), F.lit(0), lambda a, x: a.bitwiseOR(x))
+    names = lambda c: F.transform(c, lambda x: x["surface"])
+    return pairs.select(
+        "issue_id", "related_issue_id", names("p").alias("shared_paths"), names("s").alias("shared_symbols"), names("m").alias("shared_modules"),
+        (F.size("p") + F.size("s") + F.size("m") == 0).alias("guarded"), every("l").alias("l"), every("r").alias("r"),
+    )
 
 
-def collisions(pointers: DataFrame, limit: int, max_evidence: int = 8) -> DataFrame:
+def collisions(pointers: DataFrame, limit: int, max_evidence: int = 8, scope: DataFrame | None = None, shared: DataFrame | None = None) -> DataFrame:
     """One row for each colliding pair: what it shares and how sure that is.
 
     A shared module counts only where an observed change touches it; paths count
-    unless they are hubs that nobody was seen to change.
+    unless they are hubs that nobody was seen to change, and symbols always. The
+    pointers to what is shared travel as bits with the pairs. ``shared`` is
+    ``shared_evidence`` where that is at hand; ``scope`` as there.
     """
-    found = surfaces(pointers)
-    shared = shared_surfaces(found, limit)
-    names = lambda kind: F.slice(F.array_sort(F.collect_set(F.when((F.col("kind") == kind) & ((F.col("kind") == "path") | F.col("observed")), F.col("surface")))), 1, max_evidence)
-    pairs = shared.groupBy("issue_id", "related_issue_id").agg(names("path").alias("shared_paths"), names("module").alias("shared_modules"))
-    pairs = pairs.filter((F.size("shared_paths") > 0) | (F.size("shared_modules") > 0))
-    pairs = pairs.withColumn("kind", F.when(F.size("shared_paths") > 0, "exact-file").otherwise("shared-module"))
-    evidence = pointers.select("issue_id", "path", module_of(F.col("path")).alias("module"), "source", "edit_intent", "context_kind", "path_presence", "revision", "source_field")
-    out = pairs
-    for key in ("issue_id", "related_issue_id"):
-        own = evidence.withColumnRenamed("issue_id", key)
-        hit = F.array_contains("shared_paths", F.col("path")) | F.coalesce(F.array_contains("shared_modules", F.col("module")), F.lit(False))
-        sets = [F.collect_set(F.when(hit, F.col(c))).alias(f"{c}_{key}") for c in ("source", "edit_intent", "context_kind", "path_presence", "source_field")]
-        facts = pairs.join(own, key).groupBy("issue_id", "related_issue_id").agg(*sets, F.collect_set("revision").alias(f"revision_{key}"))
-        out = out.join(facts, ["issue_id", "related_issue_id"])
-    both = lambda c: F.array_sort(F.array_union(f"{c}_issue_id", f"{c}_related_issue_id"))
-    has = lambda column, value: F.array_contains(column, value)
-    sides = [F.array_contains(f"source_{k}", OBSERVED).cast("int") for k in ("issue_id", "related_issue_id")]
-    intents, contexts, presence, revisions = both("edit_intent"), both("context_kind"), both("path_presence"), both("revision")
-    known = F.array_remove(presence, "unavailable")
-    one = lambda value: (F.size(known) == 1) & has(known, value) & ~has(presence, "unavailable")
-    return out.select(
-        "issue_id", "related_issue_id", "kind", "shared_paths", "shared_modules",
-        F.when(sides[0] + sides[1] == 2, "observed").when(sides[0] + sides[1] == 1, "corroborated").otherwise("explicit").alias("confidence"),
-        both("source").alias("evidence_sources"),
-        F.when(has(intents, "observed-edit"), "observed-edit").when(has(intents, "likely-edit") & has(intents, "reference-only"), "mixed")
-        .when(has(intents, "likely-edit"), "likely-edit").when(has(intents, "reference-only"), "reference-only").otherwise("unknown").alias("edit_intent"),
-        F.when(has(contexts, "observed-worktree"), "observed-worktree").when((F.size(contexts) == 1) & has(contexts, "code-fence"), "code-fence-only")
-        .when(has(contexts, "code-fence") & has(contexts, "prose"), "mixed").otherwise("prose").alias("context_kind"),
-        F.when(F.size(known) == 0, "unavailable").when(one("existing"), "all-existing").when(one("missing"), "all-missing").otherwise("mixed").alias("path_presence"),
-        F.when(F.size(revisions) == 0, "unavailable").when(F.size(revisions) == 1, "same").otherwise("different").alias("revision_relation"),
-        both("source_field").alias("intent_source_fields"),
+    pairs = shared_evidence(surfaces(pointers), limit, max_evidence, scope) if shared is None else shared
+    pairs = pairs.filter("NOT guarded")
+    dated = pointers.filter("revision <> ''").groupBy("issue_id").agg(F.min("revision").alias("low"), F.max("revision").alias("high"))
+    for key, side in (("issue_id", "l"), ("related_issue_id", "r")):
+        pairs = pairs.join(dated.toDF(key, f"low_{side}", f"high_{side}"), key, "left")
+    low, high, all_bits = F.least("low_l", "low_r"), F.greatest("high_l", "high_r"), F.col("l").bitwiseOR(F.col("r"))
+    has = lambda column, value, bits=all_bits: bits.bitwiseAND(_bit(column, value)) != 0
+    named = lambda column: F.array_compact(F.array(*[F.when(has(column, v), v) for v in sorted(VOCABULARIES[column])]))
+    sides = sum((has("source", OBSERVED, F.col(side)).cast("int") for side in ("l", "r")), F.lit(0))
+    here, gone, unsure = (has("path_presence", v) for v in VOCABULARIES["path_presence"])
+    return pairs.select(
+        "issue_id", "related_issue_id", F.when(F.size("shared_paths") > 0, "exact-file").otherwise("shared-module").alias("kind"),
+        "shared_paths", "shared_symbols", "shared_modules",
+        F.when(sides == 2, "observed").when(sides == 1, "corroborated").otherwise("explicit").alias("confidence"),
+        named("source").alias("evidence_sources"),
+        F.when(has("edit_intent", "observed-edit"), "observed-edit").when(has("edit_intent", "likely-edit") & has("edit_intent", "reference-only"), "mixed")
+        .when(has("edit_intent", "likely-edit"), "likely-edit").when(has("edit_intent", "reference-only"), "reference-only").otherwise("unknown").alias("edit_intent"),
+        F.when(has("context_kind", "observed-worktree"), "observed-worktree").when(has("context_kind", "code-fence") & ~has("context_kind", "prose"), "code-fence-only")
+        .when(has("context_kind", "code-fence"), "mixed").otherwise("prose").alias("context_kind"),
+        F.when(~here & ~gone, "unavailable").when(here & ~gone & ~unsure, "all-existing").when(gone & ~here & ~unsure, "all-missing").otherwise("mixed").alias("path_presence"),
+        F.when(low.isNull(), "unavailable").when(low == high, "same").otherwise("different").alias("revision_relation"),
+        named("source_field").alias("intent_source_fields"),
     )
 
 
+# --- what the guards hold back ---------------------------------------------------
+
+
+def _hub_sets(found: DataFrame, limit: int) -> DataFrame:
+    """``issue_id, hubs``: the numbers of the hubs that an issue has, those implied by others left out.
+
+    Who shares a hub path shares its module, which is then a hub too; so only hub
+    modules count, and hub paths without a module.
+    """
+    own = hubs(found, limit).filter(F.expr("kind = 'module'") | module_of(F.col("surface")).isNull())
+    numbered = stage(own.select("kind", "surface", F.monotonically_increasing_id().alias("hub")), "hubs")
+    return found.join(numbered, ["kind", "surface"]).groupBy("issue_id").agg(F.array_sort(F.collect_list("hub")).alias("hubs"))
+
+
+def _pairs_sharing(sets: DataFrame, widest: int) -> int:
+    """How many pairs of issues have a hub in common, without making them.
+
+    Issues of one set of hubs are a class. By inclusion and exclusion the pairs are the
+    sum over sets S of hubs of (-1)^(|S| + 1) times the pairs of issues that have all of
+    S, and a class of k hubs adds to 2^k - 1 of them. Classes of more than ``widest``
+    hubs are instead joined with the classes that have one of their hubs.
+    """
+    classes = stage(sets.groupBy("hubs").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "hub-classes")
+    size, n = F.size("hubs"), F.col("n").cast("decimal(38,0)")
+    numbers = F.sequence(F.lit(1), F.expr("cast(power(2, size(hubs)) - 1 as int)"))
+    chosen = F.filter("hubs", lambda _, k: F.call_function("shiftright", F.col("m"), k).bitwiseAND(1) == 1)
+    some = classes.filter(size <= widest).withColumn("m", F.explode(numbers)).select(chosen.alias("s"), "n").groupBy("s").agg(F.sum("n").cast("decimal(20,0)").alias("n"))
+    signed = F.when(F.size("s") % 2 == 1, 1).otherwise(-1) * (F.col("n") * (F.col("n") - 1) / 2).cast("decimal(38,0)")
+    narrow = some.agg(F.sum(signed).alias("pairs")).first().pairs or 0
+    each = classes.withColumn("hub", F.explode("hubs")).select("hub", "id", "n", (size > widest).alias("wide"))
+    wide = each.filter("wide").select("hub", F.col("id").alias("wide_id"), F.col("n").alias("wide_n"))
+    met = wide.join(each, "hub").filter("NOT wide OR id >= wide_id").select("wide_id", "wide_n", "id", "n").distinct()
+    own = F.when(F.col("id") == F.col("wide_id"), (n * (n - 1) / 2).cast("decimal(38,0)")).otherwise((n * F.col("wide_n")).cast("decimal(38,0)"))
+    return int(narrow) + int(met.agg(F.sum(own).alias("pairs")).first().pairs or 0)
+
+
+def _outside(rows: DataFrame, scope: DataFrame) -> DataFrame:
+    return rows.join(scope.select("issue_id").distinct(), "issue_id", "left_anti")
+
+
+def guard_counts(found: DataFrame, shared: DataFrame, limit: int, scope: DataFrame | None = None, widest: int = 10) -> dict[str, int]:
+    """How many pairs the hub guard and the module guard hold back.
+
+    ``shared`` is ``shared_evidence`` of the same surfaces and scope. The hub guard
+    holds a pair back that shares hubs and nothing else: all pairs on hubs, counted
+    without making them, less those of ``shared`` that have a hub in common as well.
+    """
+    sets = stage(_hub_sets(found, limit), "hub-sets")
+    on_hubs = _pairs_sharing(sets, widest) - (_pairs_sharing(_outside(sets, scope), widest) if scope is not None else 0)
+    both = shared.select("issue_id", "related_issue_id", "guarded").join(sets.toDF("issue_id", "l_hubs"), "issue_id", "left")
+    both = both.join(sets.toDF("related_issue_id", "r_hubs"), "related_issue_id", "left")
+    row = both.agg(F.count_if(F.arrays_overlap("l_hubs", "r_hubs")).alias("known"), F.count_if("guarded").alias("modules")).first()
+    return {"omitted_by_hub_guard": on_hubs - row.known, "omitted_by_module_guard": row.modules}
+
+
+def hub_guard_sample(found: DataFrame, shared: DataFrame, limit: int, count: int, max_evidence: int = 8, scope: DataFrame | None = None) -> DataFrame:
+    """The first ``count`` pairs, by ids, that the hub guard holds back, and the hubs that they share.
+
+    The first issues with a hub meet the others of their hubs; only where those have
+    too few such pairs are more issues taken.
+    """
+    sets = stage(_hub_sets(found, limit), "hub-sets")
+    members = sets.select("issue_id", F.explode("hubs").alias("hub"))
+    if scope is not None:
+        members = members.join(scope.select("issue_id").distinct().withColumn("inside", F.lit(True)), "issue_id", "left")
+    else:
+        members = members.withColumn("inside", F.lit(True))
+    taken, keys = max(8, count), ["issue_id", "related_issue_id"]
+    while True:
+        heads = sets.orderBy("issue_id").limit(taken).select("issue_id")
+        own = members.join(heads, "issue_id", "left_semi")
+        later = members.select("hub", F.col("issue_id").alias("related_issue_id"), F.col("inside").alias("also"))
+        pairs = own.join(later, "hub").filter("issue_id < related_issue_id AND (inside OR also)").select(*keys).distinct()
+        first = pairs.join(shared.select(*keys), keys, "left_anti").orderBy(*keys).limit(count)
+        first = stage(first, "guarded-pairs")
+        if first.count() >= count or heads.count() < taken:
+            break
+        taken *= 8
+    hub = found.join(hubs(found, limit).select("kind", "surface"), ["kind", "surface"], "left_semi").select("issue_id", "kind", "surface")
+    left = F.broadcast(first).join(hub, "issue_id")
+    both = left.join(hub.toDF("related_issue_id", "kind", "surface"), ["related_issue_id", "kind", "surface"], "left_semi")
+    names = lambda kind: F.slice(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("surface")))), 1, max_evidence)
+    return both.groupBy(*keys).agg(names("path").alias("suppressing_paths"), names("module").alias("suppressing_modules"))
+
+
 def ordinal(column: str, values: tuple[str, ...]) -> Column:
     out = F.lit(len(values))
     for k, value in reversed(list(enumerate(values))):

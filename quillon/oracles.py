@@ -146,27 +146,30 @@ _PTR = f"""pointers AS (SELECT DISTINCT l_orderkey AS issue_id, 'src/m' || l_par
     CASE WHEN l_orderkey % 5 = 0 THEN 'observed-worktree' ELSE {_pick('prose', 'code-fence')} END AS context_kind,
     {_pick('existing', 'missing', 'unavailable', 'existing')} AS path_presence,
     CASE WHEN l_orderkey % 5 = 0 THEN 'r' || l_orderkey % 3 END AS revision, {_pick('title', 'description')} AS source_field,
-    'src/m' || l_partkey // 10 AS module
+    'src/m' || l_partkey // 10 AS module, CASE WHEN l_returnflag = 'A' THEN 'run_' || l_suppkey END AS symbol
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 surf AS (SELECT issue_id, kind, surface, bool_or(source = 'active-worktree-diff') AS observed FROM (
-    SELECT issue_id, source, 'path' AS kind, path AS surface FROM pointers UNION ALL SELECT issue_id, source, 'module', module FROM pointers) GROUP BY ALL),
-hub AS (SELECT kind, surface, count(*) AS issue_count FROM surf GROUP BY ALL HAVING count(*) > 5),
+    SELECT issue_id, source, 'path' AS kind, path AS surface FROM pointers UNION ALL SELECT issue_id, source, 'module', module FROM pointers
+    UNION ALL SELECT issue_id, source, 'symbol', path || '::' || symbol FROM pointers WHERE symbol IS NOT NULL) GROUP BY ALL),
+hub AS (SELECT kind, surface, count(*) AS issue_count FROM surf WHERE kind <> 'symbol' GROUP BY ALL HAVING count(*) > 5),
 shared AS (SELECT a.issue_id, b.issue_id AS related_issue_id, kind, surface, a.observed OR b.observed AS observed
   FROM surf a JOIN surf b USING (kind, surface) WHERE a.issue_id < b.issue_id
     AND ((kind, surface) NOT IN (SELECT (kind, surface) FROM hub) OR (kind = 'path' AND (a.observed OR b.observed)))),
-sp AS (SELECT issue_id, related_issue_id, list_sort(coalesce(list(DISTINCT surface) FILTER (kind = 'path'), []))[:8] AS paths,
-    list_sort(coalesce(list(DISTINCT surface) FILTER (kind = 'module' AND observed), []))[:8] AS modules FROM shared GROUP BY ALL),
-pairs AS (SELECT * FROM sp WHERE len(paths) + len(modules) > 0),
-facts AS (SELECT p.issue_id, p.related_issue_id, paths, modules, q.*EXCLUDE (issue_id), q.issue_id = p.issue_id AS is_left,
-    list_contains(paths, path) OR list_contains(modules, module) AS hit
+sp0 AS (SELECT issue_id, related_issue_id, list_sort(coalesce(list(DISTINCT surface) FILTER (kind = 'path'), []))[:8] AS p,
+    list_sort(coalesce(list(DISTINCT surface) FILTER (kind = 'symbol'), []))[:8] AS symbols,
+    list_transform(list_filter(list_sort(coalesce(list(DISTINCT {{s: surface, o: observed}}) FILTER (kind = 'module'), []))[:8], lambda x: x.o), lambda x: x.s) AS modules FROM shared GROUP BY ALL),
+sp AS (SELECT issue_id, related_issue_id, list_sort(list_distinct(list_concat(p, list_transform(symbols, lambda x: regexp_extract(x, '^(.*)::', 1)))))[:8] AS paths, symbols, modules FROM sp0),
+pairs AS (SELECT * FROM sp WHERE len(paths) + len(symbols) + len(modules) > 0),
+facts AS (SELECT p.issue_id, p.related_issue_id, paths, symbols, modules, q.*EXCLUDE (issue_id), q.issue_id = p.issue_id AS is_left,
+    list_contains(paths, path) OR list_contains(modules, module) OR coalesce(list_contains(symbols, path || '::' || symbol), false) AS hit
   FROM (SELECT *, issue_id AS one FROM pairs UNION ALL SELECT *, related_issue_id FROM pairs) p JOIN pointers q ON q.issue_id = p.one),
-agg AS (SELECT issue_id, related_issue_id, any_value(paths) AS paths, any_value(modules) AS modules,
+agg AS (SELECT issue_id, related_issue_id, any_value(paths) AS paths, any_value(symbols) AS symbols, any_value(modules) AS modules,
     coalesce(bool_or(source = 'active-worktree-diff') FILTER (hit AND is_left), false)::int + coalesce(bool_or(source = 'active-worktree-diff') FILTER (hit AND NOT is_left), false)::int AS sides,
     list_sort(list(DISTINCT source) FILTER (hit)) AS sources, list(DISTINCT edit_intent) FILTER (hit) AS intents, list(DISTINCT context_kind) FILTER (hit) AS contexts,
     list(DISTINCT path_presence) FILTER (hit) AS presence, list_sort(list(DISTINCT source_field) FILTER (hit)) AS fields, count(DISTINCT revision) AS revisions
   FROM facts GROUP BY issue_id, related_issue_id),
 collisions AS (SELECT issue_id, related_issue_id, CASE WHEN len(paths) > 0 THEN 'exact-file' ELSE 'shared-module' END AS kind,
-    array_to_string(paths, ',') AS shared_paths, array_to_string(modules, ',') AS shared_modules,
+    array_to_string(paths, ',') AS shared_paths, array_to_string(symbols, ',') AS shared_symbols, array_to_string(modules, ',') AS shared_modules,
     ['explicit', 'corroborated', 'observed'][sides + 1] AS confidence, array_to_string(sources, ',') AS evidence_sources,
     CASE WHEN list_contains(intents, 'observed-edit') THEN 'observed-edit' WHEN list_has_all(intents, ['likely-edit', 'reference-only']) THEN 'mixed'
       WHEN list_contains(intents, 'likely-edit') THEN 'likely-edit' WHEN list_contains(intents, 'reference-only') THEN 'reference-only' ELSE 'unknown' END AS edit_intent,
@@ -175,6 +178,8 @@ collisions AS (SELECT issue_id, related_issue_id, CASE WHEN len(paths) > 0 THEN
     CASE WHEN presence = ['unavailable'] THEN 'unavailable' WHEN presence = ['existing'] THEN 'all-existing' WHEN presence = ['missing'] THEN 'all-missing' ELSE 'mixed' END AS path_presence,
     CASE revisions WHEN 0 THEN 'unavailable' WHEN 1 THEN 'same' ELSE 'different' END AS revision_relation, array_to_string(fields, ',') AS intent_source_fields FROM agg)"""
 
+_HELD = """held AS (SELECT DISTINCT a.issue_id AS a, b.issue_id AS b FROM surf a JOIN surf b USING (kind, surface) WHERE a.issue_id < b.issue_id AND kind <> 'symbol'
+  EXCEPT SELECT issue_id, related_issue_id FROM sp)"""
 _PATHS = "['src/a%d.py', '`lib/x%d.TXT`', 'docs/p%d/', '/abs/%d.py', 'other/q%d/', 'src/../%d.py', 'node_modules/%d.js', '(src\\w%d.Go)', 'C:/x%d.py', './src/%d.py']"
 _JUDGED = f"""q AS (SELECT {_ID.format('doc_id')} AS id, quality, lead(doc_id) OVER (ORDER BY doc_id) AS nxt FROM labels),
 judged AS (SELECT a.id AS left_id, b.id AS right_id, a.quality + b.quality AS rating FROM q a JOIN q b ON b.id = {_ID.format('a.nxt')} WHERE a.id IN (SELECT id FROM vec) AND b.id IN (SELECT id FROM vec)),
@@ -334,6 +339,10 @@ def queries() -> dict[str, str]:
         "srt8_hub_order": f"WITH {_PTR} SELECT *, (row_number() OVER (ORDER BY kind DESC, issue_count DESC, surface))::int AS position FROM hub",
         "jon8_shared_surfaces": f"WITH {_PTR} SELECT * FROM shared",
         "col1_collisions": f"WITH {_PTR} SELECT * FROM collisions",
+        "col2_guard_counts": f"WITH {_PTR}, {_HELD} SELECT (SELECT count(*) FROM held) AS omitted_by_hub_guard, (SELECT count(*) FROM sp WHERE len(paths) + len(symbols) + len(modules) = 0) AS omitted_by_module_guard",
+        "col2_hub_guard_sample": f"WITH {_PTR}, {_HELD}, first10 AS (SELECT * FROM held ORDER BY a, b LIMIT 10) SELECT f.a AS issue_id, f.b AS related_issue_id, array_to_string(list_sort(coalesce(list(x.surface) FILTER (kind = 'path'), []))[:8], ',') AS suppressing_paths, array_to_string(list_sort(coalesce(list(x.surface) FILTER (kind = 'module'), []))[:8], ',') AS suppressing_modules FROM first10 f JOIN surf x ON x.issue_id = f.a JOIN surf y USING (kind, surface) WHERE y.issue_id = f.b AND (kind, surface) IN (SELECT (kind, surface) FROM hub) GROUP BY ALL",
+        "col3_scoped_collisions": f"WITH {_PTR}, {_HELD}, scope AS (SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1998-01-01'), inside AS (SELECT a, b FROM (SELECT issue_id AS a, related_issue_id AS b, 'shared' AS fate FROM pairs) WHERE a IN (FROM scope) OR b IN (FROM scope)), away AS (SELECT * FROM held WHERE a IN (FROM scope) OR b IN (FROM scope)) SELECT (SELECT count(*) FROM inside) AS collisions, (SELECT count(*) FROM away) AS omitted_by_hub_guard, (SELECT count(*) FROM sp WHERE len(paths) + len(symbols) + len(modules) = 0 AND (issue_id IN (FROM scope) OR related_issue_id IN (FROM scope))) AS omitted_by_module_guard",
+        "set3_shared_evidence": f"WITH {_PTR} SELECT issue_id, related_issue_id, array_to_string(paths, ',') AS shared_paths, array_to_string(symbols, ',') AS shared_symbols, array_to_string(modules, ',') AS shared_modules FROM sp",
         "srt6_collision_order": f"WITH {_PTR} SELECT issue_id, related_issue_id, (row_number() OVER (ORDER BY kind, list_position(['observed', 'corroborated', 'explicit'], confidence), list_position(['observed-worktree', 'prose', 'mixed', 'code-fence-only'], context_kind), list_position(['all-existing', 'mixed', 'all-missing', 'unavailable'], path_presence), list_position(['observed-edit', 'likely-edit', 'mixed', 'unknown', 'reference-only'], edit_intent), issue_id, related_issue_id))::int AS position FROM collisions",
         "str11_edit_intent": r"WITH t AS (SELECT p_partkey, lower(p_name || ' ' || ['fix it', 'please review', 'nothing', 'prefix'][p_partkey % 4 + 1]) AS t FROM part) SELECT p_partkey, CASE WHEN regexp_matches(t, '\b(add|change|create|edit|fix|implement|migrate|modify|move|refactor|remove|rename|repair|replace|rewrite|update|write)\b') THEN 'likely-edit' WHEN regexp_matches(t, '\b(audit|check|document|inspect|inventory|read|reference|review|see|trace|verify)\b') THEN 'reference-only' ELSE 'unknown' END AS intent FROM t",
         "src11_changed_paths": f"WITH {_PTR}, t AS (SELECT issue_id % 50 AS worktree, path, edit_intent IN ('observed-edit', 'likely-edit') AS committed FROM pointers), c AS (SELECT DISTINCT worktree, path FROM t WHERE committed), k AS (SELECT worktree FROM c GROUP BY 1 HAVING count(*) <= 40) SELECT worktree, count(*) AS paths FROM (SELECT worktree, path FROM c WHERE worktree IN (SELECT worktree FROM k) UNION SELECT worktree, path FROM t WHERE NOT committed) GROUP BY 1",

@@ -23,7 +23,7 @@ from quillon.sources.trackers import Snapshot, edges as typed_edges
 
 STOP_WORDS = tuple("about after also been before being between from have into only should that their then this through using when where with".split())
 BUCKETS = 256
-HUB_LIMIT = 25
+HUB_LIMIT = 5
 TEXTS = ("title", "description", "acceptance_criteria", "design", "notes")
 
 
@@ -37,8 +37,12 @@ class Options:
     code_surfaces: bool = True
     leads: int = 50
     hub_limit: int = HUB_LIMIT
+    include_ephemeral: bool = False
+    guarded_pairs: int = 0  # how many of the pairs that the hub guard holds back are told
 
     def __post_init__(self) -> None:
+        if self.guarded_pairs < 0:
+            raise ValueError("guarded_pairs must not be negative")
         for name in ("batch_size", "leads", "hub_limit"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be positive")
@@ -82,7 +86,7 @@ class Review:
         self.records = stage(self.records.drop("cut"), "records")
         wanted = F.lower("status").isin(*[s.lower() for s in self.options.statuses])
         plain = F.lit(self.options.include_epics) | ~F.coalesce(F.lower("issue_type") == "epic", F.lit(False))
-        self.active = self.records.filter(F.coalesce(wanted, F.lit(False)) & plain & ~F.col("ephemeral"))
+        self.active = self.records.filter(F.coalesce(wanted, F.lit(False)) & plain & (F.lit(self.options.include_ephemeral) | ~F.col("ephemeral")))
         self.edges = typed_edges(self.records)
         self.vectors = stage(hashing_vectors(self.records) if self.vectors is None else self.vectors, "vectors")
         self._made: dict = {}
@@ -171,11 +175,29 @@ class Review:
     def guarded_hubs(self, limit: int) -> list[dict]:
         """The first hub surfaces, by kind and number of issues."""
         order = [F.when(F.col("kind") == "path", 0).otherwise(1), F.desc("issue_count"), F.col("surface")]
-        hubs = surfaces.hubs(surfaces.surfaces(self.pointers()), self.options.hub_limit)
+        hubs = surfaces.hubs(self._surfaces(), self.options.hub_limit)
         return [r.asDict() for r in hubs.orderBy(*order).limit(limit).collect()]
 
+    def _surfaces(self) -> DataFrame:
+        return self._once("surfaces", lambda: surfaces.surfaces(self.pointers()))
+
+    def _touched(self) -> DataFrame | None:
+        return None if self.scope is None else self.scope.select(F.col("id").alias("issue_id"))
+
+    def shared(self) -> DataFrame:
+        """What pairs of active records share, of an incremental run those that touch its scope."""
+        return self._once("shared", lambda: surfaces.shared_evidence(self._surfaces(), self.options.hub_limit, scope=self._touched()))
+
     def collisions(self) -> DataFrame:
-        return self._once("collisions", lambda: surfaces.collisions(self.pointers(), self.options.hub_limit))
+        return self._once("collisions", lambda: surfaces.collisions(self.pointers(), self.options.hub_limit, shared=self.shared()))
+
+    def guards(self) -> dict:
+        """How many pairs the guards hold back, and the first of the hub guard's, if asked for."""
+        counts = surfaces.guard_counts(self._surfaces(), self.shared(), self.options.hub_limit, self._touched())
+        if not self.options.guarded_pairs:
+            return {**counts, "hub_guard_sample": []}
+        sample = surfaces.hub_guard_sample(self._surfaces(), self.shared(), self.options.hub_limit, self.options.guarded_pairs, scope=self._touched())
+        return {**counts, "hub_guard_sample": _plain(sample, ["issue_id", "related_issue_id"])}
 
     def batches(self) -> DataFrame:
         return self._once("batches", lambda: graph.batches(graph.review_units(self.queue(), self.active, self.vectors, self.options.batch_size)))
@@ -243,10 +265,10 @@ def triage_report(sweep: dict) -> dict:
 
 
 def collisions_report(review: Review) -> dict:
-    hubs = surfaces.hubs(surfaces.surfaces(review.pointers()), review.options.hub_limit)
+    hubs = surfaces.hubs(review._surfaces(), review.options.hub_limit)
     counts = _plain(surfaces.pointer_counts(review.pointers()), ["facet", "value"])
     return {
-        **_frame("collisions", review), "collisions": _leads(review), "hubs": hubs.count(), "hub_surfaces": review.guarded_hubs(review.options.leads), "pointer_counts": counts,
+        **_frame("collisions", review), "collisions": _leads(review), **review.guards(), "hubs": hubs.count(), "hub_surfaces": review.guarded_hubs(review.options.leads), "pointer_counts": counts,
         "repository_context": review.repository.context, "repository_revision": review.repository.revision,
     }
 

@@ -122,3 +122,15 @@ def test_dependency_accounts_and_run_id(spark, tracker, capsys):
     import re
 
     assert re.fullmatch(r"\d{8}T\d{6}Z-[0-9a-f]{8}", report["run_id"])
+
+
+def test_guards_and_scope_of_collisions(spark, tracker, tmp_path, capsys):
+    given, mark = ["collisions", "--json", "--max-hub-surface-issues", "1", "--explain-hub-guard"], str(tmp_path / "mark.jsonl")
+    _, out, _ = ask(spark, tracker, capsys, *given, "--write-checkpoint", mark)
+    report = json.loads(out)
+    assert report["collisions"] == [] and report["omitted_by_hub_guard"] == 1 and report["omitted_by_module_guard"] == 0
+    assert [(x["issue_id"], x["related_issue_id"], x["suppressing_paths"]) for x in report["hub_guard_sample"]] == [("t-1", "t-2", ["src/app/parse.py"])]
+    _, out, _ = ask(spark, tracker, capsys, *given, "--checkpoint", mark)
+    assert json.loads(out)["omitted_by_hub_guard"] == 0 and json.loads(out)["hub_guard_sample"] == []
+    code, _, err = ask(spark, tracker, capsys, "collisions", "--explain-hub-guard", "-1")
+    assert code == 2 and "guarded_pairs" in err

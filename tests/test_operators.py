@@ -257,24 +257,33 @@ def test_freshness_order_of_actions(spark):
     assert [r.likely_action for r in freshness.queue(df).orderBy("freshness_position").collect()] == list(freshness.ACTION_ORDER)
 
 
-def test_ranked_review(tmp_path):
+def test_ranked_review(spark, tmp_path):
     report = {"report_type": "sweep", "analysis_fingerprint": "f", "candidates": [{"kind": ("completed-work-echo", "possible-overlap")[k % 2], "issue_id": f"a{k}", "related_issue_id": f"b{k}", "similarity": 1 - k / 100} for k in range(60)]}
     path = tmp_path / "report.json"
-    path.write_text(json.dumps(report))
-    loaded, digest = ranked_review.load_report(path)
-    assert digest == hashlib.sha256(path.read_bytes()).hexdigest()
-    manifest, review = ranked_review.prepare(loaded, digest, 50, "20,50", 4, "s")
-    assert [s["rank_bucket"] + s["lane"] for s in manifest["sampling"]["strata"]] == ["1-20echo", "1-20overlap", "21-50echo", "21-50overlap"]
-    assert len(review["review_items"]) == 16 and review["review_items"][0]["review_id"] == "review-001"
+
+    def read(value):
+        path.write_text(value if isinstance(value, str) else json.dumps(value))
+        return ranked_review.read_report(spark, f"file://{path}")
+
+    loaded = read(report)
+    assert loaded.first().input_sha256 == hashlib.sha256(path.read_bytes()).hexdigest()
+    manifest, review = ranked_review.prepare(loaded, 50, "20,50", 4, "s")
+    assert [(s["rank_bucket"], s["lane"], s["available"], s["sampled"]) for s in manifest["sampling"]["strata"]] == [("1-20", "echo", 10, 4), ("1-20", "overlap", 10, 4), ("21-50", "echo", 15, 4), ("21-50", "overlap", 15, 4)]
+    assert [r["review_id"] for r in review["review_items"]] == [f"review-{k:03d}" for k in range(1, 17)]
     want = sorted((f"completed-work-echo|a{k}|b{k}" for k in range(0, 20, 2)), key=lambda c: hashlib.sha256(f"s\0stratum\0{c}".encode()).hexdigest())[:4]
     assert {r["candidate_id"] for r in manifest["sample"] if r["rank_bucket"] == "1-20" and r["lane"] == "echo"} == set(want)
-    assert "similarity" not in review["review_items"][0] and (manifest, review) == ranked_review.prepare(loaded, digest, 50, "20,50", 4, "s")
+    blind = sorted((r["candidate_id"] for r in manifest["sample"]), key=lambda c: hashlib.sha256(f"s\0blind-review-order\0{c}".encode()).hexdigest())
+    assert [f"{r['issue_id']}|{r['related_issue_id']}" for r in review["review_items"]] == [c.split("|", 1)[1] for c in blind]
+    assert "similarity" not in review["review_items"][0] and (manifest, review) == ranked_review.prepare(loaded, 50, "20,50", 4, "s")
+    assert manifest["source"]["available_candidates"] == 60 and manifest["fixed_pool"]["actual_size"] == 50
     ranked_review.write(str(tmp_path / "out"), manifest, review)
     assert json.loads((tmp_path / "out" / "manifest.json").read_text()) == manifest
-    for wrong in ({"report_type": "x", "candidates": []}, {"report_type": "sweep"}, []):
-        path.write_text(json.dumps(wrong))
+    for wrong in ({"report_type": "x", "candidates": []}, {"report_type": "sweep"}, {"report_type": "sweep", "candidates": 1}, [], "{"):
+        with pytest.raises(ValueError):
+            read(wrong)
+    for bad in ([{"issue_id": "a", "related_issue_id": "b"}], [{"kind": "k", "issue_id": "a"}], [{"candidate_id": "x", "issue_id": "a", "related_issue_id": "b"}] * 2, [1]):
         with pytest.raises(ValueError):
-            ranked_review.load_report(path)
+            ranked_review.prepare(read({**report, "candidates": bad}))
     for bounds, pool in (("", 5), ("0,9", 5), ("5,5", 5), ("a", 5), ("4", 5)):
         with pytest.raises(ValueError):
             evaluate.parse_bounds(bounds, pool)
