@@ -1,22 +1,30 @@
-"""The bounded review queue: an ordered fold over qualified candidates.
-
-Whether a candidate is admitted depends on all admissions before it, so the fold
-is sequential. It runs over qualified candidates only, in one sorted group whose
-size the thresholds bound; pair generation and qualification stay distributed.
+"""The bounded review queue, chosen in order under caps.
+
+Whether a candidate is admitted depends on all admissions before it, of which the caps
+allow only so many. Counters only grow, so who is refused once would be refused later
+too: the fold takes a bounded run of the first candidates that no counter refuses yet,
+then those that what it admitted still leaves open, until none are. Each run admits
+one candidate at least, so the caps bound the runs, and their size is a parameter.
+
+The fold notes when each counter was full. What that is for a candidate, its lane, the
+run, its records and its target, decides its fate in one join with those times, of
+which there are as many as admissions; all candidates that the fold never saw are
+settled so.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict, deque
+from collections import Counter, deque
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.model import ECHO, LANES, CandidatePolicy
 from quillon.operators.qualify import ranking_key
+from quillon.plans.ordering import numbered
+from quillon.plans.staging import stage
 
 DECISIONS = (
     "kind string, lane string, issue_id string, related_issue_id string, similarity double, admission_reason string, "
@@ -31,97 +39,145 @@ def lane_reservations(limit: int, caps: dict[str, int]) -> dict[str, int]:
     return {lane: min(n, caps[lane]) for lane, n in zip(LANES, asked, strict=True)}
 
 
+NEVER = 1 << 62  # a time after every offer
+_STAGE_BITS = 44  # of a time, below the number of its pass
+
+
 class Fold:
-    """Caps and counters of one run."""
+    """Caps and counters of one run, and the time of the offer that filled each."""
 
     def __init__(self, policy: CandidatePolicy) -> None:
         self.policy, self.caps = policy, policy.lane_caps
+        self.per_record = {"dependency": policy.max_dependencies_per_issue, "semantic": policy.max_per_issue}
         self.taken, self.lanes, self.reserved = 0, Counter(), Counter()
-        self.by_record = {"dependency": Counter(), "semantic": Counter()}
-        self.echo_of, self.targets = set(), Counter()
-        self.waiting: dict[str, int] = defaultdict(int)
-
-    def refuse(self, lane: str, kind: str, left: str, right: str) -> str | None:
-        """The first limit that a candidate meets, in the order of the checks."""
-        p, echo = self.policy, lane == "echo" and kind == ECHO
-        if self.lanes[lane] >= self.caps[lane]:
-            return "lane-cap"
-        if self.taken >= p.max_total:
-            return "run-cap"
-        if echo and left in self.echo_of:
-            return "one-echo-per-active"
-        if echo and self.targets[right] >= p.max_echoes_per_target:
-            return "completed-target-cap"
-        group, cap = ("dependency", p.max_dependencies_per_issue) if lane == "dependency" else ("semantic", p.max_per_issue)
-        if max(self.by_record[group][left], self.by_record[group][right]) >= cap:
-            return "dependency-per-issue-cap" if lane == "dependency" else "per-issue-cap"
-        return None
-
-    def offer(self, lane: str, kind: str, left: str, right: str, reserved: bool) -> tuple[str | None, int]:
-        """(reason of a refusal, number of omitted echoes that an admission makes good)."""
-        reason = self.refuse(lane, kind, left, right)
-        if reason == "completed-target-cap":
-            self.waiting[left] += 1
-        if reason:
-            return reason, 0
+        self.records, self.targets = Counter(), Counter()
+        self.full = {("lane", lane): -1 for lane, cap in self.caps.items() if cap <= 0}
+
+    def offer(self, row, time: int, reserved: bool) -> bool:
+        """Admit the candidate offered at ``time``, unless a counter is full."""
+        group = "dependency" if row.lane == "dependency" else "semantic"
+        ends = [(group, row.issue_id), (group, row.related_issue_id)]
+        asked = [("lane", row.lane), ("run", ""), *ends]
+        if row.lane == "echo" and row.kind == ECHO:
+            asked += [("echo", row.issue_id), ("target", row.related_issue_id)]
+            if self.policy.max_echoes_per_target <= 0:
+                return False
+        if self.per_record[group] <= 0 or any(name in self.full for name in asked):
+            return False
         self.taken += 1
-        self.lanes[lane] += 1
-        self.reserved[lane] += reserved
-        group = "dependency" if lane == "dependency" else "semantic"
-        self.by_record[group][left] += 1
-        self.by_record[group][right] += 1
-        if lane != "echo":
-            return None, 0
-        self.echo_of.add(left)
-        self.targets[right] += 1
-        return None, self.waiting.pop(left, 0)
-
-
-def select_candidates(requested: DataFrame, policy: CandidatePolicy, baseline: DataFrame | None = None) -> DataFrame:
-    """Every candidate with its decision, in selection order.
+        self.lanes[row.lane] += 1
+        self.reserved[row.lane] += reserved
+        self.records.update(ends)
+        filled = {("lane", row.lane): self.lanes[row.lane] >= self.caps[row.lane], ("run", ""): self.taken >= self.policy.max_total}
+        filled |= {end: self.records[end] >= self.per_record[group] for end in ends}
+        if row.lane == "echo":
+            self.targets[row.related_issue_id] += 1
+            filled |= {("echo", row.issue_id): True, ("target", row.related_issue_id): self.targets[row.related_issue_id] >= self.policy.max_echoes_per_target}
+        self.full |= {name: time for name, now in filled.items() if now and name not in self.full}
+        return True
+
+    def closed(self) -> bool:
+        return ("run", "") in self.full or all(("lane", lane) in self.full for lane in self.caps)
+
+    def times(self, spark: SparkSession) -> DataFrame:
+        """``counter, name, full``: a row for each counter that is full, a few for each admission."""
+        rows = [(counter, name, time) for (counter, name), time in self.full.items() if counter not in ("lane", "run")]
+        return spark.createDataFrame(rows, "counter string, name string, full long")
+
+
+def _refusals(rows: DataFrame, fold: Fold) -> DataFrame:
+    """``rows`` with the first limit that each meets at its ``time``, as ``drop_reason``.
+
+    The times of a fold are as many as its caps allow, so they are broadcast.
+    """
+    policy, times = fold.policy, fold.times(rows.sparkSession)
+    out, full = rows, {}
+    for end in ("issue_id", "related_issue_id"):
+        counters = ("dependency", "semantic", "echo" if end == "issue_id" else "target")
+        of = lambda c: F.min(F.when(F.col("counter") == c, F.col("full")))
+        own = times.groupBy(F.col("name").alias(end)).agg(*[of(c).alias(f"_{c}_{end}") for c in counters])
+        out = out.join(F.broadcast(own), end, "left")
+        full |= {f"{c}_{end}": F.coalesce(f"_{c}_{end}", F.lit(NEVER)) for c in counters}
+    dependency, echo = F.col("lane") == "dependency", (F.col("lane") == "echo") & (F.col("kind") == ECHO)
+    time, lane_full = F.col("time"), F.lit(NEVER)
+    for lane in LANES:
+        lane_full = F.when(F.col("lane") == lane, fold.full.get(("lane", lane), NEVER)).otherwise(lane_full)
+    records = {g: F.least(full[f"{g}_issue_id"], full[f"{g}_related_issue_id"]) if cap > 0 else F.lit(-1) for g, cap in fold.per_record.items()}
+    reason = (
+        F.when(time > lane_full, "lane-cap")
+        .when(time > fold.full.get(("run", ""), NEVER), "run-cap")
+        .when(echo & (time > full["echo_issue_id"]), "one-echo-per-active")
+        .when(echo & ((time > full["target_related_issue_id"]) if policy.max_echoes_per_target > 0 else F.lit(True)), "completed-target-cap")
+        .when(dependency & (time > records["dependency"]), "dependency-per-issue-cap")
+        .when(~dependency & (time > records["semantic"]), "per-issue-cap")
+    )
+    return out.withColumn("drop_reason", reason).select(*rows.columns, "drop_reason")
+
+
+def _fill(fold: Fold, rows: DataFrame, number: int, run: int, reserved_for: str | None = None) -> int:
+    """Offer the rows in order; the position after which none was offered any more.
+
+    Reads the first ``run`` that are open, again and again. A reserved share ends its
+    pass as soon as its lane has it.
+    """
+    at, share = 0, (fold.policy.lane_reservations or {}).get(reserved_for, 0)
+    while not fold.closed() and (reserved_for is None or fold.reserved[reserved_for] < share):
+        later = rows.filter(F.col("position") > at).withColumn("time", F.lit(NEVER - 1))
+        some = _refusals(later, fold).filter("drop_reason IS NULL").orderBy("position").limit(run).collect()
+        for row in some:
+            fold.offer(row, (number << _STAGE_BITS) | row.position, reserved_for is not None)
+            at = row.position
+            if reserved_for is not None and fold.reserved[reserved_for] >= share:
+                return at
+        if len(some) < run:
+            break
+    return (1 << _STAGE_BITS) - 1 if reserved_for is None or fold.reserved[reserved_for] < share else at
+
+
+def select_candidates(requested: DataFrame, policy: CandidatePolicy, baseline: DataFrame | None = None, run: int | None = None) -> DataFrame:
+    """Every candidate with its decision and its place in selection order.
 
     ``baseline`` candidates (those of the default thresholds) are offered before
     the others, so looser thresholds never push one out. With lane reservations
     each stage first fills every lane's share, then offers the rest in order.
+    ``run`` is how many candidates the fold reads at a time.
     """
-    keys = ["kind", "issue_id", "related_issue_id"]
-    stage = F.lit("requested")
+    keys, spark = ["kind", "issue_id", "related_issue_id"], requested.sparkSession
+    named = F.lit("requested")
     rows = requested
     if baseline is not None:
         marked = baseline.select(*keys).distinct().withColumn("protected", F.lit(True))
         extra = baseline.join(requested.select(*keys), keys, "left_anti").withColumn("protected", F.lit(True))
         rows = rows.join(marked, keys, "left").unionByName(extra)
-        stage = F.when(F.col("protected"), "baseline").otherwise("addition")
-    rows = rows.select("kind", "lane", "issue_id", "related_issue_id", "similarity", "admission_reason", "signal_quality", stage.alias("stage"))
-    place = [F.when(F.col("stage") == "addition", 1).otherwise(0), *ranking_key()]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("order").reset_index(drop=True)
-        state, done = Fold(policy), {}
-        rows = list(pdf[["stage", "lane", "kind", "issue_id", "related_issue_id"]].itertuples())
-        for name in ("baseline", "addition", "requested"):
-            own = [r for r in rows if r.stage == name]
-            for lane in LANES if policy.lane_reservations else ():
-                for r in own:
-                    if state.reserved[lane] >= policy.lane_reservations[lane]:
-                        break
-                    if r.lane == lane:
-                        done[r.Index] = (*state.offer(lane, r.kind, r.issue_id, r.related_issue_id, True), True)
-            for r in own:
-                if r.Index not in done:
-                    done[r.Index] = (*state.offer(r.lane, r.kind, r.issue_id, r.related_issue_id, False), False)
-        out = [done[k] for k in range(len(rows))]
-        pdf["position"] = range(1, len(rows) + 1)
-        pdf["decision"] = ["dropped" if reason else "admitted" for reason, _, _ in out]
-        pdf["drop_reason"] = [reason for reason, _, _ in out]
-        pdf["reserved"] = [reserved and not reason for reason, _, reserved in out]
-        pdf["backfill_for"] = [filled for _, filled, _ in out]
-        return pdf[[part.split()[0] for part in DECISIONS.split(", ")]]
-
-    from pyspark.sql import Window
-
-    ordered = rows.withColumn("order", F.row_number().over(Window.orderBy(*place)))
-    return ordered.groupBy().applyInPandas(fold, DECISIONS)
+        named = F.when(F.col("protected"), "baseline").otherwise("addition")
+    rows = rows.select("kind", "lane", "issue_id", "related_issue_id", "similarity", "admission_reason", "signal_quality", named.alias("stage"))
+    place = [F.when(F.col("stage") == "addition", 1).otherwise(0).asc(), *ranking_key()]
+    ordered = stage(numbered(rows, place), "ordered-candidates")
+
+    fold, run = Fold(policy), run or 1000 + 4 * policy.max_total
+    time, number = F.lit(None).cast("long"), 0
+    passes = LANES if policy.lane_reservations else ()
+    for name in ("requested",) if baseline is None else ("baseline", "addition"):
+        own, rest = ordered.filter(F.col("stage") == name), F.lit(True)
+        for lane in passes:
+            upto = _fill(fold, own.filter(F.col("lane") == lane), number, run, lane)
+            inside = (F.col("stage") == name) & (F.col("lane") == lane) & (F.col("position") <= upto)
+            time, rest = F.when(inside, F.lit(number << _STAGE_BITS) + F.col("position")).otherwise(time), rest & ~inside
+            number += 1
+        _fill(fold, own.filter(rest), number, run)
+        time = F.when((F.col("stage") == name) & rest, F.lit(number << _STAGE_BITS) + F.col("position")).otherwise(time)
+        number += 1
+
+    in_pass = F.shiftright(F.col("time"), _STAGE_BITS) % (len(passes) + 1) < len(passes)
+    settled = _refusals(ordered.withColumn("time", time), fold).withColumn("reserved", F.col("drop_reason").isNull() & in_pass)
+    admitted = F.col("drop_reason").isNull()
+    waited = F.broadcast(fold.times(spark).filter("counter = 'echo'").select(F.col("name").alias("issue_id")))
+    waited = settled.filter("drop_reason = 'completed-target-cap'").join(waited, "issue_id").groupBy("issue_id").agg(F.count("*").alias("waited"))
+    made = settled.join(F.broadcast(waited), "issue_id", "left")
+    filled = F.when(admitted & (F.col("lane") == "echo"), F.coalesce("waited", F.lit(0))).otherwise(0).cast("long")
+    decision = F.when(admitted, "admitted").otherwise("dropped")
+    made = made.withColumns({"decision": decision, "backfill_for": filled})
+    return made.select(*[part.split()[0] for part in DECISIONS.split(", ")])
 
 
 def lane_metrics(decisions: DataFrame) -> DataFrame:

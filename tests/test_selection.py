@@ -71,3 +71,79 @@ def test_policy_is_checked():
         with pytest.raises(ValueError):
             CandidatePolicy(**bad)
     assert selection.lane_reservations(20, CandidatePolicy().lane_caps) == {"dependency": 12, "echo": 4, "overlap": 4}
+
+
+def by_hand(rows, policy, baseline=()):
+    """The queue offer by offer: (decision, reason, reserved, backfills) of every candidate in order."""
+    caps, protected = policy.lane_caps, set(baseline)
+    lanes, ends, targets, waiting, reserved, echo_of = Counter(), Counter(), Counter(), Counter(), Counter(), set()
+    out, lane_rank = {}, {"dependency": 0, "echo": 1, "overlap": 2}
+    order = sorted(rows, key=lambda r: (bool(baseline) and r[:4] not in protected, lane_rank[r[1]], -r[4], r[0], r[2], r[3]))
+
+    def offer(r, held):
+        kind, lane, a, b, _ = r
+        group = "dependency" if lane == "dependency" else "semantic"
+        cap, echo = (policy.max_dependencies_per_issue if group == "dependency" else policy.max_per_issue), lane == "echo" and kind == ECHO
+        reason = None
+        if lanes[lane] >= caps[lane]:
+            reason = "lane-cap"
+        elif sum(lanes.values()) >= policy.max_total:
+            reason = "run-cap"
+        elif echo and a in echo_of:
+            reason = "one-echo-per-active"
+        elif echo and targets[b] >= policy.max_echoes_per_target:
+            reason = "completed-target-cap"
+            waiting[a] += 1
+        elif max(ends[group, a], ends[group, b]) >= cap:
+            reason = "dependency-per-issue-cap" if group == "dependency" else "per-issue-cap"
+        if reason:
+            out[r] = ("dropped", reason, False, 0)
+            return
+        lanes[lane] += 1
+        reserved[lane] += held
+        ends.update([(group, a), (group, b)])
+        if lane == "echo":
+            echo_of.add(a)
+            targets[b] += 1
+        out[r] = ("admitted", None, held, waiting.pop(a, 0) if lane == "echo" else 0)
+
+    for part in (True, False):
+        own = [r for r in order if (not baseline or r[:4] in protected) == part]
+        for lane in lane_rank if policy.lane_reservations else ():
+            for r in own:
+                if reserved[lane] >= policy.lane_reservations[lane]:
+                    break
+                if r[1] == lane:
+                    offer(r, True)
+        for r in own:
+            if r not in out:
+                offer(r, False)
+    return [(r[:4], *out[r]) for r in order]
+
+
+@pytest.mark.parametrize(("seed", "run"), [(1, None), (2, 3), (3, 1), (4, 7)])
+def test_runs_and_settling_equal_offering_one_by_one(spark, seed, run):
+    rng = random.Random(seed)
+    rows = set()
+    for _ in range(260):
+        lane = rng.choice(["dependency", "echo", "overlap"])
+        kind = {"dependency": "typed", "echo": rng.choice([ECHO, ECHO, "other"]), "overlap": OVERLAP}[lane]
+        rows.add((kind, lane, f"a{rng.randint(0, 25)}", f"b{rng.randint(0, 12)}", rng.randint(30, 99) / 100))
+    rows = list({r[:4]: r for r in rows}.values())
+    shares = {"dependency": 4, "echo": 2, "overlap": 3} if seed % 2 else None
+    policy = CandidatePolicy(max_total=30, max_per_issue=3, max_echoes_per_target=2, max_dependencies_per_issue=2, max_dependencies=9, max_echoes=8, max_overlaps=14, lane_reservations=shares, echo_threshold=0.3, overlap_threshold=0.3)
+    table = lambda own: spark.createDataFrame([(k, lane, a, b, s, "semantic-threshold", "semantic") for k, lane, a, b, s in own], COLUMNS)
+    base = [r for r in rows if r[4] >= 0.7] if seed > 2 else None
+    got = selection.select_candidates(table(rows), policy, table(base) if base else None, run).orderBy("position").collect()
+    want = by_hand(rows, policy, [r[:4] for r in base] if base else ())
+    assert [r.position for r in got] == list(range(1, len(rows) + 1))
+    assert [((r.kind, r.lane, r.issue_id, r.related_issue_id), r.decision, r.drop_reason, r.reserved, r.backfill_for) for r in got] == want
+
+
+def test_what_the_fold_reads_is_bound_by_the_caps(spark, monkeypatch):
+    offered, offer = [], selection.Fold.offer
+    monkeypatch.setattr(selection.Fold, "offer", lambda self, row, *a: offered.append(row) or offer(self, row, *a))
+    rows = [(f"a{k % 5}", f"b{k}", 0.9 - k / 1e6) for k in range(20_000)]
+    got = selection.select_candidates(frame(spark, rows, OVERLAP, "overlap"), CandidatePolicy(max_total=10, max_per_issue=2, max_overlaps=10), run=50)
+    counts = {r.drop_reason: r["count"] for r in got.groupBy("drop_reason").count().collect()}
+    assert counts == {None: 10, "lane-cap": 19_990} and len(offered) <= 100
