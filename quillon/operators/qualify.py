@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.model import ECHO, LANES, OVERLAP, CandidatePolicy
 from quillon.operators.relations import with_structure
-from quillon.operators.vectors import pairs_above, top_ranks
+from quillon.operators.vectors import Blocks, pack, pairs_above, top_ranks
 from quillon.plans.staging import stage
 from quillon.sources.records import is_closed
 
@@ -81,9 +81,10 @@ def local_evidence(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return out.select("left_id", "right_id", reason.alias("reason"))
 
 
-def rank_tables(active: DataFrame, closed: DataFrame, limit: int, scope: DataFrame | None = None) -> DataFrame:
+def rank_tables(active: DataFrame | Blocks, closed: DataFrame | Blocks, limit: int, scope: DataFrame | None = None) -> DataFrame:
     """``kind, query_id, candidate_id, rank`` of the three rankings; only active-to-closed is scoped."""
-    scoped = active if scope is None else active.join(scope, "id", "left_semi")
+    active, closed = pack(active), pack(closed)
+    scoped = active if scope is None else pack(active.source.join(scope, "id", "left_semi"))
     named = [("overlap", active, active), ("active_to_closed", scoped, closed), ("closed_to_active", closed, active)]
     out = None
     for kind, queries, candidates in named:
@@ -167,7 +168,8 @@ def qualified(records: DataFrame, population: DataFrame, edges: DataFrame, vecto
     active = stage(vectors.join(population.select("id"), "id", "left_semi"), "active")
     closed = stage(vectors.join(records.filter(is_closed(F.col("status"))).select("id"), "id", "left_semi"), "closed")
     corpus = records.join(population.select("id").unionByName(records.filter(is_closed(F.col("status"))).select("id")).distinct(), "id", "left_semi")
-    ranks = stage(rank_tables(active, closed, max(1, policy.reciprocal_rank), eligible), "ranks")
+    active_blocks, closed_blocks = pack(active), pack(closed)
+    ranks = stage(rank_tables(active_blocks, closed_blocks, max(1, policy.reciprocal_rank), eligible), "ranks")
     tokens = stage(field_tokens(corpus), "field-tokens")
     out = None
     for kind, threshold, left_ranks, right_ranks in (
@@ -178,15 +180,15 @@ def qualified(records: DataFrame, population: DataFrame, edges: DataFrame, vecto
             continue
         floor = max(-1.0, threshold - policy.exception_margin)
         if kind == OVERLAP:
-            pairs = pairs_above(active, None, floor)
+            pairs = pairs_above(active_blocks, None, floor)
             if eligible is not None:
                 marked = eligible.select("id").distinct().withColumn("in_scope", F.lit(True))
                 for side in ("left_id", "right_id"):
                     pairs = pairs.join(marked.select(F.col("id").alias(side), F.col("in_scope").alias(f"s_{side}")), side, "left")
                 pairs = pairs.filter("s_left_id OR s_right_id").drop("s_left_id", "s_right_id")
         else:
-            own = active if eligible is None else active.join(eligible, "id", "left_semi")
-            pairs = pairs_above(own, closed, floor)
+            own = active_blocks if eligible is None else active.join(eligible, "id", "left_semi")
+            pairs = pairs_above(own, closed_blocks, floor)
         a = ranks.filter(F.col("kind") == left_ranks).select(F.col("query_id").alias("left_id"), F.col("candidate_id").alias("right_id"), F.col("rank").alias("left_rank"))
         b = ranks.filter(F.col("kind") == right_ranks).select(F.col("query_id").alias("right_id"), F.col("candidate_id").alias("left_id"), F.col("rank").alias("right_rank"))
         pairs = stage(pairs, "pairs")

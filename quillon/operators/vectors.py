@@ -1,9 +1,9 @@
 """Vectors: normal form, cosine pairs above a threshold, ranks.
 
-All-pairs work is done block against block: rows are dealt to blocks of a bounded
-size and packed to one binary matrix each before they are copied, each pair of
-blocks meets in one task, and only pairs that pass (or each query's best of a
-tile) leave it. Exact, with memory bounded by the block, and the same for a
+All-pairs work is done block against block: rows are dealt, near ones together, to
+blocks of a bounded size and packed to one binary matrix each before they are copied,
+each pair of blocks that can hold a wanted pair meets in one task, and only pairs that
+pass (or each query's best of a tile) leave it. Exact, with memory bounded by the block, and the same for a
 self-join and for two sides.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from quillon.functions.text import word_tokens
 from quillon.plans.staging import stage
 
-BLOCK_BYTES, TILE_ROWS, LEAST_ROWS = 8 << 20, 4096, 256
+BLOCK_BYTES, TILE_ROWS, LEAST_ROWS, PIVOTS = 16 << 20, 4096, 256, 64
 
 
 def norm(v: Column) -> Column:
@@ -51,29 +52,116 @@ def unit_vectors(rows: DataFrame, id_column: str, vector_column: str) -> DataFra
     return rows.select(F.col(id_column).alias("id"), normalize(F.col(vector_column)).alias("v")).filter("v IS NOT NULL")
 
 
-def _packed(rows: DataFrame, block_rows: int | None) -> tuple[DataFrame, int]:
-    """``rows (id, v)`` dealt evenly to blocks, one row with one matrix each, and their number.
+def _reachable(a: np.ndarray, a_angles: np.ndarray, b: np.ndarray, b_angles: np.ndarray, threshold: float | None) -> np.ndarray:
+    """Whether vectors of two caps, by row and by column, can have a cosine of ``threshold``."""
+    if threshold is None:
+        return np.ones((len(a), len(b)), bool)
+    between = np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+    least = np.maximum(0.0, between - a_angles[:, None] - b_angles[None, :])
+    return np.cos(least) >= threshold - 1e-6
 
-    A block has at most ``BLOCK_BYTES`` of numbers, or fewer where there would not
-    be pairs of blocks for all cores. The table is staged: how rows are dealt does
-    not matter, but every reader must see the same blocks.
+
+@dataclass(frozen=True)
+class Blocks:
+    """Vectors packed for all-pairs work: staged ``block, ids, m, centre, angle``, one row a block.
+
+    ``caps`` has each block's number, centre and largest angle from it; two vectors of
+    two blocks cannot be closer than what their caps leave between them.
+    """
+
+    rows: DataFrame
+    source: DataFrame
+    numbers: np.ndarray
+    centres: np.ndarray
+    angles: np.ndarray
+
+    def skipped(self, other: Blocks | None, threshold: float) -> tuple[int, int]:
+        """How many pairs of blocks the caps rule out, and how many there are."""
+        right = self if other is None else other
+        fits = _reachable(self.centres, self.angles, right.centres, right.angles, threshold)
+        pairs = np.triu(np.ones_like(fits)) if other is None else np.ones_like(fits)
+        return int((~fits & pairs).sum()), int(pairs.sum())
+
+    def partners(self, threshold: float | None, side: int):
+        """A column function: the blocks of this side that a block of the other side meets.
+
+        ``side`` 1 or -1 keeps later or earlier ones and itself, 0 all.
+        """
+        numbers, centres, angles = self.numbers, self.centres, self.angles
+
+        @F.pandas_udf("array<int>")
+        def of(block: pd.Series, centre: pd.Series, angle: pd.Series) -> pd.Series:
+            fits = (numbers[None, :] - block.to_numpy()[:, None]) * side >= 0
+            if len(numbers):
+                fits &= _reachable(np.array(centre.tolist(), float), angle.to_numpy(float), centres, angles, threshold)
+            return pd.Series([numbers[row].tolist() for row in fits])
+
+        return of
+
+
+def _near_pivots(rows: DataFrame) -> DataFrame:
+    """``rows (id, v)`` with the pivot nearest to each and its closeness.
+
+    The pivots are a bounded sample, by hash of the id, each numbered after the one
+    that is nearest to it of those left.
+    """
+    few = rows.select("v").orderBy(F.xxhash64("id")).limit(PIVOTS).collect()
+    left = np.array([r.v for r in few], float)
+    chain, left = [left[0]], left[1:]
+    while len(left):
+        nearest = int((left @ chain[-1]).argmax())
+        chain.append(left[nearest])
+        left = np.delete(left, nearest, axis=0)
+    pivots = np.array(chain).T
+
+    @F.pandas_udf("struct<pivot:int,near:double>")
+    def of(v: pd.Series) -> pd.DataFrame:
+        scores = np.array(v.tolist(), float) @ pivots
+        return pd.DataFrame({"pivot": scores.argmax(axis=1), "near": scores.max(axis=1)})
+
+    return rows.withColumn("p", of("v")).select("id", "v", "p.pivot", "p.near")
+
+
+def pack(rows: DataFrame | Blocks, block_rows: int | None = None) -> Blocks:
+    """``rows (id, v)`` dealt to blocks of vectors that lie near each other, one matrix each.
+
+    Vectors go by range of their nearest pivot and their closeness to it, equal ones by
+    the hash of their id. A block has about ``BLOCK_BYTES`` of numbers and at most twice
+    that, or fewer where there would not be pairs of blocks for all cores. The table is
+    staged: how rows are dealt does not matter, but every reader must see the same
+    blocks. The driver holds a centre for each block.
     """
+    if isinstance(rows, Blocks):
+        return rows
     kind, cores = dict(rows.dtypes)["id"], rows.sparkSession.sparkContext.defaultParallelism
+    rows = rows.select("id", F.col("v").cast("array<double>").alias("v")) if hasattr(rows, "staged_path") else stage(rows.select("id", F.col("v").cast("array<double>").alias("v")), "vectors")
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("width")).first()
     wanted = min(math.ceil(math.sqrt(2 * cores)), -(-size.n // LEAST_ROWS))
     blocks = max(1, -(-size.n // block_rows) if block_rows else max(-(-size.n * size.width * 8 // BLOCK_BYTES), wanted))
+    most = 2 * -(-size.n // blocks)
 
-    def pack(batches):
+    def packed(batches):
         held = [b for b in batches if b.num_rows]
-        if held:
-            n, whole = sum(b.num_rows for b in held), lambda name: pa.concat_arrays([b.column(name) for b in held])
-            matrix = whole("v").flatten().to_numpy(zero_copy_only=False)
-            ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), whole("id"))
-            columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), ids, pa.array([np.ascontiguousarray(matrix, "<f8").tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "m"])
-
-    dealt = rows.select("id", F.col("v").cast("array<double>").alias("v")).repartition(blocks)
-    return stage(dealt.mapInArrow(pack, f"block int, ids array<{kind}>, m binary"), "blocks"), blocks
+        if not held:
+            return
+        whole = lambda name: pa.concat_arrays([b.column(name) for b in held])
+        ids, matrix = whole("id"), whole("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size.width)
+        for k, at in enumerate(range(0, len(ids), most)):
+            own, part = ids.slice(at, most), np.ascontiguousarray(matrix[at : at + most], "<f8")
+            centre = part.mean(axis=0)
+            length = np.sqrt(centre @ centre)
+            centre = centre / length if length > 0 else centre
+            angle = float(np.arccos(np.clip(part @ centre, -1.0, 1.0)).max()) if length > 0 else math.pi
+            number = TaskContext.get().partitionId() * 1024 + k
+            columns = [pa.array([number], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.concat_arrays([own]))]
+            columns += [pa.array([part.tobytes()], pa.binary()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([angle])]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "m", "centre", "angle"])
+
+    dealt = _near_pivots(rows).repartitionByRange(blocks, "pivot", "near", F.xxhash64("id")) if size.n else rows
+    made = stage(dealt.select("id", "v").mapInArrow(packed, f"block int, ids array<{kind}>, m binary, centre array<double>, angle double"), "blocks")
+    caps = made.select("block", "centre", "angle").orderBy("block").collect()
+    centres = np.array([r.centre for r in caps], float).reshape(len(caps), -1 if caps else 0)
+    return Blocks(made, rows, np.array([r.block for r in caps], np.int64), centres, np.array([r.angle for r in caps], float))
 
 
 def _no_ids(kind: str) -> np.ndarray:
@@ -81,19 +169,20 @@ def _no_ids(kind: str) -> np.ndarray:
     return np.zeros(0, object if kind == "string" else np.int64)
 
 
-def _met(left: DataFrame, right: DataFrame, same: bool, work, schema: str, block_rows: int | None) -> DataFrame:
+def _met(left: DataFrame | Blocks, right: DataFrame | Blocks, same: bool, work, schema: str, block_rows: int | None, threshold: float | None = None) -> DataFrame:
     """``work(left ids, left matrix, right ids, right matrix)`` for every pair of blocks.
 
     A pair of blocks is one task's group of two rows; within it tiles bound the
     memory of the scores. With itself a block meets each pair of its tiles once.
+    Pairs of blocks whose caps leave no cosine of ``threshold`` never meet.
     """
-    a, n_left = _packed(left, block_rows)
-    b, n_right = (a, n_left) if same else _packed(right, block_rows)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = a.select(F.col("block").alias("al"), every(n_right).alias("ar"), F.col("ids").alias("a_ids"), F.col("m").alias("a_m"))
-    b = b.select(F.col("block").alias("br"), every(n_left).alias("bl"), F.col("ids").alias("b_ids"), F.col("m").alias("b_m"))
-    if same:
-        a, b = a.filter("al <= ar"), b.filter("bl <= br")
+    a = pack(left, block_rows)
+    b = a if same else pack(right, block_rows)
+    ends = ("block", "centre", "angle")
+    left, right = b.partners(threshold, 1 if same else 0)(*ends), a.partners(threshold, -1 if same else 0)(*ends)
+    a = a.rows.select(F.col("block").alias("al"), F.explode(left).alias("ar"), F.col("ids").alias("a_ids"), F.col("m").alias("a_m"))
+    b = b.rows.select(F.col("block").alias("br"), F.explode(right).alias("bl"), F.col("ids").alias("b_ids"), F.col("m").alias("b_m"))
+    b = b.toDF(*b.columns)
 
     def matrix(row: pd.DataFrame, side: str) -> tuple[np.ndarray, np.ndarray]:
         ids = np.asarray(row[f"{side}_ids"].iloc[0])
@@ -113,14 +202,15 @@ def _met(left: DataFrame, right: DataFrame, same: bool, work, schema: str, block
     return a.groupBy("al", "ar").cogroup(b.groupBy("bl", "br")).applyInPandas(meet, schema)
 
 
-def pairs_above(left: DataFrame, right: DataFrame | None, threshold: float, block_rows: int | None = None) -> DataFrame:
+def pairs_above(left: DataFrame | Blocks, right: DataFrame | Blocks | None, threshold: float, block_rows: int | None = None) -> DataFrame:
     """``left_id, right_id, score`` with cosine >= ``threshold``.
 
     Without ``right`` a self-join with left_id < right_id; else every pair of
     different ids.
     """
     same = right is None
-    kind = dict(left.dtypes)["id"]
+    left = pack(left, block_rows)
+    kind = dict(left.source.dtypes)["id"]
 
     def work(li, lv, ri, rv) -> pd.DataFrame:
         if not len(li) or not len(ri):
@@ -135,16 +225,17 @@ def pairs_above(left: DataFrame, right: DataFrame | None, threshold: float, bloc
             out = out.drop_duplicates(["left_id", "right_id"])
         return out
 
-    return _met(left, left if same else right, same, work, f"left_id {kind}, right_id {kind}, score double", block_rows)
+    return _met(left, left if same else right, same, work, f"left_id {kind}, right_id {kind}, score double", block_rows, threshold)
 
 
-def top_ranks(queries: DataFrame, candidates: DataFrame, limit: int, block_rows: int | None = None) -> DataFrame:
+def top_ranks(queries: DataFrame | Blocks, candidates: DataFrame | Blocks, limit: int, block_rows: int | None = None) -> DataFrame:
     """``query_id, candidate_id, score, rank``: each query's best, by (score down, id).
 
     Each block keeps a query's ``limit`` best (ties at the edge included), so the
     last ranking sees at most that many for each block.
     """
-    kind = dict(queries.dtypes)["id"]
+    queries = pack(queries, block_rows)
+    kind = dict(queries.source.dtypes)["id"]
 
     def work(qi, qv, ci, cv) -> pd.DataFrame:
         if not len(qi) or not len(ci):
@@ -217,13 +308,35 @@ def score_sums(members: DataFrame, others: DataFrame) -> DataFrame:
     return members.crossJoin(F.broadcast(total)).select("id", dot(F.col("v"), F.col("w")).alias("total"))
 
 
-def multi_view_pairs(views: DataFrame, threshold: float) -> DataFrame:
-    """Best score of each pair over the channels of ``views (id, channel, v)`` that both have."""
-    out = None
-    for (channel,) in views.select("channel").distinct().orderBy("channel").collect():
-        own = pairs_above(views.filter(F.col("channel") == channel).select("id", "v"), None, threshold)
-        out = own if out is None else out.unionByName(own)
-    return out.groupBy("left_id", "right_id").agg(F.max("score").alias("score"))
+def multi_view_pairs(views: DataFrame, threshold: float, block_rows: int | None = None) -> DataFrame:
+    """Best score of each pair over the channels of ``views (id, channel, v)`` that both have.
+
+    A record's channels stand side by side in one row of a block, zeros where it has
+    none, and the tile takes the best of them: one pass for all channels.
+    """
+    sizes = views.groupBy("channel").agg(F.max(F.size("v")).alias("width")).orderBy("channel").collect()
+    kind = dict(views.dtypes)["id"]
+    by = views.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("channel", "v"))).alias("c"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    beside = F.concat(F.array().cast("array<double>"), *[F.coalesce(F.try_element_at("c", F.lit(r.channel)).cast("array<double>"), zeros(r.width)) for r in sizes])
+    edges = np.cumsum([0, *(r.width for r in sizes)])
+
+    def work(li, lv, ri, rv) -> pd.DataFrame:
+        if not len(li) or not len(ri):
+            return pd.DataFrame({"left_id": _no_ids(kind), "right_id": _no_ids(kind), "score": np.zeros(0)})
+        best = np.full((len(li), len(ri)), -np.inf)
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            a, b = lv[:, lo:hi], rv[:, lo:hi]
+            own, other = np.flatnonzero(a.any(axis=1)), np.flatnonzero(b.any(axis=1))
+            scores = np.clip(a[own] @ b[other].T, -1.0, 1.0)
+            best[np.ix_(own, other)] = np.maximum(best[np.ix_(own, other)], scores)
+        i, j = np.nonzero(best >= threshold)
+        turn = li[i] > ri[j]
+        out = pd.DataFrame({"left_id": np.where(turn, ri[j], li[i]), "right_id": np.where(turn, li[i], ri[j]), "score": best[i, j]})
+        return out[out.left_id != out.right_id].drop_duplicates(["left_id", "right_id"])
+
+    rows = by.select("id", beside.alias("v"))
+    return _met(rows, rows, True, work, f"left_id {kind}, right_id {kind}, score double", block_rows)
 
 
 def pair_ranks(pairs: DataFrame, vectors: DataFrame, pool: DataFrame, block_rows: int | None = None) -> DataFrame:

@@ -352,7 +352,7 @@ def queries() -> dict[str, str]:
         "frs3_lifecycle": edged + " SELECT CASE WHEN s.status IS NULL OR t.status IS NULL THEN 'unknown' WHEN s.status <> 'closed' AND t.status <> 'closed' THEN 'active-active' WHEN s.status = 'closed' AND t.status = 'closed' THEN 'unknown' ELSE 'active-closed' END AS lifecycle, count(*) AS pairs FROM edges LEFT JOIN records s ON s.id = source_id LEFT JOIN records t ON t.id = target_id GROUP BY 1",
         "jon10_checkpoint_states": base + f", {_SNAP}, a AS (SELECT id, {_print()} AS f FROM now), b AS (SELECT id, {_print()} AS g FROM before) SELECT id, CASE WHEN f IS NULL THEN 'deleted' WHEN g IS NULL OR f <> g THEN 'changed' ELSE 'unchanged' END AS state FROM a FULL JOIN b USING (id)",
         "jon9_divergence": base + f", {_SNAP} SELECT 'issue_identity' AS reason, count(*) AS records FROM now FULL JOIN before ON now.id = before.id WHERE now.id IS NULL OR before.id IS NULL UNION ALL SELECT 'status', count(*) FROM now JOIN before USING (id) WHERE now.status <> before.status",
-        "agg18_state_digest": base + " SELECT count(*) AS records, 64::int AS digits FROM records",
+        "agg18_state_digest": base + ", hs AS (SELECT sha256(concat_ws('|', id, coalesce(lower(status::varchar), ''), coalesce(lower(priority::varchar), ''), strftime(updated_at::timestamp, '%Y-%m-%dT%H:%M:%SZ'))) AS h FROM records), bs AS (SELECT substr(h, 1, 3) AS b, count(*) AS n, sum(('0x' || substr(h, 4, 10))::ubigint)::hugeint AS s, sum(('0x' || substr(h, 14, 10))::ubigint)::hugeint AS t FROM hs GROUP BY 1) SELECT sum(n)::bigint AS records, sha256(string_agg(b || ':' || n || ':' || s || ':' || t, ',' ORDER BY b || ':' || n || ':' || s || ':' || t)) AS digest FROM bs",
         "agg19_fingerprints": base + f" SELECT id, updated_at, {_print()} AS fingerprint FROM records",
         "agg20_content_keys": base + " SELECT id, sha256(concat_ws(chr(31), '1', 'hashing', '1', title)) AS key FROM records",
         "set4_deleted": base + f", {_SNAP} SELECT id FROM before EXCEPT SELECT id FROM now",

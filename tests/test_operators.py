@@ -302,3 +302,34 @@ def test_four_scorers(spark):
     assert got["a", "c"].exact_identifier_score == 0.9 and got["a", "c"].sparse_tfidf_score == 0.0 and 0 < got["a", "b"].sparse_tfidf_score < 1
     summary = {r.scorer: r for r in evaluate.scorer_summary(rows, 1, 0.72).collect()}
     assert set(summary) == set(evaluate.SCORERS) and summary["field_aware_score"].precision_at_budget == 1.0
+
+
+def test_caps_skip_blocks_and_lose_no_pair(spark):
+    rng = np.random.default_rng(5)
+    means = rng.standard_normal((6, 24)) * 4
+    for name, points in (("clustered", means[np.arange(600) % 6] + rng.standard_normal((600, 24)) * 0.3), ("random", rng.standard_normal((600, 24)))):
+        unit = points / np.linalg.norm(points, axis=1)[:, None]
+        rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(unit)], "id long, v array<double>")
+        blocks = V.pack(rows, 50)
+        got = {(r.left_id, r.right_id) for r in V.pairs_above(blocks, None, 0.6).collect()}
+        i, j = np.nonzero(np.triu(unit @ unit.T >= 0.6, 1))
+        assert got == set(zip(i.tolist(), j.tolist()))
+        skipped, pairs = blocks.skipped(None, 0.6)
+        assert pairs == len(blocks.numbers) * (len(blocks.numbers) + 1) // 2 and (skipped > 0) == (name == "clustered")
+
+
+def test_views_in_one_pass(spark):
+    rng = np.random.default_rng(6)
+    rows, unit = [], {}
+    for k in range(90):
+        for channel, width in (("whole", 8), ("title", 5), ("body", 3)):
+            if channel == "whole" or rng.random() < 0.6:
+                v = rng.standard_normal(width)
+                unit[f"r{k:02d}", channel] = v / np.linalg.norm(v)
+                rows.append((f"r{k:02d}", channel, unit[f"r{k:02d}", channel].tolist()))
+    table = spark.createDataFrame(rows, "id string, channel string, v array<double>")
+    got = {(r.left_id, r.right_id): r.score for r in V.multi_view_pairs(table, 0.5, 20).collect()}
+    names = sorted({i for i, _ in unit})
+    best = {(a, b): max(float(unit[a, c] @ unit[b, c]) for c in ("whole", "title", "body") if (a, c) in unit and (b, c) in unit) for n, a in enumerate(names) for b in names[n + 1 :]}
+    want = {pair: score for pair, score in best.items() if score >= 0.5}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
