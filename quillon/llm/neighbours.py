@@ -8,8 +8,8 @@ length and the correction scalar a = <x, o> of its direction o, a query's direct
 
 where e is a random direction for the rotation, so that e . q is about a normal number
 of spread 1 / sqrt(bits - 1). ``SIGMAS`` of them bound each squared distance from both
-sides. The codes are read twice: first for the k rows that each query is estimated to
-have nearest, whose true distances give a bound that its k nearest cannot exceed; then
+sides. The codes are read twice: first for the ``FIRST`` times k rows that each query is
+estimated to have nearest, of whose true distances the k-th bounds its k nearest; then
 for every row whose lower bound is within it. These are reranked by the distance of the
 original vectors; a true neighbour is lost only where its own error passes the bound.
 
@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from quillon.plans.staging import stage
 
 K = 10
-BITS = 256  # codes are at least so long, whatever the vectors' length
+BITS = 1024  # codes are at least so long, whatever the vectors' length
 SIGMAS = 3.0
+FIRST = 4  # times k: how many of the best estimates are measured for a query's bound
 SEED = 42
 SAMPLE_ROWS, SAMPLE_NUMBERS = 4096, 4_000_000
 RUN_ROWS = 1 << 16  # codes of a task
@@ -219,11 +220,11 @@ class Index:
     def nearest(self, queries: DataFrame, k: int) -> DataFrame:
         """``query, row, score`` of all rows that may be among the k nearest of ``queries (dim, query, vector)``."""
         free = queries.withColumn("bound", F.lit(None).cast("double"))
-        first = self.scan(free, lambda search, bound, *codes: search.best(*codes, k), "query long, row long, estimate double")
+        first = self.scan(free, lambda search, bound, *codes: search.best(*codes, FIRST * k), "query long, row long, estimate double")
         at = F.row_number().over(Window.partitionBy("query").orderBy("estimate", "row"))
-        few = first.withColumn("at", at).filter(F.col("at") <= k).select("query", "row")
-        bound = F.when(F.count("*") >= k, F.max("score")).alias("reach")
-        reach = self.apart(few, queries).groupBy("query").agg(bound)
+        few = first.withColumn("at", at).filter(F.col("at") <= FIRST * k).select("query", "row")
+        kth = F.try_element_at(F.sort_array(F.collect_list("score")), F.lit(k)).alias("reach")
+        reach = self.apart(few, queries).groupBy("query").agg(kth)
         square = F.coalesce(F.col("reach") * F.col("reach") * (1 + 1e-9), F.lit(float("inf")))
         bounded = stage(queries.join(reach, "query", "left").select("dim", "query", "vector", square.alias("bound")), "bounds")
         found = self.scan(bounded, lambda search, bound, *codes: search.within(*codes, bound), "query long, row long")

@@ -69,7 +69,7 @@ def test_bounds_hold_and_prune():
     vectors = rng.standard_normal((4000, 64)) + 1
     centre = vectors.mean(axis=0)
     codes, length, scalar = neighbours.encode(vectors, centre)
-    assert codes.shape == (4000, 32)
+    assert codes.shape == (4000, neighbours.BITS // 8)
     search = neighbours.Search(vectors[:40], centre)
     middle, lower = search.estimates(slice(0, 40), codes, length, scalar)
     apart = ((vectors[:40, None] - vectors[None]) ** 2).sum(axis=2)
