@@ -125,11 +125,14 @@ class HostPages:
     def __init__(self, spark: SparkSession, organization: str, team_id: str, issues: list[str], relations: list[str]) -> None:
         self.spark, self.organization, self.team_id, self.issues, self.relations = spark, organization, team_id, issues, relations
 
+    def nodes(self, name: str) -> DataFrame:
+        return nodes(self.spark, self.issues if name == "issues" else self.relations, name)
+
     def load(self) -> tuple[Snapshot, DataFrame]:
         import hashlib
 
-        base = require_unique(parse_issues(nodes(self.spark, self.issues, "issues")))
-        rels = parse_relations(nodes(self.spark, self.relations, "issueRelations"))
+        base = require_unique(parse_issues(self.nodes("issues")))
+        rels = parse_relations(self.nodes("issueRelations"))
         kept = one_relation_a_pair(rels, base)
         kind = "array<struct<target_id:string,relationship_type:string>>"
         links = kept.groupBy(F.col("source_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("target_id", "relationship_type"))).alias("links"))
@@ -146,8 +149,8 @@ class HostPages:
         return Snapshot(identity, None, "issue-host", VERSION, edge_types(records), records.count(), warnings=tuple(warnings)), records.drop("cut")
 
     def accounting(self) -> DataFrame:
-        base = parse_issues(nodes(self.spark, self.issues, "issues"))
-        return relation_accounting(parse_relations(nodes(self.spark, self.relations, "issueRelations")), base.select("id"))
+        base = parse_issues(self.nodes("issues"))
+        return relation_accounting(parse_relations(self.nodes("issueRelations")), base.select("id"))
 
 
 def label_rules(labels: Column) -> tuple[Column, Column]:
