@@ -16,7 +16,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +99,7 @@ class Blocks:
 
 
 def _near_pivots(rows: DataFrame) -> DataFrame:
-    """``rows (id, v)`` with the pivot nearest to each and its closeness.
+    """``rows (id, v)`` with a ``key`` that orders them by their nearest pivot and their closeness to it.
 
     The pivots are a bounded sample, by hash of the id, each numbered after the one
     that is nearest to it of those left.
@@ -114,18 +113,19 @@ def _near_pivots(rows: DataFrame) -> DataFrame:
         left = np.delete(left, nearest, axis=0)
     pivots = np.array(chain).T
 
-    @F.pandas_udf("struct<pivot:int,near:double>")
-    def of(v: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("double")
+    def of(v: pd.Series) -> pd.Series:
         scores = np.array(v.tolist(), float) @ pivots
-        return pd.DataFrame({"pivot": scores.argmax(axis=1), "near": scores.max(axis=1)})
+        return pd.Series(scores.argmax(axis=1) + 0.49 * (1 + np.clip(scores.max(axis=1), -1, 1)))
 
-    return rows.withColumn("p", of("v")).select("id", "v", "p.pivot", "p.near")
+    jitter = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 40)  # parts equal vectors
+    return rows.withColumn("key", of("v") + jitter)
 
 
 def pack(rows: DataFrame | Blocks, block_rows: int | None = None) -> Blocks:
     """``rows (id, v)`` dealt to blocks of vectors that lie near each other, one matrix each.
 
-    Vectors go by range of their nearest pivot and their closeness to it, equal ones by
+    Vectors go by quantile of their nearest pivot and their closeness to it, equal ones by
     the hash of their id. A block has about ``BLOCK_BYTES`` of numbers and at most twice
     that, or fewer where there would not be pairs of blocks for all cores. The table is
     staged: how rows are dealt does not matter, but every reader must see the same
@@ -140,25 +140,30 @@ def pack(rows: DataFrame | Blocks, block_rows: int | None = None) -> Blocks:
     blocks = max(1, -(-size.n // block_rows) if block_rows else max(-(-size.n * size.width * 8 // BLOCK_BYTES), wanted))
     most = 2 * -(-size.n // blocks)
 
-    def packed(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        whole = lambda name: pa.concat_arrays([b.column(name) for b in held])
-        ids, matrix = whole("id"), whole("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size.width)
+    def packed(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, matrix = group.column("id").chunk(0), group.column("v").chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size.width)
+        out: dict[str, list] = {"block": [], "ids": [], "m": [], "centre": [], "angle": []}
         for k, at in enumerate(range(0, len(ids), most)):
-            own, part = ids.slice(at, most), np.ascontiguousarray(matrix[at : at + most], "<f8")
+            part = np.ascontiguousarray(matrix[at : at + most], "<f8")
             centre = part.mean(axis=0)
             length = np.sqrt(centre @ centre)
             centre = centre / length if length > 0 else centre
             angle = float(np.arccos(np.clip(part @ centre, -1.0, 1.0)).max()) if length > 0 else math.pi
-            number = TaskContext.get().partitionId() * 1024 + k
-            columns = [pa.array([number], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.concat_arrays([own]))]
-            columns += [pa.array([part.tobytes()], pa.binary()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([angle])]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "m", "centre", "angle"])
-
-    dealt = _near_pivots(rows).repartitionByRange(blocks, "pivot", "near", F.xxhash64("id")) if size.n else rows
-    made = stage(dealt.select("id", "v").mapInArrow(packed, f"block int, ids array<{kind}>, m binary, centre array<double>, angle double"), "blocks")
+            for name, value in zip(out, (key[0].as_py() * 1024 + k, ids.slice(at, most).to_pylist(), part.tobytes(), centre.tolist(), angle), strict=True):
+                out[name].append(value)
+        kinds = [pa.int32(), pa.list_(ids.type), pa.binary(), pa.list_(pa.float64()), pa.float64()]
+        return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(out.items(), kinds, strict=True)})
+
+    schema = f"block int, ids array<{kind}>, m binary, centre array<double>, angle double"
+    if not size.n:
+        made = stage(rows.sparkSession.createDataFrame([], schema), "blocks")
+    else:
+        keyed = _near_pivots(rows)
+        shares = [k / blocks for k in range(1, blocks)]
+        cuts = np.array(keyed.agg(F.percentile_approx("key", shares, 100 * blocks)).first()[0] if shares else [], float)
+        dealt = keyed.withColumn("deal", F.pandas_udf(lambda key: pd.Series(np.searchsorted(cuts, key.to_numpy())), "int")("key"))
+        made = stage(dealt.select("deal", "id", "v").groupBy("deal").applyInArrow(packed, schema), "blocks")
     caps = made.select("block", "centre", "angle").orderBy("block").collect()
     centres = np.array([r.centre for r in caps], float).reshape(len(caps), -1 if caps else 0)
     return Blocks(made, rows, np.array([r.block for r in caps], np.int64), centres, np.array([r.angle for r in caps], float))
