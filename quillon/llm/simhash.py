@@ -19,7 +19,9 @@ of 0.8 or more over five words. 64 bits tell that similarity only to within a
 few tenths, and a radius that covers it leaves no block to share, so there the
 fingerprint has 512 bits, its radius is the angle of that similarity and a margin,
 shards are texts that share the least hash of one of eight hash functions, and the
-sets of shingles decide what is linked.
+sets of shingles decide what is linked. What is too large for a task, by members or
+by bytes, is cut into blocks of which every two meet in a task, so a link is found
+whatever blocks its ends are in.
 """
 
 from __future__ import annotations
@@ -42,7 +44,8 @@ SHINGLE_WORDS = 3
 RADIUS = 2
 WIDE_WORDS, SIMILARITY = 5, 0.8
 WIDE_BITS, MINIMA = 512, 8  # 64 bits from each hash function
-WIDE_SHARD, WIDE_DEALS, PIVOTS = 16_384, 2, 64
+WIDE_SHARD, WIDE_DEALS = 16_384, 2
+CELL_BYTES = 128 << 20  # of shingles that a task holds, unless a text or two have more
 WIDE_CHUNK, SPREADS = 1 << 14, 2.5
 SEED = 42
 SHARD_SIZE = 256
@@ -316,14 +319,13 @@ def _agreeing(which: Column) -> Column:
 
 
 def shards_by_minima(nodes: DataFrame, shard_size: int = WIDE_SHARD, deals: int = WIDE_DEALS) -> DataFrame:
-    """``mask, value, block, node, fp``: the shards that each of ``nodes (node, fp, minima)`` is in.
+    """``mask, value, cell, node, fp``: the shards that each of ``nodes (node, fp, minima)`` is in.
 
     Two texts of Jaccard similarity s have one least hash in common with
     probability s, and so share one of the first shards with 1 - (1 - s) ** MINIMA.
     Members of a shard beyond ``shard_size`` are dealt again, to those of its
     members that have another minimum in common too. What is still larger after
-    the last deal is a family of near copies: it is searched in blocks by hash of
-    the fingerprint, each with the same ``PIVOTS`` or so of its members.
+    the last deal is searched in cells of two blocks.
     """
     ones = [1 << k for k in range(MINIMA)]
     rows = nodes.select("node", "fp", "minima", F.explode(F.array(*map(F.lit, ones))).alias("mask"))
@@ -341,20 +343,26 @@ def shards_by_minima(nodes: DataFrame, shard_size: int = WIDE_SHARD, deals: int
         dealt = F.when(F.col("size").isNotNull(), again).otherwise(F.array("mask"))
         rows = rows.select("node", "fp", "minima", F.explode(dealt).alias("mask"))
         rows = stage(rows.withColumn("value", _agreeing(F.col("mask"))).distinct(), "dealt-shards")
-    return rows.select("mask", "value", F.explode(_blocks(size, shard_size)).alias("block"), "node", "fp")
+    return rows.select("mask", "value", F.explode(_cells(size / shard_size)).alias("cell"), "node", "fp")
 
 
-def _blocks(size: Column, limit: int) -> Column:
-    """The blocks that a member of a group of ``size`` goes to: one, a pivot to all."""
-    blocks = F.ceil(size / limit).cast("int")
-    place = F.pmod(F.xxhash64("fp"), F.lit(1 << 30))
-    pivot = (blocks > 1) & (place < F.lit(float(PIVOTS << 30)) / size)
-    return F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(place, blocks).cast("int")))
+def _cells(share: Column) -> Column:
+    """The cells that a member of a group goes to; ``share`` is the group's size in tasks.
+
+    A group of one task or less is one cell. A larger one is cut into blocks of
+    half a task, by hash of the fingerprint, and a cell is two of them: a member
+    is in one cell with each other block, and any two members share one.
+    """
+    blocks = F.when(share > 1, F.ceil(share * 2)).otherwise(1).cast("long")
+    own = F.pmod(F.xxhash64("fp"), blocks)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: other != own)
+    cells = F.transform(others, lambda other: F.least(own, other) * blocks + F.greatest(own, other))
+    return F.when(blocks > 1, cells).otherwise(F.array(F.lit(0).cast("long")))
 
 
 def candidates(nodes: DataFrame, radius: int, shard_size: int = WIDE_SHARD, deals: int = WIDE_DEALS) -> DataFrame:
     """Links ``u, v`` of ``nodes (node, fp, minima)`` whose fingerprints are within the radius."""
-    keys, columns = ["mask", "value", "block"], ["node", "fp"]
+    keys, columns = ["mask", "value", "cell"], ["node", "fp"]
     search = _by_shard(keys, columns, lambda _, fps: forest(_wide(fps), radius))
     rows = shards_by_minima(nodes, shard_size, deals)
     return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(search, "u long, v long")
@@ -364,32 +372,34 @@ def _wide(fps: np.ndarray) -> list[int]:
     return [int.from_bytes(fp, "little") for fp in fps]
 
 
-def similar_links(nodes: DataFrame, shingles: DataFrame, similarity: float, shard_size: int = WIDE_SHARD) -> DataFrame:
+def similar_links(nodes: DataFrame, shingles: DataFrame, similarity: float, shard_size: int = WIDE_SHARD, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """Links ``u, v`` of texts that are similar, which joins up all chains of them.
 
     ``nodes`` has ``node, fp, minima, row``, ``shingles`` the sets by ``row``.
     Chains of candidates are the groups; in each group a BK-tree finds near
-    fingerprints again and the sets decide. Groups beyond ``shard_size`` are
-    searched in blocks with common pivots.
+    fingerprints again and the sets decide. A group of more than ``shard_size``
+    members or ``cell_bytes`` of shingles is searched in cells of two blocks.
     """
     radius = radius_of(similarity)
     roots = stage(components(candidates(nodes, radius, shard_size)), "candidate-groups")
     ends = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    sizes = ends.groupBy("root").agg(F.count("*").alias("size"))
-    members = stage(nodes.select("node", "fp", "row").join(ends, "node").join(sizes, "root"), "candidate-members")
-    dealt = members.select("root", F.explode(_blocks(F.col("size"), shard_size)).alias("block"), "node", "fp", "row")
+    chained = nodes.select("node", "fp", "row").join(ends, "node")
+    members = stage(chained.join(shingles.select("row", F.octet_length("shingles").alias("bytes")), "row"), "candidate-members")
+    share = F.greatest(F.count("*") / shard_size, F.sum("bytes") / cell_bytes)
+    sizes = members.groupBy("root").agg(share.alias("share"))
+    dealt = members.join(sizes, "root").select("root", F.explode(_cells(F.col("share"))).alias("cell"), "fp", "node", "row")
     own = shingles.join(members.select("row"), "row", "left_semi")  # row numbers alone are few enough to broadcast for longer
-    rows = own.join(dealt, "row").select("root", "block", "node", "fp", "shingles")
+    rows = own.join(dealt, "row").select("root", "cell", "node", "fp", "shingles")
 
     def near(_, fps, packed):
         sets = [np.frombuffer(p, "<u4") for p in packed]
         return forest(_wide(fps), radius, lambda a, b: jaccard(sets[a], sets[b]) >= similarity)
 
-    keys, columns = ["root", "block"], ["node", "fp", "shingles"]
+    keys, columns = ["root", "cell"], ["node", "fp", "shingles"]
     return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(_by_shard(keys, columns, near), "u long, v long")
 
 
-def representatives(docs: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY, shard_size: int = WIDE_SHARD) -> DataFrame:
+def representatives(docs: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY, shard_size: int = WIDE_SHARD, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """One row of ``docs``, all columns, for each group of near copies: one with its smallest id.
 
     Rows of a group that share that id, or a group without ids, are decided by
@@ -405,7 +415,7 @@ def representatives(docs: DataFrame, words: int = WIDE_WORDS, similarity: float
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row")
     nodes = prints.groupBy("fp").agg(F.first("minima").alias("minima"), F.min(first).alias("least"))
     nodes = stage(nodes.withColumns({"node": F.monotonically_increasing_id(), "row": F.col("least.row")}), "nodes")
-    roots = components(similar_links(nodes, prints.select("row", "shingles"), similarity, shard_size))
+    roots = components(similar_links(nodes, prints.select("row", "shingles"), similarity, shard_size, cell_bytes))
     rooted = nodes.select("node", "least").join(roots, "node", "left")
     kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
     dropped = stage(prints.select("row").join(kept, "row", "left_anti"), "dropped")

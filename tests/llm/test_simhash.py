@@ -2,8 +2,10 @@
 
 import random
 import re
+from collections import Counter
 
 import xxhash
+from pyspark.sql import functions as F
 
 from quillon.llm import simhash
 from quillon.llm.registry import op3_simhash_near_dedup
@@ -126,13 +128,32 @@ def test_representatives_against_all_pairs(spark, sf_dir):
 
 
 def test_large_families_in_deals_and_blocks(spark):
-    """With a tiny shard size: dealt again twice, then blocks that pivots hold together."""
+    """With a tiny shard size: dealt again twice, then blocks of which every two meet."""
     rng = random.Random(5)
     texts = families(rng, 1, [400]) + families(rng, 30, [1, 3])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.representatives(docs, shard_size=100).collect()} == set(brute_similar(texts))
 
 
+def test_chains_in_cells_of_any_size(spark):
+    """Texts that are similar to the next ones only: no chain breaks between blocks."""
+    words = [f"w{k}" for k in range(6200)]
+    texts = [" ".join(words[k * 5 : k * 5 + 100]) for k in range(600)] + [" ".join(words[k * 5 : k * 5 + 100]) for k in range(700, 900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert set(brute_similar(texts)) == {0, 600}
+    for limits in ({"shard_size": 64}, {"shard_size": 256}, {"cell_bytes": 40_000}, {}):
+        assert {r.doc_id for r in simhash.representatives(docs, **limits).collect()} == {0, 600}
+
+
+def test_every_two_members_share_a_cell(spark):
+    nodes = spark.range(200).select(F.col("id").cast("string").alias("fp"))
+    for share in (0.5, 1.0, 1.2, 3.7):
+        cells = [set(r.cells) for r in nodes.select(simhash._cells(F.lit(share)).alias("cells")).collect()]
+        assert all(a & b for a in cells for b in cells)
+        sizes = Counter(c for own in cells for c in own)
+        assert max(sizes.values()) <= 200 / max(share, 1.0) * 1.5
+
+
 def test_wide_fingerprint_in_chunks(monkeypatch):
     text = " ".join(f"w{k * k % 977}" for k in range(3000))
     whole = simhash.wide_fingerprint(text)
