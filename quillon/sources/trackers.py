@@ -2,7 +2,8 @@
 
 Readers never start a program and never write. A list is a JSON array or an
 envelope with exactly one of ``issues``, ``items`` and ``data``; the export is
-one JSON object a line and is the form that scales, since its lines split.
+one JSON object a line. Both are read by many tasks: the export's lines split, and a
+long list is cut between its records where its layout allows.
 Anything of another shape fails, and errors name ids and fields only.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators.incremental import divergence, state_digest
+from quillon.sources.json_lists import split_objects
 
 # The shapes that are accepted, in the order in which names win.
 ENVELOPES = ("issues", "items", "data")
@@ -35,6 +37,7 @@ PATH_KEYS = ("workspace_path", "beads_dir", "repo_root", "path")
 IDENTITY_KEYS = ("project_id", "workspace_id", "repository_id", "repo_id")
 VERSION_KEYS = ("version", "beads_version")
 OLDEST = (1, 0, 5)
+WHOLE_BYTES = 16 << 20  # lists up to that size are read by one task
 STATE = ["status", "issue_type", "priority", "ephemeral", "links"]
 
 
@@ -188,14 +191,20 @@ def _marked(records: DataFrame) -> DataFrame:
 class TrackerFiles:
     """A source of files: ``list``, and ``context``, ``version`` and ``export`` where there are any."""
 
-    def __init__(self, spark: SparkSession, listing: str, context: str | None = None, version: str | None = None, export: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, listing: str, context: str | None = None, version: str | None = None, export: str | None = None, whole_bytes: int = WHOLE_BYTES) -> None:
         self.spark, self.listing, self.context, self.version, self.export = spark, listing, context, version, export
+        self.whole_bytes = whole_bytes
 
     def _whole(self, path: str) -> DataFrame:
         return self.spark.read.text(path, wholetext=True)
 
     def records(self) -> DataFrame:
-        return require_unique(parse_records(envelope(self._whole(self.listing))))
+        return require_unique(parse_records(self._raws()))
+
+    def _raws(self) -> DataFrame:
+        size = self.spark.read.format("binaryFile").load(self.listing).agg(F.sum("length")).first()[0]
+        cut = split_objects(self.spark, self.listing, ENVELOPES) if (size or 0) > self.whole_bytes else None
+        return envelope(self._whole(self.listing)) if cut is None else cut
 
     def _identity(self) -> tuple[str, str | None]:
         if self.context is None:
