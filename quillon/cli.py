@@ -19,7 +19,7 @@ REPORTS = ("triage", "sweep", "batch", "neighbors", "collisions")
 ABILITIES = ("read-only-review", "bounded-queue", "typed-dependencies", "code-surfaces", "freshness", "json", "markdown")
 GUARDED = ("triage", "sweep", "collisions")
 WRITERS = ("--output", "--output-dir")
-TAKES_VALUE = ("--list", "--context", "--tracker-version", "--export", "--vectors", "--master")
+TAKES_VALUE = ("--list", "--context", "--tracker-version", "--export", "--vectors", "--vector-cache", "--master")
 STATE = ["title", "description", "acceptance_criteria", "design", "notes", "status", "issue_type", "priority", "parent_id", "labels", "links"]
 
 
@@ -119,9 +119,21 @@ def _review(args: argparse.Namespace, spark):
         raise SourceError("--list names no file")
     snapshot, records = TrackerFiles(spark, args.list, args.context, args.tracker_version, args.export).load()
     vectors = unit_vectors(spark.read.parquet(args.vectors), "id", "embedding") if args.vectors else None
+    cached = _cached(args, records) if args.vector_cache and vectors is None else None
     limits = {"hub_limit": args.max_hub_surface_issues, "guarded_pairs": args.explain_hub_guard} if hasattr(args, "explain_hub_guard") else {}
     options = Options(tuple(args.status or ACTIVE_STATUSES), args.include_epics, getattr(args, "max_batch_size", 9), getattr(args, "code_surfaces", True), include_ephemeral=args.include_ephemeral, **limits)
-    return Review(snapshot, records, policy_of(args), options, vectors, _repository(args, spark), _scope(args, spark, snapshot, records))
+    review = Review(snapshot, records, policy_of(args), options, cached.vectors if cached else vectors, _repository(args, spark), _scope(args, spark, snapshot, records))
+    review.cache = {"hits": cached.hits, "encoded": cached.encoded} if cached else None
+    return review
+
+
+def _cached(args: argparse.Namespace, records):
+    """Vectors of the records by way of the cache."""
+    from quillon.operators.vectors import hashing_vectors
+    from quillon.plans.review import BUCKETS, texts
+    from quillon.sources.vector_cache import Model, cached_vectors
+
+    return cached_vectors(texts(records), lambda missing: hashing_vectors(missing, BUCKETS), Model("hashing", "1", BUCKETS), args.vector_cache)
 
 
 def _repository(args: argparse.Namespace, spark):
@@ -278,7 +290,7 @@ def run(argv: list[str] | None = None, spark=None) -> int:
             return 0
         review = _review(args, spark)
         name, report, text, batches = _reports(args, review)
-        report = {**report, "run_id": run_id()}
+        report = {**report, "run_id": run_id(), **({"vector_cache": review.cache} if review.cache else {})}
         folder, file, form = sinks.output_paths(args.output, args.output_dir, "", "")
         if args.output is None and args.output_dir is None:
             sys.stdout.write(sinks.to_json(report) if args.as_json else text)

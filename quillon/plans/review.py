@@ -48,9 +48,14 @@ class Options:
                 raise ValueError(f"{name} must be positive")
 
 
+def texts(records: DataFrame) -> DataFrame:
+    """``id, text``: what a record's vector is made of."""
+    return records.select("id", T.canonical_text().alias("text"))
+
+
 def hashing_vectors(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """``id, v``: signed hashing vectors of the records' whole texts."""
-    return V.hashing_vectors(records.select("id", T.canonical_text().alias("text")), buckets)
+    return V.hashing_vectors(texts(records), buckets)
 
 
 @dataclass

@@ -1,7 +1,7 @@
-"""Writers: reports for people, checkpoints and vector caches for the next run.
+"""Writers: reports for people and checkpoints for the next run.
 
 Reports are bounded by the review queue and are written by the driver, each in
-one step. Checkpoints and caches grow with the records and are Spark tables.
+one step. Checkpoints grow with the records and are Spark tables.
 """
 
 from __future__ import annotations
@@ -92,12 +92,6 @@ def read_checkpoint(spark: SparkSession, path: str, workspace: str, now: str) ->
     return rows.select("id", "updated_at", "fingerprint")
 
 
-def append_cache(misses: DataFrame, path: str) -> None:
-    """Add vectors (key, v) to a cache, by the first two digits of the key."""
-    sound = misses.filter("v IS NOT NULL AND size(v) > 0").withColumn("shelf", F.substring("key", 1, 2))
-    sound.repartition("shelf").write.mode("append").partitionBy("shelf").parquet(path)
-
-
 def report_folder(folder: str | Path, name: str, payload: dict, markdown: str, batches: list[tuple[dict, str]] = ()) -> list[Path]:
     """``<name>.json``, ``<name>.md`` and, numbered from 1, ``batch-N`` in both forms."""
     out = []
