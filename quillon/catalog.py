@@ -12,9 +12,10 @@ from quillon.functions import text as T
 from quillon.model import CandidatePolicy
 from quillon.operators import evaluate, explain, freshness, graph, incremental, qualify, relations, selection, surfaces
 from quillon.operators import vectors as V
-from quillon.plans.staging import stage
-from quillon.sources import host_pages, trackers
+from quillon.plans.staging import shared_path, stage
+from quillon.sources import host_pages, trackers, vector_cache
 from quillon.sources import records as R
+from quillon.streaming import scope
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -772,6 +773,35 @@ def _(s, d):
     return incremental.compare(incremental.checkpoint(now, COLUMNS), incremental.checkpoint(before, COLUMNS))
 
 
+@query("jon10_remembered_states")
+def _(s, d):
+    """Two snapshots through the stream that remembers fingerprints, one run after the other."""
+    now, before = _snapshots(s, d)
+    arriving, out, state = (shared_path(s, x) for x in ("arriving", "remembered", "stream-state"))
+    kept = s.conf.get(scope.ROCKSDB[0])
+    s.conf.set(*scope.ROCKSDB)
+    try:
+        for day, rows in enumerate((before, now), 1):
+            taken = rows.select("id", *[c for c in COLUMNS if c != "id"], F.lit(f"2024-01-0{day}").cast("timestamp").alias("taken_at"))
+            taken.write.mode("append").parquet(arriving)
+            run = scope.follow_snapshots(s, arriving, taken.schema, COLUMNS, out, state)
+            run.awaitTermination()
+    finally:
+        s.conf.set(scope.ROCKSDB[0], kept)
+    return s.read.parquet(out).select("id", F.dayofmonth(F.timestamp_millis("snapshot")).alias("day"), "state")
+
+
+@query("jon11_cached_runs")
+def _(s, d):
+    """Three runs over one cache: even records, all, and all again."""
+    texts, root = Inputs(s, d).records.select("n", "id", F.col("title").alias("text")), shared_path(s, "vector-cache")
+    model, rows = vector_cache.Model("hashing", "1", 16), []
+    for run, own in enumerate((texts.filter("n % 2 = 0"), texts, texts), 1):
+        got = vector_cache.cached_vectors(own.select("id", "text"), lambda missing: V.hashing_vectors(missing, 16), model, root)
+        rows.append(got.vectors.agg(F.lit(run).alias("run"), F.lit(got.hits).cast("long").alias("hits"), F.lit(got.encoded).cast("long").alias("encoded"), F.count("v").alias("vectors")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("jon9_divergence")
 def _(s, d):
     return incremental.divergence(*_snapshots(s, d), COLUMNS)

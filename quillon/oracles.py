@@ -356,6 +356,8 @@ def queries() -> dict[str, str]:
         "agg19_fingerprints": base + f" SELECT id, updated_at, {_print()} AS fingerprint FROM records",
         "agg20_content_keys": base + " SELECT id, sha256(concat_ws(chr(31), '1', 'hashing', '1', title)) AS key FROM records",
         "set4_deleted": base + f", {_SNAP} SELECT id FROM before EXCEPT SELECT id FROM now",
+        "jon10_remembered_states": base + f", {_SNAP}, a AS (SELECT id, {_print()} AS f FROM now), b AS (SELECT id, {_print()} AS g FROM before) SELECT id, 1::int AS day, 'new' AS state FROM b UNION ALL SELECT id, 2::int, CASE WHEN f IS NULL THEN 'deleted' WHEN g IS NULL THEN 'new' WHEN f <> g THEN 'changed' ELSE 'unchanged' END FROM a FULL JOIN b USING (id)",
+        "jon11_cached_runs": base + ", k AS (SELECT count(DISTINCT coalesce(title, '')) AS a, count(*) AS r, count(DISTINCT coalesce(title, '')) FILTER (n % 2 = 0) AS e, count(*) FILTER (n % 2 = 0) AS re FROM records) SELECT 1::int AS run, 0::bigint AS hits, e AS encoded, re AS vectors FROM k UNION ALL SELECT 2, e, a - e, r FROM k UNION ALL SELECT 3, a, 0, r FROM k",
         "jon11_cache": base + ", c AS (SELECT DISTINCT title FROM records WHERE id < 'doc-000100') SELECT count(*) FILTER (title IN (SELECT title FROM c)) AS hits, count(DISTINCT title) FILTER (title NOT IN (SELECT title FROM c)) AS misses FROM records",
         "agg14_budget_metrics": vec + f", {_JUDGED}, top AS (SELECT * FROM js ORDER BY score DESC, left_id, right_id LIMIT 20) SELECT (SELECT round(avg((rating = 2)::int), 6) FROM top) AS precision_at_budget, (SELECT round(avg((rating >= 1)::int), 6) FROM top) AS useful_at_budget, round(1 - avg((score >= 0.1)::int), 6) AS abstention_rate, round(count(*) FILTER (score >= 0.1 AND rating = 2) / (count(*) FILTER (rating = 2))::double, 6) AS recall_at_threshold FROM js",
         "agg14_recall_at_5": vec + f", {_JUDGED}, {_RANK.format(k='', a='vec', b='vec')} SELECT round(avg((rank <= 5)::int), 6) AS recall, count(*) AS positives FROM judged JOIN ranked ON query_id = left_id AND candidate_id = right_id WHERE rating = 2",
