@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import plain_title
 from quillon.model import ACTIVE_STATUSES
+from quillon.plans.staging import stage
 from quillon.sources.records import is_closed
 
 # Relations that explain a pair, and the order of evidence codes.
@@ -85,11 +87,18 @@ def consumers(edges: DataFrame, active: DataFrame) -> DataFrame:
 
 
 def third_party_consumer(pairs: DataFrame, edges: DataFrame, active: DataFrame) -> DataFrame:
-    """Pairs (issue_id, related_issue_id) into which an active record outside the pair points."""
+    """Pairs (issue_id, related_issue_id) into which an active record outside the pair points.
+
+    Three sources of an end are enough to know: two of them can be in the pair.
+    """
     into = consumers(edges, active)
-    ends = pairs.select("issue_id", "related_issue_id", F.explode(F.array("issue_id", "related_issue_id")).alias("target_id"))
-    hit = ends.join(into, "target_id").filter("source_id <> issue_id AND source_id <> related_issue_id")
-    return hit.select("issue_id", "related_issue_id").distinct()
+    first = F.row_number().over(Window.partitionBy("target_id").orderBy("source_id"))
+    few = into.withColumn("k", first).filter("k <= 3").groupBy("target_id").agg(F.collect_list("source_id").alias("sources"))
+    rows = pairs.select("issue_id", "related_issue_id").distinct()
+    for key in ("issue_id", "related_issue_id"):
+        rows = rows.join(few.select(F.col("target_id").alias(key), F.col("sources").alias(f"into_{key}")), key, "left")
+    other = lambda c: F.coalesce(F.exists(c, lambda x: (x != F.col("issue_id")) & (x != F.col("related_issue_id"))), F.lit(False))
+    return rows.filter(other("into_issue_id") | other("into_related_issue_id")).select("issue_id", "related_issue_id")
 
 
 def direct_codes(pairs: DataFrame, edges: DataFrame, records: DataFrame) -> DataFrame:
@@ -102,22 +111,72 @@ def direct_codes(pairs: DataFrame, edges: DataFrame, records: DataFrame) -> Data
     return rows.withColumn("direct", F.transform(F.coalesce("kinds", F.array().cast("array<string>")), lambda k: F.concat(F.lit("direct-"), k))).drop("kinds")
 
 
+#: A run of the characters that may not stand before an id; four others fold to some of them.
+NAME, PLAIN_ID = r"(?iu)[A-Za-z0-9_.-]+", r"\A[A-Za-z0-9_.-]+\z"
+BEFORE_ID, AFTER_ID, INNER_STOP = r"(?<![A-Za-z0-9_.-])", r"(?![A-Za-z0-9_-]|\.[A-Za-z0-9])", r"\.(?![a-z0-9])"
+FEW_SHAPES = 50
+
+
+def _folded(name: Column) -> Column:
+    return F.lower(F.translate(name, "\u017f\u212a\u0131\u0130", "skii"))
+
+
+def _named(records: DataFrame, few_shapes: int = FEW_SHAPES) -> DataFrame:
+    """``id, other_id``: records that may name another one; a superset of what ``reference_with_cue`` finds.
+
+    Ids of plain characters differ by their digits mostly: what few shapes they have is one
+    pattern for the texts. Else an id is a whole run of such characters, but for what may
+    follow a full stop, so runs, cut at each such stop too, are joined with the ids. Ids
+    of other characters are not looked up here.
+    """
+    ids = stage(records.filter(F.col("id").rlike(PLAIN_ID)).select("id", F.lower("id").alias("name")), "names")
+    texts = F.concat_ws("\n", *[F.substring(F.coalesce(c, F.lit("")), 1, TEXT_LIMIT) for c in TEXT_FIELDS])
+    shapes = [r.shape for r in ids.select(F.translate("name", "0123456789", "0000000000").alias("shape")).distinct().limit(few_shapes + 1).collect()]
+    if len(shapes) <= few_shapes and not any(re.search(INNER_STOP, s) for s in shapes):
+        kinds = "|".join(re.sub("0+", lambda m: f"[0-9]{{{len(m.group())}}}", re.sub(r"([.-])", r"\\\1", s)) for s in sorted(shapes)) or "(?!)"
+        found = F.regexp_extract_all(texts, F.lit(f"(?iu){BEFORE_ID}(?:{kinds}){AFTER_ID}"), 0)
+        rows = records.select("id", F.explode(F.array_distinct(found)).alias("name")).withColumn("name", _folded(F.col("name")))
+    else:
+        rows = records.select("id", F.explode(F.array_distinct(F.regexp_extract_all(texts, F.lit(NAME), 0))).alias("name")).withColumn("name", _folded(F.col("name")))
+        stop = F.explode(F.filter(F.sequence(F.lit(1), F.length("name")), lambda k: (F.substring(F.col("name"), k, F.lit(1)) == ".") & ~F.substring(F.col("name"), k + 1, F.lit(1)).rlike("[a-z0-9]")))
+        cut = rows.filter(F.col("name").rlike(INNER_STOP)).withColumn("stop", stop)
+        rows = rows.unionByName(cut.select("id", F.expr("substring(name, 1, stop - 1)").alias("name")))
+    return rows.join(ids.select(F.col("id").alias("other_id"), "name"), "name").filter("id <> other_id").select("id", "other_id").distinct()
+
+
+def cued_pairs(candidates: DataFrame, records: DataFrame, few_shapes: int = FEW_SHAPES) -> DataFrame:
+    """Pairs (issue_id, related_issue_id) of which one's text names the other with a relation cue.
+
+    Only pairs that ``_named`` finds, or with an id that it cannot look up, meet their texts.
+    """
+    keys = ["issue_id", "related_issue_id"]
+    named = _named(records, few_shapes)
+    both = named.toDF(*keys).unionByName(named.toDF(*reversed(keys))).distinct()
+    pairs = candidates.select(*keys).distinct()
+    odd = pairs.filter(~F.col("issue_id").rlike(PLAIN_ID) | ~F.col("related_issue_id").rlike(PLAIN_ID))
+    pairs = stage(pairs.join(both, keys, "left_semi").unionByName(odd).distinct(), "named-pairs")
+    state = lambda key, p: records.select(F.col("id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in TEXT_FIELDS]).join(pairs.select(key).distinct(), key, "left_semi")
+    rows = pairs.join(state("issue_id", "l"), "issue_id").join(state("related_issue_id", "r"), "related_issue_id")
+    names = [reference_with_cue(F.col(f"{p}_{c}"), F.col(other)) for p, other in (("l", "related_issue_id"), ("r", "issue_id")) for c in TEXT_FIELDS]
+    return rows.filter(functools.reduce(operator.or_, names)).select(*keys)
+
+
 def classify(candidates: DataFrame, records: DataFrame, edges: DataFrame, active: DataFrame, scope_complete: bool = True, degraded: bool = False) -> DataFrame:
     """Candidates with ``likely_action``, ``review_tier`` and ordered ``evidence_codes``.
 
     Structure wins over wording, wording over titles; similarity alone is only
-    information.
+    information. No candidate carries its records' texts: titles travel as digests.
     """
-    complete = scope_complete and not degraded
-    state = lambda key, p: records.select(F.col("id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in (*TEXT_FIELDS, "status")])
+    complete, keys = scope_complete and not degraded, ["issue_id", "related_issue_id"]
+    title = plain_title(F.col("title"))
+    told = stage(records.select("id", F.when(title != "", F.unhex(F.sha2(title, 256))).alias("title"), "status", "parent_id"), "states")
+    state = lambda key, p: told.select(F.col("id").alias(key), F.col("title").alias(f"{p}_title"), F.col("status").alias(f"{p}_status"))
     rows = candidates.join(state("issue_id", "l"), "issue_id").join(state("related_issue_id", "r"), "related_issue_id")
-    rows = direct_codes(rows, edges, records)
-    used = third_party_consumer(candidates, edges, active).withColumn("used", F.lit(True))
-    rows = rows.join(used, ["issue_id", "related_issue_id"], "left")
-    names = [reference_with_cue(F.col(f"{p}_{c}"), F.col(other)) for p, other in (("l", "related_issue_id"), ("r", "issue_id")) for c in TEXT_FIELDS]
-    cue = functools.reduce(operator.or_, names)
-    same = (plain_title(F.col("l_title")) != "") & (plain_title(F.col("l_title")) == plain_title(F.col("r_title")))
-    rows = rows.withColumns({"cue": cue, "same": same, "life": lifecycle(F.col("l_status"), F.col("r_status"))})
+    rows = rows.withColumns({"same": F.coalesce(F.col("l_title") == F.col("r_title"), F.lit(False)), "life": lifecycle(F.col("l_status"), F.col("r_status"))})
+    rows = direct_codes(rows.drop("l_title", "r_title", "l_status", "r_status"), edges, told)
+    used = stage(third_party_consumer(candidates, edges, active), "used").withColumn("used", F.lit(True))
+    cued = stage(cued_pairs(candidates, records), "cued").withColumn("cue", F.lit(True))
+    rows = rows.join(used, keys, "left").join(cued, keys, "left").withColumn("cue", F.coalesce("cue", F.lit(False)))
     bound = (F.size("direct") > 0) | F.coalesce("used", F.lit(False))
     missing = F.col("cue") & F.lit(complete)
     action = (
@@ -156,13 +215,13 @@ def classify(candidates: DataFrame, records: DataFrame, edges: DataFrame, active
 def queue(assessed: DataFrame, budget: int | None = None) -> DataFrame:
     """The pool re-ranked: actions first, then by kind of action, in the order of the old positions; the first ``budget``.
 
-    The pool is a bounded queue, so one task may number it.
+    With a budget each task keeps that many, and only these are numbered.
     """
     place = F.when(F.col("review_tier") == "action", 0).otherwise(1)
     kind = F.array_position(F.array(*map(F.lit, ACTION_ORDER)), F.col("likely_action"))
-    order = Window.orderBy(place, kind, "position", "kind", "issue_id", "related_issue_id")
-    ranked = assessed.withColumn("freshness_position", F.row_number().over(order))
-    return ranked if budget is None else ranked.filter(F.col("freshness_position") <= budget)
+    order = [place, kind, "position", "kind", "issue_id", "related_issue_id"]
+    first = assessed if budget is None else assessed.orderBy(*order).limit(budget)
+    return first.withColumn("freshness_position", F.row_number().over(Window.orderBy(*order)))
 
 
 def summary(assessed: DataFrame) -> DataFrame:

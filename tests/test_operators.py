@@ -376,3 +376,42 @@ def test_qualification_leaves_unneeded_pairs_in_the_tiles(spark, sf_dir):
         qualify.stage = keep
     echoes = [df for (label, _), df in staged.items() if label == "pairs"][1]
     assert echoes.count() < whole / 4
+
+
+def test_cued_pairs_are_those_of_every_pair(spark):
+    """The pairs found through names are those that a test of every pair finds, with odd ids and odd neighbours of an id."""
+    texts = {
+        "doc-1": "depends on doc-2. and so on", "doc-2": "after ßDOC-3", "doc-3": "blocked by doc-4.x", "doc-4": "related doc-1.. x", "doc-5": "supersedes xdoc-1 and -doc-2",
+        "kit.7": "follow-up doc-5._", "a b": "depends on KIT.7", "c/d": "after a b!", "doc-6": "before c/d, doc-1", "s.": "relates to s.; doc-6", "doc-7": "seeKit.7 depends on KIT.7", "doc-8": "",
+        "doc-9": "x" * 4085 + " after doc-8",
+    }
+    records = spark.createDataFrame([(k, f"title of {k}", v, None, "", "open", None) for k, v in texts.items()], "id string, title string, description string, acceptance_criteria string, design string, status string, parent_id string")
+    ids = records.select("id")
+    pairs = ids.toDF("issue_id").crossJoin(ids.toDF("related_issue_id")).filter("issue_id <> related_issue_id")
+    every = pairs.join(records.withColumnRenamed("id", "issue_id"), "issue_id").filter(freshness.reference_with_cue(F.col("description"), F.col("related_issue_id")))
+    want = {tuple(sorted(r)) for r in every.select("issue_id", "related_issue_id").collect()}
+    pairs = pairs.coalesce(2).cache()
+    for shapes in (50, 1):  # ids by their shapes, and runs of characters
+        got = [tuple(r) for r in freshness.cued_pairs(pairs, records, shapes).collect()]
+        assert {tuple(sorted(p)) for p in got} == want and len(got) == 2 * len(want) and len(want) > 6
+    plain, nine = records.filter("id LIKE 'doc-%'"), pairs.filter("issue_id LIKE 'doc-%' AND related_issue_id LIKE 'doc-%'")
+    got = {tuple(sorted(r)) for r in freshness.cued_pairs(nine, plain).collect()}
+    assert got == {p for p in want if all(x.startswith("doc-") for x in p)} and not any("doc-8" in p for p in got)
+
+
+def test_classification_carries_no_texts(spark, sf_dir):
+    """Candidates meet titles as digests and texts only where one names the other."""
+    from quillon.catalog import Inputs
+
+    i = Inputs(spark, sf_dir)
+    pool = i.qualified().withColumn("position", F.lit(1))
+    plan = freshness.classify(pool, i.records, i.edges, i.active)._jdf.queryExecution().optimizedPlan().toString()
+    assert "acceptance_criteria" not in plan and "description" not in plan
+
+
+def test_consumers_outside_the_pair(spark):
+    edges = spark.createDataFrame([(s, "t") for s in ("a", "b", "c")] + [("b", "u"), ("t", "u"), ("z", "w")], "source_id string, target_id string")
+    active = spark.createDataFrame([(x,) for x in "abctu"], "id string")
+    pairs = spark.createDataFrame([("a", "t"), ("b", "t"), ("t", "u"), ("b", "u"), ("w", "z"), ("w", "a")], "issue_id string, related_issue_id string")
+    got = {tuple(r) for r in freshness.third_party_consumer(pairs, edges, active).collect()}
+    assert got == {("a", "t"), ("b", "t"), ("t", "u"), ("b", "u")}
