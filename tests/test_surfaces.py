@@ -107,3 +107,24 @@ def test_no_pointers(spark):
     shared = surfaces.shared_evidence(found, 5)
     assert surfaces.guard_counts(found, shared, 5) == {"omitted_by_hub_guard": 0, "omitted_by_module_guard": 0}
     assert surfaces.hub_guard_sample(found, shared, 5, 3).count() == 0 and surfaces.collisions(spark.createDataFrame([], SCHEMA), 5).count() == 0
+
+
+def _touching(spark, work):
+    """Pointers of issues to paths; every second issue was seen to change its own."""
+    rows = [(i, path, None, surfaces.OBSERVED if i % 2 == 0 else surfaces.EXPLICIT, "unknown", "prose", "existing", None, "title") for i, paths in work.items() for path in paths]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_pairs_with_one_hub_path_in_common_are_told_where_they_meet(spark):
+    many = [f"src/n{k}/x.py" for k in range(surfaces.SIGNED)]
+    work = {i: ["src/a/main.py", f"src/o{i}/y.py"] for i in range(12)}
+    work[0], work[1] = [*work[0], "src/a/more.py"], [*work[1], "src/a/more.py"]  # two paths of one module
+    work[2], work[3] = [*work[2], "src/b/z.py"], [*work[3], "src/b/z.py"]  # a path of another module
+    work[4] = [*work[4], *many]  # too many surfaces for a signature
+    shared = surfaces.shared_evidence(surfaces.surfaces(_touching(spark, work)), 5).collect()
+    wide = {(min(i, 4), max(i, 4)) for i in work if i != 4}
+    assert {(r.issue_id, r.related_issue_id) for r in shared if not r.on_hub} == {(0, 1), (2, 3)} | wide
+    pairs = {(a, b) for a in work for b in work if a < b and (a % 2 == 0 or b % 2 == 0)}
+    assert len(shared) == len(pairs) and {(r.issue_id, r.related_issue_id) for r in shared} == pairs
+    by = {(r.issue_id, r.related_issue_id): r.shared_paths for r in shared}
+    assert by[0, 1] == ["src/a/main.py", "src/a/more.py"] and by[2, 3] == ["src/a/main.py", "src/b/z.py"] and by[0, 2] == ["src/a/main.py"]
