@@ -128,3 +128,12 @@ def test_pairs_with_one_hub_path_in_common_are_told_where_they_meet(spark):
     assert len(shared) == len(pairs) and {(r.issue_id, r.related_issue_id) for r in shared} == pairs
     by = {(r.issue_id, r.related_issue_id): r.shared_paths for r in shared}
     assert by[0, 1] == ["src/a/main.py", "src/a/more.py"] and by[2, 3] == ["src/a/main.py", "src/b/z.py"] and by[0, 2] == ["src/a/main.py"]
+
+
+def test_pairs_on_hubs_are_counted_without_the_sets_of_one_issue(spark, monkeypatch):
+    hubs = {i: sorted({i % 3, 10 + i % 4, 100 + i, 200 + i, 300 + i}) for i in range(24)}
+    staged, kept = {}, surfaces.stage
+    monkeypatch.setattr(surfaces, "stage", lambda df, label: staged.setdefault(label, kept(df, label)))
+    got = surfaces._pairs_sharing(spark.createDataFrame(list(hubs.items()), "issue_id int, hubs array<int>"), 10)
+    assert got == sum(bool({*hubs[a]} & {*hubs[b]}) for a in hubs for b in hubs if a < b)
+    assert staged["hub-pairs"].count() == 12  # of 240 pairs of hubs
